@@ -1,0 +1,22 @@
+"""When two numbers count as equal."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def relative_base(a: Column) -> Column:
+    """The magnitude a difference is measured against; zero counts as one."""
+    return F.when(a == 0, F.lit(1.0)).otherwise(F.abs(a).cast("double"))
+
+
+def absolute_diff(a: Column, b: Column) -> Column:
+    return F.abs(a - b).cast("double")
+
+
+def within_tolerance(a: Column, b: Column, absolute, relative) -> Column:
+    """Both null agree, one null does not; otherwise either bound is enough."""
+    diff = absolute_diff(a, b)
+    close = (diff <= absolute) | (diff / relative_base(a) <= relative)
+    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(close)
