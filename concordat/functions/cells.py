@@ -1,56 +1,78 @@
-"""Column expressions for cell values: blanks, null tokens, numbers and dates in text."""
+"""Cell values as SQL text: blanks, null tokens, numbers and dates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from concordat.functions.sql import literal
+
+# What counts as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Text that stands for null once trimmed and lower-cased.
 NULL_TOKENS = ["", "null", "none", "na", "n/a", "?", "nan", "nil", "n.a.", "nd", "#n/a"]
 
-# Tried in this order; day comes before month, month-first is the last resort.
+# Fixed values: (shape, format), tried in this order. Day comes before month, month-first is
+# the last resort. A failed parse is an exception inside the task, so a text is parsed only
+# by formats whose shape it has.
+CLOCK = r"[0-9]{1,2}:[0-9]{2}:[0-9]{2}([.][0-9]{3}|[.][0-9]{6})?"
+PLAIN_CLOCK = r"[0-9]{1,2}:[0-9]{2}:[0-9]{2}"
 DATE_FORMATS = [
-    "yyyy-M-d H:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-M-d'T'H:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-M-d",
-    "yyyyMMdd",
-    "d/M/yyyy H:mm:ss",
-    "d/M/yyyy",
-    "d-M-yyyy H:mm:ss",
-    "d-M-yyyy",
-    "d.M.yyyy H:mm:ss",
-    "d.M.yyyy",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy",
+    (rf"[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {CLOCK}", "yyyy-M-d H:mm:ss[.SSSSSS][.SSS]"),
+    (rf"[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}T{CLOCK}", "yyyy-M-d'T'H:mm:ss[.SSSSSS][.SSS]"),
+    (r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "yyyy-M-d"),
+    (r"[0-9]{8}", "yyyyMMdd"),
+    (rf"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {PLAIN_CLOCK}", "d/M/yyyy H:mm:ss"),
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "d/M/yyyy"),
+    (rf"[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}} {PLAIN_CLOCK}", "d-M-yyyy H:mm:ss"),
+    (r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "d-M-yyyy"),
+    (rf"[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}} {PLAIN_CLOCK}", "d.M.yyyy H:mm:ss"),
+    (r"[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}", "d.M.yyyy"),
+    (rf"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {PLAIN_CLOCK}", "M/d/yyyy H:mm:ss"),
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "M/d/yyyy"),
 ]
+# Cheap test that comes before all shapes.
+DATE_START = r"^[0-9]{1,4}[-/.0-9]"
 
 # try_cast also takes Java suffixes such as "1d"; this is the shape of plain numerals.
-NUMERAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMERAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 YEAR = r"^[0-9]{4}$"
 
 
-def strip_text(c: Column) -> Column:
-    """Drop white space of every kind from both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+def strip_text(c: str) -> str:
+    """Both ends; plain ``trim`` takes spaces only."""
+    return f"trim(BOTH {literal(WHITE_SPACE)} FROM {c})"
 
 
-def null_tokens_to_null(c: Column) -> Column:
-    return F.when(~F.lower(strip_text(c)).isin(NULL_TOKENS), c)
+def null_tokens_to_null(c: str) -> str:
+    tokens = ", ".join(literal(t) for t in NULL_TOKENS)
+    return f"CASE WHEN lower({strip_text(c)}) IN ({tokens}) THEN NULL ELSE {c} END"
 
 
-def to_number(c: Column) -> Column:
-    """Text to double, null where the text is not a finite numeral."""
-    text = strip_text(c.cast("string"))
-    return F.when(text.rlike(NUMERAL), text.try_cast("double"))
+def is_numeral(c: str) -> str:
+    return f"({strip_text(c)} RLIKE {literal(NUMERAL)})"
 
 
-def to_datetime(c: Column, formats: list[str] | None = None) -> Column:
-    """Text to timestamp without zone by the first format that fits, else null."""
-    text = strip_text(c)
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats or DATE_FORMATS]
-    return F.coalesce(*tries)
+def to_number(c: str, kind: str = "double") -> str:
+    """Null where the text is not a finite numeral of that type."""
+    return f"CASE WHEN {is_numeral(c)} THEN try_cast({strip_text(c)} AS {kind}) END"
 
 
-def is_year(c: Column) -> Column:
-    return c.cast("string").rlike(YEAR)
+def to_datetime(c: str, formats: list[str] | None = None) -> str:
+    """Timestamp without zone by the first format that fits, else null. ``formats`` replaces
+    the built-in list."""
+    text = strip_text(c)
+    if formats:
+        tries = [f"try_to_timestamp({text}, {literal(f)})" for f in formats]
+        return f"CAST(coalesce({', '.join(tries)}) AS timestamp_ntz)"
+    tries = [
+        f"CASE WHEN {text} RLIKE {literal(f'^{shape}$')} THEN try_to_timestamp({text}, {literal(f)}) END"
+        for shape, f in DATE_FORMATS
+    ]
+    return f"CAST(CASE WHEN {text} RLIKE {literal(DATE_START)} THEN coalesce({', '.join(tries)}) END AS timestamp_ntz)"
+
+
+def is_year(c: str) -> str:
+    return f"(CAST({c} AS string) RLIKE {literal(YEAR)})"

@@ -1,4 +1,4 @@
-"""Order-free digests of columns and rows.
+"""Order-free digests of columns and rows, as SQL text.
 
 A value gets a 60-bit fingerprint; a set of rows gets (count, sum, xor) of the
 fingerprints, so no sort is needed and partial results combine in any order. The sum is
@@ -12,8 +12,6 @@ can compute the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PIECE_BITS = 20
@@ -21,86 +19,73 @@ PIECES = 3
 _MASK = (1 << PIECE_BITS) - 1
 _SIXTY_BITS = (1 << (PIECE_BITS * PIECES)) - 1
 
+Typed = tuple[str, T.DataType]
 
-def canonical_text(c: Column, dtype: T.DataType) -> Column:
+
+def canonical_text(c: str, dtype: T.DataType) -> str:
     """One text per value, the same in any engine for integers, decimals, text and times."""
+    if isinstance(dtype, T.StringType):
+        return c
     if isinstance(dtype, T.TimestampNTZType):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("string")
+        return f"CAST(unix_micros({c}) AS string)"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return (c + F.lit(0.0)).cast("string")
-    if isinstance(dtype, T.MapType):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"CAST({c} + 0D AS string)"
+    return f"CAST({c} AS string)"
 
 
-def _md5_hex(c: Column, dtype: T.DataType) -> Column:
-    return F.md5(F.coalesce(F.concat(F.lit("v"), canonical_text(c, dtype)), F.lit("n")).cast("binary"))
+def _md5_hex(c: str, dtype: T.DataType) -> str:
+    return f"md5(coalesce(concat('v', {canonical_text(c, dtype)}), 'n'))"
 
 
-def _hex_to_bits(hex_text: Column) -> Column:
-    return F.conv(F.substring(hex_text, 1, 15), 16, 10).cast("bigint")
+def _hex_to_bits(hex_text: str) -> str:
+    return f"CAST(conv(substring({hex_text}, 1, 15), 16, 10) AS bigint)"
 
 
-def portable_value(c: Column, dtype: T.DataType) -> Column:
+def portable_value(c: str, dtype: T.DataType) -> str:
     return _hex_to_bits(_md5_hex(c, dtype))
 
 
-def portable_row(cols: list[tuple[Column, T.DataType]]) -> Column:
-    return _hex_to_bits(F.md5(F.concat(*[_md5_hex(c, t) for c, t in cols]).cast("binary")))
-
+def portable_row(cols: list[Typed]) -> str:
+    return _hex_to_bits(f"md5(concat({', '.join(_md5_hex(c, t) for c, t in cols)}))")
 
-def _fast_inputs(cols: list[tuple[Column, T.DataType]]) -> list[Column]:
-    # xxhash64 passes over nulls, so each column brings its own null flag.
-    out: list[Column] = []
-    for c, dtype in cols:
-        out += [c.isNull(), F.to_json(c) if isinstance(dtype, T.MapType) else c]
-    return out
 
+def row_hash(cols: list[Typed], seed: int = 0) -> str:
+    """64 bits of a row. xxhash64 passes over nulls, so each column brings its null flag."""
+    inputs = ", ".join(f"{c} IS NULL, {c}" for c, _ in cols)
+    return f"xxhash64({seed}, {inputs})"
 
-def fast_hash(cols: list[tuple[Column, T.DataType]], seed: int = 0) -> Column:
-    return F.xxhash64(F.lit(seed), *_fast_inputs(cols))
 
+def fast_value(c: str, dtype: T.DataType) -> str:
+    return fast_row([(c, dtype)])
 
-def fast_value(c: Column, dtype: T.DataType) -> Column:
-    return fast_hash([(c, dtype)]).bitwiseAND(F.lit(_SIXTY_BITS))
 
-
-def fast_row(cols: list[tuple[Column, T.DataType]]) -> Column:
-    return fast_hash(cols).bitwiseAND(F.lit(_SIXTY_BITS))
+def fast_row(cols: list[Typed]) -> str:
+    return f"({row_hash(cols)} & {_SIXTY_BITS}L)"
 
 
 FINGERPRINTS = {"fast": (fast_value, fast_row), "portable": (portable_value, portable_row)}
 
 
-def digest_aggregates(fp: Column, name: str) -> list[Column]:
+def digest_aggregates(fp: str, name: str) -> dict[str, str]:
     """Partial sums ``name_p0..p2`` and ``name_xor``, to be combined by ``digest_sum``."""
-    pieces = [
-        F.sum(F.shiftright(fp, PIECE_BITS * i).bitwiseAND(F.lit(_MASK).cast("bigint"))).alias(f"{name}_p{i}")
-        for i in range(PIECES)
-    ]
-    return pieces + [F.bit_xor(fp).alias(f"{name}_xor")]
+    pieces = {f"{name}_p{i}": f"sum(shiftright({fp}, {PIECE_BITS * i}) & {_MASK}L)" for i in range(PIECES)}
+    return pieces | {f"{name}_xor": f"bit_xor({fp})"}
 
 
-def regroup_aggregates(name: str) -> list[Column]:
+def regroup_aggregates(name: str) -> dict[str, str]:
     """Combine partial digests of disjoint row sets."""
-    return [F.sum(f"{name}_p{i}").alias(f"{name}_p{i}") for i in range(PIECES)] + [
-        F.bit_xor(f"{name}_xor").alias(f"{name}_xor")
-    ]
+    return {f"{name}_p{i}": f"sum({name}_p{i})" for i in range(PIECES)} | {f"{name}_xor": f"bit_xor({name}_xor)"}
 
 
-def digest_sum(name: str) -> Column:
+def digest_sum(name: str) -> str:
     """The exact sum of all fingerprints, as decimal text."""
-    wide = T.DecimalType(38, 0)
-    total = F.lit(0).cast(wide)
-    for i in range(PIECES):
-        piece = F.col(f"{name}_p{i}").cast(T.DecimalType(19, 0)) * F.lit(1 << (PIECE_BITS * i)).cast(
-            T.DecimalType(18, 0)
-        )
-        total = (total + piece).cast(wide)
-    return F.coalesce(total, F.lit(0).cast(wide)).cast("string")
-
-
-def digest_xor(name: str) -> Column:
-    return F.coalesce(F.col(f"{name}_xor"), F.lit(0).cast("bigint"))
+    parts = [
+        f"CAST({name}_p{i} AS decimal(19,0)) * CAST({1 << (PIECE_BITS * i)}L AS decimal(18,0))" for i in range(PIECES)
+    ]
+    return f"CAST(CAST({' + '.join(parts)} AS decimal(38,0)) AS string)"
+
+
+def digest_xor(name: str) -> str:
+    return f"{name}_xor"

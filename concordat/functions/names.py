@@ -36,11 +36,10 @@ def normalise_name(name: str) -> str:
 
 def unique_names(names: list[str]) -> list[str]:
     """Repeats get the first free ``_1``, ``_2``, ... so ``a, a, a_1`` cannot collide."""
-    taken, out = set(names), []
-    used: set[str] = set()
+    given, used, out = set(names), set(), []
     for name in names:
         candidate, n = name, 0
-        while candidate in used or (n and candidate in taken):
+        while candidate in used or (n and candidate in given):
             n += 1
             candidate = f"{name}_{n}"
         used.add(candidate)
@@ -50,8 +49,3 @@ def unique_names(names: list[str]) -> list[str]:
 
 def normalise_names(names: list[str]) -> list[str]:
     return unique_names([normalise_name(n) for n in names])
-
-
-def quoted(name: str) -> str:
-    """A column name safe to hand to ``F.col``."""
-    return "`" + name.replace("`", "``") + "`"

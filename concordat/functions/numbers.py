@@ -1,19 +1,40 @@
-"""Columns as numbers, and sums that stay exact."""
+"""Columns as numbers, exact sums, and when two numbers count as equal (SQL text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import types as T
 
 from concordat.functions.cells import to_number
 from concordat.functions.types import family, is_numeric
 
 
-def as_number(c: Column, dtype: T.DataType) -> Column:
+def as_number(c: str, dtype: T.DataType) -> str:
     """Numeric columns as they are; text read as a double, null where it is no numeral."""
-    return c if is_numeric(dtype) else to_number(c)
+    return c if is_numeric(dtype) else to_number(f"CAST({c} AS string)")
 
 
-def summable(c: Column, dtype: T.DataType) -> Column:
+def summable(c: str, dtype: T.DataType) -> str:
     """Integers widen to decimal: a bigint sum over 10**12 rows can overflow."""
-    return c.cast(T.DecimalType(28, 0)) if family(dtype) == "integer" else as_number(c, dtype)
+    return f"CAST({c} AS decimal(28,0))" if family(dtype) == "integer" else as_number(c, dtype)
+
+
+def relative_base(a: str) -> str:
+    """The magnitude a difference is measured against; zero counts as one."""
+    return f"(CASE WHEN {a} = 0 THEN 1D ELSE CAST(abs({a}) AS double) END)"
+
+
+def absolute_diff(a: str, b: str) -> str:
+    return f"CAST(abs({a} - {b}) AS double)"
+
+
+def relative_diff(a: str, b: str) -> str:
+    return f"({absolute_diff(a, b)} / {relative_base(a)})"
+
+
+def within_tolerance(a: str, b: str, absolute: str | float, relative: str | float) -> str:
+    """Both null agree, one null does not; otherwise either bound is enough."""
+    absolute, relative = (x if isinstance(x, str) else f"{float(x)!r}D" for x in (absolute, relative))
+    return (
+        f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN true WHEN {a} IS NULL OR {b} IS NULL THEN false "
+        f"ELSE {absolute_diff(a, b)} <= {absolute} OR {relative_diff(a, b)} <= {relative} END"
+    )

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from concordat.functions.digest import canonical_text
-from concordat.functions.names import quoted
-from concordat.operators.pairing import IS_SOURCE, Pair
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
+from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair, both_sides
 
 
-def _two_sides(long: DataFrame, tolerance: float) -> DataFrame:
-    s, t = F.col("source_cardinality"), F.col("target_cardinality")
-    delta = F.abs(s - t)
-    return long.select(
-        "column", s, t, delta.alias("delta"), (delta / F.greatest(s, F.lit(1)) > tolerance).alias("deviates")
+def _deviation(both: DataFrame, tolerance: float) -> DataFrame:
+    return both.selectExpr("*", "abs(source_cardinality - target_cardinality) AS delta").selectExpr(
+        "*", f"delta / greatest(source_cardinality, 1) > {float(tolerance)!r}D AS deviates"
     )
 
 
@@ -27,31 +24,22 @@ def cardinality(pair: Pair, tolerance: float = 0.01, rsd: float | None = None) -
     each input row once per column. ``rsd`` switches to sketches, which shuffle a fixed
     size whatever the data; keep it well below ``tolerance``.
     """
+    index = {i: c for i, c in enumerate(pair.columns)}
     if rsd is not None:
-        aggs = [F.approx_count_distinct(quoted(c), rsd).alias(f"n{i}") for i, c in enumerate(pair.columns)]
-        sides = pair.tagged().groupBy(IS_SOURCE).agg(*aggs)
-        cells = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n")) for i, c in enumerate(pair.columns)]
-        long = sides.select(IS_SOURCE, F.inline(F.array(*cells)))
-        both = long.groupBy("column").agg(
-            *[
-                F.coalesce(F.max(F.when(F.col(IS_SOURCE) == flag, F.col("n"))), F.lit(0)).alias(f"{tag}_cardinality")
-                for tag, flag in (("source", True), ("target", False))
-            ]
-        )
-        return _two_sides(both, tolerance)
-    cells = [
-        F.struct(F.lit(i).alias("c"), canonical_text(F.col(quoted(c)), pair.dtype(c)).alias("value"))
-        for i, c in enumerate(pair.columns)
-    ]
-    values = pair.tagged().select(IS_SOURCE, F.inline(F.array(*cells))).where("value is not null")
-    distinct = values.groupBy("c", "value").agg(
-        F.bool_or(F.col(IS_SOURCE)).alias("s"), F.bool_or(~F.col(IS_SOURCE)).alias("t")
+        sketches = {f"n{i}": f"approx_count_distinct({quoted(c)}, {rsd})" for i, c in index.items()}
+        sides = aggregate(pair.tagged(), [IS_SOURCE], sketches)
+        rows = [struct(column=literal(c), n=f"n{i}") for i, c in index.items()]
+        both = both_sides(unpivot(sides, [IS_SOURCE], rows), ["column"], {"n": "cardinality"}, default="0")
+        return _deviation(both, tolerance)
+    cells = [struct(c=str(i), value=canonical_text(quoted(c), pair.dtype(c))) for i, c in index.items()]
+    values = unpivot(pair.tagged(), [IS_SOURCE], cells).where("value IS NOT NULL")
+    distinct = aggregate(values, ["c", "value"], {"s": f"bool_or({FROM_SOURCE})", "t": f"bool_or({FROM_TARGET})"})
+    counted = aggregate(distinct, ["c"], {"sn": "count_if(s)", "tn": "count_if(t)"})
+    # A column without a value on either side has no row yet; a constant row for each adds it.
+    named = pair.source.sparkSession.range(1).selectExpr(
+        f"inline(array({', '.join(struct(c=str(i), column=literal(c)) for i, c in index.items())}))"
     )
-    counted = distinct.groupBy("c").agg(F.count_if("s").alias("sn"), F.count_if("t").alias("tn"))
-    named = pair.source.sparkSession.createDataFrame(list(enumerate(pair.columns)), "c int, column string")
-    both = named.join(F.broadcast(counted), "c", "left").select(
-        "column",
-        F.coalesce("sn", F.lit(0)).alias("source_cardinality"),
-        F.coalesce("tn", F.lit(0)).alias("target_cardinality"),
+    both = named.join(counted, "c", "left").selectExpr(
+        quoted("column"), "coalesce(sn, 0) AS source_cardinality", "coalesce(tn, 0) AS target_cardinality"
     )
-    return _two_sides(both, tolerance)
+    return _deviation(both, tolerance)

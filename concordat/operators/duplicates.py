@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.digest import fast_hash
-from concordat.functions.names import quoted
-from concordat.operators.pairing import IS_SOURCE, Pair, from_source
+from concordat.functions.digest import row_hash
+from concordat.functions.sql import aggregate, quoted
+from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
 
 # Above this many suspect rows the lookup set is shuffled instead of broadcast.
 BROADCAST_ROWS = 200_000
@@ -16,10 +16,10 @@ NARROW_COLUMNS = 8
 
 def _excess(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond the first of each distinct row. Equal rows fold before the shuffle."""
-    grouped = rows.groupBy(IS_SOURCE, *[quoted(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
-    return grouped.where("n > 1").agg(
-        F.coalesce(F.sum(F.when(from_source(), F.col("n") - 1)), F.lit(0)).alias("source_duplicates"),
-        F.coalesce(F.sum(F.when(~from_source(), F.col("n") - 1)), F.lit(0)).alias("target_duplicates"),
+    grouped = aggregate(rows, [IS_SOURCE, *columns], {"__n": "count(1)"})
+    return grouped.where("__n > 1").selectExpr(
+        f"coalesce(sum(CASE WHEN {FROM_SOURCE} THEN __n - 1 END), 0) AS source_duplicates",
+        f"coalesce(sum(CASE WHEN {FROM_TARGET} THEN __n - 1 END), 0) AS target_duplicates",
     )
 
 
@@ -32,18 +32,17 @@ def duplicate_rows(pair: Pair) -> DataFrame:
     """
     if len(pair.columns) <= NARROW_COLUMNS:
         return _excess(pair.tagged(), pair.columns)
-    hashes = [fast_hash(pair.typed(), seed).alias(f"__h{seed}") for seed in (0, 1)]
+    hashes = [f"{row_hash(pair.typed(), seed)} AS __h{seed}" for seed in (0, 1)]
     keys = [IS_SOURCE, "__h0", "__h1"]
-    suspects = pair.tagged(*hashes).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    suspects = suspects.persist()
+    counted = aggregate(pair.tagged(*hashes), keys, {"__n": "count(1)"})
+    suspects = counted.where("__n > 1").select(*keys).persist()
     try:
         n = suspects.count()
         lookup = F.broadcast(suspects) if n <= BROADCAST_ROWS else suspects
-        whole = pair.tagged(*[F.col(quoted(c)) for c in pair.columns], *hashes)
+        whole = pair.tagged(*[quoted(c) for c in pair.columns], *hashes)
         found = _excess(whole.join(lookup, keys, "left_semi"), pair.columns).first()
     finally:
         suspects.unpersist()
-    return pair.source.sparkSession.createDataFrame(
-        [(found[0], found[1])], "source_duplicates bigint, target_duplicates bigint"
+    return pair.source.sparkSession.sql(
+        f"SELECT {found[0]}L AS source_duplicates, {found[1]}L AS target_duplicates"
     )
-

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from concordat.functions.digest import (
     FINGERPRINTS,
@@ -14,8 +13,8 @@ from concordat.functions.digest import (
     digest_xor,
     regroup_aggregates,
 )
-from concordat.functions.names import quoted
-from concordat.operators.pairing import IS_SOURCE, Pair
+from concordat.functions.sql import aggregate, literal, struct, unpivot
+from concordat.operators.pairing import IS_SOURCE, Pair, both_sides
 
 ROW = "row"
 
@@ -24,71 +23,69 @@ def _value_name(i: int) -> str:
     return f"c{i}"
 
 
-def bucket_of(pair: Pair, key: list[str], buckets: int, kind: str = "fast") -> Column:
+def bucket_of(pair: Pair, key: list[str], buckets: int, kind: str = "fast") -> str:
     """Rows are spread by key, or by whole row without one, so that a changed row can only
     touch the bucket (with a key) it lives in on both sides."""
     _, row_fp = FINGERPRINTS[kind]
-    return F.pmod(row_fp(pair.typed(key or None)), F.lit(buckets)).cast("int")
+    return f"CAST(pmod({row_fp(pair.typed(key or None))}, {buckets}) AS int)"
 
 
 def bucket_digests(pair: Pair, key: list[str], buckets: int = 10, kind: str = "fast", columns: bool = True) -> DataFrame:
     """Partial digests per side and bucket; everything below is derived from these few rows."""
     value_fp, row_fp = FINGERPRINTS[kind]
     typed = pair.typed()
-    fps = [row_fp(typed).alias(ROW)]
+    fps = {ROW: row_fp(typed)}
     if columns:
-        fps += [value_fp(c, t).alias(_value_name(i)) for i, (c, t) in enumerate(typed)]
-    hashed = pair.tagged(bucket_of(pair, key, buckets, kind).alias("bucket"), *fps)
-    names = [ROW] + ([_value_name(i) for i in range(len(typed))] if columns else [])
-    aggs = [a for n in names for a in digest_aggregates(F.col(n), n)]
-    return hashed.groupBy(IS_SOURCE, "bucket").agg(F.count(F.lit(1)).alias("rows"), *aggs)
+        fps |= {_value_name(i): value_fp(c, t) for i, (c, t) in enumerate(typed)}
+    hashed = pair.tagged(f"{bucket_of(pair, key, buckets, kind)} AS bucket", *[f"{e} AS {n}" for n, e in fps.items()])
+    aggs = {"rows": "count(1)"}
+    for n in fps:
+        aggs |= digest_aggregates(n, n)
+    return aggregate(hashed, [IS_SOURCE, "bucket"], aggs)
 
 
 def _whole(partial: DataFrame, names: list[str]) -> DataFrame:
-    aggs = [a for n in names for a in regroup_aggregates(n)]
-    return partial.groupBy(IS_SOURCE).agg(F.sum("rows").alias("rows"), *aggs)
+    aggs = {"rows": "sum(rows)"}
+    for n in names:
+        aggs |= regroup_aggregates(n)
+    return aggregate(partial, [IS_SOURCE], aggs)
+
+
+def _digest_columns(name: str) -> list[str]:
+    return [f"{digest_sum(name)} AS digest_sum", f"{digest_xor(name)} AS digest_xor"]
 
 
 def dataset_digest(partial: DataFrame) -> DataFrame:
     """(is_source, rows, digest_sum, digest_xor); a side without rows has no row here."""
-    whole = _whole(partial, [ROW])
-    return whole.select(IS_SOURCE, "rows", digest_sum(ROW).alias("digest_sum"), digest_xor(ROW).alias("digest_xor"))
+    return _whole(partial, [ROW]).selectExpr(IS_SOURCE, "rows", *_digest_columns(ROW))
 
 
 def column_digests(partial: DataFrame, columns: list[str]) -> DataFrame:
     """(is_source, column, rows, digest_sum, digest_xor)."""
-    names = [_value_name(i) for i in range(len(columns))]
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"), F.col("rows"), digest_sum(n).alias("digest_sum"), digest_xor(n).alias("digest_xor")
-        )
-        for c, n in zip(columns, names)
+    names = {c: _value_name(i) for i, c in enumerate(columns)}
+    rows = [
+        struct(column=literal(c), rows="rows", digest_sum=digest_sum(n), digest_xor=digest_xor(n)) for c, n in names.items()
     ]
-    return _whole(partial, names).select(IS_SOURCE, F.inline(F.array(*cells)))
+    return unpivot(_whole(partial, list(names.values())), [IS_SOURCE], rows)
 
 
 def bucket_checksums(partial: DataFrame) -> DataFrame:
     """(is_source, bucket, rows, digest_sum, digest_xor)."""
-    return partial.select(
-        IS_SOURCE, "bucket", "rows", digest_sum(ROW).alias("digest_sum"), digest_xor(ROW).alias("digest_xor")
-    )
+    return partial.selectExpr(IS_SOURCE, "bucket", "rows", *_digest_columns(ROW))
 
 
 def compare_digests(digests: DataFrame, by: list[str]) -> DataFrame:
     """Both sides on one row per ``by``: counts, digests and ``matches``. A bucket or table
     that has rows on one side only does not match."""
-    out = []
-    for tag, flag in (("source", True), ("target", False)):
-        on_side = F.col(IS_SOURCE) == flag
-        out.append(F.coalesce(F.max(F.when(on_side, F.col("rows"))), F.lit(0)).alias(f"{tag}_rows"))
-        for c in ("digest_sum", "digest_xor"):
-            out.append(F.max(F.when(on_side, F.col(c))).alias(f"{tag}_{c}"))
-    same = (
-        (F.col("source_rows") == F.col("target_rows"))
-        & F.col("source_digest_sum").eqNullSafe(F.col("target_digest_sum"))
-        & F.col("source_digest_xor").eqNullSafe(F.col("target_digest_xor"))
+    both = both_sides(digests, by, {"rows": "rows", "digest_sum": "digest_sum", "digest_xor": "digest_xor"})
+    same = " AND ".join(f"source_{c} <=> target_{c}" for c in ("rows", "digest_sum", "digest_xor"))
+    rest = [c for c in both.columns if c not in ("source_rows", "target_rows")]
+    return both.selectExpr(
+        *[f"`{c}`" for c in rest],
+        "coalesce(source_rows, 0) AS source_rows",
+        "coalesce(target_rows, 0) AS target_rows",
+        f"{same} AS matches",
     )
-    return digests.groupBy(*[quoted(b) for b in by]).agg(*out).withColumn("matches", same)
 
 
 def roll_up(partial_rows: list, columns: list[str]) -> dict[str, dict]:
@@ -98,7 +95,7 @@ def roll_up(partial_rows: list, columns: list[str]) -> dict[str, dict]:
     Returns {"table" | "column" | "bucket": {name: {"source": ..., "target": ..., "matches"}}}
     with (rows, sum, xor) per side.
     """
-    names = {ROW: ROW} | {c: _value_name(i) for i, c in enumerate(columns)}
+    names = {c: _value_name(i) for i, c in enumerate(columns)}
 
     def total(rows: list, stem: str) -> tuple[int, str, int]:
         xor = 0
@@ -117,6 +114,6 @@ def roll_up(partial_rows: list, columns: list[str]) -> dict[str, dict]:
         by_bucket.setdefault(r["bucket"], []).append(r)
     return {
         "table": {"all": compare(partial_rows, ROW)},
-        "column": {c: compare(partial_rows, names[c]) for c in columns},
+        "column": {c: compare(partial_rows, n) for c, n in names.items()},
         "bucket": {b: compare(rows, ROW) for b, rows in sorted(by_bucket.items())},
     }

@@ -8,17 +8,19 @@ the keys that turned out to differ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.digest import canonical_text, fast_hash
-from concordat.functions.names import quoted
-from concordat.functions.tolerance import absolute_diff, relative_base
-from concordat.operators.pairing import IS_SOURCE, Pair, from_source, from_target
+from concordat.functions.digest import canonical_text, row_hash
+from concordat.functions.numbers import absolute_diff, relative_diff
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
+from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
 
 CHANGED, MISSING, EXTRA = "changed", "missing_in_target", "extra_in_target"
 # Keys to look up are broadcast up to this count, beyond it the lookup is a shuffled join.
 BROADCAST_KEYS = 200_000
+HASHES = ("h0", "h1")
+PIECE_BITS, PIECES = 22, 3
 
 
 def row_diff(pair: Pair, key: list[str]) -> DataFrame:
@@ -28,49 +30,45 @@ def row_diff(pair: Pair, key: list[str]) -> DataFrame:
     same rows stand on both sides.
     """
     others = [c for c in pair.columns if c not in key]
-    hashes = [fast_hash(pair.typed(others), seed).alias(f"h{seed}") for seed in (0, 1)] if others else []
-    thin = pair.tagged(*[F.col(quoted(k)) for k in key], *hashes)
-    aggs: list[Column] = [
-        F.count_if(from_source()).alias("source_rows"),
-        F.count_if(from_target()).alias("target_rows"),
-    ]
-    same: Column = F.col("source_rows") == F.col("target_rows")
+    hashes = [f"{row_hash(pair.typed(others), seed)} AS {h}" for seed, h in enumerate(HASHES)] if others else []
+    thin = pair.tagged(*map(quoted, key), *hashes)
+    aggs = {"source_rows": f"count_if({FROM_SOURCE})", "target_rows": f"count_if({FROM_TARGET})"}
     # Source minus target, in 22-bit pieces: equal multisets sum to zero in each piece, and
     # a key with 10**12 equal rows still sums inside a bigint.
-    sign = F.when(from_source(), F.lit(1)).otherwise(F.lit(-1))
-    for seed in range(len(hashes)):
-        for i in range(3):
-            piece = F.shiftrightunsigned(F.col(f"h{seed}"), 22 * i).bitwiseAND(F.lit((1 << 22) - 1).cast("bigint"))
-            aggs.append(F.sum(sign * piece).alias(f"balance{seed}{i}"))
-            same = same & (F.col(f"balance{seed}{i}") == 0)
-    label = F.when(F.col("target_rows") == 0, MISSING).when(F.col("source_rows") == 0, EXTRA).otherwise(CHANGED)
-    return (
-        thin.groupBy(*[quoted(k) for k in key])
-        .agg(*aggs)
-        .where(~same)
-        .select(*[quoted(k) for k in key], "source_rows", "target_rows", label.alias("difference"))
+    balances = []
+    for h in HASHES[: len(hashes)]:
+        for i in range(PIECES):
+            piece = f"(shiftrightunsigned({h}, {PIECE_BITS * i}) & {(1 << PIECE_BITS) - 1}L)"
+            aggs[f"__{h}{i}"] = f"sum(CASE WHEN {FROM_SOURCE} THEN {piece} ELSE -{piece} END)"
+            balances.append(f"__{h}{i} <> 0")
+    differs = " OR ".join(["source_rows <> target_rows", *balances])
+    label = (
+        f"CASE WHEN target_rows = 0 THEN '{MISSING}' WHEN source_rows = 0 THEN '{EXTRA}' ELSE '{CHANGED}' END AS difference"
     )
+    return aggregate(thin, key, aggs).where(differs).selectExpr(*map(quoted, key), "source_rows", "target_rows", label)
 
 
 def diff_counts(diff: DataFrame) -> DataFrame:
     """(difference, n_keys, source_rows, target_rows), complete and at most three rows."""
-    return diff.groupBy("difference").agg(
-        F.count(F.lit(1)).alias("n_keys"),
-        F.sum("source_rows").alias("source_rows"),
-        F.sum("target_rows").alias("target_rows"),
-    )
+    sums = {"n_keys": "count(1)", "source_rows": "sum(source_rows)", "target_rows": "sum(target_rows)"}
+    return aggregate(diff, ["difference"], sums)
+
+
+def _same_key(key: list[str]) -> str:
+    """Null-safe match of the key columns with their aliases from ``_as_marks``."""
+    return " AND ".join(f"{quoted(k)} <=> __k{i}" for i, k in enumerate(key))
+
+
+def _as_marks(keys: DataFrame, key: list[str], *more: str) -> DataFrame:
+    return keys.selectExpr(*[f"{quoted(k)} AS __k{i}" for i, k in enumerate(key)], *more)
 
 
 def _lookup(rows: DataFrame, keys: DataFrame, key: list[str], n_keys: int | None) -> DataFrame:
-    """Rows whose key is among ``keys``, null-safe."""
-    marks = keys.select(*[F.col(quoted(k)).alias(f"__k{i}") for i, k in enumerate(key)])
+    """Rows whose key is among ``keys``; broadcast only behind a known, checked count."""
+    marks = _as_marks(keys, key)
     if n_keys is not None and n_keys <= BROADCAST_KEYS:
         marks = F.broadcast(marks)
-    on = [F.col(quoted(k)).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return rows.join(marks, cond, "left_semi")
+    return rows.join(marks, F.expr(_same_key(key)), "left_semi")
 
 
 def cell_diff(pair: Pair, key: list[str], changed: DataFrame, n_keys: int | None = None) -> DataFrame:
@@ -82,49 +80,41 @@ def cell_diff(pair: Pair, key: list[str], changed: DataFrame, n_keys: int | None
     """
     others = [c for c in pair.columns if c not in key]
     rows = _lookup(pair.tagged(), changed, key, n_keys)
-    cells = [
-        F.struct(F.lit(c).alias("column"), canonical_text(F.col(quoted(c)), pair.dtype(c)).alias("value"))
-        for c in others
-    ]
-    keys = [quoted(k) for k in key]
-    left_over = (
-        rows.select(*keys, IS_SOURCE, F.inline(F.array(*cells)))
-        .groupBy(*keys, "column", "value")
-        .agg(F.count_if(from_source()).alias("sn"), F.count_if(from_target()).alias("tn"))
-        .where("sn <> tn")
-        .select("*", (F.col("sn") - F.col("tn")).alias("surplus"))
-    )
-    # Unmatched rows per cell: a pair (one each side) becomes one row; anything else is
-    # listed value by value. The group has one row per distinct unmatched value, and the
-    # counts combine before the shuffle.
-    shape = left_over.groupBy(*keys, "column").agg(
-        F.sum(F.when(F.col("surplus") > 0, F.col("surplus")).otherwise(0)).alias("over"),
-        F.sum(F.when(F.col("surplus") < 0, -F.col("surplus")).otherwise(0)).alias("under"),
-        F.max(F.when(F.col("surplus") > 0, F.col("value"))).alias("source_value"),
-        F.max(F.when(F.col("surplus") < 0, F.col("value"))).alias("target_value"),
-    )
-    paired = shape.where("over = 1 and under = 1").select(
-        *keys, "column", "source_value", "target_value", F.lit(1).cast("bigint").alias("n")
-    )
-    crowded = shape.where("not (over = 1 and under = 1)").select(
-        *[F.col(quoted(k)).alias(f"__k{i}") for i, k in enumerate(key)], F.col("column").alias("__c")
+    cells = [struct(column=literal(c), value=canonical_text(quoted(c), pair.dtype(c))) for c in others]
+    keys = list(map(quoted, key))
+    values = aggregate(
+        unpivot(rows, [*keys, IS_SOURCE], cells),
+        [*key, "column", "value"],
+        {"__surplus": f"sum(CASE WHEN {FROM_SOURCE} THEN 1 ELSE -1 END)"},
+    ).where("__surplus <> 0")
+    # One unmatched value a side makes a changed cell. The group has one row per distinct
+    # unmatched value, and its counts combine before the shuffle.
+    shape = aggregate(
+        values,
+        [*key, "column"],
+        {
+            "__over": "sum(greatest(__surplus, 0))",
+            "__under": "sum(greatest(-__surplus, 0))",
+            "source_value": "max(CASE WHEN __surplus > 0 THEN value END)",
+            "target_value": "max(CASE WHEN __surplus < 0 THEN value END)",
+        },
     )
-    cond = F.col("column") == F.col("__c")
-    for i, k in enumerate(key):
-        cond = cond & F.col(quoted(k)).eqNullSafe(F.col(f"__k{i}"))
-    listed = left_over.join(crowded, cond, "left_semi").select(
+    single = "__over = 1 AND __under = 1"
+    paired = shape.where(single).selectExpr(*keys, "`column`", "source_value", "target_value", "1L AS n")
+    crowded = _as_marks(shape.where(f"NOT ({single})"), key, "`column` AS __c")
+    listed = values.join(crowded, F.expr(f"`column` = __c AND {_same_key(key)}"), "left_semi").selectExpr(
         *keys,
-        "column",
-        F.when(F.col("surplus") > 0, F.col("value")).alias("source_value"),
-        F.when(F.col("surplus") < 0, F.col("value")).alias("target_value"),
-        F.abs("surplus").alias("n"),
+        "`column`",
+        "CASE WHEN __surplus > 0 THEN value END AS source_value",
+        "CASE WHEN __surplus < 0 THEN value END AS target_value",
+        "abs(__surplus) AS n",
     )
     return paired.unionAll(listed)
 
 
 def diff_sample(pair: Pair, key: list[str], diff: DataFrame, limit: int = 20) -> DataFrame:
     """The first ``limit`` differing keys in key order with their rows from both sides."""
-    first = diff.orderBy(*[quoted(k) for k in key]).limit(limit)
+    first = diff.orderBy(*map(quoted, key)).limit(limit)
     return _lookup(pair.tagged(), first, key, limit)
 
 
@@ -134,32 +124,28 @@ def key_differences(pair: Pair, key: list[str], columns: list[str]) -> DataFrame
     Rows (column, source_count, target_count, max_absolute_diff, max_relative_diff) over
     keys that hold one row on each side; counts are of non-null values over all rows.
     """
-    grouped = pair.tagged(*[F.col(quoted(k)) for k in key], *[F.col(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns)])
-    aggs = [F.count_if(from_source()).alias("sn"), F.count_if(from_target()).alias("tn")]
-    for i, _ in enumerate(columns):
-        for tag, side in (("s", from_source()), ("t", from_target())):
-            aggs.append(F.max(F.when(side, F.col(f"v{i}"))).alias(f"{tag}{i}"))
-            aggs.append(F.count(F.when(side, F.col(f"v{i}"))).alias(f"{tag}c{i}"))
-    by_key = grouped.groupBy(*[quoted(k) for k in key]).agg(*aggs)
-    single = (F.col("sn") == 1) & (F.col("tn") == 1)
-    finals = []
-    for i, _ in enumerate(columns):
-        s, t = F.col(f"s{i}"), F.col(f"t{i}")
-        diff = F.when(single, absolute_diff(s, t))
-        finals += [
-            F.sum(f"sc{i}").alias(f"sc{i}"),
-            F.sum(f"tc{i}").alias(f"tc{i}"),
-            F.max(diff).alias(f"a{i}"),
-            F.max(diff / relative_base(s)).alias(f"r{i}"),
-        ]
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.coalesce(F.col(f"sc{i}"), F.lit(0)).alias("source_count"),
-            F.coalesce(F.col(f"tc{i}"), F.lit(0)).alias("target_count"),
-            F.col(f"a{i}").alias("max_absolute_diff"),
-            F.col(f"r{i}").alias("max_relative_diff"),
+    index = dict(enumerate(columns))
+    rows = pair.tagged(*map(quoted, key), *[f"{quoted(c)} AS __v{i}" for i, c in index.items()])
+    aggs = {"__sn": f"count_if({FROM_SOURCE})", "__tn": f"count_if({FROM_TARGET})"}
+    finals, cells = {}, []
+    for i, c in index.items():
+        for tag, side in (("s", FROM_SOURCE), ("t", FROM_TARGET)):
+            value = f"CASE WHEN {side} THEN __v{i} END"
+            aggs |= {f"__{tag}{i}": f"max({value})", f"__{tag}c{i}": f"count({value})"}
+        s, t, single = f"__s{i}", f"__t{i}", "__sn = 1 AND __tn = 1"
+        finals |= {
+            f"sc{i}": f"coalesce(sum(__sc{i}), 0)",
+            f"tc{i}": f"coalesce(sum(__tc{i}), 0)",
+            f"a{i}": f"max(CASE WHEN {single} THEN {absolute_diff(s, t)} END)",
+            f"r{i}": f"max(CASE WHEN {single} THEN {relative_diff(s, t)} END)",
+        }
+        cells.append(
+            struct(
+                column=literal(c),
+                source_count=f"sc{i}",
+                target_count=f"tc{i}",
+                max_absolute_diff=f"a{i}",
+                max_relative_diff=f"r{i}",
+            )
         )
-        for i, c in enumerate(columns)
-    ]
-    return by_key.agg(*finals).select(F.inline(F.array(*cells)))
+    return unpivot(aggregate(aggregate(rows, key, aggs), [], finals), [], cells)

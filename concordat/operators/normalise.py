@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.functions.cells import is_year, null_tokens_to_null, strip_text, to_datetime, to_number
-from concordat.functions.names import normalise_names, quoted
+from concordat.functions.cells import is_numeral, is_year, null_tokens_to_null, strip_text, to_datetime, to_number
+from concordat.functions.names import normalise_names
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 
 # Name parts that mark a column as a date, and as not to be read as a number.
 DATE_HINTS = ("date", "time", "timestamp", "_at")
@@ -19,6 +19,7 @@ MIN_DATE_SHARE = 0.8
 MAX_YEAR_SHARE = 0.5
 MIN_NUMBER_SHARE = 0.5
 YEAR_RANGE = (1000, 9999)
+EVIDENCE = ("years", "dates", "numbers", "whole", "in_year_range")
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -32,12 +33,8 @@ def _text_columns(df: DataFrame) -> list[str]:
 def unify_nulls_and_trim(df: DataFrame) -> DataFrame:
     """Null tokens become null and text is trimmed; expressions only, no pass of its own."""
     text = set(_text_columns(df))
-    return df.select(
-        *[
-            strip_text(null_tokens_to_null(F.col(quoted(c)))).alias(c) if c in text else F.col(quoted(c))
-            for c in df.columns
-        ]
-    )
+    cleaned = lambda c: f"{strip_text(null_tokens_to_null(c))} AS {c}"
+    return df.selectExpr(*[cleaned(quoted(c)) if c in text else quoted(c) for c in df.columns])
 
 
 def _hinted(name: str, hints: tuple[str, ...]) -> bool:
@@ -47,62 +44,33 @@ def _hinted(name: str, hints: tuple[str, ...]) -> bool:
 def type_evidence(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """(column, is_text, filled, years, dates, numbers, whole, in_year_range): how many non-null
     values of each text or floating column could be what. One pass for all columns."""
-    aggs, cells = [], []
+    aggs, cells = {}, []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(quoted(f.name))
+        c = quoted(f.name)
         if isinstance(f.dataType, T.StringType):
-            counts = {"years": is_year(c), "dates": to_datetime(c, formats).isNotNull(), "numbers": to_number(c).isNotNull()}
+            found = {"years": is_year(c), "dates": f"{to_datetime(c, formats)} IS NOT NULL", "numbers": is_numeral(c)}
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            counts = {"whole": c % 1 == 0, "in_year_range": c.between(*YEAR_RANGE)}
+            found = {"whole": f"{c} % 1 = 0", "in_year_range": f"{c} BETWEEN {YEAR_RANGE[0]} AND {YEAR_RANGE[1]}"}
         else:
             continue
-        aggs.append(F.count(c).alias(f"filled{i}"))
-        aggs += [F.count_if(cond).alias(f"{k}{i}") for k, cond in counts.items()]
-        zero = F.lit(0).cast("bigint")
-        cells.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit("years" in counts).alias("is_text"),
-                F.col(f"filled{i}").alias("filled"),
-                *[
-                    (F.col(f"{k}{i}") if k in counts else zero).alias(k)
-                    for k in ("years", "dates", "numbers", "whole", "in_year_range")
-                ],
-            )
-        )
+        aggs[f"filled{i}"] = f"count({c})"
+        aggs |= {f"{k}{i}": f"count_if({condition})" for k, condition in found.items()}
+        counts = {k: f"{k}{i}" if k in found else "0L" for k in EVIDENCE}
+        cells.append(struct(column=literal(f.name), is_text=str("years" in found).lower(), filled=f"filled{i}", **counts))
     if not aggs:
-        names = ("filled", "years", "dates", "numbers", "whole", "in_year_range")
-        return df.sparkSession.createDataFrame([], "column string, is_text boolean, " + ", ".join(f"{n} bigint" for n in names))
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+        names = ", ".join(f"{n} bigint" for n in ("filled", *EVIDENCE))
+        return df.sparkSession.createDataFrame([], f"column string, is_text boolean, {names}")
+    return unpivot(aggregate(df, [], aggs), [], cells)
 
 
 def type_decisions(evidence: DataFrame) -> DataFrame:
     """Adds ``becomes``: date, number or unchanged, from the counts of ``type_evidence``."""
-    name = F.lower("column")
-
-    def hinted(hints):
-        cond = F.lit(False)
-        for h in hints:
-            cond = cond | F.contains(name, F.lit(h))
-        return cond
-
-    share = lambda part: F.col(part) / F.nullif("filled", F.lit(0))
-    is_text = F.col("is_text")
-    mostly_years = F.coalesce(share("years") > MAX_YEAR_SHARE, F.lit(False))
-    date = (
-        is_text
-        & (F.col("filled") >= MIN_DATE_SAMPLE)
-        & ~mostly_years
-        & (hinted(DATE_HINTS) | (share("dates") >= MIN_DATE_SHARE))
-    )
-    number = (
-        is_text
-        & (F.col("filled") > 0)
-        & ~mostly_years
-        & ~hinted(TEMPORAL_HINTS)
-        & (share("numbers") >= MIN_NUMBER_SHARE)
-    )
-    return evidence.withColumn("becomes", F.when(date, "date").when(number, "number").otherwise("unchanged"))
+    hinted = lambda hints: "(" + " OR ".join(f"contains(lower(`column`), {literal(h)})" for h in hints) + ")"
+    not_years = f"is_text AND years <= filled * {MAX_YEAR_SHARE}D"
+    date = f"filled >= {MIN_DATE_SAMPLE} AND ({hinted(DATE_HINTS)} OR dates >= filled * {MIN_DATE_SHARE}D)"
+    number = f"filled > 0 AND NOT {hinted(TEMPORAL_HINTS)} AND numbers >= filled * {MIN_NUMBER_SHARE}D"
+    becomes = f"CASE WHEN {not_years} AND {date} THEN 'date' WHEN {not_years} AND {number} THEN 'number' ELSE 'unchanged' END"
+    return evidence.selectExpr("*", f"{becomes} AS becomes")
 
 
 def temporal_columns(df: DataFrame, evidence: DataFrame | None = None) -> list[str]:
@@ -144,12 +112,9 @@ def infer_types(df: DataFrame, formats: list[str] | None = None) -> Normalised:
     rows = [r for r in type_decisions(type_evidence(df, formats)).collect() if r["becomes"] != "unchanged"]
     becomes = {r["column"]: r["becomes"] for r in rows}
     lost = {r["column"]: r["filled"] - r["dates" if r["becomes"] == "date" else "numbers"] for r in rows}
-    out = []
-    for c in df.columns:
-        v = F.col(quoted(c))
-        kind = becomes.get(c)
-        out.append((to_datetime(v, formats) if kind == "date" else to_number(v) if kind == "number" else v).alias(c))
-    return Normalised(df.select(*out), becomes, lost)
+    convert = {"date": lambda c: to_datetime(c, formats), "number": to_number}
+    out = [convert[becomes[c]](quoted(c)) + f" AS {quoted(c)}" if c in becomes else quoted(c) for c in df.columns]
+    return Normalised(df.selectExpr(*out), becomes, lost)
 
 
 def normalise(df: DataFrame, formats: list[str] | None = None) -> Normalised:

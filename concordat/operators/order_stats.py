@@ -14,15 +14,15 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.functions.names import quoted
-from concordat.functions.tolerance import relative_base
-from concordat.operators.pairing import IS_SOURCE, Pair, from_source, from_target
+from concordat.functions.numbers import absolute_diff, relative_diff
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
+from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
 
-MAX_BINS = 20_000
+MAX_BINS = 10_000
 RANKS_PER_BLOCK = 1_000_000
 
 
@@ -32,74 +32,70 @@ def percentile_name(p: float) -> str:
 
 def count_rows(pair: Pair) -> int:
     """Rows of the longer side."""
-    counts = pair.tagged(F.lit(1).alias("one")).groupBy(IS_SOURCE).count().collect()
-    return max((r["count"] for r in counts), default=0)
+    counts = aggregate(pair.tagged("1 AS one"), [IS_SOURCE], {"n": "count(1)"}).collect()
+    return max((r["n"] for r in counts), default=0)
 
 
-def _by_type(pair: Pair, columns: list[str]) -> list[tuple[T.DataType, list[str]]]:
+def _by_type(pair: Pair, columns: list[str]) -> list[list[str]]:
     """Columns that share a value type are worked on together, each type in its own exact
     arithmetic (a bigint or decimal is never squeezed into a double)."""
-    groups: dict[str, tuple[T.DataType, list[str]]] = {}
+    groups: dict[T.DataType, list[str]] = {}
     for c in columns:
-        groups.setdefault(pair.dtype(c).simpleString(), (pair.dtype(c), []))[1].append(c)
+        groups.setdefault(pair.dtype(c), []).append(c)
     return list(groups.values())
 
 
 def bin_bounds(pair: Pair, columns: list[str], n_bins: int) -> dict[str, list[float]]:
     """At most ``n_bins - 1`` ascending bounds per column: small, fixed-size driver state."""
-    cuts = [i / n_bins for i in range(1, n_bins)]
-    sketches = [
-        F.percentile_approx(F.col(quoted(c)).cast("double"), cuts, max(10_000, 4 * n_bins)).alias(f"b{i}")
-        for i, c in enumerate(columns)
-    ]
-    row = pair.tagged(*columns).agg(*sketches).first()
+    cuts = f"array({', '.join(f'{i / n_bins!r}D' for i in range(1, n_bins))})"
+    accuracy = max(10_000, 4 * n_bins)
+    sketches = {
+        f"b{i}": f"percentile_approx(CAST({quoted(c)} AS double), {cuts}, {accuracy})" for i, c in enumerate(columns)
+    }
+    row = aggregate(pair.tagged(*map(quoted, columns)), [], sketches).first()
     return {c: sorted(set(row[f"b{i}"] or [])) for i, c in enumerate(columns)}
 
 
 def _long(pair: Pair, columns: list[str], bounds: dict[str, list[float]] | None) -> DataFrame:
     """Rows (is_source, column, bin, v), nulls left out."""
-    names = [f"v{i}" for i in range(len(columns))]
-    wide = pair.tagged(*[F.col(quoted(c)).alias(n) for c, n in zip(columns, names)])
-    bins: list[Column] = [F.lit(0)] * len(columns)
+    index = dict(enumerate(columns))
+    wide = pair.tagged(*[f"{quoted(c)} AS v{i}" for i, c in index.items()])
+    bins = {i: "0" for i in index}
     if bounds:
-        keys = [f"k{i}" for i in range(len(columns))]
-        # An absent bin key is a null value, which the filter below drops.
-        wide = wide.select("*", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(k) for n, k in zip(names, keys)])
-        outs = [f"bin{i}" for i in range(len(columns))]
+        # The bin of an absent value is never looked at: the filter below drops the value.
+        wide = wide.selectExpr("*", *[f"coalesce(CAST(v{i} AS double), 0D) AS k{i}" for i in index])
         splits = [[float("-inf"), *(bounds[c] or [0.0]), float("inf")] for c in columns]
-        wide = Bucketizer(splitsArray=splits, inputCols=keys, outputCols=outs).transform(wide)
-        bins = [F.col(o).cast("int") for o in outs]
-    cells = [
-        F.struct(F.lit(c).alias("column"), b.alias("bin"), F.col(n).alias("v"))
-        for c, n, b in zip(columns, names, bins)
-    ]
-    return wide.select(IS_SOURCE, F.inline(F.array(*cells))).where("v is not null")
+        cut = Bucketizer(
+            splitsArray=splits, inputCols=[f"k{i}" for i in index], outputCols=[f"bin{i}" for i in index]
+        )
+        wide, bins = cut.transform(wide), {i: f"CAST(bin{i} AS int)" for i in index}
+    cells = [struct(column=literal(c), bin=bins[i], v=f"v{i}") for i, c in index.items()]
+    return unpivot(wide, [IS_SOURCE], cells).where("v IS NOT NULL")
+
+
+BIN = [IS_SOURCE, "column", "bin"]
 
 
 def _runs(long: DataFrame) -> DataFrame:
     """Equal values folded to one row: (is_source, column, bin, v, n)."""
-    return long.groupBy(IS_SOURCE, "column", "bin", "v").agg(F.count(F.lit(1)).alias("n"))
+    return aggregate(long, [*BIN, "v"], {"n": "count(1)"})
 
 
 def _bin_starts(long: DataFrame) -> DataFrame:
-    """(is_source, column, bin, bin_start, bin_rows, numbers). At most two rows per column
+    """(is_source, column, bin, bin_rows, bin_start, numbers). At most two rows per column
     and bin, so small by construction."""
-    counts = long.groupBy(IS_SOURCE, "column", "bin").agg(F.count(F.lit(1)).alias("bin_rows"))
-    upto = Window.partitionBy(IS_SOURCE, "column").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(IS_SOURCE, "column")
-    return counts.select(
+    side = f"PARTITION BY {IS_SOURCE}, `column`"
+    return aggregate(long, BIN, {"bin_rows": "count(1)"}).selectExpr(
         "*",
-        F.coalesce(F.sum("bin_rows").over(upto), F.lit(0)).alias("bin_start"),
-        F.sum("bin_rows").over(everything).alias("numbers"),
+        f"coalesce(sum(bin_rows) OVER ({side} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bin_start",
+        f"sum(bin_rows) OVER ({side}) AS numbers",
     )
 
 
 def _ranked(runs: DataFrame) -> DataFrame:
     """Adds ``lo``: how many rows of the same bin come before this run."""
-    before = (
-        Window.partitionBy(IS_SOURCE, "column", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return runs.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    within = f"PARTITION BY {IS_SOURCE}, `column`, bin ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return runs.selectExpr("*", f"coalesce(sum(n) OVER ({within}), 0) AS lo")
 
 
 def _bounds_for(pair: Pair, columns: list[str], rows: int, rows_per_bin: int) -> dict[str, list[float]] | None:
@@ -116,57 +112,49 @@ def column_percentiles(
     Beyond that only the bins that hold a wanted rank are read out: one counting pass that
     shuffles nothing but counts, and one pass filtered to those bins.
     """
-    spark = pair.source.sparkSession
     if not columns or not percentiles:
-        return spark.createDataFrame([], f"`{IS_SOURCE}` boolean, column string, stat string, value double")
+        empty = f"`{IS_SOURCE}` boolean, column string, stat string, value double"
+        return pair.source.sparkSession.createDataFrame([], empty)
     rows = count_rows(pair) if rows is None else rows
     if rows <= rows_per_bin:
-        aggs = [
-            F.percentile(F.col(quoted(c)).cast("double"), F.array(*[F.lit(p) for p in percentiles])).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]
-        wide = pair.tagged(*columns).groupBy(IS_SOURCE).agg(*aggs)
+        wanted = ", ".join(f"{float(p)!r}D" for p in percentiles)
+        aggs = {f"q{i}": f"percentile(CAST({quoted(c)} AS double), array({wanted}))" for i, c in enumerate(columns)}
         cells = [
-            F.struct(F.lit(c).alias("column"), F.lit(percentile_name(p)).alias("stat"), F.col(f"q{i}")[j].alias("value"))
+            struct(column=literal(c), stat=literal(percentile_name(p)), value=f"q{i}[{j}]")
             for i, c in enumerate(columns)
             for j, p in enumerate(percentiles)
         ]
-        return wide.select(IS_SOURCE, F.inline(F.array(*cells)))
+        return unpivot(aggregate(pair.tagged(*map(quoted, columns)), [IS_SOURCE], aggs), [IS_SOURCE], cells)
     parts = []
-    for _, group in _by_type(pair, columns):
+    for group in _by_type(pair, columns):
         long = _long(pair, group, _bounds_for(pair, group, rows, rows_per_bin))
         parts.append(_percentiles_from_bins(long, percentiles))
     return reduce(DataFrame.unionAll, parts)
 
 
 def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFrame:
-    starts = _bin_starts(long)
-    fractions = F.array(*[F.struct(F.lit(percentile_name(p)).alias("stat"), F.lit(p).alias("p")) for p in percentiles])
-    spot = F.col("p") * (F.col("numbers") - 1)
-    ends = F.array(
-        F.struct(F.floor("spot").alias("rank"), F.lit(False).alias("upper")),
-        F.struct(F.ceil("spot").alias("rank"), F.lit(True).alias("upper")),
-    )
+    fractions = [struct(stat=literal(percentile_name(p)), p=f"{float(p)!r}D") for p in percentiles]
+    ends = [struct(rank="floor(spot)", upper="false"), struct(rank="ceil(spot)", upper="true")]
     # For each side and column: the bins that hold rank floor(spot) and rank ceil(spot).
+    spots = unpivot(_bin_starts(long), ["*"], fractions).selectExpr("*", "p * (numbers - 1) AS spot")
     wanted = (
-        starts.select("*", F.inline(fractions))
-        .select("*", spot.alias("spot"))
-        .select("*", F.inline(ends))
-        .where("rank >= bin_start and rank < bin_start + bin_rows")
-        .select(IS_SOURCE, "column", "bin", "stat", "spot", "upper", (F.col("rank") - F.col("bin_start")).alias("k"))
+        unpivot(spots, ["*"], ends)
+        .where("rank >= bin_start AND rank < bin_start + bin_rows")
+        .selectExpr(*map(quoted, BIN), "stat", "spot", "upper", "rank - bin_start AS k")
     )
-    keys = [IS_SOURCE, "column", "bin"]
     # Bounded: sides x columns x percentiles x 2 rows.
-    ranked = _ranked(_runs(long.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")))
-    found = ranked.join(F.broadcast(wanted), keys).where("k >= lo and k < lo + n")
-    low = F.max(F.when(~F.col("upper"), F.col("v").cast("double")))
-    high = F.max(F.when(F.col("upper"), F.col("v").cast("double")))
-    share = F.max(F.col("spot") - F.floor("spot"))
-    return (
-        found.groupBy(IS_SOURCE, "column", "stat")
-        .agg(low.alias("low"), high.alias("high"), share.alias("share"))
-        .select(IS_SOURCE, "column", "stat", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"))
+    ranked = _ranked(_runs(long.join(F.broadcast(wanted.select(*BIN).distinct()), BIN, "left_semi")))
+    found = ranked.join(F.broadcast(wanted), BIN).where("k >= lo AND k < lo + n")
+    ends_found = aggregate(
+        found,
+        [IS_SOURCE, "column", "stat"],
+        {
+            "low": "max(CASE WHEN NOT upper THEN CAST(v AS double) END)",
+            "high": "max(CASE WHEN upper THEN CAST(v AS double) END)",
+            "share": "max(spot - floor(spot))",
+        },
     )
+    return ends_found.selectExpr(IS_SOURCE, "`column`", "stat", "low + (high - low) * share AS value")
 
 
 def rank_differences(
@@ -184,83 +172,84 @@ def rank_differences(
     current value of either side forward: no join, no row per rank, and no block has more
     rows than twice ``ranks_per_block``.
     """
+    spark = pair.source.sparkSession
     if not columns:
-        return pair.source.sparkSession.createDataFrame(
-            [],
-            "column string, source_count bigint, target_count bigint, max_absolute_diff double, max_relative_diff double",
-        )
+        counts = "source_count bigint, target_count bigint"
+        return spark.createDataFrame([], f"column string, {counts}, max_absolute_diff double, max_relative_diff double")
     rows = count_rows(pair) if rows is None else rows
     parts = []
-    for _, group in _by_type(pair, columns):
+    for group in _by_type(pair, columns):
         bounds = _bounds_for(pair, group, rows, rows_per_bin)
         long = _long(pair, group, bounds)
         ranked = _ranked(_runs(long))
         if bounds:
             # Two rows per column and bin at most, and MAX_BINS caps the bins.
-            starts = F.broadcast(_bin_starts(long).select(IS_SOURCE, "column", "bin", "bin_start"))
-            ranked = ranked.join(starts, [IS_SOURCE, "column", "bin"]).withColumn("lo", F.col("lo") + F.col("bin_start"))
-        parts.append(_pair_by_rank(ranked.select(IS_SOURCE, "column", "v", "lo", "n"), ranks_per_block))
-    present = reduce(DataFrame.unionAll, parts)
-    named = pair.source.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return named.join(present, "column", "left").withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)) for c in ("source_count", "target_count")}
+            starts = F.broadcast(_bin_starts(long).select(*BIN, "bin_start"))
+            ranked = ranked.join(starts, BIN)
+        lo = "lo + bin_start AS lo" if bounds else "lo"
+        parts.append(_pair_by_rank(ranked.selectExpr(IS_SOURCE, "`column`", "v", lo, "n"), ranks_per_block))
+    found = reduce(DataFrame.unionAll, parts)
+    # A column without a value on either side has no row yet.
+    named = spark.range(1).selectExpr(f"explode(array({', '.join(map(literal, columns))})) AS `column`")
+    return named.join(found, "column", "left").selectExpr(
+        "`column`",
+        "coalesce(source_count, 0) AS source_count",
+        "coalesce(target_count, 0) AS target_count",
+        "max_absolute_diff",
+        "max_relative_diff",
     )
 
 
-def _pair_by_rank(ranked: DataFrame, ranks_per_block: int) -> DataFrame:
-    size = F.lit(ranks_per_block)
-    first = F.floor(F.col("lo") / size)
-    last = F.floor((F.col("lo") + F.col("n") - 1) / size)
-    pieces = ranked.withColumn("block", F.explode(F.sequence(first, last))).select(
-        "column",
+def _pair_by_rank(ranked: DataFrame, block: int) -> DataFrame:
+    cut = ranked.selectExpr("*", f"lo DIV {block} AS first", f"(lo + n - 1) DIV {block} AS last")
+    pieces = cut.selectExpr("*", "explode(sequence(first, last)) AS block").selectExpr(
+        "`column`",
         "block",
-        F.greatest(F.col("lo"), F.col("block") * size).alias("pos"),
-        F.when(from_source(), F.col("v")).alias("sv"),
-        F.when(from_target(), F.col("v")).alias("tv"),
+        f"greatest(lo, block * {block}) AS pos",
+        f"CASE WHEN {FROM_SOURCE} THEN v END AS sv",
+        f"CASE WHEN {FROM_TARGET} THEN v END AS tv",
         # A run counts once, in the block it starts in.
-        F.when(F.col("block") == first, F.col("n")).otherwise(F.lit(0)).alias("n"),
-        from_source().alias(IS_SOURCE),
+        f"CASE WHEN block = first AND {FROM_SOURCE} THEN n ELSE 0 END AS sn",
+        f"CASE WHEN block = first AND {FROM_TARGET} THEN n ELSE 0 END AS tn",
     )
     # RANGE, not ROWS: a position where both sides change sees both new values.
-    upto = (
-        Window.partitionBy("column", "block").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    carried = pieces.select(
-        "column",
-        IS_SOURCE,
-        "n",
-        F.last("sv", ignorenulls=True).over(upto).alias("s"),
-        F.last("tv", ignorenulls=True).over(upto).alias("t"),
+    upto = "PARTITION BY `column`, block ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    carried = pieces.selectExpr(
+        "`column`",
+        "sn",
+        "tn",
+        f"last(sv, true) OVER ({upto}) AS s",
+        f"last(tv, true) OVER ({upto}) AS t",
     )
-    diff = F.abs(F.col("s") - F.col("t")).cast("double")
-    met = carried.groupBy("column").agg(
-        F.sum(F.when(from_source(), F.col("n")).otherwise(0)).alias("source_count"),
-        F.sum(F.when(from_target(), F.col("n")).otherwise(0)).alias("target_count"),
-        F.max(diff).alias("worst"),
-        F.max(diff / relative_base(F.col("s"))).alias("worst_relative"),
+    met = aggregate(
+        carried,
+        ["column"],
+        {
+            "source_count": "sum(sn)",
+            "target_count": "sum(tn)",
+            "worst": f"max({absolute_diff('s', 't')})",
+            "worst_relative": f"max({relative_diff('s', 't')})",
+        },
     )
-    same = F.col("source_count") == F.col("target_count")
-    return met.select(
-        "column",
+    return met.selectExpr(
+        "`column`",
         "source_count",
         "target_count",
-        F.when(same, F.col("worst")).alias("max_absolute_diff"),
-        F.when(same, F.col("worst_relative")).alias("max_relative_diff"),
+        "CASE WHEN source_count = target_count THEN worst END AS max_absolute_diff",
+        "CASE WHEN source_count = target_count THEN worst_relative END AS max_relative_diff",
     )
 
 
 def exceeds_tolerance(differences: DataFrame, tolerances: dict[str, tuple[float, float]]) -> DataFrame:
     """Adds abs_tolerance, rel_tolerance and ``exceeds``: different counts, or either bound
     broken (both must hold here, unlike ``within_tolerance``)."""
-    absolute = F.coalesce(*[F.when(F.col("column") == c, F.lit(float(a))) for c, (a, _) in tolerances.items()])
-    relative = F.coalesce(*[F.when(F.col("column") == c, F.lit(float(r))) for c, (_, r) in tolerances.items()])
+
+    def per_column(i: int) -> str:
+        whens = " ".join(f"WHEN {literal(c)} THEN {float(t[i])!r}D" for c, t in tolerances.items())
+        return f"CASE `column` {whens} END"
+
     broken = (
-        (F.col("source_count") != F.col("target_count"))
-        | (F.col("max_absolute_diff") > F.col("abs_tolerance"))
-        | (F.col("max_relative_diff") > F.col("rel_tolerance"))
-    )
-    return (
-        differences.withColumn("abs_tolerance", absolute)
-        .withColumn("rel_tolerance", relative)
-        .withColumn("exceeds", F.coalesce(broken, F.lit(False)))
+        "source_count <> target_count OR max_absolute_diff > abs_tolerance OR max_relative_diff > rel_tolerance"
     )
+    limited = differences.selectExpr("*", f"{per_column(0)} AS abs_tolerance", f"{per_column(1)} AS rel_tolerance")
+    return limited.selectExpr("*", f"coalesce({broken}, false) AS exceeds")

@@ -10,28 +10,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from concordat.functions.names import quoted
+from concordat.functions.sql import aggregate, quoted
 from concordat.functions.types import comparison_type, is_numeric
 
 IS_SOURCE = "__is_source"
+FROM_SOURCE, FROM_TARGET = IS_SOURCE, f"NOT {IS_SOURCE}"
 
 
 @dataclass(frozen=True)
 class Pair:
     source: DataFrame
     target: DataFrame
+    schema: T.StructType
 
     @property
     def columns(self) -> list[str]:
-        return self.source.columns
-
-    @property
-    def schema(self) -> T.StructType:
-        return self.source.schema
+        return self.schema.names
 
     def dtype(self, column: str) -> T.DataType:
         return self.schema[column].dataType
@@ -39,41 +36,47 @@ class Pair:
     def numeric_columns(self) -> list[str]:
         return [f.name for f in self.schema.fields if is_numeric(f.dataType)]
 
-    def typed(self, columns: list[str] | None = None) -> list[tuple[Column, T.DataType]]:
-        return [(F.col(quoted(c)), self.dtype(c)) for c in columns or self.columns]
+    def typed(self, columns: list[str] | None = None) -> list[tuple[str, T.DataType]]:
+        return [(quoted(c), self.dtype(c)) for c in columns or self.columns]
 
-    def tagged(self, *columns: Column | str) -> DataFrame:
-        """Both sides' rows with ``__is_source`` and the chosen columns (all by default)."""
-        chosen = [quoted(c) if isinstance(c, str) else c for c in columns] or [quoted(c) for c in self.columns]
-        return self.source.select(F.lit(True).alias(IS_SOURCE), *chosen).unionAll(
-            self.target.select(F.lit(False).alias(IS_SOURCE), *chosen)
+    def tagged(self, *expressions: str) -> DataFrame:
+        """Both sides' rows with ``__is_source`` and the given SQL expressions (all columns
+        by default)."""
+        chosen = expressions or [quoted(c) for c in self.columns]
+        return self.source.selectExpr(f"true AS {IS_SOURCE}", *chosen).unionAll(
+            self.target.selectExpr(f"false AS {IS_SOURCE}", *chosen)
         )
 
 
-def from_source() -> Column:
-    return F.col(IS_SOURCE)
-
-
-def from_target() -> Column:
-    return ~F.col(IS_SOURCE)
+def both_sides(long: DataFrame, by: list[str], values: dict[str, str], default: str | None = None) -> DataFrame:
+    """Bring the rows of the two sides onto one: ``values`` maps a column to the stem of its
+    new names (``source_<stem>``, ``target_<stem>``); ``default`` stands in for an absent side."""
+    aggs = {}
+    for column, stem in values.items():
+        for tag, side in (("source", FROM_SOURCE), ("target", FROM_TARGET)):
+            value = f"max(CASE WHEN {side} THEN {quoted(column)} END)"
+            aggs[f"{tag}_{stem}"] = value if default is None else f"coalesce({value}, {default})"
+    return aggregate(long, by, aggs)
 
 
 def align(source: DataFrame, target: DataFrame) -> Pair:
     """Common columns in name order, cast to one type; NaN is null, as a missing value."""
-    common = sorted(set(source.columns) & set(target.columns))
+    left, right = source.schema, target.schema
+    common = sorted(set(left.names) & set(right.names))
+    wanted = {c: comparison_type(left[c].dataType, right[c].dataType) for c in common}
 
-    def cast(df: DataFrame) -> DataFrame:
+    def cast(df: DataFrame, schema: T.StructType) -> DataFrame:
         out = []
-        for name in common:
-            want = comparison_type(source.schema[name].dataType, target.schema[name].dataType)
-            c = F.col(quoted(name))
-            if isinstance(df.schema[name].dataType, T.MapType):
-                c = F.to_json(c)
-            elif df.schema[name].dataType != want:
-                c = c.cast(want)
+        for name, want in wanted.items():
+            has, c = schema[name].dataType, quoted(name)
+            if isinstance(has, T.MapType):
+                c = f"to_json({c})"
+            elif has != want:
+                c = f"CAST({c} AS {want.simpleString()})"
             if isinstance(want, (T.DoubleType, T.FloatType)):
-                c = F.nanvl(c, F.lit(None).cast(want))
-            out.append(c.alias(name))
-        return df.select(*out)
+                c = f"nanvl({c}, CAST(NULL AS {want.simpleString()}))"
+            out.append(f"{c} AS {quoted(name)}")
+        return df.selectExpr(*out)
 
-    return Pair(cast(source), cast(target))
+    schema = T.StructType([T.StructField(name, want) for name, want in wanted.items()])
+    return Pair(cast(source, left), cast(target, right), schema)

@@ -7,68 +7,61 @@ the statistical profile. Percentiles come from operators/order_stats.py.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from concordat.functions.names import quoted
-from concordat.functions.numbers import as_number, summable
-from concordat.functions.tolerance import relative_base
+from concordat.functions.numbers import as_number, relative_diff, summable
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.operators.order_stats import column_percentiles, percentile_name
-from concordat.operators.pairing import IS_SOURCE, Pair
+from concordat.operators.pairing import IS_SOURCE, Pair, both_sides
 
 MOMENTS = ["min", "max", "mean", "stddev"]
 
 
 def side_profile(pair: Pair, coerced: list[str] | None = None) -> DataFrame:
-    """Rows (is_source, column, rows, non_null, nulls, null_ratio, numbers, total, min, max,
-    mean, stddev). Moments are null for columns that are neither numeric nor in ``coerced``
-    (text columns asked to be read as numbers)."""
+    """Rows (is_source, column, is_numeric, rows, non_null, nulls, numbers, total, min, max,
+    mean, stddev, null_ratio). Moments are null for columns that are neither numeric nor in
+    ``coerced`` (text columns asked to be read as numbers)."""
     numeric = set(pair.numeric_columns()) | set(coerced or [])
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(pair.columns):
-        aggs.append(F.count(F.col(quoted(c))).alias(f"nn{i}"))
-        if c in numeric:
-            v = as_number(F.col(quoted(c)), pair.dtype(c))
-            aggs += [
-                F.count(v).alias(f"num{i}"),
-                F.sum(summable(F.col(quoted(c)), pair.dtype(c))).cast("double").alias(f"sum{i}"),
-                F.min(v).cast("double").alias(f"min{i}"),
-                F.max(v).cast("double").alias(f"max{i}"),
-                F.avg(v.cast("double")).alias(f"avg{i}"),
-                F.stddev_samp(v.cast("double")).alias(f"std{i}"),
-            ]
-    wide = pair.tagged().groupBy(IS_SOURCE).agg(*aggs)
-    cells = []
+    aggs, rows = {"rows": "count(1)"}, []
     for i, c in enumerate(pair.columns):
+        aggs[f"nn{i}"] = f"count({quoted(c)})"
         has = c in numeric
-        number = lambda stem: F.col(f"{stem}{i}") if has else F.lit(None).cast("double")
-        cells.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(has).alias("is_numeric"),
-                F.col("rows"),
-                F.col(f"nn{i}").alias("non_null"),
-                (F.col("rows") - F.col(f"nn{i}")).alias("nulls"),
-                (F.col(f"num{i}") if has else F.lit(None).cast("bigint")).alias("numbers"),
-                (F.coalesce(F.col(f"sum{i}"), F.lit(0.0)) if has else F.lit(None).cast("double")).alias("total"),
-                number("min").alias("min"),
-                number("max").alias("max"),
-                number("avg").alias("mean"),
-                number("std").alias("stddev"),
+        if has:
+            v, dtype = as_number(quoted(c), pair.dtype(c)), pair.dtype(c)
+            aggs |= {
+                f"num{i}": f"count({v})",
+                f"sum{i}": f"CAST(sum({summable(quoted(c), dtype)}) AS double)",
+                f"min{i}": f"CAST(min({v}) AS double)",
+                f"max{i}": f"CAST(max({v}) AS double)",
+                f"avg{i}": f"avg(CAST({v} AS double))",
+                f"std{i}": f"stddev_samp(CAST({v} AS double))",
+            }
+        pick = lambda stem, kind="double": f"{stem}{i}" if has else f"CAST(NULL AS {kind})"
+        rows.append(
+            struct(
+                column=literal(c),
+                is_numeric=str(has).lower(),
+                rows="rows",
+                non_null=f"nn{i}",
+                nulls=f"rows - nn{i}",
+                numbers=pick("num", "bigint"),
+                total=f"coalesce(sum{i}, 0D)" if has else "CAST(NULL AS double)",
+                min=pick("min"),
+                max=pick("max"),
+                mean=pick("avg"),
+                stddev=pick("std"),
             )
         )
-    long = wide.select(IS_SOURCE, F.inline(F.array(*cells)))
-    ratio = F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")).otherwise(0.0)
-    return long.withColumn("null_ratio", ratio)
+    long = unpivot(aggregate(pair.tagged(), [IS_SOURCE], aggs), [IS_SOURCE], rows)
+    return long.selectExpr("*", "CASE WHEN rows > 0 THEN nulls / rows ELSE 0D END AS null_ratio")
 
 
 def column_profile(
     pair: Pair, percentiles: list[float], rows_per_bin: int = 1_000_000, rows: int | None = None
 ) -> DataFrame:
     """Rows (is_source, column, stat, value) of every numeric column: moments, percentiles."""
-    moments = side_profile(pair).where("is_numeric")
-    stats = [F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in MOMENTS]
-    long = moments.select(IS_SOURCE, "column", F.inline(F.array(*stats)))
-    return long.unionAll(column_percentiles(pair, pair.numeric_columns(), percentiles, rows_per_bin, rows))
+    stats = [struct(stat=literal(s), value=quoted(s)) for s in MOMENTS]
+    moments = unpivot(side_profile(pair).where("is_numeric"), [IS_SOURCE, quoted("column")], stats)
+    return moments.unionAll(column_percentiles(pair, pair.numeric_columns(), percentiles, rows_per_bin, rows))
 
 
 def stat_names(percentiles: list[float]) -> list[str]:
@@ -78,34 +71,24 @@ def stat_names(percentiles: list[float]) -> list[str]:
 def profile_deviation(profile: DataFrame, tolerance: float) -> DataFrame:
     """(column, stat, source_value, target_value, relative_diff, deviates) from the rows of
     ``column_profile``. A stat that is null on either side is not an issue."""
-    both = profile.groupBy("column", "stat").agg(
-        F.max(F.when(F.col(IS_SOURCE), F.col("value"))).alias("source_value"),
-        F.max(F.when(~F.col(IS_SOURCE), F.col("value"))).alias("target_value"),
-    )
-    diff = F.abs(F.col("source_value") - F.col("target_value")) / relative_base(F.col("source_value"))
-    return both.withColumn("relative_diff", diff).withColumn(
-        "deviates", F.coalesce(F.col("relative_diff") > tolerance, F.lit(False))
+    both = both_sides(profile, ["column", "stat"], {"value": "value"})
+    diff = relative_diff("source_value", "target_value")
+    return both.selectExpr("*", f"{diff} AS relative_diff").selectExpr(
+        "*", f"coalesce(relative_diff > {float(tolerance)!r}D, false) AS deviates"
     )
 
 
 def distribution_confidence(deviation: DataFrame, threshold: float = 0.95) -> DataFrame:
     """One row (n_stats, n_ok, score, passed): the share of stats that do not deviate."""
-    counted = deviation.agg(
-        F.count(F.lit(1)).alias("n_stats"), F.count_if(~F.col("deviates")).alias("n_ok")
-    )
-    score = F.when(F.col("n_stats") > 0, F.col("n_ok") / F.col("n_stats")).otherwise(1.0)
-    return counted.withColumn("score", score).withColumn("passed", F.col("score") >= threshold)
+    counted = deviation.selectExpr("count(1) AS n_stats", "count_if(NOT deviates) AS n_ok")
+    scored = counted.selectExpr("*", "CASE WHEN n_stats > 0 THEN n_ok / n_stats ELSE 1D END AS score")
+    return scored.selectExpr("*", f"score >= {float(threshold)!r}D AS passed")
 
 
 def null_ratios(profile: DataFrame, tolerance: float) -> DataFrame:
     """(column, source_nulls, target_nulls, source_null_ratio, target_null_ratio, delta,
     deviates) from the rows of ``side_profile``."""
-    side = lambda flag, c: F.max(F.when(F.col(IS_SOURCE) == flag, F.col(c)))
-    both = profile.groupBy("column").agg(
-        F.coalesce(side(True, "nulls"), F.lit(0)).alias("source_nulls"),
-        F.coalesce(side(False, "nulls"), F.lit(0)).alias("target_nulls"),
-        F.coalesce(side(True, "null_ratio"), F.lit(0.0)).alias("source_null_ratio"),
-        F.coalesce(side(False, "null_ratio"), F.lit(0.0)).alias("target_null_ratio"),
+    both = both_sides(profile, ["column"], {"nulls": "nulls", "null_ratio": "null_ratio"}, default="0")
+    return both.selectExpr("*", "abs(source_null_ratio - target_null_ratio) AS delta").selectExpr(
+        "*", f"delta > {float(tolerance)!r}D AS deviates"
     )
-    delta = F.abs(F.col("source_null_ratio") - F.col("target_null_ratio"))
-    return both.withColumn("delta", delta).withColumn("deviates", F.col("delta") > tolerance)

@@ -3,51 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from concordat.functions.names import quoted
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.functions.types import family
-from concordat.operators.pairing import align, from_source, from_target
-
-SCHEMA_ROW = "column string, source_position int, target_position int, source_family string, target_family string"
-
-
-def schema_rows(source: DataFrame, target: DataFrame) -> list[tuple]:
-    """Metadata only. A position is null where the side has no such column."""
-    where = [{f.name: (i, family(f.dataType)) for i, f in enumerate(df.schema.fields)} for df in (source, target)]
-    rows = []
-    for name in sorted(where[0].keys() | where[1].keys()):
-        (sp, sf), (tp, tf) = (side.get(name, (None, None)) for side in where)
-        rows.append((name, sp, tp, sf, tf))
-    return rows
+from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, align
 
 
 def structural_report(source: DataFrame, target: DataFrame) -> DataFrame:
     """(column, positions, families, source_nulls, target_nulls, names_match, family_match,
-    nulls_match). The null counts of all columns are one job over both sides."""
+    nulls_match); positions, families and nulls are null where a side lacks the column.
+    Everything but the null counts is metadata; those are one job over both sides."""
     pair = align(source, target)
-    counts = [
-        F.count_if(F.col(quoted(c)).isNull() & side()).alias(f"{tag}_{c}")
-        for c in pair.columns
-        for tag, side in (("s", from_source), ("t", from_target))
-    ]
-    spark = source.sparkSession
-    listed = spark.createDataFrame(schema_rows(source, target), SCHEMA_ROW)
-    per_column = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col(quoted(f"s_{c}")).alias("source_nulls"),
-            F.col(quoted(f"t_{c}")).alias("target_nulls"),
+    where = [{f.name: (i, family(f.dataType)) for i, f in enumerate(df.schema.fields)} for df in (source, target)]
+    counts, rows = {"rows": "count(1)"}, []
+    for i, name in enumerate(sorted(where[0].keys() | where[1].keys())):
+        (sp, sf), (tp, tf) = (side.get(name, (None, None)) for side in where)
+        both = sp is not None and tp is not None
+        if both:
+            for tag, side in (("s", FROM_SOURCE), ("t", FROM_TARGET)):
+                counts[f"{tag}{i}"] = f"count_if({quoted(name)} IS NULL AND {side})"
+        number = lambda v: "CAST(NULL AS int)" if v is None else str(v)
+        rows.append(
+            struct(
+                column=literal(name),
+                source_position=number(sp),
+                target_position=number(tp),
+                source_family=f"CAST({literal(sf)} AS string)",
+                target_family=f"CAST({literal(tf)} AS string)",
+                source_nulls=f"s{i}" if both else "CAST(NULL AS bigint)",
+                target_nulls=f"t{i}" if both else "CAST(NULL AS bigint)",
+            )
         )
-        for c in pair.columns
-    ]
-    if per_column:
-        nulls = pair.tagged().agg(*counts).select(F.inline(F.array(*per_column)))
-    else:
-        nulls = spark.createDataFrame([], "column string, source_nulls bigint, target_nulls bigint")
-    return listed.join(nulls, "column", "left").select(
+    return unpivot(aggregate(pair.tagged(), [], counts), [], rows).selectExpr(
         "*",
-        (F.col("source_position").isNotNull() & F.col("target_position").isNotNull()).alias("names_match"),
-        F.coalesce(F.col("source_family") == F.col("target_family"), F.lit(False)).alias("family_match"),
-        F.coalesce(F.col("source_nulls") == F.col("target_nulls"), F.lit(False)).alias("nulls_match"),
+        "source_position IS NOT NULL AND target_position IS NOT NULL AS names_match",
+        "coalesce(source_family = target_family, false) AS family_match",
+        "coalesce(source_nulls = target_nulls, false) AS nulls_match",
     )

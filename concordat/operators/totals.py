@@ -9,45 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.config import BusinessRule
-from concordat.functions.names import quoted
-from concordat.functions.numbers import summable
-from concordat.functions.tolerance import within_tolerance
-from concordat.operators.pairing import IS_SOURCE, Pair, from_source, from_target
+from concordat.functions.numbers import as_number, summable, within_tolerance
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
+from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair, both_sides
 
 
 def grand_totals(pair: Pair, columns: list[str], absolute: float, relative: float) -> DataFrame:
     """(column, function, source_value, target_value, agrees): SUM, COUNT and AVG of both
     sides in one pass."""
-    aggs = []
+    aggs, cells = {}, []
     for i, c in enumerate(columns):
-        v = F.col(f"v{i}")
-        aggs += [
-            F.coalesce(F.sum(v).cast("double"), F.lit(0.0)).alias(f"sum{i}"),
-            F.count(v).cast("double").alias(f"count{i}"),
-            F.avg(v.cast("double")).alias(f"avg{i}"),
-        ]
-    sides = pair.tagged(*[summable(F.col(quoted(c)), pair.dtype(c)).alias(f"v{i}") for i, c in enumerate(columns)]).groupBy(IS_SOURCE).agg(*aggs)
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(fn.upper()).alias("function"), F.col(f"{fn}{i}").alias("value"))
-        for i, c in enumerate(columns)
-        for fn in ("sum", "count", "avg")
-    ]
-    return totals_from_long(sides.select(IS_SOURCE, F.inline(F.array(*cells))), absolute, relative)
-
-
-def totals_from_long(long: DataFrame, absolute: float, relative: float) -> DataFrame:
-    """Bring (is_source, column, function, value) rows of both sides onto one row."""
-    both = long.groupBy("column", "function").agg(
-        F.max(F.when(from_source(), F.col("value"))).alias("source_value"),
-        F.max(F.when(from_target(), F.col("value"))).alias("target_value"),
-    )
+        v, dtype = as_number(quoted(c), pair.dtype(c)), pair.dtype(c)
+        aggs |= {
+            f"SUM{i}": f"coalesce(CAST(sum({summable(quoted(c), dtype)}) AS double), 0D)",
+            f"COUNT{i}": f"CAST(count({v}) AS double)",
+            f"AVG{i}": f"avg(CAST({v} AS double))",
+        }
+        cells += [struct(column=literal(c), function=literal(fn), value=f"{fn}{i}") for fn in ("SUM", "COUNT", "AVG")]
+    long = unpivot(aggregate(pair.tagged(*map(quoted, columns)), [IS_SOURCE], aggs), [IS_SOURCE], cells)
+    both = both_sides(long, ["column", "function"], {"value": "value"})
     # A side without rows yields no total at all: sum and count of nothing are zero.
     filled = [
-        F.when(F.col("function") == "AVG", F.col(c)).otherwise(F.coalesce(F.col(c), F.lit(0.0))).alias(c)
-        for c in ("source_value", "target_value")
+        f"CASE WHEN function = 'AVG' THEN {side}_value ELSE coalesce({side}_value, 0D) END AS {side}_value"
+        for side in ("source", "target")
     ]
-    agrees = within_tolerance(F.col("source_value"), F.col("target_value"), absolute, relative)
-    return both.select("column", "function", *filled).withColumn("agrees", agrees)
+    agrees = within_tolerance("source_value", "target_value", absolute, relative)
+    return both.selectExpr("`column`", "function", *filled).selectExpr("*", f"{agrees} AS agrees")
 
 
 def group_consistency(pair: Pair, by: list[str], columns: list[str], absolute: float) -> DataFrame:
@@ -56,27 +43,22 @@ def group_consistency(pair: Pair, by: list[str], columns: list[str], absolute: f
     One aggregate over both sides: a group present on one side only is an issue, null is a
     group, and only partial sums are shuffled. Decimal and integer sums stay exact.
     """
-    values = [summable(F.col(quoted(c)), pair.dtype(c)).alias(f"v{i}") for i, c in enumerate(columns)]
-    keys = [F.col(quoted(b)) for b in by]
-    aggs = [F.count_if(from_source()).alias("source_rows"), F.count_if(from_target()).alias("target_rows")]
-    for i, _ in enumerate(columns):
-        aggs.append(F.sum(F.when(from_source(), F.col(f"v{i}"))).alias(f"s{i}"))
-        aggs.append(F.sum(F.when(from_target(), F.col(f"v{i}"))).alias(f"t{i}"))
-    grouped = pair.tagged(*keys, *values).groupBy(*[quoted(b) for b in by]).agg(*aggs)
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.coalesce(F.col(f"s{i}").cast("double"), F.lit(0.0)).alias("source_sum"),
-            F.coalesce(F.col(f"t{i}").cast("double"), F.lit(0.0)).alias("target_sum"),
-            (
-                F.abs(F.coalesce(F.col(f"s{i}"), F.lit(0)) - F.coalesce(F.col(f"t{i}"), F.lit(0))).cast("double") <= absolute
-            ).alias("close"),
+    values = [f"{summable(quoted(c), pair.dtype(c))} AS __v{i}" for i, c in enumerate(columns)]
+    aggs = {"source_rows": f"count_if({FROM_SOURCE})", "target_rows": f"count_if({FROM_TARGET})"}
+    cells = []
+    for i, c in enumerate(columns):
+        for tag, side in (("s", FROM_SOURCE), ("t", FROM_TARGET)):
+            aggs[f"__{tag}{i}"] = f"coalesce(sum(CASE WHEN {side} THEN __v{i} END), 0)"
+        cells.append(
+            struct(
+                column=literal(c),
+                source_sum=f"CAST(__s{i} AS double)",
+                target_sum=f"CAST(__t{i} AS double)",
+                agrees=f"source_rows > 0 AND target_rows > 0 AND CAST(abs(__s{i} - __t{i}) AS double) <= {float(absolute)!r}D",
+            )
         )
-        for i, c in enumerate(columns)
-    ]
-    present = (F.col("source_rows") > 0) & (F.col("target_rows") > 0)
-    long = grouped.select(*[quoted(b) for b in by], "source_rows", "target_rows", F.inline(F.array(*cells)))
-    return long.withColumn("agrees", present & F.col("close")).drop("close")
+    grouped = aggregate(pair.tagged(*map(quoted, by), *values), by, aggs)
+    return unpivot(grouped, [*map(quoted, by), "source_rows", "target_rows"], cells)
 
 
 @dataclass(frozen=True)
@@ -153,16 +135,9 @@ def custom_rules(source: DataFrame, target: DataFrame, rules: list[BusinessRule]
 
     def one(df: DataFrame, is_source: bool) -> DataFrame:
         row = df.agg(*[_as_aggregate(r, df).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-        cells = [
-            F.struct(F.lit(r.name).alias("rule"), F.lit(float(r.tolerance)).alias("tol"), F.col(f"r{i}").alias("value"))
-            for i, r in enumerate(rules)
-        ]
-        return row.select(F.lit(is_source).alias(IS_SOURCE), F.inline(F.array(*cells)))
-
-    both = one(source, True).unionAll(one(target, False)).groupBy("rule", "tol")
-    sides = both.agg(
-        F.max(F.when(from_source(), F.col("value"))).alias("source_value"),
-        F.max(F.when(from_target(), F.col("value"))).alias("target_value"),
-    )
-    agrees = within_tolerance(F.col("source_value"), F.col("target_value"), F.col("tol"), F.col("tol"))
-    return sides.select("rule", "source_value", "target_value", agrees.alias("agrees"))
+        cells = [struct(rule=literal(r.name), tol=f"{float(r.tolerance)!r}D", value=f"r{i}") for i, r in enumerate(rules)]
+        return unpivot(row, [f"{str(is_source).lower()} AS {IS_SOURCE}"], cells)
+
+    both = both_sides(one(source, True).unionAll(one(target, False)), ["rule", "tol"], {"value": "value"})
+    agrees = within_tolerance("source_value", "target_value", "tol", "tol")
+    return both.selectExpr("rule", "source_value", "target_value", f"{agrees} AS agrees")

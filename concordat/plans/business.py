@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.config import BUSINESS, CompareConfig
-from concordat.functions.names import quoted
+from concordat.functions.sql import quoted
 from concordat.operators import order_stats, totals
 from concordat.operators.pairing import Pair
 from concordat.plans.facts import Facts
@@ -17,7 +17,7 @@ GROUPS_SHOWN = 10
 
 
 def within(a, b, absolute: float, relative: float) -> bool:
-    """``functions.tolerance.within_tolerance`` for two collected values."""
+    """``functions.numbers.within_tolerance`` for two collected values."""
     if a is None or b is None:
         return a is None and b is None
     try:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from concordat.config import BUSINESS, DATA_LEVEL, FAILED, PASSED, SKIPPED, STATISTICAL, STRUCTURAL, BusinessRule
 from concordat.config import ColumnTolerance, CompareConfig
+from concordat.functions.types import family
 from concordat.operators import cardinality as distinct
 from concordat.operators import duplicates, fingerprint, keyed_diff, normalise, order_stats, profile, structure, totals
 from concordat.operators.pairing import IS_SOURCE, Pair, align
@@ -578,10 +579,10 @@ def inferred_ingest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, typed = csv_tables.load_all_text(spark, root), csv_tables.load_inferred(spark, root)
     out = []
     for name in text:
-        side = profile.side_profile(Pair(text[name], text[name].limit(0))).where(F.col(IS_SOURCE))
-        kinds = [(f.name, structure.family(f.dataType)) for f in typed[name].schema.fields]
+        side = profile.side_profile(align(text[name], text[name].limit(0))).where(F.col(IS_SOURCE))
+        kinds = [(f.name, family(f.dataType)) for f in typed[name].schema.fields]
         kinds = spark.createDataFrame(kinds, "column string, inferred_family string")
-        distinct_values = distinct.cardinality(Pair(text[name], text[name].limit(0)))
+        distinct_values = distinct.cardinality(align(text[name], text[name].limit(0)))
         out.append(
             side.join(kinds, "column")
             .join(distinct_values, "column")

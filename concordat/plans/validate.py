@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.config import BUSINESS, DATA_LEVEL, FAILED, PASSED, SKIPPED, STATISTICAL, STRUCTURAL, CompareConfig
-from concordat.functions.names import quoted
+from concordat.functions.sql import quoted
 from concordat.operators import keyed_diff
 from concordat.operators.normalise import normalise
 from concordat.operators.pairing import Pair, align

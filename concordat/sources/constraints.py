@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.functions.names import quoted
+from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.sources.schema_files import primary_key, required_columns
 
 
 def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_rows) for required columns that hold nulls; one pass for all columns."""
-    counts = [F.count_if(F.col(quoted(c)).isNull()).alias(c) for c in columns]
-    one_row = df.agg(*counts)
-    cells = [F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("n_rows")) for c in columns]
-    return one_row.select(F.inline(F.array(*cells))).where("n_rows > 0")
+    index = dict(enumerate(columns))
+    counts = aggregate(df, [], {f"n{i}": f"count_if({quoted(c)} IS NULL)" for i, c in index.items()})
+    return unpivot(counts, [], [struct(column=literal(c), n_rows=f"n{i}") for i, c in index.items()]).where("n_rows > 0")
 
 
 def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     """(key columns..., n_rows) for keys that occur more than once. The count combines
     before the shuffle, so one heavily repeated key stays one row per task."""
-    return df.groupBy(*[quoted(k) for k in key]).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    return aggregate(df, key, {"n_rows": "count(1)"}).where("n_rows > 1")
 
 
 def constraint_violations(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -30,16 +28,13 @@ def constraint_violations(df: DataFrame, schema: T.StructType) -> DataFrame:
     required = sorted(set(required_columns(schema)) | set(key), key=schema.names.index)
     parts = []
     if required:
-        parts.append(
-            null_violations(df, required).select(
-                F.lit("not_null").alias("constraint"), "column", F.lit(None).cast("string").alias("key"), "n_rows"
-            )
-        )
+        gaps = null_violations(df, required)
+        parts.append(gaps.selectExpr("'not_null' AS constraint", "`column`", "CAST(NULL AS string) AS key", "n_rows"))
     if key:
-        shown = F.concat_ws("|", *[F.coalesce(F.col(quoted(k)).cast("string"), F.lit("null")) for k in key])
+        shown = ", ".join(f"coalesce(CAST({quoted(k)} AS string), 'null')" for k in key)
         parts.append(
-            key_violations(df, key).select(
-                F.lit("primary_key").alias("constraint"), F.lit(",".join(key)).alias("column"), shown.alias("key"), "n_rows"
+            key_violations(df, key).selectExpr(
+                "'primary_key' AS constraint", f"{literal(','.join(key))} AS `column`", f"concat_ws('|', {shown}) AS key", "n_rows"
             )
         )
     if not parts:

@@ -6,12 +6,12 @@ import logging
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.functions.cells import NUMERAL, strip_text, to_datetime
-from concordat.functions.names import quoted
+from concordat.functions.cells import strip_text, to_datetime, to_number
+from concordat.functions.sql import literal, quoted
 from concordat.sources.paths import exists, list_csv, require_safe_name
 
 log = logging.getLogger(__name__)
@@ -39,7 +39,7 @@ def read_text_columns(
     """
     raw = _reader(spark, sep, encoding, multiline).csv(str(path))
     names = [c.strip().lower() for c in raw.columns]
-    return raw.toDF(*names).select(*[F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in names])
+    return raw.toDF(*names).selectExpr(*[f"coalesce({quoted(c)}, '') AS {quoted(c)}" for c in names])
 
 
 def check_columns(actual: list[str], expected: list[str], filename: str) -> None:
@@ -50,22 +50,20 @@ def check_columns(actual: list[str], expected: list[str], filename: str) -> None
         raise ValueError(f"columns of '{filename}' do not fit the declared schema: {', '.join(parts)}")
 
 
-def typed(c: Column, dtype: T.DataType) -> Column:
-    """Text to the declared type, null where it does not parse or is blank."""
+def typed(c: str, dtype: T.DataType) -> str:
+    """Text to the declared type (SQL text), null where it does not parse or is blank."""
+    kind = dtype.simpleString()
     if isinstance(dtype, T.StringType):
         return c
-    text = strip_text(c)
-    if isinstance(dtype, T.TimestampNTZType):
-        return to_datetime(c)
-    if isinstance(dtype, T.DateType):
-        return to_datetime(c).cast("date")
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+        return f"CAST({to_datetime(c)} AS {kind})"
     if isinstance(dtype, T.BooleanType):
-        return text.try_cast(dtype)
-    return F.when(text.rlike(NUMERAL), text.try_cast(dtype))
+        return f"try_cast({strip_text(c)} AS boolean)"
+    return to_number(c, kind)
 
 
-def _is_bad(c: Column, dtype: T.DataType) -> Column:
-    return (strip_text(c) != "") & typed(c, dtype).isNull()
+def _is_bad(c: str, dtype: T.DataType) -> str:
+    return f"({strip_text(c)} <> '' AND {typed(c, dtype)} IS NULL)"
 
 
 @dataclass(frozen=True)
@@ -81,27 +79,30 @@ def enforce_types(raw: DataFrame, schema: T.StructType, mode: str = "failfast")
     ``quarantine`` keeps good rows in ``rows`` and whole bad rows, with the offending
     columns named, in ``rejects``. Both are narrow: no shuffle.
     """
+    metadata = {f.name: f.metadata for f in schema.fields}
     strict = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+
+    def described(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(quoted(n)).alias(n, metadata=metadata[n]) for n in schema.names])
+
     if mode == "failfast":
         out = []
         for f in schema.fields:
-            c = F.col(quoted(f.name))
-            if isinstance(f.dataType, T.StringType):
-                out.append(c.alias(f.name, metadata=f.metadata))
-                continue
-            complaint = F.concat(F.lit(f"column '{f.name}' is not {f.dataType.simpleString()}: "), c)
-            checked = F.when(_is_bad(c, f.dataType), F.raise_error(complaint)).otherwise(typed(c, f.dataType))
-            out.append(checked.cast(f.dataType).alias(f.name, metadata=f.metadata))
-        return TypedLoad(raw.select(*out), None)
+            c, value = quoted(f.name), typed(quoted(f.name), f.dataType)
+            if f in strict:
+                kind = f.dataType.simpleString()
+                complaint = f"concat({literal(f'column {f.name} is not {kind}: ')}, {c})"
+                value = f"CASE WHEN {_is_bad(c, f.dataType)} THEN CAST(raise_error({complaint}) AS {kind}) ELSE {value} END"
+            out.append(f"{value} AS {c}")
+        return TypedLoad(described(raw.selectExpr(*out)), None)
     if mode != "quarantine":
         raise ValueError(f"mode is failfast or quarantine, not {mode!r}")
-    flags = [F.when(_is_bad(F.col(quoted(f.name)), f.dataType), F.lit(f.name)) for f in strict]
-    bad = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
-    flagged = raw.withColumn("bad_columns", bad)
-    good = flagged.where(F.size("bad_columns") == 0).select(
-        *[typed(F.col(quoted(f.name)), f.dataType).alias(f.name, metadata=f.metadata) for f in schema.fields]
+    flags = [f"CASE WHEN {_is_bad(quoted(f.name), f.dataType)} THEN {literal(f.name)} END" for f in strict]
+    flagged = raw.selectExpr("*", f"array_compact(array({', '.join(flags) or 'CAST(NULL AS string)'})) AS bad_columns")
+    good = flagged.where("size(bad_columns) = 0").selectExpr(
+        *[f"{typed(quoted(f.name), f.dataType)} AS {quoted(f.name)}" for f in schema.fields]
     )
-    return TypedLoad(good, flagged.where(F.size("bad_columns") > 0))
+    return TypedLoad(described(good), flagged.where("size(bad_columns) > 0"))
 
 
 def load_declared(
