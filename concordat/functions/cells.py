@@ -51,27 +51,30 @@ def null_tokens_to_null(c: str) -> str:
     return f"CASE WHEN lower({strip_text(c)}) IN ({tokens}) THEN NULL ELSE {c} END"
 
 
+# The functions below read text whose ends are stripped already. Callers strip in a
+# projection of its own, so that it happens once per cell and not once per expression.
+
+
 def is_numeral(c: str) -> str:
-    return f"({strip_text(c)} RLIKE {literal(NUMERAL)})"
+    return f"({c} RLIKE {literal(NUMERAL)})"
 
 
 def to_number(c: str, kind: str = "double") -> str:
     """Null where the text is not a finite numeral of that type."""
-    return f"CASE WHEN {is_numeral(c)} THEN try_cast({strip_text(c)} AS {kind}) END"
+    return f"CASE WHEN {is_numeral(c)} THEN try_cast({c} AS {kind}) END"
 
 
 def to_datetime(c: str, formats: list[str] | None = None) -> str:
     """Timestamp without zone by the first format that fits, else null. ``formats`` replaces
     the built-in list."""
-    text = strip_text(c)
     if formats:
-        tries = [f"try_to_timestamp({text}, {literal(f)})" for f in formats]
+        tries = [f"try_to_timestamp({c}, {literal(f)})" for f in formats]
         return f"CAST(coalesce({', '.join(tries)}) AS timestamp_ntz)"
     tries = [
-        f"CASE WHEN {text} RLIKE {literal(f'^{shape}$')} THEN try_to_timestamp({text}, {literal(f)}) END"
+        f"CASE WHEN {c} RLIKE {literal(f'^{shape}$')} THEN try_to_timestamp({c}, {literal(f)}) END"
         for shape, f in DATE_FORMATS
     ]
-    return f"CAST(CASE WHEN {text} RLIKE {literal(DATE_START)} THEN coalesce({', '.join(tries)}) END AS timestamp_ntz)"
+    return f"CAST(CASE WHEN {c} RLIKE {literal(DATE_START)} THEN coalesce({', '.join(tries)}) END AS timestamp_ntz)"
 
 
 def is_year(c: str) -> str:

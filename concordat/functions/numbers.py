@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from concordat.functions.cells import to_number
+from concordat.functions.cells import strip_text, to_number
 from concordat.functions.types import family, is_numeric
 
 
 def as_number(c: str, dtype: T.DataType) -> str:
     """Numeric columns as they are; text read as a double, null where it is no numeral."""
-    return c if is_numeric(dtype) else to_number(f"CAST({c} AS string)")
+    return c if is_numeric(dtype) else to_number(strip_text(f"CAST({c} AS string)"))
 
 
 def summable(c: str, dtype: T.DataType) -> str:

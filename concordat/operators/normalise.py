@@ -43,7 +43,8 @@ def _hinted(name: str, hints: tuple[str, ...]) -> bool:
 
 def type_evidence(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """(column, is_text, filled, years, dates, numbers, whole, in_year_range): how many non-null
-    values of each text or floating column could be what. One pass for all columns."""
+    values of each text (already trimmed) or floating column could be what. One pass for
+    all columns."""
     aggs, cells = {}, []
     for i, f in enumerate(df.schema.fields):
         c = quoted(f.name)
@@ -103,7 +104,7 @@ class Normalised:
 
 
 def infer_types(df: DataFrame, formats: list[str] | None = None) -> Normalised:
-    """Text columns that hold dates or numbers get that type.
+    """Trimmed text columns that hold dates or numbers get that type.
 
     All columns are judged by one aggregate over the table; the conversion itself is a
     projection. What a conversion loses is counted, because a mixed column may lose up to

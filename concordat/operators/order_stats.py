@@ -108,30 +108,36 @@ def column_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation: rows (is_source, column, stat, value).
 
-    Up to ``rows_per_bin`` rows the built-in aggregate is exact and its buffer bounded.
-    Beyond that only the bins that hold a wanted rank are read out: one counting pass that
-    shuffles nothing but counts, and one pass filtered to those bins.
+    Up to ``rows_per_bin`` rows a column is one bin, ranked in one task. Beyond that only the
+    bins that hold a wanted rank are read out: one counting pass that shuffles nothing but
+    counts, and one pass filtered to those bins. (The built-in ``percentile`` keeps every
+    distinct value of a group in one task's memory.)
     """
     if not columns or not percentiles:
         empty = f"`{IS_SOURCE}` boolean, column string, stat string, value double"
         return pair.source.sparkSession.createDataFrame([], empty)
     rows = count_rows(pair) if rows is None else rows
-    if rows <= rows_per_bin:
-        wanted = ", ".join(f"{float(p)!r}D" for p in percentiles)
-        aggs = {f"q{i}": f"percentile(CAST({quoted(c)} AS double), array({wanted}))" for i, c in enumerate(columns)}
-        cells = [
-            struct(column=literal(c), stat=literal(percentile_name(p)), value=f"q{i}[{j}]")
-            for i, c in enumerate(columns)
-            for j, p in enumerate(percentiles)
-        ]
-        return unpivot(aggregate(pair.tagged(*map(quoted, columns)), [IS_SOURCE], aggs), [IS_SOURCE], cells)
     parts = []
     for group in _by_type(pair, columns):
-        long = _long(pair, group, _bounds_for(pair, group, rows, rows_per_bin))
-        parts.append(_percentiles_from_bins(long, percentiles))
+        bounds = _bounds_for(pair, group, rows, rows_per_bin)
+        read = _percentiles_from_bins if bounds else _percentiles_from_one_bin
+        parts.append(read(_long(pair, group, bounds), percentiles))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _percentiles_from_one_bin(long: DataFrame, percentiles: list[float]) -> DataFrame:
+    side = f"PARTITION BY {IS_SOURCE}, `column`"
+    runs = _ranked(_runs(long)).selectExpr("*", f"sum(n) OVER ({side}, bin) AS numbers")
+    ends, cells = {}, []
+    for j, p in enumerate(percentiles):
+        spot = f"({float(p)!r}D * (numbers - 1))"
+        for end, rank in (("low", f"floor({spot})"), ("high", f"ceil({spot})")):
+            ends[f"{end}{j}"] = f"max(CASE WHEN {rank} >= lo AND {rank} < lo + n THEN CAST(v AS double) END)"
+        ends[f"share{j}"] = f"max({spot} - floor({spot}))"
+        cells.append(struct(stat=literal(percentile_name(p)), value=f"low{j} + (high{j} - low{j}) * share{j}"))
+    return unpivot(aggregate(runs, [IS_SOURCE, "column"], ends), [IS_SOURCE, "`column`"], cells)
+
+
 def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFrame:
     fractions = [struct(stat=literal(percentile_name(p)), p=f"{float(p)!r}D") for p in percentiles]
     ends = [struct(rank="floor(spot)", upper="false"), struct(rank="ceil(spot)", upper="true")]

@@ -7,12 +7,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concordat.config import BusinessRule
 from concordat.functions.numbers import as_number, summable, within_tolerance
 from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair, both_sides
 
+SUM_NOISE = "1e-12"
+
 
 def grand_totals(pair: Pair, columns: list[str], absolute: float, relative: float) -> DataFrame:
     """(column, function, source_value, target_value, agrees): SUM, COUNT and AVG of both
@@ -41,7 +44,9 @@ def group_consistency(pair: Pair, by: list[str], columns: list[str], absolute: f
     """(by..., column, source_rows, target_rows, source_sum, target_sum, agrees).
 
     One aggregate over both sides: a group present on one side only is an issue, null is a
-    group, and only partial sums are shuffled. Decimal and integer sums stay exact.
+    group, and only partial sums are shuffled. Decimal and integer sums are exact and held
+    to ``absolute`` alone. A sum of doubles depends on the order of its terms, so there a
+    difference below ``SUM_NOISE`` of the sum is no difference.
     """
     values = [f"{summable(quoted(c), pair.dtype(c))} AS __v{i}" for i, c in enumerate(columns)]
     aggs = {"source_rows": f"count_if({FROM_SOURCE})", "target_rows": f"count_if({FROM_TARGET})"}
@@ -49,12 +54,15 @@ def group_consistency(pair: Pair, by: list[str], columns: list[str], absolute: f
     for i, c in enumerate(columns):
         for tag, side in (("s", FROM_SOURCE), ("t", FROM_TARGET)):
             aggs[f"__{tag}{i}"] = f"coalesce(sum(CASE WHEN {side} THEN __v{i} END), 0)"
+        limit = f"{float(absolute)!r}D"
+        if isinstance(pair.dtype(c), (T.DoubleType, T.StringType)):
+            limit = f"greatest({limit}, {SUM_NOISE}D * greatest(abs(__s{i}), abs(__t{i})))"
         cells.append(
             struct(
                 column=literal(c),
                 source_sum=f"CAST(__s{i} AS double)",
                 target_sum=f"CAST(__t{i} AS double)",
-                agrees=f"source_rows > 0 AND target_rows > 0 AND CAST(abs(__s{i} - __t{i}) AS double) <= {float(absolute)!r}D",
+                agrees=f"source_rows > 0 AND target_rows > 0 AND CAST(abs(__s{i} - __t{i}) AS double) <= {limit}",
             )
         )
     grouped = aggregate(pair.tagged(*map(quoted, by), *values), by, aggs)

@@ -51,21 +51,17 @@ def check_columns(actual: list[str], expected: list[str], filename: str) -> None
 
 
 def typed(c: str, dtype: T.DataType) -> str:
-    """Text to the declared type (SQL text), null where it does not parse or is blank."""
+    """Stripped text to the declared type (SQL text), null where it does not parse or is blank."""
     kind = dtype.simpleString()
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
         return f"CAST({to_datetime(c)} AS {kind})"
     if isinstance(dtype, T.BooleanType):
-        return f"try_cast({strip_text(c)} AS boolean)"
+        return f"try_cast({c} AS boolean)"
     return to_number(c, kind)
 
 
-def _is_bad(c: str, dtype: T.DataType) -> str:
-    return f"({strip_text(c)} <> '' AND {typed(c, dtype)} IS NULL)"
-
-
 @dataclass(frozen=True)
 class TypedLoad:
     rows: DataFrame
@@ -80,29 +76,29 @@ def enforce_types(raw: DataFrame, schema: T.StructType, mode: str = "failfast")
     columns named, in ``rejects``. Both are narrow: no shuffle.
     """
     metadata = {f.name: f.metadata for f in schema.fields}
-    strict = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    strict = {f.name: f.dataType for f in schema.fields if not isinstance(f.dataType, T.StringType)}
+    # Stripped and parsed copies in projections of their own, so each happens once per cell.
+    stripped = raw.selectExpr("*", *[f"{strip_text(quoted(n))} AS {quoted('__s_' + n)}" for n in strict])
+    parsed = stripped.selectExpr("*", *[f"{typed(quoted('__s_' + n), t)} AS {quoted('__t_' + n)}" for n, t in strict.items()])
+    bad = {n: f"({quoted('__s_' + n)} <> '' AND {quoted('__t_' + n)} IS NULL)" for n in strict}
 
-    def described(df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(quoted(n)).alias(n, metadata=metadata[n]) for n in schema.names])
+    def described(df: DataFrame, values: dict[str, str]) -> DataFrame:
+        chosen = df.selectExpr(*[f"{values.get(n, quoted(n))} AS {quoted(n)}" for n in schema.names])
+        return chosen.select(*[F.col(quoted(n)).alias(n, metadata=metadata[n]) for n in schema.names])
 
+    values = {n: quoted("__t_" + n) for n in strict}
     if mode == "failfast":
-        out = []
-        for f in schema.fields:
-            c, value = quoted(f.name), typed(quoted(f.name), f.dataType)
-            if f in strict:
-                kind = f.dataType.simpleString()
-                complaint = f"concat({literal(f'column {f.name} is not {kind}: ')}, {c})"
-                value = f"CASE WHEN {_is_bad(c, f.dataType)} THEN CAST(raise_error({complaint}) AS {kind}) ELSE {value} END"
-            out.append(f"{value} AS {c}")
-        return TypedLoad(described(raw.selectExpr(*out)), None)
+        for n, t in strict.items():
+            kind = t.simpleString()
+            complaint = f"concat({literal(f'column {n} is not {kind}: ')}, {quoted(n)})"
+            values[n] = f"CASE WHEN {bad[n]} THEN CAST(raise_error({complaint}) AS {kind}) ELSE {values[n]} END"
+        return TypedLoad(described(parsed, values), None)
     if mode != "quarantine":
         raise ValueError(f"mode is failfast or quarantine, not {mode!r}")
-    flags = [f"CASE WHEN {_is_bad(quoted(f.name), f.dataType)} THEN {literal(f.name)} END" for f in strict]
-    flagged = raw.selectExpr("*", f"array_compact(array({', '.join(flags) or 'CAST(NULL AS string)'})) AS bad_columns")
-    good = flagged.where("size(bad_columns) = 0").selectExpr(
-        *[f"{typed(quoted(f.name), f.dataType)} AS {quoted(f.name)}" for f in schema.fields]
-    )
-    return TypedLoad(described(good), flagged.where("size(bad_columns) > 0"))
+    names = ", ".join(f"CASE WHEN {bad[n]} THEN {literal(n)} END" for n in strict) or "CAST(NULL AS string)"
+    flagged = parsed.selectExpr("*", f"array_compact(array({names})) AS bad_columns")
+    rejects = flagged.where("size(bad_columns) > 0").selectExpr(*map(quoted, raw.columns), "bad_columns")
+    return TypedLoad(described(flagged.where("size(bad_columns) = 0"), values), rejects)
 
 
 def load_declared(

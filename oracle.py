@@ -35,15 +35,22 @@ t AS (SELECT * REPLACE (CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice) FRO
 NOISY_ORDERS = """s AS (SELECT * FROM orders),
 t AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * (1 + 1e-7) ELSE o_totalprice END
                         AS o_totalprice) FROM orders)"""
-EXACT_LINEITEM = """s AS (SELECT * REPLACE (
-    CAST(l_quantity AS DECIMAL(18,2)) AS l_quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS l_extendedprice,
-    CAST(l_discount AS DECIMAL(6,4)) AS l_discount, CAST(l_tax AS DECIMAL(6,4)) AS l_tax) FROM lineitem)"""
-LINEITEM = f"""{EXACT_LINEITEM},
+RAW_LINEITEM = "s AS (SELECT * FROM lineitem)"
+LINEITEM = f"""{RAW_LINEITEM},
 altered AS (SELECT * REPLACE (
-    CAST(CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS DECIMAL(18,2)) AS l_quantity,
+    CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
     CASE WHEN l_suppkey % 83 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag)
     FROM s WHERE l_orderkey % 97 <> 0),
 t AS (SELECT * FROM altered UNION ALL SELECT * FROM altered WHERE l_orderkey % 101 = 0)"""
+DECIMALS = """* REPLACE (CAST(l_quantity AS DECIMAL(18,2)) AS l_quantity,
+    CAST(l_extendedprice AS DECIMAL(18,2)) AS l_extendedprice, CAST(l_discount AS DECIMAL(6,4)) AS l_discount)"""
+EXACT_LINEITEM = f"""raw_s AS (SELECT * FROM lineitem),
+altered AS (SELECT * REPLACE (
+    CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
+    CASE WHEN l_suppkey % 83 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag)
+    FROM raw_s WHERE l_orderkey % 97 <> 0),
+s AS (SELECT {DECIMALS} FROM raw_s),
+t AS (SELECT {DECIMALS} FROM (SELECT * FROM altered UNION ALL SELECT * FROM altered WHERE l_orderkey % 101 = 0))"""
 TAX = "(VALUES ('1-URGENT', 0.10), ('2-HIGH', 0.20), ('3-MEDIUM', 0.05))"
 
 
@@ -159,7 +166,7 @@ FROM a FULL JOIN b USING (bucket)"""
 
 def fingerprint_match() -> str:
     altered = """t AS (SELECT * REPLACE (
-    CAST(CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS DECIMAL(18,2)) AS l_quantity,
+    CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
     CASE WHEN l_suppkey % 83 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag) FROM s)"""
 
     def one(c: str) -> str:
@@ -169,7 +176,7 @@ def fingerprint_match() -> str:
             f"NOT EXISTS ({counted('s')} EXCEPT {counted('t')}) AND NOT EXISTS ({counted('t')} EXCEPT {counted('s')}) AS matches"
         )
 
-    return f"WITH {EXACT_LINEITEM}, {altered} " + union([one(c) for c in LINEITEM_COLUMNS])
+    return f"WITH {RAW_LINEITEM}, {altered} " + union([one(c) for c in LINEITEM_COLUMNS])
 
 
 DUPLICATES = f"""WITH {LINEITEM}
@@ -219,7 +226,7 @@ def totals_rows(columns: list[str], absolute: float, relative: float) -> str:
 
 def grand_totals() -> str:
     rows = totals_rows(["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"], 1e-6, 0.02)
-    return f"""WITH {LINEITEM}
+    return f"""WITH {EXACT_LINEITEM}
 SELECT * REPLACE (round(source_value, 4) AS source_value, round(target_value, 4) AS target_value) FROM ({rows})"""
 
 
@@ -280,7 +287,7 @@ def group_sums(by: list[str], columns: list[str]) -> str:
         f"FROM {side('s')} a FULL JOIN {side('t')} b ON {on}"
         for c in columns
     ]
-    return f"WITH {LINEITEM} " + union(parts)
+    return f"WITH {EXACT_LINEITEM} " + union(parts)
 
 
 def custom_rules() -> str:
