@@ -11,6 +11,7 @@ plus the count of all lower bins.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -57,7 +58,8 @@ def bin_bounds(pair: Pair, columns: list[str], n_bins: int) -> dict[str, list[fl
 
 
 def _long(pair: Pair, columns: list[str], bounds: dict[str, list[float]] | None) -> DataFrame:
-    """Rows (is_source, column, bin, v), nulls left out."""
+    """Rows (is_source, c, bin, v), nulls left out; ``c`` is the column's place in the list,
+    a fraction of the bytes of its name in every shuffle that follows."""
     index = dict(enumerate(columns))
     wide = pair.tagged(*[f"{quoted(c)} AS v{i}" for i, c in index.items()])
     bins = {i: "0" for i in index}
@@ -69,22 +71,26 @@ def _long(pair: Pair, columns: list[str], bounds: dict[str, list[float]] | None)
             splitsArray=splits, inputCols=[f"k{i}" for i in index], outputCols=[f"bin{i}" for i in index]
         )
         wide, bins = cut.transform(wide), {i: f"CAST(bin{i} AS int)" for i in index}
-    cells = [struct(column=literal(c), bin=bins[i], v=f"v{i}") for i, c in index.items()]
+    cells = [struct(c=str(i), bin=bins[i], v=f"v{i}") for i in index]
     return unpivot(wide, [IS_SOURCE], cells).where("v IS NOT NULL")
 
 
-BIN = [IS_SOURCE, "column", "bin"]
+BIN = [IS_SOURCE, "c", "bin"]
+
+
+def _name(columns: list[str]) -> str:
+    return f"element_at(array({', '.join(map(literal, columns))}), c + 1) AS `column`"
 
 
 def _runs(long: DataFrame) -> DataFrame:
-    """Equal values folded to one row: (is_source, column, bin, v, n)."""
+    """Equal values folded to one row: (is_source, c, bin, v, n)."""
     return aggregate(long, [*BIN, "v"], {"n": "count(1)"})
 
 
 def _bin_starts(long: DataFrame) -> DataFrame:
-    """(is_source, column, bin, bin_rows, bin_start, numbers). At most two rows per column
-    and bin, so small by construction."""
-    side = f"PARTITION BY {IS_SOURCE}, `column`"
+    """(is_source, c, bin, bin_rows, bin_start, numbers). At most two rows per column and
+    bin, so small by construction."""
+    side = f"PARTITION BY {IS_SOURCE}, c"
     return aggregate(long, BIN, {"bin_rows": "count(1)"}).selectExpr(
         "*",
         f"coalesce(sum(bin_rows) OVER ({side} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bin_start",
@@ -94,7 +100,7 @@ def _bin_starts(long: DataFrame) -> DataFrame:
 
 def _ranked(runs: DataFrame) -> DataFrame:
     """Adds ``lo``: how many rows of the same bin come before this run."""
-    within = f"PARTITION BY {IS_SOURCE}, `column`, bin ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    within = f"PARTITION BY {IS_SOURCE}, c, bin ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return runs.selectExpr("*", f"coalesce(sum(n) OVER ({within}), 0) AS lo")
 
 
@@ -121,13 +127,13 @@ def column_percentiles(
     for group in _by_type(pair, columns):
         bounds = _bounds_for(pair, group, rows, rows_per_bin)
         read = _percentiles_from_bins if bounds else _percentiles_from_one_bin
-        parts.append(read(_long(pair, group, bounds), percentiles))
+        found = read(_long(pair, group, bounds), percentiles)
+        parts.append(found.selectExpr(IS_SOURCE, _name(group), "stat", "value"))
     return reduce(DataFrame.unionAll, parts)
 
 
 def _percentiles_from_one_bin(long: DataFrame, percentiles: list[float]) -> DataFrame:
-    side = f"PARTITION BY {IS_SOURCE}, `column`"
-    runs = _ranked(_runs(long)).selectExpr("*", f"sum(n) OVER ({side}, bin) AS numbers")
+    runs = _ranked(_runs(long)).selectExpr("*", f"sum(n) OVER (PARTITION BY {IS_SOURCE}, c, bin) AS numbers")
     ends, cells = {}, []
     for j, p in enumerate(percentiles):
         spot = f"({float(p)!r}D * (numbers - 1))"
@@ -135,7 +141,7 @@ def _percentiles_from_one_bin(long: DataFrame, percentiles: list[float]) -> Data
             ends[f"{end}{j}"] = f"max(CASE WHEN {rank} >= lo AND {rank} < lo + n THEN CAST(v AS double) END)"
         ends[f"share{j}"] = f"max({spot} - floor({spot}))"
         cells.append(struct(stat=literal(percentile_name(p)), value=f"low{j} + (high{j} - low{j}) * share{j}"))
-    return unpivot(aggregate(runs, [IS_SOURCE, "column"], ends), [IS_SOURCE, "`column`"], cells)
+    return unpivot(aggregate(runs, [IS_SOURCE, "c"], ends), [IS_SOURCE, "c"], cells)
 
 
 def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFrame:
@@ -146,21 +152,25 @@ def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFra
     wanted = (
         unpivot(spots, ["*"], ends)
         .where("rank >= bin_start AND rank < bin_start + bin_rows")
-        .selectExpr(*map(quoted, BIN), "stat", "spot", "upper", "rank - bin_start AS k")
+        .selectExpr(*BIN, "stat", "spot", "upper", "rank - bin_start AS k")
     )
     # Bounded: sides x columns x percentiles x 2 rows.
     ranked = _ranked(_runs(long.join(F.broadcast(wanted.select(*BIN).distinct()), BIN, "left_semi")))
     found = ranked.join(F.broadcast(wanted), BIN).where("k >= lo AND k < lo + n")
     ends_found = aggregate(
         found,
-        [IS_SOURCE, "column", "stat"],
+        [IS_SOURCE, "c", "stat"],
         {
             "low": "max(CASE WHEN NOT upper THEN CAST(v AS double) END)",
             "high": "max(CASE WHEN upper THEN CAST(v AS double) END)",
             "share": "max(spot - floor(spot))",
         },
     )
-    return ends_found.selectExpr(IS_SOURCE, "`column`", "stat", "low + (high - low) * share AS value")
+    return ends_found.selectExpr(IS_SOURCE, "c", "stat", "low + (high - low) * share AS value")
+
+
+# Non-null values per (is_source, column).
+Numbers = dict[tuple[bool, str], int]
 
 
 def rank_differences(
@@ -169,6 +179,8 @@ def rank_differences(
     rows_per_bin: int = 1_000_000,
     rows: int | None = None,
     ranks_per_block: int = RANKS_PER_BLOCK,
+    percentiles: list[float] | None = None,
+    numbers: Numbers | None = None,
 ) -> DataFrame:
     """Sort each side by value and compare the i-th with the i-th, for every column at once.
 
@@ -177,11 +189,17 @@ def rank_differences(
     boundaries and the two sides meet inside a block of ranks, where a window carries the
     current value of either side forward: no join, no row per rank, and no block has more
     rows than twice ``ranks_per_block``.
+
+    Where the counts of values are already known (``numbers``), exact ``percentiles`` come
+    out of the same pass, as the arrays source_percentiles and target_percentiles.
     """
     spark = pair.source.sparkSession
+    percentiles = percentiles if numbers else None
+    extra = ["source_percentiles", "target_percentiles"] if percentiles else []
     if not columns:
-        counts = "source_count bigint, target_count bigint"
-        return spark.createDataFrame([], f"column string, {counts}, max_absolute_diff double, max_relative_diff double")
+        fields = ["column string", "source_count bigint", "target_count bigint"]
+        fields += ["max_absolute_diff double", "max_relative_diff double", *[f"{e} array<double>" for e in extra]]
+        return spark.createDataFrame([], ", ".join(fields))
     rows = count_rows(pair) if rows is None else rows
     parts = []
     for group in _by_type(pair, columns):
@@ -193,7 +211,11 @@ def rank_differences(
             starts = F.broadcast(_bin_starts(long).select(*BIN, "bin_start"))
             ranked = ranked.join(starts, BIN)
         lo = "lo + bin_start AS lo" if bounds else "lo"
-        parts.append(_pair_by_rank(ranked.selectExpr(IS_SOURCE, "`column`", "v", lo, "n"), ranks_per_block))
+        spots = {}
+        for tag, side in (("source", True), ("target", False)) if percentiles else ():
+            spots[tag] = [[max(numbers.get((side, c), 0) - 1, 0) * p for c in group] for p in percentiles]
+        found = _pair_by_rank(ranked.selectExpr(IS_SOURCE, "c", "v", lo, "n"), ranks_per_block, spots)
+        parts.append(found.selectExpr("*", _name(group)).drop("c"))
     found = reduce(DataFrame.unionAll, parts)
     # A column without a value on either side has no row yet.
     named = spark.range(1).selectExpr(f"explode(array({', '.join(map(literal, columns))})) AS `column`")
@@ -203,46 +225,55 @@ def rank_differences(
         "coalesce(target_count, 0) AS target_count",
         "max_absolute_diff",
         "max_relative_diff",
+        *extra,
     )
 
 
-def _pair_by_rank(ranked: DataFrame, block: int) -> DataFrame:
+def _pair_by_rank(ranked: DataFrame, block: int, spots: dict[str, list[list[float]]]) -> DataFrame:
+    """``spots``: per side, per percentile, per column the (fractional) rank to read."""
     cut = ranked.selectExpr("*", f"lo DIV {block} AS first", f"(lo + n - 1) DIV {block} AS last")
     pieces = cut.selectExpr("*", "explode(sequence(first, last)) AS block").selectExpr(
-        "`column`",
+        IS_SOURCE,
+        "c",
         "block",
         f"greatest(lo, block * {block}) AS pos",
-        f"CASE WHEN {FROM_SOURCE} THEN v END AS sv",
-        f"CASE WHEN {FROM_TARGET} THEN v END AS tv",
+        "v",
+        "lo",
+        "n",
         # A run counts once, in the block it starts in.
-        f"CASE WHEN block = first AND {FROM_SOURCE} THEN n ELSE 0 END AS sn",
-        f"CASE WHEN block = first AND {FROM_TARGET} THEN n ELSE 0 END AS tn",
+        "block = first AS starts",
     )
     # RANGE, not ROWS: a position where both sides change sees both new values.
-    upto = "PARTITION BY `column`, block ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    upto = "PARTITION BY c, block ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     carried = pieces.selectExpr(
-        "`column`",
-        "sn",
-        "tn",
-        f"last(sv, true) OVER ({upto}) AS s",
-        f"last(tv, true) OVER ({upto}) AS t",
-    )
-    met = aggregate(
-        carried,
-        ["column"],
-        {
-            "source_count": "sum(sn)",
-            "target_count": "sum(tn)",
-            "worst": f"max({absolute_diff('s', 't')})",
-            "worst_relative": f"max({relative_diff('s', 't')})",
-        },
+        "*",
+        f"last(CASE WHEN {FROM_SOURCE} THEN v END, true) OVER ({upto}) AS s",
+        f"last(CASE WHEN {FROM_TARGET} THEN v END, true) OVER ({upto}) AS t",
     )
-    return met.selectExpr(
-        "`column`",
+    aggs = {
+        "source_count": f"sum(CASE WHEN starts AND {FROM_SOURCE} THEN n ELSE 0 END)",
+        "target_count": f"sum(CASE WHEN starts AND {FROM_TARGET} THEN n ELSE 0 END)",
+        "worst": f"max({absolute_diff('s', 't')})",
+        "worst_relative": f"max({relative_diff('s', 't')})",
+    }
+    arrays = []
+    for tag, of_side in spots.items():
+        side, values = FROM_SOURCE if tag == "source" else FROM_TARGET, []
+        for j, per_column in enumerate(of_side):
+            for end, rounded in (("low", math.floor), ("high", math.ceil)):
+                rank = f"element_at(array({', '.join(f'{rounded(x)}L' for x in per_column)}), c + 1)"
+                hit = f"{side} AND {rank} >= lo AND {rank} < lo + n"
+                aggs[f"{tag}_{end}{j}"] = f"max(CASE WHEN {hit} THEN CAST(v AS double) END)"
+            share = f"element_at(array({', '.join(f'{x - math.floor(x)!r}D' for x in per_column)}), c + 1)"
+            values.append(f"{tag}_low{j} + ({tag}_high{j} - {tag}_low{j}) * {share}")
+        arrays.append(f"array({', '.join(values)}) AS {tag}_percentiles")
+    return aggregate(carried, ["c"], aggs).selectExpr(
+        "c",
         "source_count",
         "target_count",
         "CASE WHEN source_count = target_count THEN worst END AS max_absolute_diff",
         "CASE WHEN source_count = target_count THEN worst_relative END AS max_relative_diff",
+        *arrays,
     )
 
 

@@ -32,11 +32,18 @@ def _shared_aggregation_columns(pair: Pair, cfg: CompareConfig) -> tuple[list[st
     return known, [c for c in cfg.aggregation_columns if c not in pair.columns]
 
 
-def _ranks(pair: Pair, cfg: CompareConfig, rows: int) -> list:
+def _ranks(pair: Pair, cfg: CompareConfig, facts: Facts) -> list:
+    """Differences by rank, and the percentiles layer 4 needs, from one ranking of both sides."""
     columns = pair.numeric_columns()
-    tolerances = {c: cfg.tolerance_for(c) for c in columns}
-    found = order_stats.rank_differences(pair, columns, cfg.rows_per_bin, rows)
-    return order_stats.exceeds_tolerance(found, tolerances).collect()
+    found = order_stats.rank_differences(
+        pair,
+        columns,
+        cfg.rows_per_bin,
+        max(facts.row_count(True), facts.row_count(False)),
+        percentiles=cfg.percentiles,
+        numbers={(side, c): facts.numbers(side, c) for side in (True, False) for c in columns},
+    )
+    return order_stats.exceeds_tolerance(found, {c: cfg.tolerance_for(c) for c in columns}).collect()
 
 
 def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
@@ -64,7 +71,7 @@ def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
 
 def start(source: DataFrame, target: DataFrame, pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
     if pair.numeric_columns():
-        jobs.start("ranks", _ranks, pair, cfg, max(facts.row_count(True), facts.row_count(False)))
+        jobs.start("ranks", _ranks, pair, cfg, facts)
     known, _ = _shared_aggregation_columns(pair, cfg)
     if cfg.group_by_columns and known:
         jobs.start("groups", _groups, pair, cfg, known)
@@ -105,7 +112,7 @@ def _tolerance(pair: Pair, jobs: Jobs) -> Check:
     if not columns:
         return skipped(BUSINESS, name, "there are no numeric columns", "runs by itself once a numeric column is present")
     found, ms = jobs.result("ranks")
-    over = [r.asDict() for r in found if r["exceeds"]]
+    over = [{k: v for k, v in r.asDict().items() if not k.endswith("_percentiles")} for r in found if r["exceeds"]]
     return verdict(
         BUSINESS,
         name,

@@ -30,6 +30,9 @@ class Facts:
     def null_ratio(self, is_source: bool, column: str) -> float:
         return self._get(is_source, column, "null_ratio", 0.0)
 
+    def numbers(self, is_source: bool, column: str) -> int:
+        return self._get(is_source, column, "numbers") or 0
+
     def moment(self, is_source: bool, column: str, what: str) -> float | None:
         return self._get(is_source, column, what)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concordat.config import STATISTICAL, CompareConfig
 from concordat.operators import cardinality, order_stats
-from concordat.operators.pairing import IS_SOURCE, Pair
+from concordat.operators.pairing import Pair
 from concordat.operators.profile import MOMENTS
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
@@ -13,18 +13,20 @@ from concordat.plans.report import Check, skipped, verdict
 CONFIDENCE = 0.95
 
 
-def _percentiles(pair: Pair, cfg: CompareConfig, rows: int) -> dict:
-    found = order_stats.column_percentiles(pair, pair.numeric_columns(), cfg.percentiles, cfg.rows_per_bin, rows)
-    return {(r[IS_SOURCE], r["column"], r["stat"]): r["value"] for r in found.collect()}
+def _percentiles(cfg: CompareConfig, ranked: list) -> dict:
+    """(is_source, column, stat) -> value, from the rows of the ranking job."""
+    out = {}
+    for r in ranked:
+        for side, key in ((True, "source_percentiles"), (False, "target_percentiles")):
+            for p, value in zip(cfg.percentiles, (r[key] if cfg.percentiles else None) or []):
+                out[(side, r["column"], order_stats.percentile_name(p))] = value
+    return out
 
 
 def start(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
     if not pair.numeric_columns():
         return
-    jobs.start("percentiles", _percentiles, pair, cfg, max(facts.row_count(True), facts.row_count(False)))
-    jobs.start(
-        "cardinality", lambda: cardinality.cardinality(pair, cfg.stat_tolerance, cfg.cardinality_rsd).collect()
-    )
+    jobs.start("cardinality", lambda: cardinality.cardinality(pair, cfg.stat_tolerance, cfg.cardinality_rsd).collect())
 
 
 def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]:
@@ -35,7 +37,8 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
                 STATISTICAL, "statistical_profile", "there are no numeric columns", "runs once a numeric column is present"
             )
         ]
-    percentiles, ms = jobs.result("percentiles")
+    ranked, ms = jobs.result("ranks")
+    percentiles = _percentiles(cfg, ranked)
     profiles, issues, stats = {}, [], 0
     names = [order_stats.percentile_name(p) for p in cfg.percentiles]
     for c in numeric:

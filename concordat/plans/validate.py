@@ -78,8 +78,11 @@ class Report:
 
     def cell_diff(self) -> DataFrame:
         """Every differing cell under the keys both sides have, complete and lazy."""
-        changed = self.row_diff().where(f"difference = '{keyed_diff.CHANGED}'")
-        return keyed_diff.cell_diff(self.pair, self.config.primary_key, changed.select(*map(quoted, self.config.primary_key)))
+        key = self.config.primary_key
+        changed = self.row_diff().where(f"difference = '{keyed_diff.CHANGED}'").select(*map(quoted, key))
+        counted = [c.details["by_difference"] for c in self.check_rows if "by_difference" in c.details]
+        n_keys = counted[0].get(keyed_diff.CHANGED, {}).get("n_keys", 0) if counted else None
+        return keyed_diff.cell_diff(self.pair, key, changed, n_keys)
 
     def save(self, path: str) -> None:
         write_checks(self.checks, path)

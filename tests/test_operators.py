@@ -90,6 +90,21 @@ def test_percentiles_equal_numpy(spark, rows_per_bin):
     assert got[(False, "a", "p50")] == 1.5 and got[(False, "b", "p99")] == 4
 
 
+@pytest.mark.parametrize("how", [{}, {"rows_per_bin": 20, "ranks_per_block": 11}])
+def test_percentiles_out_of_the_ranking(spark, how):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 100, 101), rng.integers(0, 4, 101)
+    pair = pair_of(spark, [(float(x), int(y)) for x, y in zip(a, b)], [(1.0, None), (2.0, None)], "a double, b bigint")
+    numbers = {(True, "a"): 101, (True, "b"): 101, (False, "a"): 2, (False, "b"): 0}
+    ps = [0.0, 0.5, 0.95, 1.0]
+    found = order_stats.rank_differences(pair, ["a", "b"], percentiles=ps, numbers=numbers, **how)
+    got = {r["column"]: r for r in found.collect()}
+    assert got["a"]["source_percentiles"] == pytest.approx([np.quantile(a, p) for p in ps], rel=1e-12)
+    assert got["b"]["source_percentiles"] == pytest.approx([np.quantile(b, p) for p in ps])
+    assert got["a"]["target_percentiles"] == pytest.approx([1.0, 1.5, 1.95, 2.0])
+    assert got["b"]["target_percentiles"] == [None] * 4
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=40),
