@@ -33,7 +33,7 @@ DATE_FORMATS = [
     (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "M/d/yyyy"),
 ]
 # Cheap test that comes before all shapes.
-DATE_START = r"^[0-9]{1,4}[-/.0-9]"
+DATE_START = r"^([0-9]{8}$|[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4})"
 
 # try_cast also takes Java suffixes such as "1d"; this is the shape of plain numerals.
 NUMERAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"

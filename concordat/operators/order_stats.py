@@ -24,7 +24,7 @@ from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
 
 MAX_BINS = 10_000
-RANKS_PER_BLOCK = 1_000_000
+RANKS_PER_BLOCK = 100_000
 
 
 def percentile_name(p: float) -> str:

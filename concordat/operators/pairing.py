@@ -33,6 +33,11 @@ class Pair:
     def dtype(self, column: str) -> T.DataType:
         return self.schema[column].dataType
 
+    def subset(self, columns: list[str]) -> "Pair":
+        fields = [self.schema[c] for c in columns]
+        chosen = [quoted(c) for c in columns]
+        return Pair(self.source.selectExpr(*chosen), self.target.selectExpr(*chosen), T.StructType(fields))
+
     def numeric_columns(self) -> list[str]:
         return [f.name for f in self.schema.fields if is_numeric(f.dataType)]
 
@@ -48,6 +53,19 @@ class Pair:
         )
 
 
+def source_only(pair: Pair) -> Pair:
+    """For what is known to be the same on both sides: the target's scan is pruned away."""
+    return Pair(pair.source, pair.target.where("false"), pair.schema)
+
+
+def as_doubles(pair: Pair, columns: list[str]) -> Pair:
+    """The pair with some numeric columns as doubles, for columns whose values a double holds
+    exactly: one type means one pass where operators work type by type."""
+    chosen = [f"CAST({quoted(c)} AS double) AS {quoted(c)}" if c in columns else quoted(c) for c in pair.columns]
+    fields = [T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in pair.schema.fields]
+    return Pair(pair.source.selectExpr(*chosen), pair.target.selectExpr(*chosen), T.StructType(fields))
+
+
 def both_sides(long: DataFrame, by: list[str], values: dict[str, str], default: str | None = None) -> DataFrame:
     """Bring the rows of the two sides onto one: ``values`` maps a column to the stem of its
     new names (``source_<stem>``, ``target_<stem>``); ``default`` stands in for an absent side."""

@@ -16,11 +16,12 @@ from concordat.operators.pairing import IS_SOURCE, Pair, both_sides
 MOMENTS = ["min", "max", "mean", "stddev"]
 
 
-def side_profile(pair: Pair, coerced: list[str] | None = None) -> DataFrame:
+def side_profile(pair: Pair, coerced: list[str] | None = None, moments: bool = True) -> DataFrame:
     """Rows (is_source, column, is_numeric, rows, non_null, nulls, numbers, total, min, max,
     mean, stddev, null_ratio). Moments are null for columns that are neither numeric nor in
-    ``coerced`` (text columns asked to be read as numbers)."""
-    numeric = set(pair.numeric_columns()) | set(coerced or [])
+    ``coerced`` (text columns asked to be read as numbers), and for all columns without
+    ``moments``."""
+    numeric = set(pair.numeric_columns()) | set(coerced or []) if moments else set()
     aggs, rows = {"rows": "count(1)"}, []
     for i, c in enumerate(pair.columns):
         aggs[f"nn{i}"] = f"count({quoted(c)})"

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from concordat.config import BUSINESS, CompareConfig
 from concordat.functions.sql import quoted
+from concordat.functions.types import family
 from concordat.operators import order_stats, totals
-from concordat.operators.pairing import Pair
+from concordat.operators.pairing import Pair, as_doubles, source_only
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
 
 GROUPS_SHOWN = 10
+EXACT_IN_DOUBLE = 2**53
 
 
 def within(a, b, absolute: float, relative: float) -> bool:
@@ -32,18 +34,64 @@ def _shared_aggregation_columns(pair: Pair, cfg: CompareConfig) -> tuple[list[st
     return known, [c for c in cfg.aggregation_columns if c not in pair.columns]
 
 
-def _ranks(pair: Pair, cfg: CompareConfig, facts: Facts) -> list:
-    """Differences by rank, and the percentiles layer 4 needs, from one ranking of both sides."""
-    columns = pair.numeric_columns()
+def _ranking_pair(pair: Pair, facts: Facts) -> Pair:
+    """Integers a double holds exactly join the doubles, for one pass instead of two."""
+    integers = [c for c in pair.numeric_columns() if family(pair.dtype(c)) == "integer"]
+    return as_doubles(pair, [c for c in integers if facts.largest(c) <= EXACT_IN_DOUBLE])
+
+
+def _ranks(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[dict]:
+    """Differences by rank and percentiles of the columns whose digests do not agree."""
+    _, same = jobs.alike(pair.numeric_columns())
+    columns = [c for c in pair.numeric_columns() if c not in same]
+    if not columns:
+        return []
     found = order_stats.rank_differences(
-        pair,
+        _ranking_pair(pair, facts),
         columns,
         cfg.rows_per_bin,
         max(facts.row_count(True), facts.row_count(False)),
         percentiles=cfg.percentiles,
         numbers={(side, c): facts.numbers(side, c) for side in (True, False) for c in columns},
     )
-    return order_stats.exceeds_tolerance(found, {c: cfg.tolerance_for(c) for c in columns}).collect()
+    rows = order_stats.exceeds_tolerance(found, {c: cfg.tolerance_for(c) for c in columns}).collect()
+    return [r.asDict() for r in rows]
+
+
+def _percentiles_of_same(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[dict]:
+    """The same rows for columns whose digests agree: there is no difference to look for, and
+    the percentiles of one side, which take no shuffle of the values, are those of both."""
+    _, same = jobs.alike(pair.numeric_columns())
+    if not same:
+        return []
+    one_side, rows = source_only(_ranking_pair(pair, facts)), facts.row_count(True)
+    read = order_stats.column_percentiles(one_side, same, cfg.percentiles, cfg.rows_per_bin, rows).collect()
+    stats = {(r["column"], r["stat"]): r["value"] for r in read}
+    out = []
+    for c in same:
+        values = [stats.get((c, order_stats.percentile_name(p))) for p in cfg.percentiles]
+        n, (absolute, relative) = facts.numbers(True, c), cfg.tolerance_for(c)
+        out.append(
+            {
+                "column": c,
+                "source_count": n,
+                "target_count": n,
+                "max_absolute_diff": 0.0 if n else None,
+                "max_relative_diff": 0.0 if n else None,
+                "source_percentiles": values,
+                "target_percentiles": values,
+                "abs_tolerance": absolute,
+                "rel_tolerance": relative,
+                "exceeds": False,
+            }
+        )
+    return out
+
+
+def ranked(jobs: Jobs) -> tuple[list[dict], float]:
+    """One row per numeric column, from both jobs."""
+    (unlike, ms), (same, ms_same) = jobs.result("ranks"), jobs.result("percentiles")
+    return unlike + same, max(ms, ms_same)
 
 
 def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
@@ -71,7 +119,8 @@ def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
 
 def start(source: DataFrame, target: DataFrame, pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
     if pair.numeric_columns():
-        jobs.start("ranks", _ranks, pair, cfg, facts)
+        jobs.start("ranks", _ranks, pair, cfg, facts, jobs)
+        jobs.start("percentiles", _percentiles_of_same, pair, cfg, facts, jobs)
     known, _ = _shared_aggregation_columns(pair, cfg)
     if cfg.group_by_columns and known:
         jobs.start("groups", _groups, pair, cfg, known)
@@ -111,8 +160,8 @@ def _tolerance(pair: Pair, jobs: Jobs) -> Check:
     columns = pair.numeric_columns()
     if not columns:
         return skipped(BUSINESS, name, "there are no numeric columns", "runs by itself once a numeric column is present")
-    found, ms = jobs.result("ranks")
-    over = [{k: v for k, v in r.asDict().items() if not k.endswith("_percentiles")} for r in found if r["exceeds"]]
+    found, ms = ranked(jobs)
+    over = [{k: v for k, v in r.items() if not k.endswith("_percentiles")} for r in found if r["exceeds"]]
     return verdict(
         BUSINESS,
         name,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concordat.config import DATA_LEVEL, CompareConfig
 from concordat.operators import duplicates, fingerprint, keyed_diff
-from concordat.operators.pairing import IS_SOURCE, Pair
+from concordat.operators.pairing import IS_SOURCE, Pair, source_only
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
@@ -19,7 +19,15 @@ def _digests(pair: Pair, cfg: CompareConfig) -> dict[str, dict]:
     return fingerprint.roll_up(partial.collect(), pair.columns)
 
 
-def _diff(pair: Pair, cfg: CompareConfig) -> dict:
+def _duplicates(pair: Pair, jobs: Jobs) -> dict[str, int]:
+    same_rows, _ = jobs.alike(pair.columns)
+    found = duplicates.duplicate_rows(source_only(pair) if same_rows else pair).first().asDict()
+    return found | {"target_duplicates": found["source_duplicates"]} if same_rows else found
+
+
+def _diff(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> dict:
+    if jobs.alike(pair.columns)[0]:
+        return {"counts": {}, "sample": []}
     diff = keyed_diff.row_diff(pair, cfg.primary_key).persist()
     try:
         counts = {r["difference"]: r.asDict() for r in keyed_diff.diff_counts(diff).collect()}
@@ -37,9 +45,9 @@ def start(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
     if facts.row_count(True) != facts.row_count(False):
         return
     jobs.start("digests", _digests, pair, cfg)
-    jobs.start("duplicates", lambda: duplicates.duplicate_rows(pair).first())
+    jobs.start("duplicates", _duplicates, pair, jobs)
     if usable_key(pair, cfg):
-        jobs.start("row_diff", _diff, pair, cfg)
+        jobs.start("row_diff", _diff, pair, cfg, jobs)
 
 
 def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]:
@@ -92,7 +100,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
             f"{dup['source_duplicates']:,} repeated rows on both sides",
             f"{dup['source_duplicates']:,} repeated rows in {cfg.source_label}, "
             f"{dup['target_duplicates']:,} in {cfg.target_label}",
-            dup.asDict(),
+            dup,
             ms_dup,
         )
     )

@@ -36,6 +36,11 @@ class Facts:
     def moment(self, is_source: bool, column: str, what: str) -> float | None:
         return self._get(is_source, column, what)
 
+    def largest(self, column: str) -> float:
+        """The largest magnitude on either side, 0 without values."""
+        ends = [self.moment(side, column, end) for side in (True, False) for end in ("min", "max")]
+        return max((abs(e) for e in ends if e is not None), default=0.0)
+
     def total(self, is_source: bool, column: str, function: str) -> float | None:
         value = self._get(is_source, column, {"SUM": "total", "COUNT": "numbers", "AVG": "mean"}[function])
         return float(value) if value is not None else None if function == "AVG" else 0.0

@@ -25,6 +25,18 @@ class Jobs:
         """The job's value and its duration in ms; raises what the job raised."""
         return self._running[name].result()
 
+    def alike(self, columns: list[str]) -> tuple[bool, list[str]]:
+        """What the digests already settle: whether all rows agree, and which columns hold
+        the same values on both sides. Such columns cannot differ by rank, in their distinct
+        counts or in their percentiles, and such tables not under any key, so the heavier
+        jobs look at one side or not at all. Nothing is settled where no digests were taken.
+        Waits for the digests, which must have been started first.
+        """
+        if "digests" not in self._running:
+            return False, []
+        digests, _ = self.result("digests")
+        return digests["table"]["all"]["matches"], [c for c in columns if digests["column"][c]["matches"]]
+
     def __enter__(self) -> "Jobs":
         return self
 

@@ -6,6 +6,7 @@ from concordat.config import STATISTICAL, CompareConfig
 from concordat.operators import cardinality, order_stats
 from concordat.operators.pairing import Pair
 from concordat.operators.profile import MOMENTS
+from concordat.plans.business import ranked
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
@@ -13,12 +14,21 @@ from concordat.plans.report import Check, skipped, verdict
 CONFIDENCE = 0.95
 
 
-def _percentiles(cfg: CompareConfig, ranked: list) -> dict:
-    """(is_source, column, stat) -> value, from the rows of the ranking job."""
+def _cardinality(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> list[dict]:
+    """Columns whose digests agree have the same distinct count; only the others are counted."""
+    _, same = jobs.alike(pair.columns)
+    other = pair.subset([c for c in pair.columns if c not in same])
+    if not other.columns:
+        return []
+    return [r.asDict() for r in cardinality.cardinality(other, cfg.stat_tolerance, cfg.cardinality_rsd).collect()]
+
+
+def _percentiles(cfg: CompareConfig, found: list[dict]) -> dict:
+    """(is_source, column, stat) -> value, from the rows of the ranking jobs."""
     out = {}
-    for r in ranked:
+    for r in found:
         for side, key in ((True, "source_percentiles"), (False, "target_percentiles")):
-            for p, value in zip(cfg.percentiles, (r[key] if cfg.percentiles else None) or []):
+            for p, value in zip(cfg.percentiles, r.get(key) or []):
                 out[(side, r["column"], order_stats.percentile_name(p))] = value
     return out
 
@@ -26,7 +36,7 @@ def _percentiles(cfg: CompareConfig, ranked: list) -> dict:
 def start(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
     if not pair.numeric_columns():
         return
-    jobs.start("cardinality", lambda: cardinality.cardinality(pair, cfg.stat_tolerance, cfg.cardinality_rsd).collect())
+    jobs.start("cardinality", _cardinality, pair, cfg, jobs)
 
 
 def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]:
@@ -37,8 +47,8 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
                 STATISTICAL, "statistical_profile", "there are no numeric columns", "runs once a numeric column is present"
             )
         ]
-    ranked, ms = jobs.result("ranks")
-    percentiles = _percentiles(cfg, ranked)
+    found, ms = ranked(jobs)
+    percentiles = _percentiles(cfg, found)
     profiles, issues, stats = {}, [], 0
     names = [order_stats.percentile_name(p) for p in cfg.percentiles]
     for c in numeric:
@@ -97,7 +107,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
         )
     )
     counted, ms_card = jobs.result("cardinality")
-    off = [r.asDict() for r in counted if r["deviates"]]
+    off = [r for r in counted if r["deviates"]]
     checks.append(
         verdict(
             STATISTICAL,

@@ -147,7 +147,8 @@ def validate(
     report.layers[STRUCTURAL] = _isolated(STRUCTURAL, lambda: structural.run(source, target, cfg, facts))
     if report.layer_status(STRUCTURAL) == PASSED:
         pair = report.pair
-        with Jobs() as jobs:
+        with Jobs(at_once=8) as jobs:
+            # The digests go first: most other jobs wait for what they settle.
             data_level.start(pair, cfg, known[0], jobs)
             business.start(source, target, pair, cfg, known[0], jobs)
             statistics.start(pair, cfg, known[0], jobs)

@@ -196,9 +196,26 @@ def test_a_crashing_layer_does_not_end_the_run(spark, monkeypatch):
         raise RuntimeError("out of order")
 
     monkeypatch.setattr(cardinality, "cardinality", crash)
-    r = run(spark, order_table(20), order_table(20))
-    assert failed(r) == {"layer_execution_error"}
-    assert "out of order" in r.layers["4_statistical"][0].message and len(r.layers) == 4
+    r = run(spark, order_table(20), order_table(20, noise=0.1))
+    (only,) = r.layers["4_statistical"]
+    assert only.name == "layer_execution_error" and "out of order" in only.message
+    assert len(r.layers) == 4 and r.check("float_tolerance").details["issues"]
+
+
+def test_what_the_digests_settle_equals_the_full_checks(spark, monkeypatch):
+    from concordat.plans.jobs import Jobs
+
+    target = order_table(120)
+    target.loc[5:50, "revenue"] += 3
+    config = dict(primary_key=["order_id"], aggregation_columns=["qty"], group_by_columns=["region"])
+    statuses = lambda r: [(c.name, c.status, c.message) for c in r.check_rows]
+    profiles = lambda r: r.check("per_column_statistics").details["column_profiles"]
+    for other in (target, order_table(120)):
+        short = run(spark, order_table(120), other, **config)
+        with monkeypatch.context() as m:
+            m.setattr(Jobs, "alike", lambda self, columns: (False, []))
+            full = run(spark, order_table(120), other, **config)
+        assert statuses(short) == statuses(full) and profiles(short) == profiles(full)
 
 
 def test_load_error_is_a_failed_report(spark):
