@@ -19,7 +19,7 @@ from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pai
 CHANGED, MISSING, EXTRA = "changed", "missing_in_target", "extra_in_target"
 # Keys to look up are broadcast up to this count, beyond it the lookup is a shuffled join.
 BROADCAST_KEYS = 200_000
-HASHES = ("h0", "h1")
+HASHES = ("__h0", "__h1")
 PIECE_BITS, PIECES = 22, 3
 
 
@@ -39,8 +39,8 @@ def row_diff(pair: Pair, key: list[str]) -> DataFrame:
     for h in HASHES[: len(hashes)]:
         for i in range(PIECES):
             piece = f"(shiftrightunsigned({h}, {PIECE_BITS * i}) & {(1 << PIECE_BITS) - 1}L)"
-            aggs[f"__{h}{i}"] = f"sum(CASE WHEN {FROM_SOURCE} THEN {piece} ELSE -{piece} END)"
-            balances.append(f"__{h}{i} <> 0")
+            aggs[f"{h}{i}"] = f"sum(CASE WHEN {FROM_SOURCE} THEN {piece} ELSE -{piece} END)"
+            balances.append(f"{h}{i} <> 0")
     differs = " OR ".join(["source_rows <> target_rows", *balances])
     label = (
         f"CASE WHEN target_rows = 0 THEN '{MISSING}' WHEN source_rows = 0 THEN '{EXTRA}' ELSE '{CHANGED}' END AS difference"
@@ -80,33 +80,33 @@ def cell_diff(pair: Pair, key: list[str], changed: DataFrame, n_keys: int | None
     """
     others = [c for c in pair.columns if c not in key]
     rows = _lookup(pair.tagged(), changed, key, n_keys)
-    cells = [struct(column=literal(c), value=canonical_text(quoted(c), pair.dtype(c))) for c in others]
+    cells = [struct(__column=literal(c), __value=canonical_text(quoted(c), pair.dtype(c))) for c in others]
     keys = list(map(quoted, key))
     values = aggregate(
         unpivot(rows, [*keys, IS_SOURCE], cells),
-        [*key, "column", "value"],
+        [*key, "__column", "__value"],
         {"__surplus": f"sum(CASE WHEN {FROM_SOURCE} THEN 1 ELSE -1 END)"},
     ).where("__surplus <> 0")
     # One unmatched value a side makes a changed cell. The group has one row per distinct
     # unmatched value, and its counts combine before the shuffle.
     shape = aggregate(
         values,
-        [*key, "column"],
+        [*key, "__column"],
         {
             "__over": "sum(greatest(__surplus, 0))",
             "__under": "sum(greatest(-__surplus, 0))",
-            "source_value": "max(CASE WHEN __surplus > 0 THEN value END)",
-            "target_value": "max(CASE WHEN __surplus < 0 THEN value END)",
+            "source_value": "max(CASE WHEN __surplus > 0 THEN __value END)",
+            "target_value": "max(CASE WHEN __surplus < 0 THEN __value END)",
         },
     )
-    single = "__over = 1 AND __under = 1"
-    paired = shape.where(single).selectExpr(*keys, "`column`", "source_value", "target_value", "1L AS n")
-    crowded = _as_marks(shape.where(f"NOT ({single})"), key, "`column` AS __c")
-    listed = values.join(crowded, F.expr(f"`column` = __c AND {_same_key(key)}"), "left_semi").selectExpr(
+    single, column = "__over = 1 AND __under = 1", "__column AS `column`"
+    paired = shape.where(single).selectExpr(*keys, column, "source_value", "target_value", "1L AS n")
+    crowded = _as_marks(shape.where(f"NOT ({single})"), key, "__column AS __c")
+    listed = values.join(crowded, F.expr(f"__column = __c AND {_same_key(key)}"), "left_semi").selectExpr(
         *keys,
-        "`column`",
-        "CASE WHEN __surplus > 0 THEN value END AS source_value",
-        "CASE WHEN __surplus < 0 THEN value END AS target_value",
+        column,
+        "CASE WHEN __surplus > 0 THEN __value END AS source_value",
+        "CASE WHEN __surplus < 0 THEN __value END AS target_value",
         "abs(__surplus) AS n",
     )
     return paired.unionAll(listed)

@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.config import PASSED, CHECKS_SCHEMA, CompareConfig
-from concordat.plans.report import overall_status
+from concordat.config import PASSED, CompareConfig
+from concordat.plans.report import checks_frame, overall_status
 from concordat.plans.validate import Report, validate
 from concordat.sinks.reports import write_checks
 from concordat.sources.paths import list_csv
@@ -43,9 +43,9 @@ def compare_many(
     cfg = config or CompareConfig()
     cfg = replace(cfg, run_id=cfg.effective_run_id())
     reports = [validate(expected, output, replace(cfg, comparison=name), spark) for name, output, expected in pairs]
-    frames = [r.checks for r in reports if r.check_rows]
-    checks = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], CHECKS_SCHEMA)
-    if report_path and frames:
+    rows = [row for r in reports for row in r.rows()]
+    checks = checks_frame(spark, rows)
+    if report_path and rows:
         write_checks(checks, report_path)
     return MultiReport(reports, checks)
 

@@ -31,8 +31,9 @@ def skipped(layer: str, name: str, message: str, to_enable: str) -> Check:
     return Check(layer, name, SKIPPED, message, skipped_reason=to_enable)
 
 
-def checks_frame(spark: SparkSession, checks: list[Check], cfg: CompareConfig, run_id: str) -> DataFrame:
-    rows = [
+def as_rows(checks: list[Check], cfg: CompareConfig, run_id: str) -> list[tuple]:
+    """Checks in the order of ``CHECKS_SCHEMA``."""
+    return [
         (
             run_id,
             cfg.comparison,
@@ -46,6 +47,9 @@ def checks_frame(spark: SparkSession, checks: list[Check], cfg: CompareConfig, r
         )
         for c in checks
     ]
+
+
+def checks_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, CHECKS_SCHEMA)
 
 

@@ -18,7 +18,7 @@ from concordat.operators.pairing import Pair, align
 from concordat.plans import business, data_level, statistics, structural
 from concordat.plans.facts import Facts, gather
 from concordat.plans.jobs import Jobs
-from concordat.plans.report import Check, checks_frame
+from concordat.plans.report import Check, as_rows, checks_frame
 from concordat.session import materialise
 from concordat.sinks.reports import write_checks
 from concordat.sources.csv_tables import detect_delimiter, read_inferred
@@ -53,9 +53,12 @@ class Report:
     def check(self, name: str) -> Check:
         return next(c for c in self.check_rows if c.name == name)
 
+    def rows(self) -> list[tuple]:
+        return as_rows(self.check_rows, self.config, self.run_id)
+
     @cached_property
     def checks(self) -> DataFrame:
-        return checks_frame(self.spark, self.check_rows, self.config, self.run_id)
+        return checks_frame(self.spark, self.rows())
 
     @property
     def summary(self) -> dict:

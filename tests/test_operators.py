@@ -158,6 +158,14 @@ def test_cell_diff_lists_every_changed_cell(spark):
         assert got == {("s", "a", "z"), ("d", "1.5", "2.5"), ("n", None, "y")}
 
 
+def test_key_columns_may_be_named_like_the_output(spark):
+    schema = "`column` int, value int, source_rows int, h0 int"
+    pair = pair_of(spark, [(1, 2, 3, 4), (5, 6, 7, 8)], [(1, 2, 3, 9), (5, 6, 7, 8)], schema)
+    key = ["column", "value"]
+    diff = keyed_diff.row_diff(pair, key)
+    assert diff.count() == 1 and keyed_diff.cell_diff(pair, key, diff.select(*key), 1).count() == 1
+
+
 def test_lookup_beyond_the_broadcast_limit_gives_the_same(spark, monkeypatch):
     pair = pair_of(spark, [(i, i) for i in range(50)], [(i, i + (i < 9)) for i in range(50)], "k int, v int")
     changed = keyed_diff.row_diff(pair, ["k"]).select("k")
