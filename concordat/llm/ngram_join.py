@@ -381,3 +381,14 @@ def _blocks(rest: DataFrame, cells: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
     dealt = dealt.select("sig", "lo", "hi", "block", "node", "comp", "n", "cells")
     return dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, without those linked to a document of a smaller doc_id.
+
+    The few ids that go are looked up; rows that share a doc_id go or stay together. Rows of equal sets have to
+    differ in doc_id for all but one to go, so exact dedup comes first. Null ids stay.
+    """
+    gone = similarity_classes(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialise(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import chat_format, exact_dedup, mixing, ngram_join
+from concordat.llm import chat_format, exact_dedup, mixing, ngram_join, ordinal_quality, packing, repetition
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_quality.score(docs, ordinal_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +49,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op9_repetition_rules": op9_repetition_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }

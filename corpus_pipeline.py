@@ -4,20 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import exact_dedup, mixing
+from concordat.llm import exact_dedup, mixing, ngram_join, ordinal_quality, packing
 from concordat.session import materialise
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; it is fitted on the labelled ones among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return ordinal_quality.select_good(docs, ordinal_quality.train(docs, labels))
+
+
 def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one that names it stays, with those that have no words."""
+    return ngram_join.one_of_each(docs)
+
+
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", _exact_dedup), ("mixing", _mixing)]
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", _quality),
+    ("exact dedup", _exact_dedup),
+    ("n-gram Jaccard join", _near_dedup),
+    ("mixing sources to target weights", _mixing),
+    ("best-fit packing", _packing),
+]
 
+#: The classifier and the tokenizer have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
