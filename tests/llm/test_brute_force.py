@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from concordat.llm import packing
+from concordat.llm import packing, secret_scan
 from concordat.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,3 +122,37 @@ def test_quality(spark, sf_dir):
     rows = QUERIES["op6_quality_classifier"](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(0 <= r["p_good"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows)
+
+
+def base_secrets(text: str) -> list:
+    """The three patterns, scanned by hand from left to right."""
+    words = re.compile("(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    out, at = [], 0
+    while m := words.search(text.translate(LOWER), at):
+        out += [(m.start(), 0, m.end())] if len(m[2]) >= 6 else []
+        at = m.end()
+    for kind, pattern, least in ((1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(out)
+
+
+def test_secrets(spark, sf_dir, texts):
+    names = ("assign", "access", "hex")
+    rows = {r["doc_id"]: r for r in QUERIES["op5_secret_scan"](spark, sf_dir).collect()}
+    assert rows.keys() == texts.keys()
+    for k, text in texts.items():
+        want = base_secrets(text)
+        listed = [f"{names[kind]}:{a}:{b}" for a, kind, b in want]
+        assert rows[k]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [rows[k][f"n_{n}"] for n in names] == [sum(kind == i for _, kind, _ in want) for i in range(3)]
+        assert set(listed) <= set(rows[k]["spans"].split(","))
+
+
+def test_inferred_grammar_knows_the_format():
+    rng = random.Random(5)
+    made = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    keys = ["AKIA" + made(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(400)]
+    other = [made(16, "0123456789") for _ in range(400)] + [made(rng.randint(12, 20), "abcdefghij") + "1" for _ in range(400)]
+    rules = secret_scan.learn({1: keys[:300]}, other[:200] + other[400:600])
+    assert sum(map(rules.likely, keys[300:])) >= 95
+    assert sum(map(rules.likely, other[200:400] + other[600:])) <= 4
