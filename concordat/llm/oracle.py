@@ -62,4 +62,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows_ GROUP BY conv_id
 """
 
-ORACLE = {"op3_source_mixing": OP3, "op8_exact_dedup": OP8, "op10_chat_formatting": OP10}
+OP2 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p
+), r AS (
+  SELECT *, first_value(page_id) OVER w AS first_id, row_number() OVER w AS place
+  FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST)
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM r
+"""
+
+ORACLE = {"op2_warc": OP2, "op3_source_mixing": OP3, "op8_exact_dedup": OP8, "op10_chat_formatting": OP10}

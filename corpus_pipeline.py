@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.llm import exact_dedup, mixing, ngram_join, ordinal_quality, packing
-from concordat.session import materialise
+from concordat.session import materialise, ship_package
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps; it is fitted on the labelled ones among them."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return ordinal_quality.select_good(docs, ordinal_quality.train(docs, labels))
 
 
 def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one that names it stays, with those that have no words."""
+    ship_package(spark)
     return ngram_join.one_of_each(docs)
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return mixing.mix(docs)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return packing.pack(docs)
 
 

@@ -124,6 +124,13 @@ def test_quality(spark, sf_dir):
     assert all(0 <= r["p_good"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in rows)
 
 
+def test_separator_scan(spark, sf_dir, texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op7_separator_scan"](spark, sf_dir).collect()}
+    assert got == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in texts.items()}
+
+
 def base_secrets(text: str) -> list:
     """The three patterns, scanned by hand from left to right."""
     words = re.compile("(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
