@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20
 
 SEPARATOR = np.zeros(256, bool)

@@ -11,10 +11,11 @@ they agree on at least ``f - k`` filled ones. So only filled parts are used, and
 ``k + 1`` first in a common order (fullest first): if ``f > k``, two linked sets share one of them.
 A set with ``f <= k`` (small ones, by chance) gives each of its features as a signature as well.
 
-*Candidates.* The sets of a signature are compared with the smallest of them (a star, not all
-pairs). Linked ones fall into components; what is left of a signature is only pairs of
-other members in different components. They are compared in blocks by a bound from feature counts in 64
-cells, and what passes is verified on whole sets.
+*Candidates.* The sets of a signature are compared with one of them (a star, not all pairs), linked ones fall
+into components, and signatures that still have several components are compared with another of their members,
+``STAR_ROUNDS`` times. What is left are pairs of members in different components. These are compared in
+blocks. Before a pair is verified on whole sets, the counts of both sets in ``CELLS`` cells of the hash range have to
+allow the link: their differences add up to no more than the sets differ by.
 
 Texts with one set are one node from the start, so copies cost nothing further. Nodes are 64-bit
 sums of mixed feature hashes: among ``d`` different sets two share a node with odds d*d/2^65.
@@ -40,7 +41,9 @@ from concordat.session import materialise
 
 WIDTH = 5
 PERCENT = 80
-CELLS = 64
+CELLS = 512
+STAR_ROUNDS = 2  # after the first
+PAIRS = 1 << 13  # compared at a time
 BLOCK = 512  # sets of one signature that meet another such block in one group
 BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
 SEEN = 1 << 20  # nodes a task remembers so as to give the signatures of copies once
@@ -202,9 +205,9 @@ def _cells(width: int):
         for batch in batches:
             for _, features, n in sets_of(batch.column(0), width):
                 of = np.repeat(np.arange(len(n)), n)
-                cell = (features >> np.uint64(13)) % np.uint64(CELLS)
-                counts = np.bincount(of * CELLS + cell.astype(np.int64), minlength=len(n) * CELLS)
-                counts = np.minimum(counts, 65535).astype("<u2").reshape(len(n), CELLS)
+                cell = ((features >> np.uint64(13)) % np.uint64(CELLS)).astype(np.int64)
+                counts = np.bincount(of * CELLS + cell, minlength=len(n) * CELLS)
+                counts = np.minimum(counts, 255).astype(np.uint8).reshape(len(n), CELLS)
                 held = pa.array([row.tobytes() for row in counts], pa.binary())
                 yield pa.record_batch([pa.array(_nodes(features, n)), pa.array(n, pa.int64()), held], ["node", "n", "cells"])
 
@@ -243,6 +246,12 @@ def _verify(percent: int):
     return run
 
 
+def _allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the cell counts of two sets leave room for a link: a lower bound of their difference."""
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(1, dtype=np.int64)
+    return apart * (100 + percent) <= (100 - percent) * (n + m)
+
+
 def _close_pairs(percent: int):
     """Rows sorted by (sig, low, high, node, ...) become pairs that the cell counts don't rule out.
 
@@ -264,10 +273,9 @@ def _close_pairs(percent: int):
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok &= 100 * small >= percent * large
             i, j = i[ok], j[ok]
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                apart = np.abs(cells[x] - cells[y]).sum(1)
-                near = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+            for at in range(0, len(i), PAIRS):
+                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                near = _allowed(cells[x], cells[y], n[x], n[y], percent)
                 if near.any():
                     a, b = node[x[near]], node[y[near]]
                     yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -279,7 +287,7 @@ def _close_pairs(percent: int):
                 continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             held = b"".join(v.as_py() for v in batch.column(7))
-            cols.append(np.frombuffer(held, "<u2").reshape(-1, CELLS).astype(np.int32))
+            cols.append(np.frombuffer(held, np.uint8).reshape(-1, CELLS))
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -325,14 +333,11 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     links = materialise(_linked(_near(star_pairs, cells, percent), texts, width, percent), "linked")
     found = components(links)
-
-    rest = _unresolved(stars, found)
-    blocks = _blocks(rest, cells)
-    more = blocks.mapInArrow(_close_pairs(percent), "a long, b long").distinct()
-    more = materialise(more, "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(materialise(_linked(more, texts, width, percent), "linked"))
-        found = components(links)
+    for n in range(STAR_ROUNDS):
+        pairs = materialise(_near(_other_stars(_unresolved(stars, found), n), cells, percent), "pairs")
+        links, found = _extended(links, found, pairs, texts, width, percent)
+    pairs = materialise(_blocks(_unresolved(stars, found), cells).mapInArrow(_close_pairs(percent), "a long, b long").distinct(), "pairs")
+    links, found = _extended(links, found, pairs, texts, width, percent)
 
     held = known.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = held.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -342,15 +347,35 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     return with_words.unionByName(known.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _extended(links: DataFrame, found: DataFrame, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and components once those of stored ``pairs`` that are linked have been added."""
+    if pairs.isEmpty():
+        return links, found
+    more = materialise(_linked(pairs, texts, width, percent), "linked")
+    if more.isEmpty():
+        return links, found
+    links = links.unionByName(more)
+    return links, components(links)
+
+
+def _other_stars(rest: DataFrame, n: int) -> DataFrame:
+    """Pairs of a member of each signature, another one for each ``n``, with those in other components."""
+    hub = rest.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(n), "node")).alias("hub"))
+    both = rest.join(hub, "sig").where("comp <> hub.comp")
+    return both.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
 def _near(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """Pairs that sizes and cell counts don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), "<u2").reshape(-1, CELLS).astype(np.int32) for i in (4, 5))
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), np.uint8).reshape(-1, CELLS) for i in (4, 5))
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
             ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            ok &= np.abs(x - y).sum(1) * (100 + percent) <= (100 - percent) * (n + m)
+            for at in range(0, len(ok), PAIRS):
+                cut = slice(at, at + PAIRS)
+                ok[cut] &= _allowed(x[cut], y[cut], n[cut], m[cut], percent)
             ok = pa.array(ok)
             yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
