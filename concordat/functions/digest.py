@@ -26,6 +26,8 @@ def canonical_text(c: str, dtype: T.DataType) -> str:
     """One text per value, the same in any engine for integers, decimals, text and times."""
     if isinstance(dtype, T.StringType):
         return c
+    if isinstance(dtype, T.BinaryType):
+        return f"hex({c})"
     if isinstance(dtype, T.TimestampNTZType):
         return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
     if isinstance(dtype, T.TimestampType):

@@ -24,11 +24,17 @@ def relative_base(a: str) -> str:
 
 
 def absolute_diff(a: str, b: str) -> str:
-    return f"CAST(abs({a} - {b}) AS double)"
+    """Equal values differ by 0, infinities among them; an infinity differs from others without bound."""
+    return f"CASE WHEN {a} = {b} THEN 0D ELSE CAST(abs({a} - {b}) AS double) END"
 
 
 def relative_diff(a: str, b: str) -> str:
-    return f"({absolute_diff(a, b)} / {relative_base(a)})"
+    """Infinity over infinity would be no number: a difference without bound stays without bound."""
+    return f"CASE WHEN isnan({_ratio(a, b)}) THEN double('infinity') ELSE {_ratio(a, b)} END"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"(({absolute_diff(a, b)}) / {relative_base(a)})"
 
 
 def within_tolerance(a: str, b: str, absolute: str | float, relative: str | float) -> str:

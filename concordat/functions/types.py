@@ -88,4 +88,26 @@ def comparison_type(a: T.DataType, b: T.DataType) -> T.DataType:
         return T.TimestampNTZType()
     if fa == fb and fa in ("string", "boolean", "date"):
         return a
-    return a if a == b and not isinstance(a, T.MapType) else T.StringType()
+    return a if a == b and not holds_map(a) else T.StringType()
+
+
+def holds_map(dtype: T.DataType) -> bool:
+    """Maps have no order and no equality in Spark; a value with one inside is compared as JSON."""
+    if isinstance(dtype, T.StructType):
+        return any(holds_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType) or isinstance(dtype, T.ArrayType) and holds_map(dtype.elementType)
+
+
+def sorted_maps(c: str, dtype: T.DataType, depth: int = 0) -> str:
+    """The value with every map as the array of its entries in key order (SQL text)."""
+    x = f"x{depth}"
+    if isinstance(dtype, T.MapType):
+        entry = f"struct({x}.key AS key, {sorted_maps(f'{x}.value', dtype.valueType, depth + 1)} AS value)"
+        by_key = "(l, r) -> CASE WHEN l.key < r.key THEN -1 WHEN l.key > r.key THEN 1 ELSE 0 END"
+        return f"transform(array_sort(map_entries({c}), {by_key}), {x} -> {entry})"
+    if isinstance(dtype, T.ArrayType) and holds_map(dtype):
+        return f"transform({c}, {x} -> {sorted_maps(x, dtype.elementType, depth + 1)})"
+    if isinstance(dtype, T.StructType) and holds_map(dtype):
+        fields = ", ".join(f"{sorted_maps(f'{c}.`{f.name}`', f.dataType, depth)} AS `{f.name}`" for f in dtype.fields)
+        return f"CASE WHEN {c} IS NOT NULL THEN struct({fields}) END"
+    return c

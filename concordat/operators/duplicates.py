@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from concordat.functions.digest import row_hash
 from concordat.functions.sql import aggregate, quoted
 from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
 
-# Above this many suspect rows the lookup set is shuffled instead of broadcast.
-BROADCAST_ROWS = 200_000
-NARROW_COLUMNS = 8
-
-
 def _excess(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond the first of each distinct row. Equal rows fold before the shuffle."""
     grouped = aggregate(rows, [IS_SOURCE, *columns], {"__n": "count(1)"})
@@ -26,23 +20,11 @@ def _excess(rows: DataFrame, columns: list[str]) -> DataFrame:
 def duplicate_rows(pair: Pair) -> DataFrame:
     """One row (source_duplicates, target_duplicates), exact.
 
-    A narrow table is grouped by its columns. A wide one is first grouped by two 64-bit row
-    hashes, so 16 bytes a row are shuffled and not the row: rows whose hashes are unique
-    cannot be duplicates. Only rows sharing both hashes are then compared by content.
+    The table is first grouped by two 64-bit row hashes, so 16 bytes a row are shuffled and not the row: rows whose
+    hashes are unique cannot be duplicates. Only rows sharing both hashes are then compared by content.
     """
-    if len(pair.columns) <= NARROW_COLUMNS:
-        return _excess(pair.tagged(), pair.columns)
     hashes = [f"{row_hash(pair.typed(), seed)} AS __h{seed}" for seed in (0, 1)]
     keys = [IS_SOURCE, "__h0", "__h1"]
-    counted = aggregate(pair.tagged(*hashes), keys, {"__n": "count(1)"})
-    suspects = counted.where("__n > 1").select(*keys).persist()
-    try:
-        n = suspects.count()
-        lookup = F.broadcast(suspects) if n <= BROADCAST_ROWS else suspects
-        whole = pair.tagged(*[quoted(c) for c in pair.columns], *hashes)
-        found = _excess(whole.join(lookup, keys, "left_semi"), pair.columns).first()
-    finally:
-        suspects.unpersist()
-    return pair.source.sparkSession.sql(
-        f"SELECT {found[0]}L AS source_duplicates, {found[1]}L AS target_duplicates"
-    )
+    suspects = aggregate(pair.tagged(*hashes), keys, {"__n": "count(1)"}).where("__n > 1").select(*keys)
+    whole = pair.tagged(*[quoted(c) for c in pair.columns], *hashes)
+    return _excess(whole.join(suspects, keys, "left_semi"), pair.columns)

@@ -15,10 +15,9 @@ from concordat.functions.digest import canonical_text, row_hash
 from concordat.functions.numbers import absolute_diff, relative_diff
 from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
+from concordat.session import materialise
 
 CHANGED, MISSING, EXTRA = "changed", "missing_in_target", "extra_in_target"
-# Keys to look up are broadcast up to this count, beyond it the lookup is a shuffled join.
-BROADCAST_KEYS = 200_000
 HASHES = ("__h0", "__h1")
 PIECE_BITS, PIECES = 22, 3
 
@@ -63,15 +62,12 @@ def _as_marks(keys: DataFrame, key: list[str], *more: str) -> DataFrame:
     return keys.selectExpr(*[f"{quoted(k)} AS __k{i}" for i, k in enumerate(key)], *more)
 
 
-def _lookup(rows: DataFrame, keys: DataFrame, key: list[str], n_keys: int | None) -> DataFrame:
-    """Rows whose key is among ``keys``; broadcast only behind a known, checked count."""
-    marks = _as_marks(keys, key)
-    if n_keys is not None and n_keys <= BROADCAST_KEYS:
-        marks = F.broadcast(marks)
-    return rows.join(marks, F.expr(_same_key(key)), "left_semi")
+def _lookup(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key is among ``keys``; the join is picked by the size of the keys as they turn out."""
+    return rows.join(_as_marks(keys, key), F.expr(_same_key(key)), "left_semi")
 
 
-def cell_diff(pair: Pair, key: list[str], changed: DataFrame, n_keys: int | None = None) -> DataFrame:
+def cell_diff(pair: Pair, key: list[str], changed: DataFrame) -> DataFrame:
     """(key..., column, source_value, target_value, n) for the keys in ``changed``.
 
     Values are text. Of every changed key the values that stand on both sides equally often
@@ -79,7 +75,7 @@ def cell_diff(pair: Pair, key: list[str], changed: DataFrame, n_keys: int | None
     repeated key each unmatched value is listed on its own side with its count.
     """
     others = [c for c in pair.columns if c not in key]
-    rows = _lookup(pair.tagged(), changed, key, n_keys)
+    rows = _lookup(pair.tagged(), changed, key)
     cells = [struct(__column=literal(c), __value=canonical_text(quoted(c), pair.dtype(c))) for c in others]
     keys = list(map(quoted, key))
     values = aggregate(
@@ -87,6 +83,8 @@ def cell_diff(pair: Pair, key: list[str], changed: DataFrame, n_keys: int | None
         [*key, "__column", "__value"],
         {"__surplus": f"sum(CASE WHEN {FROM_SOURCE} THEN 1 ELSE -1 END)"},
     ).where("__surplus <> 0")
+    # Read three times below, so stored: it holds what differs, the row diff beneath it runs once.
+    values = materialise(values, "changed-values")
     # One unmatched value a side makes a changed cell. The group has one row per distinct
     # unmatched value, and its counts combine before the shuffle.
     shape = aggregate(
@@ -115,29 +113,38 @@ def cell_diff(pair: Pair, key: list[str], changed: DataFrame, n_keys: int | None
 def diff_sample(pair: Pair, key: list[str], diff: DataFrame, limit: int = 20) -> DataFrame:
     """The first ``limit`` differing keys in key order with their rows from both sides."""
     first = diff.orderBy(*map(quoted, key)).limit(limit)
-    return _lookup(pair.tagged(), first, key, limit)
+    return _lookup(pair.tagged(), first, key)
 
 
 def key_differences(pair: Pair, key: list[str], columns: list[str]) -> DataFrame:
     """Numeric columns compared under the key instead of by rank.
 
-    Rows (column, source_count, target_count, max_absolute_diff, max_relative_diff) over
-    keys that hold one row on each side; counts are of non-null values over all rows.
+    Rows (column, source_count, target_count, max_absolute_diff, max_relative_diff, missing_in_target,
+    extra_in_target, repeated_keys, null_mismatches). Differences are over keys that hold one row on
+    each side; counts are of non-null values over all rows. The other columns count what has no partner: keys of
+    one side alone, keys with several rows on a side, and keys with a value on one side and null on the other.
     """
     index = dict(enumerate(columns))
     rows = pair.tagged(*map(quoted, key), *[f"{quoted(c)} AS __v{i}" for i, c in index.items()])
     aggs = {"__sn": f"count_if({FROM_SOURCE})", "__tn": f"count_if({FROM_TARGET})"}
-    finals, cells = {}, []
+    single = "__sn = 1 AND __tn = 1"
+    finals = {
+        "missing": "coalesce(count_if(__tn = 0), 0)",
+        "extra": "coalesce(count_if(__sn = 0), 0)",
+        "repeated": "coalesce(count_if(__sn > 0 AND __tn > 0 AND __sn + __tn > 2), 0)",
+    }
+    cells = []
     for i, c in index.items():
         for tag, side in (("s", FROM_SOURCE), ("t", FROM_TARGET)):
             value = f"CASE WHEN {side} THEN __v{i} END"
             aggs |= {f"__{tag}{i}": f"max({value})", f"__{tag}c{i}": f"count({value})"}
-        s, t, single = f"__s{i}", f"__t{i}", "__sn = 1 AND __tn = 1"
+        s, t = f"__s{i}", f"__t{i}"
         finals |= {
             f"sc{i}": f"coalesce(sum(__sc{i}), 0)",
             f"tc{i}": f"coalesce(sum(__tc{i}), 0)",
             f"a{i}": f"max(CASE WHEN {single} THEN {absolute_diff(s, t)} END)",
             f"r{i}": f"max(CASE WHEN {single} THEN {relative_diff(s, t)} END)",
+            f"u{i}": f"coalesce(count_if({single} AND ({s} IS NULL) <> ({t} IS NULL)), 0)",
         }
         cells.append(
             struct(
@@ -146,6 +153,10 @@ def key_differences(pair: Pair, key: list[str], columns: list[str]) -> DataFrame
                 target_count=f"tc{i}",
                 max_absolute_diff=f"a{i}",
                 max_relative_diff=f"r{i}",
+                missing_in_target="missing",
+                extra_in_target="extra",
+                repeated_keys="repeated",
+                null_mismatches=f"u{i}",
             )
         )
     return unpivot(aggregate(aggregate(rows, key, aggs), [], finals), [], cells)

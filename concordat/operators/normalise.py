@@ -11,7 +11,8 @@ from concordat.functions.cells import is_numeral, is_year, null_tokens_to_null,
 from concordat.functions.names import normalise_names
 from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 
-# Name parts that mark a column as a date, and as not to be read as a number.
+# Name parts that mark a column as a date, and as not to be read as a number; the least number
+# of values that can make a date column, the shares that decide, and the years that count as such.
 DATE_HINTS = ("date", "time", "timestamp", "_at")
 TEMPORAL_HINTS = (*DATE_HINTS, "year")
 MIN_DATE_SAMPLE = 20
@@ -64,37 +65,19 @@ def type_evidence(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     return unpivot(aggregate(df, [], aggs), [], cells)
 
 
-def type_decisions(evidence: DataFrame) -> DataFrame:
-    """Adds ``becomes``: date, number or unchanged, from the counts of ``type_evidence``."""
+def type_decisions(evidence: DataFrame, min_date_sample: int = MIN_DATE_SAMPLE) -> DataFrame:
+    """Adds ``becomes``: date, number or unchanged, from the counts of ``type_evidence``.
+
+    A column with fewer than ``min_date_sample`` values is never read as dates.
+    """
     hinted = lambda hints: "(" + " OR ".join(f"contains(lower(`column`), {literal(h)})" for h in hints) + ")"
     not_years = f"is_text AND years <= filled * {MAX_YEAR_SHARE}D"
-    date = f"filled >= {MIN_DATE_SAMPLE} AND ({hinted(DATE_HINTS)} OR dates >= filled * {MIN_DATE_SHARE}D)"
+    date = f"filled >= {min_date_sample} AND ({hinted(DATE_HINTS)} OR dates >= filled * {MIN_DATE_SHARE}D)"
     number = f"filled > 0 AND NOT {hinted(TEMPORAL_HINTS)} AND numbers >= filled * {MIN_NUMBER_SHARE}D"
     becomes = f"CASE WHEN {not_years} AND {date} THEN 'date' WHEN {not_years} AND {number} THEN 'number' ELSE 'unchanged' END"
     return evidence.selectExpr("*", f"{becomes} AS becomes")
 
 
-def temporal_columns(df: DataFrame, evidence: DataFrame | None = None) -> list[str]:
-    """Columns that stand for a point in time even if not typed so, including years held as
-    text or as whole floating numbers."""
-    rows = {r["column"]: r for r in (evidence or type_evidence(df)).collect()}
-    out = []
-    for f in df.schema.fields:
-        r = rows.get(f.name)
-        typed = isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))
-        text_years = r is not None and r["filled"] and r["years"] / r["filled"] > MAX_YEAR_SHARE
-        float_years = (
-            r is not None
-            and isinstance(f.dataType, (T.FloatType, T.DoubleType))
-            and r["filled"]
-            and r["whole"] == r["filled"]
-            and r["in_year_range"] / r["filled"] > MAX_YEAR_SHARE
-        )
-        if typed or _hinted(f.name, TEMPORAL_HINTS) or text_years or float_years:
-            out.append(f.name)
-    return out
-
-
 @dataclass(frozen=True)
 class Normalised:
     rows: DataFrame
@@ -112,10 +95,48 @@ def infer_types(df: DataFrame, formats: list[str] | None = None) -> Normalised:
     """
     rows = [r for r in type_decisions(type_evidence(df, formats)).collect() if r["becomes"] != "unchanged"]
     becomes = {r["column"]: r["becomes"] for r in rows}
-    lost = {r["column"]: r["filled"] - r["dates" if r["becomes"] == "date" else "numbers"] for r in rows}
+    return Normalised(_converted(df, becomes, formats), becomes, {r["column"]: _lost(r, r["becomes"]) for r in rows})
+
+
+def _lost(counts, becomes: str) -> int:
+    """How many values a conversion would turn to null."""
+    return counts["filled"] - counts["dates" if becomes == "date" else "numbers"]
+
+
+def _converted(df: DataFrame, becomes: dict[str, str], formats: list[str] | None) -> DataFrame:
     convert = {"date": lambda c: to_datetime(c, formats), "number": to_number}
-    out = [convert[becomes[c]](quoted(c)) + f" AS {quoted(c)}" if c in becomes else quoted(c) for c in df.columns]
-    return Normalised(df.selectExpr(*out), becomes, lost)
+    text = set(_text_columns(df))
+    return df.selectExpr(*[convert[becomes[c]](quoted(c)) + f" AS {quoted(c)}" if c in becomes and c in text else quoted(c) for c in df.columns])
+
+
+@dataclass(frozen=True)
+class NormalisedPair:
+    source: DataFrame
+    target: DataFrame
+    # column -> date | number
+    converted: dict[str, str]
+    # column -> how many values of the source and of the target the conversion would have turned to null
+    kept_as_text: dict[str, tuple[int, int]]
+
+
+def normalise_pair(
+    source: DataFrame, target: DataFrame, formats: list[str] | None = None, min_date_sample: int = MIN_DATE_SAMPLE
+) -> NormalisedPair:
+    """Both sides of a comparison, their types decided once over the values of both.
+
+    A conversion that would lose a value on either side is not made: the texts are compared as they are, so
+    no difference can hide behind a null.
+    """
+    source, target = (unify_nulls_and_trim(normalise_columns(df)) for df in (source, target))
+    sides = [type_evidence(df, formats) for df in (source, target)]
+    own = [{r["column"]: r for r in e.collect()} for e in sides]
+    sums = {"is_text": "bool_or(is_text)"} | {n: f"sum({n})" for n in ("filled", *EVIDENCE)}
+    decided = type_decisions(aggregate(sides[0].unionByName(sides[1]), ["column"], sums), min_date_sample)
+    becomes = {r["column"]: r["becomes"] for r in decided.collect() if r["becomes"] != "unchanged"}
+    lost = {c: tuple(_lost(e[c], b) if c in e and e[c]["is_text"] else 0 for e in own) for c, b in becomes.items()}
+    kept = {c: n for c, n in lost.items() if any(n)}
+    becomes = {c: b for c, b in becomes.items() if c not in kept}
+    return NormalisedPair(_converted(source, becomes, formats), _converted(target, becomes, formats), becomes, kept)
 
 
 def normalise(df: DataFrame, formats: list[str] | None = None) -> Normalised:

@@ -23,7 +23,9 @@ from concordat.functions.numbers import absolute_diff, relative_diff
 from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
 
+# Bounds are driver state and plan text, so there is a most; beyond it bins grow, and a larger bin is sorted with spilling.
 MAX_BINS = 10_000
+SKETCH_GROUPS = 512
 RANKS_PER_BLOCK = 100_000
 
 
@@ -47,23 +49,35 @@ def _by_type(pair: Pair, columns: list[str]) -> list[list[str]]:
 
 
 def bin_bounds(pair: Pair, columns: list[str], n_bins: int) -> dict[str, list[float]]:
-    """At most ``n_bins - 1`` ascending bounds per column: small, fixed-size driver state."""
+    """At most ``n_bins - 1`` ascending finite bounds per column: small, fixed-size driver state.
+
+    Sketches are merged in two steps, first those of the partitions that share one of ``SKETCH_GROUPS`` numbers, so
+    the one task of the last step gets at most that many a column, however many partitions there are.
+    """
+    if n_bins < 2:
+        return {c: [] for c in columns}
+    accuracy = min(max(1024, 4 * n_bins), 65535)
+    finite = lambda c: f"CASE WHEN abs(CAST({c} AS double)) < double('infinity') THEN CAST({c} AS double) END"
+    values = [f"{finite(quoted(c))} AS v{i}" for i, c in enumerate(columns)]
+    rows = pair.tagged(*values, f"pmod(spark_partition_id(), {SKETCH_GROUPS}) AS part")
+    sketches = {f"b{i}": f"kll_sketch_agg_double(v{i}, {accuracy})" for i in range(len(columns))}
+    sketches |= {f"n{i}": f"count(v{i})" for i in range(len(columns))}
+    parts = aggregate(rows, ["part"], sketches)
+    merged = {f"b{i}": f"kll_merge_agg_double(CASE WHEN n{i} > 0 THEN b{i} END)" for i in range(len(columns))}
+    merged |= {f"n{i}": f"sum(n{i})" for i in range(len(columns))}
     cuts = f"array({', '.join(f'{i / n_bins!r}D' for i in range(1, n_bins))})"
-    accuracy = max(10_000, 4 * n_bins)
-    sketches = {
-        f"b{i}": f"percentile_approx(CAST({quoted(c)} AS double), {cuts}, {accuracy})" for i, c in enumerate(columns)
-    }
-    row = aggregate(pair.tagged(*map(quoted, columns)), [], sketches).first()
+    read = [f"CASE WHEN n{i} > 0 THEN kll_sketch_get_quantile_double(b{i}, {cuts}) END AS b{i}" for i in range(len(columns))]
+    row = aggregate(parts, [], merged).selectExpr(*read).first()
     return {c: sorted(set(row[f"b{i}"] or [])) for i, c in enumerate(columns)}
 
 
-def _long(pair: Pair, columns: list[str], bounds: dict[str, list[float]] | None) -> DataFrame:
+def _long(pair: Pair, columns: list[str], bounds: dict[str, list[float]]) -> DataFrame:
     """Rows (is_source, c, bin, v), nulls left out; ``c`` is the column's place in the list,
     a fraction of the bytes of its name in every shuffle that follows."""
     index = dict(enumerate(columns))
     wide = pair.tagged(*[f"{quoted(c)} AS v{i}" for i, c in index.items()])
     bins = {i: "0" for i in index}
-    if bounds:
+    if any(bounds.values()):
         # The bin of an absent value is never looked at: the filter below drops the value.
         wide = wide.selectExpr("*", *[f"coalesce(CAST(v{i} AS double), 0D) AS k{i}" for i in index])
         splits = [[float("-inf"), *(bounds[c] or [0.0]), float("inf")] for c in columns]
@@ -87,11 +101,11 @@ def _runs(long: DataFrame) -> DataFrame:
     return aggregate(long, [*BIN, "v"], {"n": "count(1)"})
 
 
-def _bin_starts(long: DataFrame) -> DataFrame:
-    """(is_source, c, bin, bin_rows, bin_start, numbers). At most two rows per column and
-    bin, so small by construction."""
+def _bin_starts(rows: DataFrame, n: str = "count(1)") -> DataFrame:
+    """(is_source, c, bin, bin_rows, bin_start, numbers) of values or (``n`` = sum(n)) of their runs. At most two
+    rows per column and bin, so small by construction."""
     side = f"PARTITION BY {IS_SOURCE}, c"
-    return aggregate(long, BIN, {"bin_rows": "count(1)"}).selectExpr(
+    return aggregate(rows, BIN, {"bin_rows": n}).selectExpr(
         "*",
         f"coalesce(sum(bin_rows) OVER ({side} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bin_start",
         f"sum(bin_rows) OVER ({side}) AS numbers",
@@ -104,9 +118,8 @@ def _ranked(runs: DataFrame) -> DataFrame:
     return runs.selectExpr("*", f"coalesce(sum(n) OVER ({within}), 0) AS lo")
 
 
-def _bounds_for(pair: Pair, columns: list[str], rows: int, rows_per_bin: int) -> dict[str, list[float]] | None:
-    n_bins = min(MAX_BINS, -(-rows // rows_per_bin))
-    return bin_bounds(pair, columns, n_bins) if n_bins > 1 else None
+def _bounds_for(pair: Pair, columns: list[str], rows: int, rows_per_bin: int) -> dict[str, list[float]]:
+    return bin_bounds(pair, columns, min(MAX_BINS, -(-rows // rows_per_bin)))
 
 
 def column_percentiles(
@@ -114,8 +127,7 @@ def column_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation: rows (is_source, column, stat, value).
 
-    Up to ``rows_per_bin`` rows a column is one bin, ranked in one task. Beyond that only the
-    bins that hold a wanted rank are read out: one counting pass that shuffles nothing but
+    Only the bins that hold a wanted rank are read out: one counting pass that shuffles nothing but
     counts, and one pass filtered to those bins. (The built-in ``percentile`` keeps every
     distinct value of a group in one task's memory.)
     """
@@ -125,23 +137,14 @@ def column_percentiles(
     rows = count_rows(pair) if rows is None else rows
     parts = []
     for group in _by_type(pair, columns):
-        bounds = _bounds_for(pair, group, rows, rows_per_bin)
-        read = _percentiles_from_bins if bounds else _percentiles_from_one_bin
-        found = read(_long(pair, group, bounds), percentiles)
+        found = _percentiles_from_bins(_long(pair, group, _bounds_for(pair, group, rows, rows_per_bin)), percentiles)
         parts.append(found.selectExpr(IS_SOURCE, _name(group), "stat", "value"))
     return reduce(DataFrame.unionAll, parts)
 
 
-def _percentiles_from_one_bin(long: DataFrame, percentiles: list[float]) -> DataFrame:
-    runs = _ranked(_runs(long)).selectExpr("*", f"sum(n) OVER (PARTITION BY {IS_SOURCE}, c, bin) AS numbers")
-    ends, cells = {}, []
-    for j, p in enumerate(percentiles):
-        spot = f"({float(p)!r}D * (numbers - 1))"
-        for end, rank in (("low", f"floor({spot})"), ("high", f"ceil({spot})")):
-            ends[f"{end}{j}"] = f"max(CASE WHEN {rank} >= lo AND {rank} < lo + n THEN CAST(v AS double) END)"
-        ends[f"share{j}"] = f"max({spot} - floor({spot}))"
-        cells.append(struct(stat=literal(percentile_name(p)), value=f"low{j} + (high{j} - low{j}) * share{j}"))
-    return unpivot(aggregate(runs, [IS_SOURCE, "c"], ends), [IS_SOURCE, "c"], cells)
+def _between(low: str, high: str, share: str) -> str:
+    """Linear between two values; equal ones, infinite ones among them, are themselves."""
+    return f"CASE WHEN {low} = {high} OR {share} = 0 THEN {low} ELSE {low} + ({high} - {low}) * {share} END"
 
 
 def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFrame:
@@ -166,7 +169,7 @@ def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFra
             "share": "max(spot - floor(spot))",
         },
     )
-    return ends_found.selectExpr(IS_SOURCE, "c", "stat", "low + (high - low) * share AS value")
+    return ends_found.selectExpr(IS_SOURCE, "c", "stat", f"{_between('low', 'high', 'share')} AS value")
 
 
 # Non-null values per (is_source, column).
@@ -203,18 +206,13 @@ def rank_differences(
     rows = count_rows(pair) if rows is None else rows
     parts = []
     for group in _by_type(pair, columns):
-        bounds = _bounds_for(pair, group, rows, rows_per_bin)
-        long = _long(pair, group, bounds)
-        ranked = _ranked(_runs(long))
-        if bounds:
-            # Two rows per column and bin at most, and MAX_BINS caps the bins.
-            starts = F.broadcast(_bin_starts(long).select(*BIN, "bin_start"))
-            ranked = ranked.join(starts, BIN)
-        lo = "lo + bin_start AS lo" if bounds else "lo"
+        runs = _runs(_long(pair, group, _bounds_for(pair, group, rows, rows_per_bin)))
+        # Two rows per column and bin at most; the runs are shuffled once for both.
+        ranked = _ranked(runs).join(_bin_starts(runs, "sum(n)").select(*BIN, "bin_start"), BIN)
         spots = {}
         for tag, side in (("source", True), ("target", False)) if percentiles else ():
             spots[tag] = [[max(numbers.get((side, c), 0) - 1, 0) * p for c in group] for p in percentiles]
-        found = _pair_by_rank(ranked.selectExpr(IS_SOURCE, "c", "v", lo, "n"), ranks_per_block, spots)
+        found = _pair_by_rank(ranked.selectExpr(IS_SOURCE, "c", "v", "lo + bin_start AS lo", "n"), ranks_per_block, spots)
         parts.append(found.selectExpr("*", _name(group)).drop("c"))
     found = reduce(DataFrame.unionAll, parts)
     # A column without a value on either side has no row yet.
@@ -265,7 +263,7 @@ def _pair_by_rank(ranked: DataFrame, block: int, spots: dict[str, list[list[floa
                 hit = f"{side} AND {rank} >= lo AND {rank} < lo + n"
                 aggs[f"{tag}_{end}{j}"] = f"max(CASE WHEN {hit} THEN CAST(v AS double) END)"
             share = f"element_at(array({', '.join(f'{x - math.floor(x)!r}D' for x in per_column)}), c + 1)"
-            values.append(f"{tag}_low{j} + ({tag}_high{j} - {tag}_low{j}) * {share}")
+            values.append(_between(f"{tag}_low{j}", f"{tag}_high{j}", share))
         arrays.append(f"array({', '.join(values)}) AS {tag}_percentiles")
     return aggregate(carried, ["c"], aggs).selectExpr(
         "c",
@@ -277,16 +275,19 @@ def _pair_by_rank(ranked: DataFrame, block: int, spots: dict[str, list[list[floa
     )
 
 
+# What a comparison under a key counts besides differences (see ``keyed_diff.key_differences``).
+UNPAIRED = ("missing_in_target", "extra_in_target", "repeated_keys", "null_mismatches")
+
+
 def exceeds_tolerance(differences: DataFrame, tolerances: dict[str, tuple[float, float]]) -> DataFrame:
-    """Adds abs_tolerance, rel_tolerance and ``exceeds``: different counts, or either bound
-    broken (both must hold here, unlike ``within_tolerance``)."""
+    """Adds abs_tolerance, rel_tolerance and ``exceeds``: different counts, either bound
+    broken (both must hold here, unlike ``within_tolerance``), or keys or values without a partner."""
 
     def per_column(i: int) -> str:
         whens = " ".join(f"WHEN {literal(c)} THEN {float(t[i])!r}D" for c, t in tolerances.items())
         return f"CASE `column` {whens} END"
 
-    broken = (
-        "source_count <> target_count OR max_absolute_diff > abs_tolerance OR max_relative_diff > rel_tolerance"
-    )
+    broken = ["source_count <> target_count", "max_absolute_diff > abs_tolerance", "max_relative_diff > rel_tolerance"]
+    broken += [f"{c} > 0" for c in UNPAIRED if c in differences.columns]
     limited = differences.selectExpr("*", f"{per_column(0)} AS abs_tolerance", f"{per_column(1)} AS rel_tolerance")
-    return limited.selectExpr("*", f"coalesce({broken}, false) AS exceeds")
+    return limited.selectExpr("*", f"coalesce({' OR '.join(broken)}, false) AS exceeds")

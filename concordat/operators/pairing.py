@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from concordat.functions.sql import aggregate, quoted
-from concordat.functions.types import comparison_type, is_numeric
+from concordat.functions.types import comparison_type, holds_map, is_numeric, sorted_maps
 
 IS_SOURCE = "__is_source"
 FROM_SOURCE, FROM_TARGET = IS_SOURCE, f"NOT {IS_SOURCE}"
@@ -87,8 +87,8 @@ def align(source: DataFrame, target: DataFrame) -> Pair:
         out = []
         for name, want in wanted.items():
             has, c = schema[name].dataType, quoted(name)
-            if isinstance(has, T.MapType):
-                c = f"to_json({c})"
+            if holds_map(has):
+                c = f"to_json({sorted_maps(c, has)})"
             elif has != want:
                 c = f"CAST({c} AS {want.simpleString()})"
             if isinstance(want, (T.DoubleType, T.FloatType)):

@@ -13,8 +13,8 @@ from concordat.operators.pairing import Pair, as_doubles, source_only
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
+from concordat.session import materialise
 
-GROUPS_SHOWN = 10
 EXACT_IN_DOUBLE = 2**53
 
 
@@ -26,7 +26,7 @@ def within(a, b, absolute: float, relative: float) -> bool:
         x, y = float(a), float(b)
     except (TypeError, ValueError):
         return str(a) == str(b)
-    return abs(x - y) <= absolute or abs(x - y) / (abs(x) or 1.0) <= relative
+    return x == y or abs(x - y) <= absolute or abs(x - y) / (abs(x) or 1.0) <= relative
 
 
 def _shared_aggregation_columns(pair: Pair, cfg: CompareConfig) -> tuple[list[str], list[str]]:
@@ -96,25 +96,23 @@ def ranked(jobs: Jobs) -> tuple[list[dict], float]:
 
 def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
     by = cfg.group_by_columns
-    grouped = totals.group_consistency(pair, by, columns, cfg.default_abs_tolerance).where(~F.col("agrees")).persist()
-    try:
-        counts = {
-            r["column"]: r.asDict()
-            for r in grouped.groupBy("column")
-            .agg(
-                F.count(F.lit(1)).alias("n_groups"),
-                F.count_if(F.col("source_rows") == 0).alias("only_in_target"),
-                F.count_if(F.col("target_rows") == 0).alias("only_in_source"),
-            )
-            .collect()
-        }
-        shown = {
-            c: [r.asDict() for r in grouped.where(F.col("column") == c).orderBy(*map(quoted, by)).limit(GROUPS_SHOWN).collect()]
-            for c in counts
-        }
-    finally:
-        grouped.unpersist()
-    return {"counts": counts, "shown": shown}
+    grouped = materialise(totals.group_consistency(pair, by, columns, cfg.default_abs_tolerance).where(~F.col("agrees")), "groups")
+    counts = {
+        r["column"]: r.asDict()
+        for r in grouped.groupBy("column")
+        .agg(
+            F.count(F.lit(1)).alias("n_groups"),
+            F.count_if(F.col("source_rows") == 0).alias("only_in_target"),
+            F.count_if(F.col("target_rows") == 0).alias("only_in_source"),
+        )
+        .collect()
+    }
+    shown = {
+        c: [r.asDict() for r in grouped.where(F.col("column") == c).orderBy(*map(quoted, by)).limit(cfg.group_sample).collect()]
+        for c in counts
+    }
+    truncated = any(counts[c]["n_groups"] > len(shown[c]) for c in counts)
+    return {"counts": counts, "shown": shown, "sample_truncated": truncated}
 
 
 def start(source: DataFrame, target: DataFrame, pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:

@@ -8,6 +8,10 @@ from concordat.operators.pairing import IS_SOURCE, Pair, source_only
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
+from concordat.session import materialise
+
+# What unequal row counts leave unanswered in this layer.
+NOT_RUN = ["full_dataset_hash", "column_level_hash", "duplicate_rows", "bucketed_checksum", "row_aligned_diff"]
 
 
 def usable_key(pair: Pair, cfg: CompareConfig) -> list[str]:
@@ -27,18 +31,17 @@ def _duplicates(pair: Pair, jobs: Jobs) -> dict[str, int]:
 
 def _diff(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> dict:
     if jobs.alike(pair.columns)[0]:
-        return {"counts": {}, "sample": []}
-    diff = keyed_diff.row_diff(pair, cfg.primary_key).persist()
-    try:
-        counts = {r["difference"]: r.asDict() for r in keyed_diff.diff_counts(diff).collect()}
-        sample = []
-        if counts:
-            found = keyed_diff.diff_sample(pair, cfg.primary_key, diff, cfg.diff_sample)
-            # A repeated key may bring any number of rows: the sample shows a bounded part.
-            sample = [r.asDict() for r in found.orderBy(*cfg.primary_key, IS_SOURCE).limit(4 * cfg.diff_sample).collect()]
-    finally:
-        diff.unpersist()
-    return {"counts": counts, "sample": sample}
+        return {"counts": {}, "sample": [], "truncated": False}
+    diff = materialise(keyed_diff.row_diff(pair, cfg.primary_key), "row-diff")
+    counts = {r["difference"]: r.asDict() for r in keyed_diff.diff_counts(diff).collect()}
+    sample, truncated = [], sum(r["n_keys"] for r in counts.values()) > cfg.diff_sample
+    if counts:
+        # A repeated key may bring any number of rows: the sample shows a bounded part, and says so.
+        found = keyed_diff.diff_sample(pair, cfg.primary_key, diff, cfg.diff_sample).orderBy(*cfg.primary_key, IS_SOURCE)
+        rows = found.limit(cfg.diff_sample_rows + 1).collect()
+        sample = [r.asDict() for r in rows[: cfg.diff_sample_rows]]
+        truncated |= len(rows) > cfg.diff_sample_rows
+    return {"counts": counts, "sample": sample, "truncated": truncated}
 
 
 def start(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
@@ -59,7 +62,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
             s == t,
             f"{s:,} rows on both sides",
             f"{cfg.source_label} has {s:,} rows, {cfg.target_label} has {t:,}: {abs(s - t):,} apart",
-            {"source_rows": s, "target_rows": t, "delta": s - t},
+            {"source_rows": s, "target_rows": t, "delta": s - t} | ({} if s == t else {"not_run": NOT_RUN}),
             facts.duration_ms,
         )
     ]
@@ -135,6 +138,6 @@ def _row_aligned(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> Check:
         total == 0,
         "every key has the same rows on both sides",
         f"{total:,} key(s) differ: " + ", ".join(f"{k} {v['n_keys']:,}" for k, v in sorted(found["counts"].items())),
-        {"differing_keys": total, "by_difference": found["counts"], "sample": found["sample"]},
+        {"differing_keys": total, "by_difference": found["counts"], "sample": found["sample"], "sample_truncated": found["truncated"]},
         ms,
     )

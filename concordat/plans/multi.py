@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 
 from concordat.config import PASSED, CompareConfig
 from concordat.plans.report import checks_frame, overall_status
-from concordat.plans.validate import Report, validate
-from concordat.sinks.reports import write_checks
+from concordat.plans.validate import Report, failed_to_load, validate
+from concordat.sinks.reports import write_checks, write_headers
 from concordat.sources.paths import list_csv
 
 
-def discover_pairs(spark: SparkSession, output_dir: str, expected_dir: str) -> list[tuple[str, str, str]]:
-    """(name, output path, expected path) of the CSV tables both directories hold."""
-    outputs, expected = dict(list_csv(spark, output_dir)), dict(list_csv(spark, expected_dir))
-    return [(name, outputs[name], expected[name]) for name in sorted(outputs.keys() & expected.keys())]
+Table = DataFrame | str | None
+
+
+def pair_up(outputs: dict[str, Table], expected: dict[str, Table]) -> list[tuple[str, Table, Table]]:
+    """(name, output, expected) of every table that either side has, None where one lacks it."""
+    return [(name, outputs.get(name), expected.get(name)) for name in sorted(outputs.keys() | expected.keys())]
+
+
+def discover_pairs(spark: SparkSession, output_dir: str, expected_dir: str) -> list[tuple[str, Table, Table]]:
+    """The CSV tables of two directories, paired by name."""
+    return pair_up(dict(list_csv(spark, output_dir)), dict(list_csv(spark, expected_dir)))
 
 
 @dataclass
@@ -35,18 +42,30 @@ class MultiReport:
 
 def compare_many(
     spark: SparkSession,
-    pairs: Iterable[tuple[str, DataFrame | str, DataFrame | str]],
+    pairs: Iterable[tuple[str, Table, Table]],
     config: CompareConfig | None = None,
     report_path: str | None = None,
 ) -> MultiReport:
-    """Validate (name, output, expected) one after another; the expected table is the source."""
+    """Validate (name, output, expected) one after another; the expected table is the source.
+
+    A table that one side lacks is a failed comparison, with a row of its own.
+    """
     cfg = config or CompareConfig()
     cfg = replace(cfg, run_id=cfg.effective_run_id())
-    reports = [validate(expected, output, replace(cfg, comparison=name), spark) for name, output, expected in pairs]
+
+    def compare(name: str, output: Table, expected: Table) -> Report:
+        own = replace(cfg, comparison=name)
+        if output is None or expected is None:
+            side = "output" if output is None else "expected"
+            return failed_to_load(spark, own, f"missing_{side}", f"table '{name}' has no {side} table")
+        return validate(expected, output, own, spark)
+
+    reports = [compare(*p) for p in pairs]
     rows = [row for r in reports for row in r.rows()]
     checks = checks_frame(spark, rows)
     if report_path and rows:
         write_checks(checks, report_path)
+        write_headers(spark, [r.header() for r in reports], report_path)
     return MultiReport(reports, checks)
 
 
@@ -70,10 +89,14 @@ def two_phase_verdict(phases: DataFrame) -> DataFrame:
     )
 
 
-def phases_from_checks(checks: DataFrame, order: list[str]) -> DataFrame:
+def phases_from_checks(checks: DataFrame, order: list[str], required: list[str] | None = None) -> DataFrame:
     """(phase, ordinal, success) where a phase is a run_id and succeeds if every comparison
-    of it passed; a phase without check rows did not succeed."""
-    per_run = overall_status(checks).groupBy("run_id").agg(F.bool_and(F.col("status") == PASSED).alias("ok"))
+    of it passed; a phase without check rows, or without those of a ``required`` table, did not succeed."""
+    statuses, needed = overall_status(checks), set(required or [])
+    passed = F.bool_and(F.col("status") == PASSED)
+    if needed:
+        passed &= F.count_distinct(F.when(F.col("comparison").isin(*needed), F.col("comparison"))) == len(needed)
+    per_run = statuses.groupBy("run_id").agg(passed.alias("ok"))
     listed = checks.sparkSession.createDataFrame(list(zip(order, range(1, len(order) + 1))), "phase string, ordinal int")
     joined = listed.join(per_run, listed["phase"] == per_run["run_id"], "left")
     return joined.select("phase", "ordinal", F.coalesce("ok", F.lit(False)).alias("success"))
@@ -96,9 +119,8 @@ def validate_two_phases(
     """Compare the outputs with each baseline in the order given."""
     reports = {}
     for phase, expected in baselines.items():
-        names = sorted(outputs.keys() & expected.keys())
         cfg = replace(config or CompareConfig(), run_id=phase)
-        reports[phase] = compare_many(spark, [(n, outputs[n], expected[n]) for n in names], cfg)
+        reports[phase] = compare_many(spark, pair_up(outputs, expected), cfg)
     rows = [(phase, i, r.success) for i, (phase, r) in enumerate(reports.items(), 1)]
     v = two_phase_verdict(spark.createDataFrame(rows, PHASES)).first()
     return TwoPhaseResult(v["status"], v["winning_phase"], v["reported_phase"], reports)
@@ -112,8 +134,7 @@ def completeness(required: list[str], parts: dict[str, dict[str, DataFrame]], sp
     """
     needed = spark.createDataFrame([(t, p) for p in parts for t in required], "table_name string, part string")
     counts = [
-        # One row is enough to know; the limit stops the scan at the first.
-        df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.lit(p).alias("part"), "n")
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.lit(p).alias("part"), "n")
         for p, tables in parts.items()
         for t, df in tables.items()
     ]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from concordat.sinks.reports import write_step_error
 from concordat.sinks.tables import Preview, preview, publish_run, save_outputs
 from concordat.sources.csv_tables import load_all_text, load_declared
-from concordat.sources.paths import require_safe_name
+from concordat.sources.paths import exists, list_csv, qualified, remove, require_safe_name
 from concordat.sources.schema_files import load_schemas
 
 log = logging.getLogger(__name__)
@@ -56,6 +56,30 @@ def run_query(spark: SparkSession, sql: str) -> DataFrame:
     return run_steps(spark, [("result", sql)])["result"]
 
 
+MADE = "_made"
+
+
+def _refuse_inputs(spark: SparkSession, data_dir: str, target: str, made: list[str], extra: dict[str, str]) -> None:
+    inputs = {qualified(spark, path) for _, path in list_csv(spark, data_dir)} if exists(spark, data_dir) else set()
+    clash = sorted(p for p in [*(f"{target}/{n}.csv" for n in made), *map(str, extra.values())] if qualified(spark, p) in inputs)
+    if clash:
+        raise ValueError(f"these outputs would be written over inputs, choose an output_dir: {clash}")
+
+
+def _drop_earlier(spark: SparkSession, target: str) -> None:
+    """Remove what the last run in this folder said it would make, and nothing else."""
+    listed = f"{target}/{MADE}"
+    if exists(spark, listed):
+        for row in spark.read.schema("name string").json(listed).collect():
+            for kind in ("csv", "parquet"):
+                remove(spark, f"{target}/{row['name']}.{kind}")
+        remove(spark, listed)
+
+
+def _remember(spark: SparkSession, target: str, names: list[str]) -> None:
+    spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").json(f"{target}/{MADE}")
+
+
 @dataclass
 class Execution:
     schemas: dict[str, T.StructType]
@@ -80,9 +104,16 @@ def execute(
     """Load the inputs, run the steps, save the outputs.
 
     With ``ddl_dir`` inputs follow their declared schemas; without it every CSV of
-    ``data_dir`` is loaded as text. Saved tables replace those of an earlier run. With
-    ``publish_as`` (a run id) the outputs also become visible together or not at all.
+    ``data_dir`` is loaded as text. Outputs may not be written over inputs. What an earlier run made in the
+    output folder goes before the steps begin, so neither a shorter run nor a failed one leaves old outputs
+    behind; the list of what a run makes is kept in the folder. With ``publish_as`` (a run id) the outputs also become
+    visible together or not at all.
     """
+    steps = list(steps)
+    target = str(output_dir or data_dir).rstrip("/")
+    made = sorted({name for name, _ in steps} if outputs is None else set(outputs))
+    _refuse_inputs(spark, data_dir, target, made, extra_csv_paths or {})
+    _drop_earlier(spark, target)
     schemas = load_schemas(spark, ddl_dir) if ddl_dir else {}
     if schemas:
         for table, load in load_declared(spark, data_dir, schemas).items():
@@ -90,12 +121,12 @@ def execute(
     else:
         schemas = {table: df.schema for table, df in load_all_text(spark, data_dir).items()}
     results = run_steps(spark, steps, outputs, error_log)
-    target = str(output_dir or data_dir)
+    _remember(spark, target, list(results))
     written = save_outputs(results, target, extra_csv_paths, persist)
     if persist:
-        stored = {n: spark.read.schema(df.schema).parquet(f"{target.rstrip('/')}/{n}.parquet") for n, df in results.items()}
+        stored = {n: spark.read.schema(df.schema).parquet(f"{target}/{n}.parquet") for n, df in results.items()}
         results = stored
     if publish_as:
-        publish_run(spark, results, f"{target.rstrip('/')}/published", publish_as)
+        publish_run(spark, results, f"{target}/published", publish_as)
     previews = {n: preview(df) for n, df in results.items()} if show else {}
     return Execution(schemas, results, previews, written)

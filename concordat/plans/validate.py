@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import time
 import traceback
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.config import BUSINESS, DATA_LEVEL, FAILED, PASSED, SKIPPED, STATISTICAL, STRUCTURAL, CompareConfig
+from concordat.config import BUSINESS, DATA_LEVEL, FAILED, LOAD, PASSED, SKIPPED, STATISTICAL, STRUCTURAL, CompareConfig
 from concordat.functions.sql import quoted
-from concordat.operators import keyed_diff
-from concordat.operators.normalise import normalise
+from concordat.operators import keyed_diff, totals
+from concordat.operators.normalise import normalise_pair
 from concordat.operators.pairing import Pair, align
 from concordat.plans import business, data_level, statistics, structural
 from concordat.plans.facts import Facts, gather
 from concordat.plans.jobs import Jobs
-from concordat.plans.report import Check, as_rows, checks_frame
+from concordat.plans.report import Check, as_rows, checks_frame, verdict
 from concordat.session import materialise
-from concordat.sinks.reports import write_checks
+from concordat.sinks.reports import write_checks, write_headers
 from concordat.sources.csv_tables import detect_delimiter, read_inferred
 
 
@@ -33,14 +35,15 @@ class Report:
     duration_ms: float = 0.0
     load_error: str | None = None
     pair: Pair | None = None
+    started_at: dt.datetime = field(default_factory=lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 
     def layer_status(self, layer: str) -> str:
         return FAILED if any(c.status == FAILED for c in self.layers[layer]) else PASSED
 
     @property
     def overall_status(self) -> str:
-        failed = self.load_error is not None or any(self.layer_status(x) == FAILED for x in self.layers)
-        return FAILED if failed else PASSED
+        """Nothing checked is nothing shown to be equal."""
+        return FAILED if not self.layers or any(self.layer_status(x) == FAILED for x in self.layers) else PASSED
 
     @property
     def passed(self) -> bool:
@@ -75,26 +78,64 @@ class Report:
             "layer_statuses": {layer: self.layer_status(layer) for layer in self.layers},
         }
 
+    def _compared(self) -> Pair:
+        if self.pair is None:
+            raise RuntimeError("the tables were not brought side by side, see the failed checks of the first layers")
+        return self.pair
+
     def row_diff(self) -> DataFrame:
         """Every differing key, complete and lazy (the check itself shows a sample)."""
-        return keyed_diff.row_diff(self.pair, self.config.primary_key)
+        return keyed_diff.row_diff(self._compared(), self.config.primary_key)
+
+    def group_differences(self) -> DataFrame:
+        """Every group whose sums differ, complete and lazy (the check itself shows a sample)."""
+        pair, cfg = self._compared(), self.config
+        known = [c for c in cfg.aggregation_columns if c in pair.columns]
+        return totals.group_consistency(pair, cfg.group_by_columns, known, cfg.default_abs_tolerance).where("NOT agrees")
 
     def cell_diff(self) -> DataFrame:
         """Every differing cell under the keys both sides have, complete and lazy."""
         key = self.config.primary_key
         changed = self.row_diff().where(f"difference = '{keyed_diff.CHANGED}'").select(*map(quoted, key))
-        counted = [c.details["by_difference"] for c in self.check_rows if "by_difference" in c.details]
-        n_keys = counted[0].get(keyed_diff.CHANGED, {}).get("n_keys", 0) if counted else None
-        return keyed_diff.cell_diff(self.pair, key, changed, n_keys)
+        return keyed_diff.cell_diff(self._compared(), key, changed)
+
+    def header(self) -> tuple:
+        """What a reader of the saved checks has to know, in the order of ``sinks.reports.HEADER``."""
+        cfg = self.config
+        return (self.run_id, cfg.comparison, cfg.source_label, cfg.target_label, self.started_at, float(self.duration_ms),
+                self.overall_status, self.load_error, json.dumps(self.summary))
 
     def save(self, path: str) -> None:
+        """Check rows to ``path``, the header of the run beside them."""
         write_checks(self.checks, path)
+        write_headers(self.spark, [self.header()], path)
+
 
+def load_delimited(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A delimited file with its separator found and types inferred, stored once for the scans that follow."""
+    return materialise(read_inferred(spark, path, detect_delimiter(spark, path), encoding), "delimited")
 
-def load_for_comparison(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file as the comparison wants it: separator found, types inferred, names,
-    nulls, text, dates and numbers normalised."""
-    return normalise(read_inferred(spark, path, detect_delimiter(spark, path), encoding)).rows
+
+def _brought_together(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame, Check]:
+    """Both sides normalised under common decisions, and a check row on what conversions would have lost."""
+    both = normalise_pair(source, target)
+    kept = {c: {"source": a, "target": b} for c, (a, b) in both.kept_as_text.items()}
+    check = verdict(
+        LOAD,
+        "type_conversion",
+        True,
+        f"{len(both.converted)} text column(s) read as dates or numbers; {len(kept)} left as text, as values would have been lost",
+        "",
+        {"converted": both.converted, "values_that_would_be_lost": kept},
+    )
+    return both.source, both.target, check
+
+
+def failed_to_load(spark: SparkSession, cfg: CompareConfig, name: str, message: str, details: dict | None = None) -> Report:
+    """The report of a comparison that could not begin."""
+    run_id = cfg.effective_run_id()
+    layers = {LOAD: [Check(LOAD, name, FAILED, message, details or {})]}
+    return Report(spark, replace(cfg, run_id=run_id), run_id, layers, load_error=message)
 
 
 def _isolated(layer: str, work: Callable[[], list[Check]]) -> list[Check]:
@@ -132,11 +173,15 @@ def validate(
     spark = spark or (source.sparkSession if isinstance(source, DataFrame) else SparkSession.getActiveSession())
     report = Report(spark, replace(cfg, run_id=run_id), run_id, {})
     try:
-        source, target = (load_for_comparison(spark, x) if isinstance(x, str) else x for x in (source, target))
+        by_path = isinstance(source, str) or isinstance(target, str)
+        source, target = (load_delimited(spark, x) if isinstance(x, str) else x for x in (source, target))
+        if by_path:
+            source, target, conversion = _brought_together(source, target)
+            report.layers[LOAD] = [conversion]
         if materialised:
             source, target = materialise(source, "source"), materialise(target, "target")
     except Exception as error:  # noqa: BLE001 - a table that does not load is a failed comparison
-        report.load_error = str(error)
+        report = failed_to_load(spark, report.config, "load_error", str(error), {"traceback": traceback.format_exc()})
         report.duration_ms = (time.perf_counter() - began) * 1000
         return report
 

@@ -10,7 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 def write_checks(checks: DataFrame, path: str) -> None:
     """Append the rows of a run; they are few, so one file per run and comparison set."""
-    checks.coalesce(1).write.mode("append").json(path)
+    # A shuffle to one, as coalesce would run whatever plan is above in one task.
+    checks.repartition(1).write.mode("append").json(path)
+
+
+HEADER = (
+    "run_id string, comparison string, source_label string, target_label string, started_at timestamp_ntz, "
+    "duration_ms double, overall_status string, load_error string, summary string"
+)
+
+
+def header_path(path: str) -> str:
+    return f"{str(path).rstrip('/')}.headers"
+
+
+def write_headers(spark: SparkSession, headers: list[tuple], path: str) -> None:
+    """One row for each comparison of a run, beside its check rows in ``path``."""
+    spark.createDataFrame(headers, HEADER).repartition(1).write.mode("append").json(header_path(path))
 
 
 ERROR_SCHEMA = "logged_at string, step string, error_type string, message string, statement string, traceback string"

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import logging
+import time
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concordat.session import materialise
 from concordat.sources.paths import exists
 
 log = logging.getLogger(__name__)
@@ -49,19 +51,16 @@ def save_outputs(
     written: dict[str, list[str]] = {}
     for name, df in tables.items():
         extra = (extra_csv_paths or {}).get(name)
-        held = None
         if persist:
             stored = f"{str(table_dir or output_dir).rstrip('/')}/{name}.parquet"
             persist_table(df, path=stored)
             df = df.sparkSession.read.schema(df.schema).parquet(stored)
         elif extra:
-            held = df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            df = materialise(df, "output")
         written[name] = [save_csv(df, output_dir, name)]
         if extra:
             write_csv(df, extra)
             written[name].append(str(extra))
-        if held is not None:
-            held.unpersist()
     return written
 
 
@@ -96,24 +95,29 @@ MANIFEST = "_published"
 def publish_run(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str) -> None:
     """All outputs of a run become visible together.
 
-    Each table goes to its own folder of this run; one row per table in the manifest, in a
-    single small file committed last, makes the run the current one. A reader never sees
-    half a run, and a failed run leaves the previous one in place.
+    Each attempt writes to folders of its own, and one row per table in the manifest, in a single small file
+    committed last, makes them the current ones. A reader never sees half a run; a failed run, also one of a
+    ``run_id`` published before, leaves what was there in place.
     """
     root = str(root).rstrip("/")
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/run={run_id}")
-    manifest = spark.createDataFrame([(run_id, name) for name in tables], "run_id string, table_name string")
-    manifest.withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/{MANIFEST}")
+        df.write.mode("error").parquet(f"{root}/{name}/run={run_id}/{attempt}")
+    manifest = spark.createDataFrame([(run_id, name, attempt) for name in tables], _MANIFEST_SCHEMA)
+    manifest.coalesce(1).write.mode("append").json(f"{root}/{MANIFEST}")
+
+
+_MANIFEST_SCHEMA = "run_id string, table_name string, attempt string"
 
 
 def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The table as of the newest run in the manifest that wrote it."""
+    """The table as of the newest attempt in the manifest that wrote it; attempts are named by their time."""
     root = str(root).rstrip("/")
     if not exists(spark, f"{root}/{MANIFEST}"):
         raise FileNotFoundError(f"nothing has been published under {root}")
-    runs = spark.read.schema("run_id string, table_name string, published_at timestamp").json(f"{root}/{MANIFEST}")
-    row = runs.where(F.col("table_name") == table).agg(F.max_by("run_id", "published_at").alias("run_id")).first()
-    if row["run_id"] is None:
+    runs = spark.read.schema(_MANIFEST_SCHEMA).json(f"{root}/{MANIFEST}")
+    newest = F.max(F.struct("attempt", "run_id")).alias("newest")
+    row = runs.where(F.col("table_name") == table).agg(newest).first()["newest"]
+    if row is None:
         raise FileNotFoundError(f"table '{table}' was never published under {root}")
-    return spark.read.parquet(f"{root}/{table}/run={row['run_id']}")
+    return spark.read.parquet(f"{root}/{table}/run={row['run_id']}/{row['attempt']}")

@@ -142,27 +142,18 @@ def read_inferred(spark: SparkSession, path: str, sep: str = ",", encoding: str
     return _reader(spark, sep, encoding, False).option("inferSchema", True).csv(str(path))
 
 
-# Candidates in the order that settles a tie, and the size of the sample.
+# Candidates in the order that settles a tie.
 SEPARATORS = [",", ";", "\t", "|"]
-SAMPLE_CHARS = 4096
 
 
 def delimiter_profile(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """How often each candidate separator occurs in the head of each table's text.
-
-    A line has at least its line break, so 4096 lines always hold the 4096 characters
-    looked at; the limit stops the scan there.
-    """
+    """How often each candidate separator occurs in each table's text, over all lines: sums without a shuffle of text."""
     heads = []
     for table, path in paths.items():
-        lines = spark.read.text(path).limit(SAMPLE_CHARS).select(F.substring("value", 1, SAMPLE_CHARS).alias("line"))
-        sample = F.substring(F.concat_ws("\n", F.collect_list("line")), 1, SAMPLE_CHARS)
-        heads.append(lines.agg(sample.alias("sample")).select(F.lit(table).alias("table_name"), "sample"))
-    counts = [
-        (F.length("sample") - F.length(F.replace("sample", F.lit(sep), F.lit("")))).alias(f"n{i}")
-        for i, sep in enumerate(SEPARATORS)
-    ]
-    counted = reduce(DataFrame.unionAll, heads).select("table_name", *counts)
+        counts = [F.sum(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))) for sep in SEPARATORS]
+        found = spark.read.text(path).agg(*[F.coalesce(n, F.lit(0)).alias(f"n{i}") for i, n in enumerate(counts)])
+        heads.append(found.select(F.lit(table).alias("table_name"), "*"))
+    counted = reduce(DataFrame.unionAll, heads)
     top = F.greatest(*[F.col(f"n{i}") for i in range(len(SEPARATORS))])
     pick = F.coalesce(*[F.when(F.col(f"n{i}") == top, F.lit(sep)) for i, sep in enumerate(SEPARATORS)])
     return counted.select(

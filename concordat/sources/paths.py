@@ -28,6 +28,17 @@ def list_csv(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
     return sorted((name[: -len(".csv")], full) for name, full in names if name.endswith(".csv"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, str(path))
+    fs.delete(p, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The one full name of a path, so that two spellings of a folder compare equal."""
+    fs, p = _file_system(spark, str(path))
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
 def require_safe_name(name: str) -> str:
     if not SAFE_TABLE_NAME.fullmatch(name):
         raise ValueError(f"not usable as a table name: {name!r}")

@@ -230,31 +230,35 @@ def grand_totals() -> str:
 SELECT * REPLACE (round(source_value, 4) AS source_value, round(target_value, 4) AS target_value) FROM ({rows})"""
 
 
-def differences(rows: str, tolerances: dict[str, tuple[float, float]]) -> str:
+def differences(rows: str, tolerances: dict[str, tuple[float, float]], counts: list[str] | None = None) -> str:
     pick = lambda i: " ".join(f"WHEN '{c}' THEN {t[i]!r}" for c, t in tolerances.items())
     return f"""
 SELECT {COL}, source_count, target_count, round(d, 9) AS max_absolute_diff, round(r, 9) AS max_relative_diff,
-       abs_tolerance, rel_tolerance,
-       coalesce(source_count <> target_count OR d > abs_tolerance OR r > rel_tolerance, FALSE) AS exceeds
+       abs_tolerance, rel_tolerance, {"".join(c + ", " for c in counts or [])}
+       coalesce(source_count <> target_count OR d > abs_tolerance OR r > rel_tolerance {"".join(f"OR {c} > 0 " for c in counts or [])}, FALSE) AS exceeds
 FROM (SELECT *, CAST(CASE {COL} {pick(0)} END AS DOUBLE) AS abs_tolerance,
              CAST(CASE {COL} {pick(1)} END AS DOUBLE) AS rel_tolerance FROM ({rows}))"""
 
 
 def rank_tolerance() -> str:
-    sides = """s AS (SELECT * FROM lineitem),
+    sides = """s AS (SELECT * REPLACE (CASE WHEN l_partkey % 11 = 0 THEN CAST('inf' AS DOUBLE)
+        WHEN l_partkey % 13 = 0 THEN CAST('-inf' AS DOUBLE) ELSE l_tax END AS l_tax),
+    l_orderkey + 9007199254740992 AS l_big, CAST(l_extendedprice AS DECIMAL(18,2)) AS l_price, CAST(1 AS DOUBLE) AS l_flag FROM lineitem),
 t AS (SELECT * REPLACE (
     CASE WHEN l_partkey % 7 = 0 THEN l_extendedprice * (1 + 1e-7) ELSE l_extendedprice END AS l_extendedprice,
     CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
-    CASE WHEN l_suppkey % 83 = 0 THEN NULL ELSE l_discount END AS l_discount) FROM lineitem)"""
-    columns = ["l_extendedprice", "l_quantity", "l_discount", "l_orderkey"]
+    CASE WHEN l_suppkey % 83 = 0 THEN NULL ELSE l_discount END AS l_discount,
+    CASE WHEN l_partkey % 89 = 0 THEN l_big + 1 ELSE l_big END AS l_big) FROM s)"""
+    columns = ["l_extendedprice", "l_quantity", "l_discount", "l_orderkey", "l_tax", "l_big", "l_price", "l_flag"]
 
     def one(c: str) -> str:
         ranked = lambda side: f"(SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS i FROM {side} WHERE {c} IS NOT NULL)"
         n = f"(SELECT count({c}) FROM s) = (SELECT count({c}) FROM t)"
+        apart = "CASE WHEN a.v = b.v THEN 0 ELSE CAST(abs(a.v - b.v) AS DOUBLE) END"
         return (
             f"SELECT '{c}' AS {COL}, (SELECT count({c}) FROM s) AS source_count, (SELECT count({c}) FROM t) AS target_count, "
-            f"CASE WHEN {n} THEN max(CAST(abs(a.v - b.v) AS DOUBLE)) END AS d, "
-            f"CASE WHEN {n} THEN max(CAST(abs(a.v - b.v) AS DOUBLE) / (CASE WHEN a.v = 0 THEN 1 ELSE abs(a.v) END)) END AS r "
+            f"CASE WHEN {n} THEN max({apart}) END AS d, "
+            f"CASE WHEN {n} THEN max(CASE WHEN a.v = b.v THEN 0 ELSE {apart} / (CASE WHEN a.v = 0 THEN 1 ELSE abs(a.v) END) END) END AS r "
             f"FROM {ranked('s')} a JOIN {ranked('t')} b ON a.i = b.i"
         )
 
@@ -262,18 +266,34 @@ t AS (SELECT * REPLACE (
     return f"WITH {sides} " + differences(union([one(c) for c in columns]), tolerances)
 
 
+UNPAIRED = ["missing_in_target", "extra_in_target", "repeated_keys", "null_mismatches"]
+
+
 def key_tolerance() -> str:
+    sides = """s AS (SELECT * REPLACE (CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_custkey END AS o_custkey) FROM orders),
+t0 AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * (1 + 1e-7) ELSE o_totalprice END AS o_totalprice,
+                         CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE o_custkey END AS o_custkey)
+       FROM orders WHERE o_orderkey % 97 <> 0),
+t AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE o_orderkey % 61 = 0
+      UNION ALL SELECT * REPLACE (o_orderkey + 1000000000000 AS o_orderkey) FROM t0 WHERE o_orderkey % 67 = 0
+      UNION ALL SELECT * REPLACE (o_orderkey + 1000000000000 AS o_orderkey) FROM t0 WHERE o_orderkey % 67 = 0 AND o_orderkey % 61 = 0),
+a AS (SELECT o_orderkey AS k, count(*) AS n, max(o_totalprice) AS o_totalprice, max(o_custkey) AS o_custkey FROM s GROUP BY 1),
+b AS (SELECT o_orderkey AS k, count(*) AS n, max(o_totalprice) AS o_totalprice, max(o_custkey) AS o_custkey FROM t GROUP BY 1)"""
     columns = ["o_totalprice", "o_custkey"]
+    single = "a.n = 1 AND b.n = 1"
 
     def one(c: str) -> str:
+        apart = f"CAST(abs(a.{c} - b.{c}) AS DOUBLE)"
         return (
             f"SELECT '{c}' AS {COL}, (SELECT count({c}) FROM s) AS source_count, (SELECT count({c}) FROM t) AS target_count, "
-            f"max(CAST(abs(s.{c} - t.{c}) AS DOUBLE)) AS d, "
-            f"max(CAST(abs(s.{c} - t.{c}) AS DOUBLE) / (CASE WHEN s.{c} = 0 THEN 1 ELSE abs(s.{c}) END)) AS r "
-            f"FROM s JOIN t ON s.o_orderkey = t.o_orderkey"
+            f"max({apart}) FILTER ({single}) AS d, max({apart} / (CASE WHEN a.{c} = 0 THEN 1 ELSE abs(a.{c}) END)) FILTER ({single}) AS r, "
+            f"count(*) FILTER (b.n IS NULL) AS missing_in_target, count(*) FILTER (a.n IS NULL) AS extra_in_target, "
+            f"count(*) FILTER (a.n + b.n > 2) AS repeated_keys, "
+            f"count(*) FILTER ({single} AND (a.{c} IS NULL) <> (b.{c} IS NULL)) AS null_mismatches "
+            f"FROM a FULL JOIN b ON a.k = b.k"
         )
 
-    return f"WITH {NOISY_ORDERS} " + differences(union([one(c) for c in columns]), {c: (1e-6, 1e-4) for c in columns})
+    return f"WITH {sides} " + differences(union([one(c) for c in columns]), {c: (1e-6, 1e-4) for c in columns}, UNPAIRED)
 
 
 def group_sums(by: list[str], columns: list[str]) -> str:
@@ -407,22 +427,45 @@ SELECT run_id, comparison, CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' EL
 FROM checks, (VALUES ('r1'), ('r2')) AS runs(run_id) GROUP BY run_id, comparison"""
 
 
-def two_phase_verdict() -> str:
-    def same(a: str, b: str) -> str:
-        return f"NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a}))"
+def same(a: str, b: str) -> str:
+    return f"NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a}))"
 
+
+def two_phase_verdict() -> str:
     o, c = f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders", "SELECT * FROM customer"
     altered = f"SELECT {', '.join(ORDER_COLUMNS)} FROM (SELECT {IN_PLACE} FROM orders WHERE o_orderkey % 97 <> 0)"
     cut = "SELECT * FROM customer WHERE c_custkey % 97 <> 0"
     return f"""WITH phases AS (
 SELECT 'simulated' AS phase, 1 AS ordinal, {same(o, altered)} AND {same(c, c)} AS success
 UNION ALL SELECT 'recorded', 2, {same(o, o)} AND {same(c, c)}
-UNION ALL SELECT 'partial', 3, {same(o, o)} AND {same(c, cut)})
+UNION ALL SELECT 'partial', 3, {same(o, o)} AND {same(c, cut)}
+UNION ALL SELECT 'without_customer', 4, FALSE)
 SELECT CASE WHEN bool_or(success) THEN 'success' ELSE 'failure' END AS status,
        arg_max(phase, ordinal) FILTER (success) AS winning_phase,
        coalesce(arg_max(phase, ordinal) FILTER (success), arg_max(phase, ordinal)) AS reported_phase FROM phases"""
 
 
+def compare_many() -> str:
+    changed = "SELECT * REPLACE (c_acctbal + (CASE WHEN c_custkey % 89 = 0 THEN 1 ELSE 0 END) AS c_acctbal) FROM customer"
+    verdict = lambda a, b: f"CASE WHEN {same(a, b)} THEN 'PASSED' ELSE 'FAILED' END"
+    return f"""SELECT 'equal' AS comparison, {verdict('SELECT * FROM orders', 'SELECT * FROM orders')} AS status
+UNION ALL SELECT 'changed', {verdict('SELECT * FROM customer', changed)}
+UNION ALL SELECT 'surplus', {verdict('SELECT * FROM part', 'SELECT * FROM part WHERE FALSE')}
+UNION ALL SELECT 'absent', {verdict('SELECT * FROM part WHERE FALSE', 'SELECT * FROM part')}"""
+
+
+NORMALISE_CHAIN = """
+SELECT CAST(o_orderkey AS DOUBLE) AS order_key,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS placed,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS prix,
+       strftime(o_orderdate, '%Y') AS prix_1,
+       CASE WHEN o_orderkey % 10 = 3 THEN 'see note' ELSE CAST(o_custkey AS VARCHAR) END AS notice
+FROM orders"""
+
+PIPELINE = """
+SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, 'totals' AS outputs
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
+
 COMPLETENESS = """WITH found AS (
 SELECT 'input' AS part, 'orders' AS table_name, (SELECT count(*) FROM orders) AS n
 UNION ALL SELECT 'input', 'customer', (SELECT count(*) FROM customer)
@@ -551,7 +594,17 @@ def inferred_profile() -> str:
     )
 
 
-DELIMITERS = """SELECT * FROM (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9)), ('pipe', '|')) AS d(table_name, delimiter)"""
+def delimiters() -> str:
+    """Separators in the text of a table written with each of them: two a line, and those inside its values."""
+    marks = {"commas": "','", "semicolons": "';'", "tabs": "chr(9)", "pipes": "'|'"}
+    text = "CAST(c_custkey AS VARCHAR) || c_name || c_mktsegment"
+    own = {n: f"sum(length({text}) - length(replace({text}, {m}, '')))" for n, m in marks.items()}
+    rows = [
+        f"SELECT '{label}' AS table_name, {', '.join(f'{own[n]} + {2 if n == mine else 0} * count(*) AS {n}' for n in marks)}, {marks[mine]} AS delimiter FROM customer"
+        for label, mine in (("comma", "commas"), ("semicolon", "semicolons"), ("tab", "tabs"), ("pipe", "pipes"))
+    ]
+    return union(rows)
+
 
 SINKS = """
 SELECT copy, count(*) AS n_rows, count(*) FILTER (c_custkey % 9 = 0 OR coalesce(c_mktsegment, '') = '') AS n_blank,
@@ -590,16 +643,19 @@ ORACLE: dict[str, str] = {
     "report_summary": REPORT_SUMMARY,
     "report_roundtrip": REPORT_ROUNDTRIP,
     "two_phase_verdict": two_phase_verdict(),
+    "compare_many": compare_many(),
     "completeness": COMPLETENESS,
     "full_validation": full_validation(),
     "normalise_nulls_trim": NORMALISE,
     "type_evidence": type_evidence(),
     "type_inference": TYPE_INFERENCE,
+    "normalise_chain": NORMALISE_CHAIN,
     "typed_ingest": TYPED_INGEST,
     "typed_ingest_rejects": TYPED_REJECTS,
     "constraint_report": CONSTRAINTS,
     "inferred_ingest_profile": inferred_profile(),
-    "delimiter_detect": DELIMITERS,
+    "delimiter_detect": delimiters(),
     "sink_roundtrip": SINKS,
     "published_run": PUBLISHED,
+    "pipeline_execute": PIPELINE,
 }

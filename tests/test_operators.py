@@ -136,7 +136,7 @@ def test_repeated_keys_compare_as_multisets(spark):
     pair = pair_of(spark, source, target, "k int, v string")
     got = {r["k"]: (r["difference"], r["source_rows"], r["target_rows"]) for r in keyed_diff.row_diff(pair, ["k"]).collect()}
     assert got == {2: ("changed", 2, 2), 3: ("changed", 2, 1)}
-    cells = {tuple(r) for r in keyed_diff.cell_diff(pair, ["k"], keyed_diff.row_diff(pair, ["k"]).select("k"), 2).collect()}
+    cells = {tuple(r) for r in keyed_diff.cell_diff(pair, ["k"], keyed_diff.row_diff(pair, ["k"]).select("k")).collect()}
     assert cells == {(2, "v", "a", "b", 1), (3, "v", "b", None, 1)}
 
 
@@ -152,10 +152,9 @@ def test_cell_diff_lists_every_changed_cell(spark):
     source = [(1, "a", 1.5, None), (2, "b", 2.0, "x")]
     target = [(1, "z", 2.5, "y"), (2, "b", 2.0, "x")]
     pair = pair_of(spark, source, target, "k int, s string, d double, n string")
-    for n_keys in (None, 1):
-        found = keyed_diff.cell_diff(pair, ["k"], keyed_diff.row_diff(pair, ["k"]).select("k"), n_keys).collect()
-        got = {(r["column"], r["source_value"], r["target_value"]) for r in found}
-        assert got == {("s", "a", "z"), ("d", "1.5", "2.5"), ("n", None, "y")}
+    found = keyed_diff.cell_diff(pair, ["k"], keyed_diff.row_diff(pair, ["k"]).select("k")).collect()
+    got = {(r["column"], r["source_value"], r["target_value"]) for r in found}
+    assert got == {("s", "a", "z"), ("d", "1.5", "2.5"), ("n", None, "y")}
 
 
 def test_key_columns_may_be_named_like_the_output(spark):
@@ -163,21 +162,57 @@ def test_key_columns_may_be_named_like_the_output(spark):
     pair = pair_of(spark, [(1, 2, 3, 4), (5, 6, 7, 8)], [(1, 2, 3, 9), (5, 6, 7, 8)], schema)
     key = ["column", "value"]
     diff = keyed_diff.row_diff(pair, key)
-    assert diff.count() == 1 and keyed_diff.cell_diff(pair, key, diff.select(*key), 1).count() == 1
-
-
-def test_lookup_beyond_the_broadcast_limit_gives_the_same(spark, monkeypatch):
-    pair = pair_of(spark, [(i, i) for i in range(50)], [(i, i + (i < 9)) for i in range(50)], "k int, v int")
-    changed = keyed_diff.row_diff(pair, ["k"]).select("k")
-    small = {tuple(r) for r in keyed_diff.cell_diff(pair, ["k"], changed, 9).collect()}
-    monkeypatch.setattr(keyed_diff, "BROADCAST_KEYS", 3)
-    assert {tuple(r) for r in keyed_diff.cell_diff(pair, ["k"], changed, 9).collect()} == small and len(small) == 9
+    assert diff.count() == 1 and keyed_diff.cell_diff(pair, key, diff.select(*key)).count() == 1
 
 
 def test_key_differences(spark):
     pair = pair_of(spark, [(1, 1.0), (2, 2.0), (3, None)], [(2, 2.5), (1, 1.0), (3, None)], "k int, v double")
     (r,) = keyed_diff.key_differences(pair, ["k"], ["v"]).collect()
-    assert tuple(r) == ("v", 2, 2, 0.5, 0.25)
+    assert tuple(r) == ("v", 2, 2, 0.5, 0.25, 0, 0, 0, 0)
+
+
+@pytest.mark.parametrize(
+    "target, counts",
+    [
+        ([(1, 1.0), (2, 2.0), (4, 999.0)], (1, 1, 0, 0)),
+        ([(1, None), (2, 2.0), (3, 3.0)], (0, 0, 0, 1)),
+        ([(1, 1.0), (2, 2.0), (3, 3.0), (3, 3.0)], (0, 0, 1, 0)),
+        ([(1, 1.0), (2, 2.0), (3, 3.0)], (0, 0, 0, 0)),
+    ],
+)
+def test_keys_and_values_without_a_partner_exceed(spark, target, counts):
+    pair = pair_of(spark, [(1, 1.0), (2, 2.0), (3, 3.0)], target, "k int, v double")
+    found = order_stats.exceeds_tolerance(keyed_diff.key_differences(pair, ["k"], ["v"]), {"v": (1e-6, 1e-4)}).first()
+    assert tuple(found[c] for c in order_stats.UNPAIRED) == counts
+    assert found["exceeds"] == any(counts)
+
+
+@pytest.mark.parametrize("rows_per_bin", [2, 3, 1000])
+def test_infinities_equal_themselves(spark, rows_per_bin):
+    inf = float("inf")
+    values = [(x,) for x in (-inf, -inf, 1.0, 2.0, 3.0, inf, None)]
+    for target, worst in ((values, 0.0), ([(x,) for x in (-inf, -inf, 1.0, 2.0, 3.0, 4.0, None)], inf)):
+        (r,) = order_stats.rank_differences(pair_of(spark, values, target, "v double"), ["v"], rows_per_bin).collect()
+        assert (r["max_absolute_diff"], r["max_relative_diff"]) == (worst, worst)
+    found = order_stats.column_percentiles(pair_of(spark, values, values, "v double"), ["v"], [0.0, 0.5, 1.0], rows_per_bin).collect()
+    assert {(r["stat"], r["value"]) for r in found} == {("p0", -inf), ("p50", 1.5), ("p100", inf)}
+
+
+def test_sketches_do_not_meet_in_one_task(spark):
+    pair = pair_of(spark, [(float(i),) for i in range(50)], [(float(i),) for i in range(50)], "v double")
+    assert order_stats.bin_bounds(pair, ["v"], 4)["v"] == sorted(set(order_stats.bin_bounds(pair, ["v"], 4)["v"]))
+
+
+def test_binary_values_are_told_apart(spark):
+    pair = pair_of(spark, [(1, bytearray(b"\xff"))], [(1, bytearray(b"\xfe"))], "k int, b binary")
+    (cell,) = keyed_diff.cell_diff(pair, ["k"], keyed_diff.row_diff(pair, ["k"]).select("k")).collect()
+    assert (cell["source_value"], cell["target_value"]) == ("FF", "FE")
+
+
+def test_maps_inside_other_types_compare_by_entries(spark):
+    schema = "k int, m struct<a: array<map<string,int>>>"
+    pair = pair_of(spark, [(1, ([{"x": 1, "y": 2}],)), (2, ([{"x": 1}],))], [(1, ([{"y": 2, "x": 1}],)), (2, ([{"x": 2}],))], schema)
+    assert [r["k"] for r in keyed_diff.row_diff(pair, ["k"]).collect()] == [2]
 
 
 # --- digests and duplicates -------------------------------------------------------------
@@ -228,13 +263,6 @@ def test_duplicates_narrow_and_wide(spark, width):
     assert tuple(duplicates.duplicate_rows(pair).first()) == (3, 1)
 
 
-def test_wide_duplicates_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(duplicates, "BROADCAST_ROWS", 0)
-    schema = ", ".join(f"c{j} int" for j in range(10))
-    pair = pair_of(spark, [(7,) * 10] * 4 + [(8,) * 10], [(7,) * 10], schema)
-    assert tuple(duplicates.duplicate_rows(pair).first()) == (3, 0)
-
-
 # --- totals, groups, profile ------------------------------------------------------------
 
 

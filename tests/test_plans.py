@@ -10,9 +10,12 @@ from concordat import CompareConfig
 from concordat.operators import cardinality, keyed_diff, order_stats, profile
 from concordat.operators.pairing import align
 from concordat.plans import multi, payment_status, star_schema, steps
+from concordat.plans.report import overall_status
+from concordat.plans.validate import validate
 from concordat.session import scratch_root
 from concordat.sinks import tables as sinks
-from concordat.sinks.reports import ERROR_SCHEMA
+from concordat.sinks.reports import ERROR_SCHEMA, header_path
+from concordat.sources import csv_tables
 
 
 def write(path, text):
@@ -61,6 +64,7 @@ INVOICES = [
     ("NXS", f"INV-{i:03d}", f"V{i % 4}", f"{100 + i * 1.25:.2f}", ["T0", "T5", "T9"][i % 3], "20260101", "20260201", "T", "", s, "EUR")
     for i, s in enumerate(["PAID"] * 25 + ["PENDING"] * 15 + ["BLOCKED"] * 10 + ["CANCELLED"] * 10)
 ]
+# Field names of the workload, and its one statement.
 INVOICE_FIELDS = "BUKRS,BELNR,SAP_VENDOR_ID,WRBTR,MWSKZ,BLDAT,ZFBDT,ZLSCH,AUGDT,PAYMENT_STATUS_RAW,WAERS"
 SQL = """
 SELECT s.belnr AS invoice_id, v.vendor_name, s.payment_status_raw AS payment_status, s.wrbtr AS gross_amount, t.tax_rate,
@@ -196,7 +200,70 @@ def test_pairs_are_discovered_by_name(spark, tmp_path):
         for n in names:
             write(tmp_path / side / f"{n}.csv", "k,v\n1,2\n")
     pairs = multi.discover_pairs(spark, str(tmp_path / "out"), str(tmp_path / "expected"))
-    assert [p[0] for p in pairs] == ["b"] and multi.compare_many(spark, pairs).success
+    assert [(p[0], p[1] is None, p[2] is None) for p in pairs] == [("a", False, True), ("b", False, False), ("c", True, False)]
+    found = multi.compare_many(spark, pairs)
+    assert not found.success and [r.passed for r in found.reports] == [False, True, False]
+    assert [r["check_name"] for r in found.checks.where("status = 'FAILED'").orderBy("comparison").collect()] == ["missing_expected", "missing_output"]
+
+
+def test_a_broken_path_is_a_failed_row(spark, tmp_path):
+    good = write(tmp_path / "g.csv", "k,v\n1,2\n")
+    path = str(tmp_path / "reports")
+    found = multi.compare_many(spark, [("good", good, good), ("bad", str(tmp_path / "none.csv"), good)], CompareConfig(run_id="p"), path)
+    assert not found.success
+    rows = {r["comparison"]: r["status"] for r in overall_status(spark.read.json(path)).collect()}
+    assert rows == {"good": "PASSED", "bad": "FAILED"}
+    heads = {r["comparison"]: r for r in spark.read.json(header_path(path)).collect()}
+    assert heads["bad"]["overall_status"] == "FAILED" and heads["bad"]["load_error"] and heads["good"]["run_id"] == "p"
+
+
+def test_one_sided_tables_fail_a_phase(spark):
+    a = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    result = multi.validate_two_phases(spark, {"a": a, "b": a}, {"only_a": {"a": a}})
+    assert result.status == "failure"
+
+
+def test_different_text_in_a_date_column_differs(spark, tmp_path):
+    rows = lambda word: "id,update_note\n" + "".join(f"{i},{word} {i}\n" for i in range(30))
+    r = validate(write(tmp_path / "a.csv", rows("left")), write(tmp_path / "b.csv", rows("right")), CompareConfig(primary_key=["id"]), spark)
+    assert r.overall_status == "FAILED" and r.check("type_conversion").details["values_that_would_be_lost"]["update_note"] == {"source": 30, "target": 30}
+
+
+def test_separators_are_counted_over_all_lines(spark, tmp_path):
+    text = "a;b\n" + "one, two, three; x\n" * 3 + "plain;y\n" * 5000
+    assert csv_tables.detect_delimiter(spark, write(tmp_path / "t.csv", text)) == ";"
+
+
+def test_outputs_never_replace_inputs_and_old_ones_go(spark, tmp_path):
+    write(tmp_path / "data" / "orders.csv", "a\n1\n2\n")
+    data, out = str(tmp_path / "data"), str(tmp_path / "out")
+    with pytest.raises(ValueError, match="over inputs"):
+        steps.execute(spark, [("orders", "SELECT 1 AS a")], data)
+    assert (tmp_path / "data" / "orders.csv").read_text() == "a\n1\n2\n"
+    steps.execute(spark, [("one", "SELECT * FROM orders"), ("two", "SELECT 2 AS b")], data, output_dir=out)
+    steps.execute(spark, [("one", "SELECT * FROM orders")], data, output_dir=out)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["one.csv", "one.parquet"]
+    with pytest.raises(Exception, match="nowhere"):
+        steps.execute(spark, [("one", "SELECT * FROM nowhere")], data, output_dir=out)
+    assert not (tmp_path / "out" / "one.csv").exists()
+
+
+def test_a_failed_republish_keeps_the_published_tables(spark, tmp_path):
+    root = str(tmp_path)
+    sinks.publish_run(spark, {"t": spark.range(3)}, root, "r")
+    with pytest.raises(Exception):
+        sinks.publish_run(spark, {"t": spark.range(3).selectExpr("raise_error('no') AS id")}, root, "r")
+    assert sinks.read_published(spark, root, "t").count() == 3
+    sinks.publish_run(spark, {"t": spark.range(5)}, root, "r")
+    assert sinks.read_published(spark, root, "t").count() == 5
+
+
+def test_all_wrong_groups_are_there(spark):
+    a = spark.createDataFrame([(i, 1.0) for i in range(50)], "g int, v double")
+    b = spark.createDataFrame([(i, 2.0) for i in range(50)], "g int, v double")
+    r = validate(a, b, CompareConfig(aggregation_columns=["v"], group_by_columns=["g"]))
+    shown = r.check("group_by_consistency").details
+    assert len(shown["shown"]["v"]) == 10 and shown["sample_truncated"] and r.group_differences().count() == 50
 
 
 @pytest.mark.parametrize(
