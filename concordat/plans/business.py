@@ -13,7 +13,7 @@ from concordat.operators.pairing import Pair, as_doubles, source_only
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
-from concordat.session import materialise
+from concordat.session import stored
 
 EXACT_IN_DOUBLE = 2**53
 
@@ -96,21 +96,16 @@ def ranked(jobs: Jobs) -> tuple[list[dict], float]:
 
 def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
     by = cfg.group_by_columns
-    grouped = materialise(totals.group_consistency(pair, by, columns, cfg.default_abs_tolerance).where(~F.col("agrees")), "groups")
-    counts = {
-        r["column"]: r.asDict()
-        for r in grouped.groupBy("column")
-        .agg(
+    wrong = totals.group_consistency(pair, by, columns, cfg.default_abs_tolerance).where(~F.col("agrees"))
+    with stored(wrong, "groups") as grouped:
+        found = grouped.groupBy("column").agg(
             F.count(F.lit(1)).alias("n_groups"),
             F.count_if(F.col("source_rows") == 0).alias("only_in_target"),
             F.count_if(F.col("target_rows") == 0).alias("only_in_source"),
         )
-        .collect()
-    }
-    shown = {
-        c: [r.asDict() for r in grouped.where(F.col("column") == c).orderBy(*map(quoted, by)).limit(cfg.group_sample).collect()]
-        for c in counts
-    }
+        counts = {r["column"]: r.asDict() for r in found.collect()}
+        first = {c: grouped.where(F.col("column") == c).orderBy(*map(quoted, by)).limit(cfg.group_sample) for c in counts}
+        shown = {c: [r.asDict() for r in df.collect()] for c, df in first.items()}
     truncated = any(counts[c]["n_groups"] > len(shown[c]) for c in counts)
     return {"counts": counts, "shown": shown, "sample_truncated": truncated}
 

@@ -8,7 +8,7 @@ from concordat.operators.pairing import IS_SOURCE, Pair, source_only
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
-from concordat.session import materialise
+from concordat.session import stored
 
 # What unequal row counts leave unanswered in this layer.
 NOT_RUN = ["full_dataset_hash", "column_level_hash", "duplicate_rows", "bucketed_checksum", "row_aligned_diff"]
@@ -32,15 +32,15 @@ def _duplicates(pair: Pair, jobs: Jobs) -> dict[str, int]:
 def _diff(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> dict:
     if jobs.alike(pair.columns)[0]:
         return {"counts": {}, "sample": [], "truncated": False}
-    diff = materialise(keyed_diff.row_diff(pair, cfg.primary_key), "row-diff")
-    counts = {r["difference"]: r.asDict() for r in keyed_diff.diff_counts(diff).collect()}
-    sample, truncated = [], sum(r["n_keys"] for r in counts.values()) > cfg.diff_sample
-    if counts:
-        # A repeated key may bring any number of rows: the sample shows a bounded part, and says so.
-        found = keyed_diff.diff_sample(pair, cfg.primary_key, diff, cfg.diff_sample).orderBy(*cfg.primary_key, IS_SOURCE)
-        rows = found.limit(cfg.diff_sample_rows + 1).collect()
-        sample = [r.asDict() for r in rows[: cfg.diff_sample_rows]]
-        truncated |= len(rows) > cfg.diff_sample_rows
+    with stored(keyed_diff.row_diff(pair, cfg.primary_key), "row-diff") as diff:
+        counts = {r["difference"]: r.asDict() for r in keyed_diff.diff_counts(diff).collect()}
+        sample, truncated = [], sum(r["n_keys"] for r in counts.values()) > cfg.diff_sample
+        if counts:
+            # A repeated key may bring any number of rows: the sample shows a bounded part, and says so.
+            found = keyed_diff.diff_sample(pair, cfg.primary_key, diff, cfg.diff_sample).orderBy(*cfg.primary_key, IS_SOURCE)
+            rows = found.limit(cfg.diff_sample_rows + 1).collect()
+            sample = [r.asDict() for r in rows[: cfg.diff_sample_rows]]
+            truncated |= len(rows) > cfg.diff_sample_rows
     return {"counts": counts, "sample": sample, "truncated": truncated}
 
 

@@ -6,9 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from concordat.sources.paths import remove
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -28,8 +32,45 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete what this session stored in the scratch folder, from the ``since``-th path on, but for ``keep``.
+
+    For a caller who has written or collected the results: DataFrames that read those paths are of no use after it.
+    """
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in paths[since:] if p != keep]:
+        remove(spark, path)
+        paths.remove(path)
+
+
+def last_scratch(spark: SparkSession) -> str:
+    """The path given out last."""
+    return _made[spark.sparkContext.applicationId][-1]
+
+
+def scratch_count(spark: SparkSession) -> int:
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def stored(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """The rows of ``df`` from a scratch copy that goes at the end of the block."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.mode("error").parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)
+        _made[df.sparkSession.sparkContext.applicationId].remove(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -296,6 +296,32 @@ b AS (SELECT o_orderkey AS k, count(*) AS n, max(o_totalprice) AS o_totalprice,
     return f"WITH {sides} " + differences(union([one(c) for c in columns]), {c: (1e-6, 1e-4) for c in columns}, UNPAIRED)
 
 
+def custom_rules_by_query() -> str:
+    def rule(name: str, sql: str, tolerance: float) -> str:
+        sv, tv = sql.format(table="s"), sql.format(table="t")
+        return f"SELECT 'rule_{name}' AS check_name, CASE WHEN {close('sv', 'tv', tolerance, tolerance)} THEN 'PASSED' ELSE 'FAILED' END AS status FROM (SELECT ({sv}) AS sv, ({tv}) AS tv)"
+
+    rows = [
+        rule("late_orders", "SELECT count(*) FROM {table} WHERE o_orderdate >= TIMESTAMP '1997-01-01'", 0.0),
+        rule("dearest_open", "SELECT max(o_totalprice) FROM {table} WHERE o_orderstatus = 'O'", 0.5),
+        "SELECT 'rule_no_such_column', 'FAILED'",
+    ]
+    return f"WITH s AS (SELECT * FROM orders), t AS (SELECT * REPLACE (CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice * 3 ELSE o_totalprice END AS o_totalprice) FROM orders) {union(rows)}"
+
+
+# Where a column stands in each table decides; the count shows that the rows were read.
+COLUMN_ORDER = """
+SELECT run_id, CASE WHEN first = 'c_custkey' THEN 'PASSED' ELSE 'FAILED' END AS status, (SELECT count(*) FROM customer) AS rows
+FROM (VALUES ('same', 'c_custkey'), ('turned', 'c_mktsegment')) AS v(run_id, first)"""
+
+FAILFAST = "SELECT p_partkey, p_name, p_size, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price FROM part"
+
+PREVIEW = """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size,
+       (SELECT count(*) FROM part) AS n_rows, (SELECT greatest(count(*) - 10, 0) FROM part) AS n_more
+FROM part ORDER BY part.p_partkey LIMIT 10"""
+
+
 def group_sums(by: list[str], columns: list[str]) -> str:
     on = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in by)
     side = lambda name: f"(SELECT {', '.join(by)}, count(*) AS n, {', '.join(f'sum({c}) AS {c}' for c in columns)} FROM {name} GROUP BY ALL)"
@@ -394,7 +420,7 @@ def cardinality_rows(columns: list[str]) -> str:
 
 def column_checks() -> str:
     """CTE ``checks`` (comparison, layer, check_name, status), as two comparisons make them."""
-    comparisons = {"altered": f"SELECT {IN_PLACE} FROM orders WHERE o_orderkey % 97 <> 0", "repartitioned": "SELECT * FROM orders"}
+    comparisons = {"altered": f"SELECT {IN_PLACE} FROM orders WHERE o_orderkey % 97 <> 0", "same": "SELECT * FROM orders"}
     parts = []
     for name, target in comparisons.items():
         sides = f"WITH s AS (SELECT * FROM orders), t AS ({target})"
@@ -634,6 +660,10 @@ ORACLE: dict[str, str] = {
     "group_consistency": group_sums(["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_quantity"]),
     "group_consistency_many": group_sums(["l_partkey", "l_returnflag"], ["l_quantity"]),
     "custom_rules": custom_rules(),
+    "custom_rules_by_query": custom_rules_by_query(),
+    "column_order": COLUMN_ORDER,
+    "typed_ingest_failfast": FAILFAST,
+    "preview_and_fixture": PREVIEW,
     "column_profile": side_by_side(LINEITEM_NUMBERS, STAT_NAMES),
     "profile_deviation": profile_deviation(),
     "confidence": confidence(),
