@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.llm import exact_dedup, mixing, ngram_join, ordinal_quality, packing
-from concordat.session import materialise, ship_package
+from concordat.session import last_scratch, materialise, release_scratch, scratch_count, ship_package
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; the result of each is written and read again.
+
+    Once a stage's result is stored, what the stage and the one before it stored on the way is deleted.
+    """
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_count(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(docs, name.replace(" ", "-"))
+            docs = materialise(docs, re.sub(r"\W+", "-", name))
+            release_scratch(spark, since, keep=last_scratch(spark))
     return docs
