@@ -275,8 +275,7 @@ t0 AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * (1 + 1
                          CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE o_custkey END AS o_custkey)
        FROM orders WHERE o_orderkey % 97 <> 0),
 t AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE o_orderkey % 61 = 0
-      UNION ALL SELECT * REPLACE (o_orderkey + 1000000000000 AS o_orderkey) FROM t0 WHERE o_orderkey % 67 = 0
-      UNION ALL SELECT * REPLACE (o_orderkey + 1000000000000 AS o_orderkey) FROM t0 WHERE o_orderkey % 67 = 0 AND o_orderkey % 61 = 0),
+      UNION ALL SELECT * REPLACE (o_orderkey + 1000000000000 AS o_orderkey) FROM t0 WHERE o_orderkey % 67 = 0),
 a AS (SELECT o_orderkey AS k, count(*) AS n, max(o_totalprice) AS o_totalprice, max(o_custkey) AS o_custkey FROM s GROUP BY 1),
 b AS (SELECT o_orderkey AS k, count(*) AS n, max(o_totalprice) AS o_totalprice, max(o_custkey) AS o_custkey FROM t GROUP BY 1)"""
     columns = ["o_totalprice", "o_custkey"]
