@@ -14,6 +14,8 @@ from concordat.operators.order_stats import column_percentiles, percentile_name
 from concordat.operators.pairing import IS_SOURCE, Pair, both_sides
 
 MOMENTS = ["min", "max", "mean", "stddev"]
+# Shown in a profile; they have checks of their own, so deviations leave them out.
+COUNTS = ["non_null", "null_ratio"]
 
 
 def side_profile(pair: Pair, coerced: list[str] | None = None, moments: bool = True) -> DataFrame:
@@ -59,8 +61,8 @@ def side_profile(pair: Pair, coerced: list[str] | None = None, moments: bool = T
 def column_profile(
     pair: Pair, percentiles: list[float], rows_per_bin: int = 1_000_000, rows: int | None = None
 ) -> DataFrame:
-    """Rows (is_source, column, stat, value) of every numeric column: moments, percentiles."""
-    stats = [struct(stat=literal(s), value=quoted(s)) for s in MOMENTS]
+    """Rows (is_source, column, stat, value) of every numeric column: counts, moments, percentiles."""
+    stats = [struct(stat=literal(s), value=f"CAST({quoted(s)} AS double)") for s in COUNTS + MOMENTS]
     moments = unpivot(side_profile(pair).where("is_numeric"), [IS_SOURCE, quoted("column")], stats)
     return moments.unionAll(column_percentiles(pair, pair.numeric_columns(), percentiles, rows_per_bin, rows))
 
@@ -72,7 +74,8 @@ def stat_names(percentiles: list[float]) -> list[str]:
 def profile_deviation(profile: DataFrame, tolerance: float) -> DataFrame:
     """(column, stat, source_value, target_value, relative_diff, deviates) from the rows of
     ``column_profile``. A stat that is null on either side is not an issue."""
-    both = both_sides(profile, ["column", "stat"], {"value": "value"})
+    compared = profile.where(f"stat NOT IN ({', '.join(map(literal, COUNTS))})")
+    both = both_sides(compared, ["column", "stat"], {"value": "value"})
     diff = relative_diff("source_value", "target_value")
     return both.selectExpr("*", f"{diff} AS relative_diff").selectExpr(
         "*", f"coalesce(relative_diff > {float(tolerance)!r}D, false) AS deviates"

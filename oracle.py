@@ -354,6 +354,10 @@ def custom_rules() -> str:
 def stat(name: str, c: str) -> str:
     if name in PERCENTILES:
         return f"quantile_cont(CAST({c} AS DOUBLE), {PERCENTILES[name]})"
+    if name == "non_null":
+        return f"CAST(count({c}) AS DOUBLE)"
+    if name == "null_ratio":
+        return f"(count(*) - count({c})) / count(*)"
     fn = {"mean": "avg", "stddev": "stddev_samp"}.get(name, name)
     return f"{fn}(CAST({c} AS DOUBLE))"
 
@@ -663,7 +667,7 @@ ORACLE: dict[str, str] = {
     "column_order": COLUMN_ORDER,
     "typed_ingest_failfast": FAILFAST,
     "preview_and_fixture": PREVIEW,
-    "column_profile": side_by_side(LINEITEM_NUMBERS, STAT_NAMES),
+    "column_profile": side_by_side(LINEITEM_NUMBERS, ["non_null", "null_ratio", *STAT_NAMES]),
     "profile_deviation": profile_deviation(),
     "confidence": confidence(),
     "percentiles_by_bin": side_by_side(["l_extendedprice", "l_quantity", "l_orderkey"], list(PERCENTILES)),
