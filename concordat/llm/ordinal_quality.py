@@ -85,18 +85,16 @@ class Model:
 def fit(bucket: np.ndarray, count: np.ndarray, grade: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Model:
     """Accelerated proximal gradient on the mean log-likelihood of the grades; the thresholds are not penalised."""
     n, levels = len(count), 3
-    of = np.repeat(np.arange(n), count)
     common = (np.bincount(bucket, minlength=BUCKETS) >= LEAST_TEXTS)[bucket]
-    bucket, of = bucket[common], of[common]
-    order = np.argsort(bucket, kind="stable")
-    column, column_of = bucket[order], of[order]
+    of = np.repeat(np.arange(n), count)[common]
+    bucket = bucket[common].astype(np.int64)
     share = np.array([(grade > j).mean() for j in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
     w, theta = np.zeros(BUCKETS), np.log((1 - share) / share)
     w_ahead, theta_ahead, momentum = w, theta, 1.0
     # The curvature of the likelihood is at most half of the largest eigenvalue of X'X / n.
     v = np.ones(n)
     for _ in range(20):
-        v = np.bincount(of, np.bincount(column, v[column_of], BUCKETS)[bucket], n)
+        v = np.bincount(of, np.bincount(bucket, v[of], BUCKETS)[bucket], n)
         size = np.linalg.norm(v)
         v /= size
     step = 1.0 / (0.5 * (size / n) + 0.5)
@@ -111,7 +109,7 @@ def fit(bucket: np.ndarray, count: np.ndarray, grade: np.ndarray, penalty: float
         d_above = np.where(high, p_above * (1 - p_above), 0) / likely
         d_below = np.where(low, p_below * (1 - p_below), 0) / likely
         slope = (d_above - d_below) / n  # of the loss by the score
-        grad = np.bincount(column, slope[column_of], BUCKETS)
+        grad = np.bincount(bucket, slope[of], BUCKETS)
         by_theta = np.array([(d_below[grade == j + 1].sum() - d_above[grade == j].sum()) / n for j in range(levels - 1)])
         moved = w_ahead - step * grad
         new_w = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
@@ -144,9 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
-    lists = rows["buckets"].combine_chunks()
+    lists, grade = rows["buckets"].combine_chunks(), rows["grade"].to_numpy().astype(np.int64)
+    del rows
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), rows["grade"].to_numpy().astype(np.int64))
+    return fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), grade)
 
 
 def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:

@@ -21,8 +21,9 @@ from concordat.llm import bytewise
 BASE_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-# Published limits for the share of characters in duplicated n-grams, by n, and in duplicated lines.
-COVERAGE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+# Limits for the share of characters in duplicated n-grams, by n, and in repeated lines. Those for n-grams are
+# twice the published ones for repeats, as here the first occurrence counts among the duplicated characters too.
+COVERAGE_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 LINE_CHARS_LIMIT = 0.20
 
 SYMBOL = np.zeros(256, bool)
