@@ -164,17 +164,17 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_byt
 
     @F.pandas_udf("int")
     def shard_of(page_id: pd.Series) -> pd.Series:
-        # A null id arrives as a missing value and stands behind all others.
-        missing = page_id.isna()
-        at = np.searchsorted(bounds, page_id.fillna(0).astype("int64").to_numpy(), "right")
-        return pd.Series(np.where(missing, len(bounds), at)).astype("int32")
+        return pd.Series(np.searchsorted(bounds, page_id.to_numpy(), "right").astype("int32"))
 
     long = known.where(F.col("size") >= LEAST_REVISIT)
     groups = long.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     marks = join_groups(long.select("page_id", "digest").distinct(), groups, "digest", "n", known.count())
     marks = marks.select("page_id", "digest", F.lit(True).alias("is_mark"), "first_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     rows = pages.select("page_id", digest.alias("digest"), F.lit(False).alias("is_mark"), F.lit(None).cast("long").alias("first_id"), "url", "html")
-    dealt = rows.unionByName(marks).withColumn("shard", shard_of("page_id"))
+    dealt = rows.unionByName(marks)
+    # A null would turn the ids of its batch into floats; null ids stand behind all others.
+    at = F.when(F.col("page_id").isNull(), F.lit(len(bounds))).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long"))))
+    dealt = dealt.withColumn("shard", at)
     dealt = dealt.select("shard", "page_id", "digest", "is_mark", "first_id", "url", "html")
     order = [F.col("shard"), F.col("page_id").asc_nulls_last(), F.col("digest"), F.col("is_mark").desc(), F.col("url")]
     written = dealt.repartition("shard").sortWithinPartitions(*order).mapInArrow(_writer(folder, file_bytes), storage.WRITTEN)

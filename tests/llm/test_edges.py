@@ -243,6 +243,18 @@ def test_warc_round_trip(spark):
     assert manifest.count() > 2
 
 
+def test_warc_keeps_large_ids_beside_null_ones(spark):
+    top = 2**62
+    rows = [(top + i, None, f"{i % 7:03d} " * 40) for i in range(40)] + [(None, None, "x")] + [(i, None, "y" * 200) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = scratch_path(spark, "warc")
+    read = warc.read(warc.write(pages, folder, file_bytes=300, shard_bytes=2000), folder).collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in read) == Counter(
+        [(top + i, "response", None) if i < 7 else (top + i, "revisit", top + i % 7) for i in range(40)]
+        + [(None, "response", None), (0, "response", None), (1, "revisit", 0), (2, "revisit", 0)]
+    )
+
+
 def test_warc_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_and_read(pages).collect() == []
