@@ -51,6 +51,15 @@ class Part:
         return pa.record_batch([[x] for x in held], schema=_SCHEMA)
 
 
+def spread(rows: DataFrame, *by: str, per_task: int) -> DataFrame:
+    """Deal out few small rows that each stand for much work: at most ``per_task`` to a task, and fewer while cores are free.
+
+    The number of tasks is given, as rows of some bytes would else be put together in one.
+    """
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(n, 4 * cores), -(-n // per_task)), *by)
+
+
 def commit(written: DataFrame, folder: str) -> DataFrame:
     """Run the writing tasks, give their files the final names, store and return the manifest."""
 

@@ -31,6 +31,7 @@ from concordat.session import materialise, scratch_path
 END_OF_DOCUMENT = 50_256
 FILE_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
+BLOCKS_PER_TASK = 64
 WIDTH = 2  # bytes of an id
 
 
@@ -92,7 +93,7 @@ def scan(files: DataFrame, folder: str, separator: int = END_OF_DOCUMENT, block_
     n = F.ceil(F.col("bytes") / block_bytes).cast("long")
     todo = whole.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     todo = todo.select("name", "block", (F.col("block") * block_bytes).alias("begin"), F.least(F.lit(block_bytes), F.col("bytes") - F.col("block") * block_bytes).cast("long").alias("size"))
-    found = materialise(todo.repartition("name", "block").mapInArrow(_blocks(folder, separator), "name string, block long, upto long, ends array<long>"), "separators")
+    found = materialise(storage.spread(todo, "name", "block", per_task=BLOCKS_PER_TASK).mapInArrow(_blocks(folder, separator), "name string, block long, upto long, ends array<long>"), "separators")
 
     before = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     edges = found.select("name", "block", "upto", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))

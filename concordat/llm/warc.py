@@ -36,6 +36,7 @@ FILE_BYTES = 16 << 20
 SHARD_BYTES = 32 << 20
 RECORD_BYTES = 600  # headers of a record, for the size of shards
 BINS = 4096
+FILES_PER_TASK = 16
 DATE = "2024-01-01T00:00:00Z"
 # Fixed value: the profile of a revisit in the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -217,7 +218,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield batch_of(rows)
 
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
-    return manifest.select("name").repartition("name").mapInArrow(run, schema)
+    return storage.spread(manifest.select("name"), "name", per_task=FILES_PER_TASK).mapInArrow(run, schema)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
