@@ -178,7 +178,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_byt
     dealt = dealt.withColumn("shard", at)
     dealt = dealt.select("shard", "page_id", "digest", "is_mark", "first_id", "url", "html")
     order = [F.col("shard"), F.col("page_id").asc_nulls_last(), F.col("digest"), F.col("is_mark").desc(), F.col("url")]
-    written = dealt.repartition("shard").sortWithinPartitions(*order).mapInArrow(_writer(folder, file_bytes), storage.WRITTEN)
+    written = dealt.repartition(len(bounds) + 1, "shard").sortWithinPartitions(*order).mapInArrow(_writer(folder, file_bytes), storage.WRITTEN)
     return storage.commit(written, folder)
 
 
