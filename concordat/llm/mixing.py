@@ -15,6 +15,9 @@ Targets: sources by code point, null last, take weights from a repeating list an
 sizes; a target over ``most`` times its source's size is cut to that, and the excess goes to the others by
 weight until none is above.
 
+A source's target ends inside one pass over one document: ``mix`` emits that text up to the last word that the
+target covers, so the words it emits of a document are its ``taken`` and those of a source its rounded target.
+
 Defined results: a null or wordless text has size 0, is taken 0 words and stands nowhere. Null sources
 are one source. Rows with one doc_id and one text are different documents that may change places with one
 another. No rows, or no words at all, give targets of 0. Other columns are carried by ``mix`` and may have any name
@@ -35,12 +38,18 @@ MOST = 2.0
 SCHEDULES = (((0.0, 3.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 0.5), (1.0, 4.0)))
 ROWS_PER_RANGE = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
+SPACED_WORD = r"[\x20\x09-\x0D]*" + WORD
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, place, weight, target), one row per source.
 
@@ -103,19 +112,20 @@ def demand_time(share: Column, kind: Column, schedules=SCHEDULES) -> Column:
 
 
 def taken_words(lines_: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, before, taken: words of each pass that fall before the target."""
+    """Lines and targets with ``passes``: the words of each pass that fall before the target."""
     t = F.broadcast(targets) if targets.count() <= 100_000 else targets
     t = t.withColumnRenamed("source", "t_source")
     both = lines_.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     end = F.round("target").cast("long")
     once = lambda begin: F.least(F.greatest(end - begin, F.lit(0)), F.col("size"))
-    return both.withColumn("taken", once(F.col("before")) + once(F.col("before") + F.col("source_size")))
+    return both.withColumn("passes", F.array(once(F.col("before")), once(F.col("before") + F.col("source_size"))))
 
 
 def mixture(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, order, positions.
 
-    ``positions`` has the training position (0 to 1) of each pass over the document that is taken by half or more.
+    ``positions`` has (at, words) of each pass over the document of which words are taken: its training position
+    (0 to 1) and how many.
     """
     sized = documents.select("doc_id", "text", "source", word_count(F.col("text")).alias("size"))
     laid = materialise(lines(sized), "laid")
@@ -124,26 +134,49 @@ def mixture(documents: DataFrame) -> DataFrame:
     def position(n: int) -> Column:
         share = (F.col("before") + n * F.col("source_size")) / F.greatest("target", F.lit(1.0))
         here = demand_time(F.least(share, F.lit(1.0)), F.col("place") % len(SCHEDULES))
-        return F.when((F.col("size") > 0) & (2 * (F.col("taken") - n * F.col("size")) >= F.col("size")), here)
+        words = F.col("passes")[n]
+        return F.when(words > 0, F.struct(here.alias("at"), words.alias("words")))
 
-    return both.select("doc_id", "size", "source_size", "target", "taken", "order", F.array_compact(F.array(position(0), position(1))).alias("positions"))
+    positions = F.array_compact(F.array(position(0), position(1))).alias("positions")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("passes")[0] + F.col("passes")[1]).alias("taken"), "order", positions)
+
+
+def _sorted_by_position(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(order, copy, at, words, row): ``documents`` once for each pass of the rows of ``mixture`` in ``wanted``.
+
+    Documents and passes meet in one shuffle by order, the n-th of each in the same hash (its ``copy``), so whole
+    texts move once before the sort.
+    """
+    wanted = wanted.where(F.size("positions") > 0).select("order", "positions")
+    order = order_hash(F.col("doc_id"), F.col("text")).alias("order")
+    full = documents.select(order, F.lit(None).cast(wanted.schema["positions"].dataType).alias("positions"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    both = full.unionByName(wanted.withColumn("row", F.lit(None).cast(full.schema["row"].dataType)))
+    both = both.repartition("order").withColumn("copy", F.row_number().over(Window.partitionBy("order", F.col("row").isNull()).orderBy("positions")))
+    # Before the n-th document stands the n-th row of passes, if there is one, else another document.
+    line = Window.partitionBy("order").orderBy("copy", F.col("row").isNotNull())
+    both = both.withColumn("positions", F.lag("positions").over(line)).where("row IS NOT NULL")
+    both = both.select("order", "copy", "row", F.explode("positions").alias("pass")).select("order", "copy", "pass.at", "pass.words", "row")
+    text = F.col("row.text")
+    both = both.withColumn("row", F.col("row").withField("text", F.when(F.col("words") < word_count(text), first_words(text, F.col("words"))).otherwise(text)))
+    return both.repartitionByRange("at", "order").sortWithinPartitions("at", "order")
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` once for each pass, sorted by training position, whole texts in all columns."""
-    columns = documents.columns
-    order, copy, at = (_free(x, columns) for x in ("order", "copy", "at"))
-    full = documents.withColumn(order, order_hash(F.col("doc_id"), F.col("text")))
-    full = full.withColumn(copy, F.row_number().over(Window.partitionBy(order).orderBy(order)))
-    wanted = mixture(documents).where(F.size("positions") > 0).select(F.col("order").alias(f"{order}_"), "positions")
-    wanted = wanted.withColumn(f"{copy}_", F.row_number().over(Window.partitionBy(f"{order}_").orderBy("positions")))
-    wanted = wanted.withColumnRenamed("positions", at)
-    both = full.join(wanted, (F.col(order) == F.col(f"{order}_")) & (F.col(copy) == F.col(f"{copy}_")))
-    both = both.withColumn(at, F.explode(at))
-    return both.repartitionByRange(F.col(at), F.col(order)).sortWithinPartitions(at, order).select(*[F.col(f"`{c}`") for c in columns])
-
-
-def _free(name: str, taken: list[str]) -> str:
-    while any(c.lower().startswith(name.lower()) for c in taken):
-        name = f"_{name}"
-    return name
+    """The rows of ``documents`` once for each pass, sorted by training position.
+
+    Texts are whole but for the one in which a source's target ends; other columns are carried as they are.
+    """
+    return _sorted_by_position(documents, mixture(documents)).select(*[F.col(f"row.`{c}`") for c in documents.columns])
+
+
+def emitted(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken; ``taken`` is counted in the texts that the sorted mix emits."""
+    documents = documents.select("doc_id", "text", "source")
+    wanted = materialise(mixture(documents), "wanted")
+    rows = _sorted_by_position(documents, wanted)
+    # Stored, as a sort below a sum would be dropped.
+    rows = materialise(rows.select("order", "copy", "at", word_count(F.col("row.text")).alias("words")), "mixed")
+    taken = rows.groupBy("order", "copy").agg(F.sum("words").alias("taken"))
+    copy = F.when(F.size("positions") > 0, F.row_number().over(Window.partitionBy("order", F.size("positions") > 0).orderBy("positions")))
+    held = wanted.drop("taken").withColumn("copy", copy)
+    return held.join(taken, ["order", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

@@ -142,6 +142,26 @@ def test_mixing_values(docs):
     assert Counter(map(str, again.collect())) == Counter(map(str, mixing.mix(clashing(docs)).collect()))
 
 
+def test_mix_emits_what_is_taken(spark):
+    """Sizes for which each source's target ends inside a document, and a text whose spaces have to stay as they are."""
+    made = [(i, " ".join(f"w{i}_{j}" for j in range(3 + 7 * i % 40)), "en", "abc"[i % 3], i) for i in range(60)] + [(60, " \ta\n b\u000b  c ", "en", "d", 60)]
+    rows = spark.createDataFrame(made, SCHEMA)
+    texts = {r[0]: r[1] for r in made}
+    mixed = mixing.mix(rows).collect()
+    out, cut = Counter(), Counter()
+    for r in mixed:
+        assert texts[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == r["doc_id"]
+        out[r["doc_id"]] += len(r["text"].split())
+        cut[r["source"]] += r["text"] != texts[r["doc_id"]]
+    assert sum(cut.values()) > 0 and max(cut.values()) == 1
+    shares = mixing.mixture(rows).collect()
+    assert {r["doc_id"]: r["taken"] for r in shares} == {k: out[k] for k in texts}
+    places = {r["doc_id"]: [p["at"] for p in r["positions"]] for r in shares}
+    assert sorted(places[r["doc_id"]][0] for r in mixed if len(places[r["doc_id"]]) == 1) == [places[r["doc_id"]][0] for r in mixed if len(places[r["doc_id"]]) == 1]
+    got = {r["doc_id"]: r["taken"] for r in mixing.emitted(rows).collect()}
+    assert got == {k: out[k] for k in texts}
+
+
 def test_schedules_are_inverted(spark):
     """Demand summed up to the time that the inverse gives is the share that was asked for."""
     shares = spark.range(101).select((F.col("id") / 100).alias("s"))
