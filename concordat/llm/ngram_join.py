@@ -151,7 +151,7 @@ def _profile(width: int):
             if sizes:
                 n = np.concatenate(sizes)
                 node = pa.array(np.concatenate(nodes), mask=n == 0)
-                yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), node], ["doc_id", "n_shingles", "node"])
+                yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), node], ["doc_id", "text_key", "n_shingles", "node"])
 
     return run
 
@@ -302,9 +302,14 @@ def _close_pairs(percent: int):
 
 
 def _some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the documents in ``ids``, which are sent to every executor if they are few."""
+    """Texts of the documents in ``ids`` (doc_id, text_key), which are sent to every executor if they are few.
+
+    A null doc_id is told from others by the hash of its text; that key is null beside any other doc_id.
+    """
     few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_key").eqNullSafe(F.col("key"))
+    return docs.join(F.broadcast(ids) if few else ids, same, "left_semi").select("text")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -318,8 +323,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reached by links)."""
-    docs = docs.select("doc_id", "text")
-    known = materialise(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, node long"), "sets")
+    docs = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_key"))
+    known = materialise(docs.mapInArrow(_profile(width), "doc_id long, text_key long, n_shingles long, node long"), "sets")
 
     made = docs.select("text").mapInArrow(_signatures(width, percent), "sig long, node long")
     stars = made.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, hub long, node long")
@@ -327,7 +332,8 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     star_pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     candidates = star_pairs.select(F.col("a").alias("node")).unionByName(star_pairs.select(F.col("b").alias("node"))).distinct()
-    ids = materialise(known.join(candidates, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "candidates")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one")
+    ids = materialise(known.join(candidates, "node").groupBy("node").agg(one).select("one.doc_id", "one.text_key").distinct(), "candidates")
     texts = _some_texts(docs, ids)
     cells = materialise(texts.mapInArrow(_cells(width), "node long, n long, cells binary").dropDuplicates(["node"]), "cells")
 

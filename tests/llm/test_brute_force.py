@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from concordat.llm import packing, secret_scan
+from concordat.llm import ngram_join, packing, secret_scan
 from concordat.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,6 +54,23 @@ def test_jaccard_join(spark, sf_dir, texts):
     assert got == similarity_classes(texts)
 
 
+def test_jaccard_join_through_null_ids(spark):
+    """Near copies with null ids: one bridges two documents, one hangs on another, one has only a null one beside it."""
+    words = [f"w{i}" for i in range(60)]
+    near = lambda mark, *changed: " ".join(f"{mark}{i}" if i in changed else mark + w for i, w in enumerate(words))
+    rows = [(1, near("a", 0)), (None, near("a")), (2, near("a", 59)), (None, near("b")), (3, near("b", 0)), (None, near("c")), (None, near("c", 59)), (4, near("d"))]
+    first, last = " ".join([*(f"x{i}" for i in range(5)), *words[5:]]), " ".join([*words[:-5], *(f"y{i}" for i in range(5))])
+    rows += [(5, first), (None, " ".join(words)), (6, last)]
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = similarity_classes(dict(enumerate(t for _, t in rows)))
+    held = defaultdict(list)
+    for place, (_, group) in want.items():
+        held[group].append(rows[place][0])
+    least = {g: min((i for i in ids if i is not None), default=None) for g, ids in held.items()}
+    assert got == Counter((rows[place][0], least[group]) for place, (_, group) in want.items())
+    assert got[6, 5] == 1 and similarity_classes({5: first, 6: last})[6][1] == 6
+
+
 def repetition(text: str) -> tuple:
     words = WORD.findall(text)
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
