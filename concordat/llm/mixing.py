@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat.session import materialise
+from concordat.session import last_scratch, materialise, release_scratch, scratch_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -141,15 +141,15 @@ def mixture(documents: DataFrame) -> DataFrame:
     return both.select("doc_id", "size", "source_size", "target", (F.col("passes")[0] + F.col("passes")[1]).alias("taken"), "order", positions)
 
 
-def _sorted_by_position(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(order, copy, at, words, row): ``documents`` once for each pass of the rows of ``mixture`` in ``wanted``.
+def _sorted_by_position(documents: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """(order, copy, at, words, row): ``columns`` of ``documents`` once for each pass of the rows of ``mixture`` in ``wanted``.
 
     Documents and passes meet in one shuffle by order, the n-th of each in the same hash (its ``copy``), so whole
     texts move once before the sort.
     """
     wanted = wanted.where(F.size("positions") > 0).select("order", "positions")
     order = order_hash(F.col("doc_id"), F.col("text")).alias("order")
-    full = documents.select(order, F.lit(None).cast(wanted.schema["positions"].dataType).alias("positions"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    full = documents.select(order, F.lit(None).cast(wanted.schema["positions"].dataType).alias("positions"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     both = full.unionByName(wanted.withColumn("row", F.lit(None).cast(full.schema["row"].dataType)))
     both = both.repartition("order").withColumn("copy", F.row_number().over(Window.partitionBy("order", F.col("row").isNull()).orderBy("positions")))
     # Before the n-th document stands the n-th row of passes, if there is one, else another document.
@@ -166,14 +166,16 @@ def mix(documents: DataFrame) -> DataFrame:
 
     Texts are whole but for the one in which a source's target ends; other columns are carried as they are.
     """
-    return _sorted_by_position(documents, mixture(documents)).select(*[F.col(f"row.`{c}`") for c in documents.columns])
+    return _sorted_by_position(documents, mixture(documents), documents.columns).select(*[F.col(f"row.`{c}`") for c in documents.columns])
 
 
 def emitted(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken; ``taken`` is counted in the texts that the sorted mix emits."""
-    documents = documents.select("doc_id", "text", "source")
+    spark = documents.sparkSession
+    since = scratch_count(spark)
     wanted = materialise(mixture(documents), "wanted")
-    rows = _sorted_by_position(documents, wanted)
+    release_scratch(spark, since, keep=last_scratch(spark))
+    rows = _sorted_by_position(documents, wanted, ["text"])
     # Stored, as a sort below a sum would be dropped.
     rows = materialise(rows.select("order", "copy", "at", word_count(F.col("row.text")).alias("words")), "mixed")
     taken = rows.groupBy("order", "copy").agg(F.sum("words").alias("taken"))
