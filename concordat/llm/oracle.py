@@ -101,4 +101,64 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
-ORACLE = {"op1_ngram_jaccard_join": OP1, "op2_warc": OP2, "op3_source_mixing": OP3, "op8_exact_dedup": OP8, "op10_chat_formatting": OP10}
+OP11 = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents
+), tf AS (
+  SELECT doc_id, t, count(*) AS tf FROM w GROUP BY doc_id, t
+), d AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), c AS (
+  SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM d
+), m AS (
+  SELECT doc_id, 100 - 75 + (75 * n * big_n) // big_l AS m FROM d, c
+), q AS (
+  SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark) GROUP BY item_id, t
+), df AS (
+  SELECT t, count(*) AS df FROM tf WHERE t IN (SELECT t FROM q) GROUP BY t
+), wt AS (
+  SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, c
+), s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
+def _op13(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Full scans in each round: all vectors with all centroids."""
+    apart = "list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i])))::BIGINT"
+    steps = [
+        f"""e AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}
+), c0 AS (
+  SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM e) WHERE c < {k}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT e.r, min(struct_pack(d := {apart}, c := c.c)) AS m FROM e, c{i} AS c GROUP BY e.r)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT a.m.c AS c, unnest(e.v) AS x, unnest(range(1, {dims} + 1)) AS i FROM a{i} AS a JOIN e ON e.r = a.r) GROUP BY c, i
+), c{i + 1} AS (
+  SELECT c.c, coalesce(n.v, c.v) AS v
+  FROM c{i} AS c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c) AS n ON n.c = c.c
+)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT e.vec_id, a.m.c::INTEGER AS cluster, a.m.d AS distance, sum(a.m.d) OVER (PARTITION BY a.m.c)::BIGINT AS cluster_inertia,
+       sum(a.m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN e ON e.r = a.r JOIN c{rounds} AS c ON c.c = a.m.c
+"""
+
+
+ORACLE = {"op1_ngram_jaccard_join": OP1, "op2_warc": OP2, "op3_source_mixing": OP3, "op8_exact_dedup": OP8, "op10_chat_formatting": OP10, "op11_sketch_search": OP11, "op13_heap_clusters": _op13()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import chat_format, exact_dedup, mixing, ngram_join, ordinal_quality, packing, power_packing, repetition, secret_scan, token_counts, warc
+from concordat.llm import chat_format, exact_dedup, heap_clusters, mixing, ngram_join, ordinal_quality, packing, power_packing, repetition, secret_scan, sketch_search, token_counts, warc
 from concordat.session import ship_package
 
 
@@ -61,10 +61,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.render(chat_format.fold_events(events)))
 
 
+def op11_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return power_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_warc": op2_warc,
@@ -76,5 +84,7 @@ QUERIES = {
     "op9_repetition_rules": op9_repetition_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_sketch_search": op11_sketch_search,
     "op12_power_of_two_packing": op12_power_of_two_packing,
+    "op13_heap_clusters": op13_heap_clusters,
 }
