@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -78,6 +79,37 @@ def test_small_memory_of_words_changes_nothing(monkeypatch):
     assert small([]) == []
 
 
+def test_fast_way_equals_the_tokenizer():
+    """Every entry of the vocabulary, every plain character beside others, and random words."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(3)
+    held = [t.removesuffix("</w>") for t in tokenizer.get_vocab()]
+    letters = power_packing._byte_letters()
+    words = [bytes(letters[c] for c in t if c in letters).decode(errors="ignore") for t in held]
+    plain = [c for c in map(chr, range(33, 0x300)) if power_packing.PLAIN.fullmatch(c)]
+    words += [w for c in plain for w in (c, f"a{c}", f"{c}B", f"É{c}1", f"'{c}s'll{c}", c * 3)]
+    words += ["".join(rng.choice(words[:40_000]) for _ in range(rng.randint(1, 4))) for _ in range(40_000)]
+    words += ["".join(rng.choice(plain) for _ in range(rng.randint(1, 12))) for _ in range(40_000)]
+    words = [w for w in words if power_packing.PLAIN.fullmatch(w)]
+    assert len(words) > 100_000
+    ids, sizes = power_packing._Merges.of(path)(words)
+    at = 0
+    for w, n, made in zip(words, sizes, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+        assert (ids[at : at + n].tolist() if "<|" not in w else made.ids) == made.ids, w
+        at += n
+    assert at == len(ids)
+
+
+def test_other_files_take_the_tokenizer(tmp_path):
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        changed = f.read().replace('"Lowercase"', '"Strip","strip_left":true,"strip_right":true', 1)
+    other = tmp_path / "other.json"
+    other.write_text(changed)
+    encode, tokenizer = power_packing.WordEncoder(str(other)), Tokenizer.from_file(str(other))
+    assert encode.merges is None
+    assert encode([b"One TWO, three"])[0].tolist() == tokenizer.encode("One TWO, three", add_special_tokens=False).ids
+
+
 def test_clashing_names_and_empty_table(spark):
     docs = spark.createDataFrame(TEXTS, SCHEMA)
     more = docs.select("*", *[F.lit(1).alias(n) for n in ("task", "place", "length", "n", "before", "Start", "ids", "batch")])
