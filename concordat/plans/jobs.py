@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import Future, ThreadPoolExecutor
+from contextvars import copy_context
 from typing import Any
 
 
@@ -19,7 +20,8 @@ class Jobs:
             value = work(*args)
             return value, (time.perf_counter() - began) * 1000
 
-        self._running[name] = self._pool.submit(timed)
+        # In a copy of the context, so that scratch copies belong to whoever started the jobs.
+        self._running[name] = self._pool.submit(copy_context().run, timed)
 
     def result(self, name: str) -> tuple[Any, float]:
         """The job's value and its duration in ms; raises what the job raised."""

@@ -574,6 +574,25 @@ def type_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("placed", "update_mark")})
 
 
+def date_format_election(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written day first, month first, both ways, and such that either reading fits; each column is read in one order."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    low = F.make_date(F.year(day), F.month(day), F.day(day) % 12 + 1)
+    texts = table(spark, sf_dir, "orders").select(
+        F.date_format(day, "dd/MM/yyyy").alias("day_first"),
+        F.date_format(day, "MM/dd/yyyy").alias("month_first"),
+        F.date_format(low, "MM/dd/yyyy").alias("either"),
+        F.when(key % 10 == 0, F.date_format(day, "MM/dd/yyyy")).when(key % 3 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "d.M.yyyy")).alias("mixed_day"),
+    )
+    found = normalise.infer_types(texts)
+    parts = []
+    for c in texts.columns:
+        days = F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+        read = found.rows.agg(F.count(c).alias("n_read"), F.sum(days).alias("days"))
+        parts.append(read.select(F.lit(c).alias("column"), F.lit(found.orders[c][0]).alias("date_order"), F.lit(found.ambiguous.get(c, 0)).cast("long").alias("n_ambiguous"), "n_read", "days"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def normalise_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on two sides: names that repeat, null tokens, dates, numbers, and a column left as text.
 
@@ -646,6 +665,35 @@ def typed_ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ragged_customer(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Customers as raw lines: every 7th has a cell too many, every 11th one too few, every 13th a separator inside quotes."""
+    root, key = scratch_path(spark, "ragged"), F.col("c_custkey")
+    name = F.when(key % 13 == 0, F.concat(F.lit('"the ""first"", '), "c_name", F.lit('"'))).otherwise(F.col("c_name"))
+    line = F.concat_ws(",", key.cast("string"), name, F.when(key % 11 != 0, F.col("c_nationkey").cast("string")), F.when(key % 7 == 0, "LOST"))
+    header = "c_custkey,c_name,c_nationkey"
+    raw = table(spark, sf_dir, "customer").select(line.alias(header))
+    raw.write.option("header", True).option("sep", "\x01").option("quote", "").csv(f"{root}/data/customer.csv")
+    _schema_file(spark, f"{root}/ddl/customer.csv", [("c_custkey", "BIGINT", "", ""), ("c_name", "TEXT", "", ""), ("c_nationkey", "INT", "", "")])
+    return f"{root}/data", f"{root}/ddl"
+
+
+def ragged_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that are wider or narrower than their header, whole and with the reason; the others are rows."""
+    data, ddl = _ragged_customer(spark, sf_dir)
+    load = csv_tables.load_declared(spark, data, load_schemas(spark, ddl), mode="quarantine")["customer"]
+    kept = load.rows.select(F.col("c_custkey").cast("string").alias("record"), F.lit("row").alias("reason"), F.col("c_name").alias("c_name"))
+    return load.rejects.select("record", "reason", F.lit(None).cast("string").alias("c_name")).unionAll(kept)
+
+
+def multiline_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with line breaks, quotes and blank lines inside, read by as many tasks as the files have splits."""
+    root, key = scratch_path(spark, "multiline"), F.col("o_orderkey")
+    note = F.when(key % 3 == 0, F.concat(F.lit("first\n\nof "), "o_orderpriority", F.lit('\r\n"second", third'))).otherwise(F.col("o_orderpriority"))
+    rows = orders(spark, sf_dir).select("o_orderkey", note.alias("note"), "o_orderstatus")
+    sinks.write_csv(rows, f"{root}/orders.csv")
+    return csv_tables.read_text_columns(spark, f"{root}/orders.csv", multiline=True)
+
+
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declared key that is not unique and a required column with gaps."""
     declared = T.StructType(
@@ -732,6 +780,26 @@ def published_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def atomic_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after an overwrite that fails half way, after one that succeeds, and after one made from the table itself."""
+    path, o = f"{scratch_path(spark, 'overwrite')}/orders", orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast(PRICE).alias("price"))
+    seen = lambda: materialise(spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("price").alias("total")), "seen")
+    sinks.persist_table(o, path=path)
+    broken = F.when(F.col("o_orderkey") % 1000 == 999, F.raise_error(F.lit("broken row")).cast(PRICE)).otherwise(F.col("price"))
+    states = {}
+    try:
+        sinks.persist_table(o.withColumn("price", broken), path=path)
+    except Exception as error:  # noqa: BLE001 - the failure is the case
+        if "broken row" not in str(error):
+            raise
+        states["failed"] = seen()
+    sinks.persist_table(o.where(~nth("o_orderkey", 97)), path=path)
+    states["replaced"] = seen()
+    sinks.persist_table(spark.read.parquet(path).where(~nth("o_orderkey", 89)), path=path)
+    states["from_itself"] = seen()
+    return reduce(DataFrame.unionAll, [df.select(F.lit(state).alias("state"), "o_orderstatus", "n_orders", F.col("total").cast("double").alias("total")) for state, df in states.items()])
+
+
 def pipeline_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared inputs, two steps, saved and read back; a second, shorter run leaves none of the first one's outputs."""
     root = scratch_path(spark, "pipeline")
@@ -788,15 +856,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalise_nulls_trim,
         type_evidence,
         type_inference,
+        date_format_election,
         normalise_chain,
         typed_ingest,
         typed_ingest_rejects,
+        ragged_rejects,
+        multiline_ingest,
         constraint_report,
         inferred_ingest_profile,
         delimiter_detect,
         sink_roundtrip,
         report_roundtrip,
         published_run,
+        atomic_overwrite,
         pipeline_execute,
     )
 }

@@ -23,7 +23,7 @@ from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, as_rows, checks_frame, verdict
 from concordat.session import materialise
 from concordat.sinks.reports import write_checks, write_headers
-from concordat.sources.csv_tables import detect_delimiter, read_inferred
+from concordat.sources.csv_tables import detect_delimiter, read_inferred, read_text_columns
 
 
 @dataclass
@@ -116,17 +116,27 @@ def load_delimited(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
     return materialise(read_inferred(spark, path, detect_delimiter(spark, path), encoding), "delimited")
 
 
+def load_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A delimited file with its separator found, all text, stored once: types are decided with the other side's values in view.
+
+    A record that does not fit the header is an error.
+    """
+    return materialise(read_text_columns(spark, path, detect_delimiter(spark, path), encoding), "delimited")
+
+
 def _brought_together(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame, Check]:
     """Both sides normalised under common decisions, and a check row on what conversions would have lost."""
     both = normalise_pair(source, target)
-    kept = {c: {"source": a, "target": b} for c, (a, b) in both.kept_as_text.items()}
+    sides = lambda held: {c: {"source": a, "target": b} for c, (a, b) in held.items()}
+    kept, orders, doubt = sides(both.kept_as_text), sides(both.orders), sides(both.ambiguous)
     check = verdict(
         LOAD,
         "type_conversion",
         True,
-        f"{len(both.converted)} text column(s) read as dates or numbers; {len(kept)} left as text, as values would have been lost",
+        f"{len(both.converted)} text column(s) read as dates or numbers; {len(kept)} left as text, as values would have been lost; "
+        f"{len(doubt)} with days and months that could be read the other way round",
         "",
-        {"converted": both.converted, "values_that_would_be_lost": kept},
+        {"converted": both.converted, "values_that_would_be_lost": kept, "date_orders": orders, "ambiguous_dates": doubt},
     )
     return both.source, both.target, check
 
@@ -174,7 +184,7 @@ def validate(
     report = Report(spark, replace(cfg, run_id=run_id), run_id, {})
     try:
         by_path = isinstance(source, str) or isinstance(target, str)
-        source, target = (load_delimited(spark, x) if isinstance(x, str) else x for x in (source, target))
+        source, target = (load_text(spark, x) if isinstance(x, str) else x for x in (source, target))
         if by_path:
             source, target, conversion = _brought_together(source, target)
             report.layers[LOAD] = [conversion]

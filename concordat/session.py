@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,52 +34,80 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-_made: dict[str, list[str]] = {}
+class Scratch:
+    """The scratch copies that one piece of work made; they go with it, and nobody else's do."""
 
+    def __init__(self, spark: SparkSession, around: Scratch | None = None):
+        self.spark, self.around, self.paths, self._lock = spark, around, [], threading.Lock()
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+    def add(self, path: str) -> None:
+        with self._lock:
+            self.paths.append(path)
+        if self.around:
+            self.around.add(path)
 
+    def _forget(self, gone: set[str]) -> None:
+        with self._lock:
+            self.paths = [p for p in self.paths if p not in gone]
+        if self.around:
+            self.around._forget(gone)
 
-def release_scratch(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
-    """Delete what this session stored in the scratch folder, from the ``since``-th path on, but for ``keep``.
+    def release(self, keep: DataFrame | None = None) -> None:
+        """Delete the copies, but for the one that the materialised ``keep`` reads; those who read others are done with them."""
+        with self._lock:
+            gone = {p for p in self.paths if keep is None or p != _read_by(keep)}
+        self._forget(gone)
+        for path in gone:
+            remove(self.spark, path)
 
-    For a caller who has written or collected the results: DataFrames that read those paths are of no use after it.
-    """
-    paths = _made.get(spark.sparkContext.applicationId, [])
-    for path in [p for p in paths[since:] if p != keep]:
-        remove(spark, path)
-        paths.remove(path)
 
+_scope: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
-def last_scratch(spark: SparkSession) -> str:
-    """The path given out last."""
-    return _made[spark.sparkContext.applicationId][-1]
 
+def _read_by(df: DataFrame) -> str | None:
+    return getattr(df, "_scratch_path", None)
 
-def scratch_count(spark: SparkSession) -> int:
-    return len(_made.get(spark.sparkContext.applicationId, []))
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Copies that are made inside the block belong to the scope it gives; what is left of them at the end stays until ``release``.
+
+    Blocks may stand inside one another; the outer one also owns what the inner one left. Threads started inside take part if
+    they run in a copy of the context (as ``plans.jobs`` does).
+    """
+    own = Scratch(spark, _scope.get())
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if (own := _scope.get()) is not None:
+        own.add(path)
+    return path
 
 
 @contextmanager
 def stored(df: DataFrame, label: str) -> Iterator[DataFrame]:
     """The rows of ``df`` from a scratch copy that goes at the end of the block."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("error").parquet(path)
+    with scratch(df.sparkSession) as own:
+        held = materialise(df, label)
     try:
-        yield df.sparkSession.read.schema(df.schema).parquet(path)
+        yield held
     finally:
-        remove(df.sparkSession, path)
-        _made[df.sparkSession.sparkContext.applicationId].remove(path)
+        own.release()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back, so later jobs start from files."""
     path = scratch_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._scratch_path = path
+    return held
 
 
 _shipped: set[str] = set()

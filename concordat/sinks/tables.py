@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.session import materialise
-from concordat.sources.paths import exists
+from concordat.sinks.staging import Staged, recover
+from concordat.sources.paths import exists, qualified
 
 log = logging.getLogger(__name__)
 
@@ -20,7 +22,7 @@ log = logging.getLogger(__name__)
 def save_csv(df: DataFrame, output_dir: str, name: str) -> str:
     """``<output_dir>/<name>.csv``: a directory of part files with headers, replaced whole."""
     path = f"{str(output_dir).rstrip('/')}/{name}.csv"
-    write_csv(df, path)
+    replace_path(df.sparkSession, path, lambda at: write_csv(df, at))
     return path
 
 
@@ -28,12 +30,47 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(str(path))
 
 
+def replace_path(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside ``path``, then swap: a write that fails, or reads what it replaces, leaves or finds the old table whole."""
+    folder = qualified(spark, str(path)).rpartition("/")[0]
+    recover(spark, folder)
+    with Staged(spark, folder) as staged:
+        write(staged.place(str(path)))
+        staged.commit()
+
+
 def persist_table(df: DataFrame, name: str | None = None, path: str | None = None) -> None:
-    """Replace a catalog table (``name``) or a Parquet directory (``path``); never append."""
+    """Replace a catalog table (``name``) or a Parquet directory (``path``); never append.
+
+    The new rows are stored beside the old ones first, so a failure leaves the old table in place.
+    """
     if path:
-        df.write.mode("overwrite").parquet(path)
+        replace_path(df.sparkSession, path, lambda at: df.write.parquet(at))
     if name:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        _replace_table(df, name)
+
+
+def _replace_table(df: DataFrame, name: str) -> None:
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    parts = name.split(".")
+    beside, old = (".".join([*parts[:-1], f"{parts[-1]}__{kind}_{mark}"]) for kind in ("new", "old"))
+    full = lambda n: ".".join(f"`{p}`" for p in n.split("."))
+    try:
+        df.write.mode("error").format("parquet").saveAsTable(beside)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {full(beside)}")
+        raise
+    stood = spark.catalog.tableExists(name)
+    if stood:
+        spark.sql(f"ALTER TABLE {full(name)} RENAME TO {full(old)}")
+    try:
+        spark.sql(f"ALTER TABLE {full(beside)} RENAME TO {full(name)}")
+    except Exception:
+        if stood:
+            spark.sql(f"ALTER TABLE {full(old)} RENAME TO {full(name)}")
+        raise
+    if stood:
+        spark.sql(f"DROP TABLE {full(old)}")
 
 
 def save_outputs(
@@ -42,25 +79,33 @@ def save_outputs(
     extra_csv_paths: dict[str, str] | None = None,
     persist: bool = True,
     table_dir: str | None = None,
+    job: str | None = None,
 ) -> dict[str, list[str]]:
-    """CSV per table, extra CSV copies, and (``persist``) a table in Parquet.
+    """CSV per table, extra CSV copies, and (``persist``) a table in Parquet; all are replaced together, or none.
 
     The Parquet copy is written first and the CSVs are written from it, so the plan of an
-    output runs once however many copies are asked for.
+    output runs once however many copies are asked for. With ``job`` the ledger of ``output_dir`` records the paths as its own,
+    and what its last run made and this one does not goes.
     """
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    folder = qualified(spark, str(output_dir))
     written: dict[str, list[str]] = {}
-    for name, df in tables.items():
-        extra = (extra_csv_paths or {}).get(name)
-        if persist:
-            stored = f"{str(table_dir or output_dir).rstrip('/')}/{name}.parquet"
-            persist_table(df, path=stored)
-            df = df.sparkSession.read.schema(df.schema).parquet(stored)
-        elif extra:
-            df = materialise(df, "output")
-        written[name] = [save_csv(df, output_dir, name)]
-        if extra:
-            write_csv(df, extra)
-            written[name].append(str(extra))
+    recover(spark, folder, job or "single")
+    with Staged(spark, folder, job or "single") as staged:
+        for name, df in tables.items():
+            extra = (extra_csv_paths or {}).get(name)
+            if persist:
+                stored = staged.place(f"{str(table_dir or output_dir).rstrip('/')}/{name}.parquet")
+                df.write.parquet(stored)
+                df = spark.read.schema(df.schema).parquet(stored)
+            elif extra:
+                df = materialise(df, "output")
+            written[name] = [f"{str(output_dir).rstrip('/')}/{name}.csv", *([str(extra)] if extra else [])]
+            for path in written[name]:
+                write_csv(df, staged.place(path))
+        staged.commit(ledger=job is not None)
     return written
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from concordat.functions.cells import strip_text, to_datetime, to_number
 from concordat.functions.sql import literal, quoted
 from concordat.sources.paths import exists, list_csv, require_safe_name
+from concordat.sources.records import records
 
 log = logging.getLogger(__name__)
 
@@ -29,19 +30,84 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multiline: bool):
     )
 
 
+#: Column for the text of a record that does not fit; no header can have a line break, so no column is called so.
+_CORRUPT = "corrupt\nrecord"
+
+
+def header_of(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
+    return _reader(spark, sep, encoding, False).csv(str(path)).columns
+
+
+def _cells(record: str, sep: str) -> str:
+    """How many cells a record has: separators outside quotes, and one."""
+    bare = f"regexp_replace({record}, {literal('"([^"]|"")*"')}, '')"
+    return f"(length({bare}) - length(replace({bare}, {literal(sep)}, '')) + 1)"
+
+
+def _located(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str, multiline: bool) -> DataFrame:
+    """Every record parsed, with its place and, if it does not have a cell for each column, the reason.
+
+    Columns of the table come first, under their own names; what is added has a line break in its name.
+    """
+    found = records(spark, path, multiline, encoding)
+    kinds = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _CORRUPT)])
+    options = {"sep": sep, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": _CORRUPT, "maxCharsPerColumn": "-1", "columnPruning": "false"}
+    cells = F.from_csv("record", kinds.toDDL(), options)
+    parsed = found.select(F.col("file").alias("file\n"), F.col("byte_offset").alias("byte_offset\n"), F.col("record").alias("record\n"), cells.alias("cells\n"))
+    own = [f"coalesce({quoted('cells\n')}.{quoted(n)}, '') AS {quoted(n)}" for n in names]
+    count, n = _cells(quoted("record\n"), sep), len(names)
+    corrupt = f"{quoted('cells\n')}.{quoted(_CORRUPT)} IS NOT NULL"
+    size = f"CASE WHEN {count} > {n} THEN 'too wide: ' WHEN {count} < {n} THEN 'too narrow: ' ELSE 'cannot be parsed: ' END"
+    reasons = [(corrupt, f"concat({size}, {count}, ' cells for {n} columns')")]
+    if multiline:
+        # An open quote swallows what follows; a carriage return outside quotes would end the record for the parser.
+        odd = f"length(replace({quoted('record\n')}, {literal('"')}, '')) % 2 <> length({quoted('record\n')}) % 2"
+        bare = f"regexp_replace({quoted('record\n')}, {literal('"([^"]|"")*"')}, '')"
+        reasons = [(odd, "'a quote that is not closed'"), (f"contains({bare}, {literal(chr(13))})", "'a line end inside the record'"), *reasons]
+    why = f"CASE {' '.join(f'WHEN {condition} THEN {reason}' for condition, reason in reasons)} END"
+    return parsed.selectExpr(*own, quoted("file\n"), quoted("byte_offset\n"), quoted("record\n"), f"{why} AS {quoted('reason\n')}")
+
+
+def _fitting(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str, strict: bool, kinds: T.StructType | None = None) -> DataFrame:
+    """The rows that have a cell for each column, by Spark's own reader; others raise if ``strict``, else they are left out."""
+    fields = list((kinds or T.StructType([T.StructField(n, T.StringType()) for n in names])).fields)
+    schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
+    raw = _reader(spark, sep, encoding, False).schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", False).csv(str(path))
+    bad, first = quoted(_CORRUPT), quoted(fields[0].name)
+    if not strict:
+        # The reader refuses a filter on its own column alone.
+        return raw.where(f"{bad} IS NULL AND ({first} IS NULL OR {first} IS NOT NULL)").selectExpr(*[quoted(f.name) for f in fields])
+    complaint = f"concat({literal(f'a record does not have {len(fields)} cells, as the header has: ')}, {bad}, {literal(' in ')}, _metadata.file_path)"
+    fits = f"CASE WHEN {bad} IS NULL THEN {first} IS NULL OR {first} IS NOT NULL ELSE CAST(raise_error({complaint}) AS boolean) END"
+    return raw.where(fits).selectExpr(*[quoted(f.name) for f in fields])
+
+
 def read_text_columns(
-    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multiline: bool = False
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multiline: bool = False, strict: bool = True
 ) -> DataFrame:
     """Every column as text, headers trimmed and lower-cased, blanks kept as ''.
 
-    ``multiline`` makes a file unsplittable, so it is for files that do hold line breaks
-    inside quoted fields.
+    A record with more or fewer cells than the header raises when it is read; with ``strict`` off it is left out, for callers
+    that ask ``misfits`` for it. ``multiline`` is for files with line breaks inside quoted fields; they are split like others.
     """
-    raw = _reader(spark, sep, encoding, multiline).csv(str(path))
-    names = [c.strip().lower() for c in raw.columns]
+    raw_names = header_of(spark, path, sep, encoding)
+    names = [c.strip().lower() for c in raw_names]
+    if multiline:
+        found = _located(spark, path, raw_names, sep, encoding, True)
+        why, place = quoted("reason\n"), f"concat({quoted('file\n')}, ' at byte ', {quoted('byte_offset\n')})"
+        complaint = f"CAST(raise_error(concat({why}, ' in ', {place})) AS boolean)"
+        raw = found.where(f"CASE WHEN {why} IS NULL THEN true ELSE {complaint if strict else 'false'} END").select(*map(quoted, raw_names))
+    else:
+        raw = _fitting(spark, path, raw_names, sep, encoding, strict)
     return raw.toDF(*names).selectExpr(*[f"coalesce({quoted(c)}, '') AS {quoted(c)}" for c in names])
 
 
+def misfits(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+    """(file, byte_offset, record, reason) of the records that do not have a cell for each column of the header."""
+    found = _located(spark, path, header_of(spark, path, sep, encoding), sep, encoding, multiline).where(f"{quoted('reason\n')} IS NOT NULL")
+    return found.select(*[F.col(quoted(f"{n}\n")).alias(n) for n in ("file", "byte_offset", "record", "reason")])
+
+
 def check_columns(actual: list[str], expected: list[str], filename: str) -> None:
     """Order is free, names are exact; one message reports both sides of a mismatch."""
     missing, extra = sorted(set(expected) - set(actual)), sorted(set(actual) - set(expected))
@@ -73,7 +139,8 @@ def enforce_types(raw: DataFrame, schema: T.StructType, mode: str = "failfast")
 
     ``failfast`` raises inside the task that meets a bad value, as a typed insert would.
     ``quarantine`` keeps good rows in ``rows`` and whole bad rows, with the offending
-    columns named, in ``rejects``. Both are narrow: no shuffle.
+    columns named, in ``rejects``. Both are narrow: no shuffle. ``raw`` may have other columns than the
+    schema's; they stand in the rejects.
     """
     metadata = {f.name: f.metadata for f in schema.fields}
     strict = {f.name: f.dataType for f in schema.fields if not isinstance(f.dataType, T.StringType)}
@@ -102,23 +169,47 @@ def enforce_types(raw: DataFrame, schema: T.StructType, mode: str = "failfast")
 
 
 def load_declared(
-    spark: SparkSession, data_dir: str, schemas: dict[str, T.StructType], mode: str = "failfast", **options
+    spark: SparkSession,
+    data_dir: str,
+    schemas: dict[str, T.StructType],
+    mode: str = "failfast",
+    sep: str = ",",
+    encoding: str = "UTF-8",
+    multiline: bool = False,
 ) -> dict[str, TypedLoad]:
-    """``<table>.csv`` for every declared table; files nobody declared are left alone."""
+    """``<table>.csv`` for every declared table; files nobody declared are left alone.
+
+    No cell is dropped. In failfast mode a record that is wider or narrower than the header raises. In quarantine it is
+    a reject like one with a bad value: rejects have the text columns, ``bad_columns``, and the file, byte, whole record and reason.
+    Only a caller that reads the rejects pays for the pass that finds places.
+    """
     loads = {}
     for table, schema in schemas.items():
         path = f"{str(data_dir).rstrip('/')}/{table}.csv"
         if not exists(spark, path):
             raise FileNotFoundError(f"table '{table}' is declared but {path} does not exist")
-        raw = read_text_columns(spark, path, **options)
+        raw = read_text_columns(spark, path, sep, encoding, multiline, strict=mode != "quarantine")
         check_columns(raw.columns, schema.names, f"{table}.csv")
-        loads[table] = enforce_types(raw.select(*[quoted(n) for n in schema.names]), schema, mode)
+        load = enforce_types(raw.select(*[quoted(n) for n in schema.names]), schema, mode)
+        if mode == "quarantine":
+            names = [quoted(n) for n in schema.names]
+            header = header_of(spark, path, sep, encoding)
+            added = ("file", "byte_offset", "record", "reason")
+            found = _located(spark, path, header, sep, encoding, multiline).toDF(*[c.strip().lower() for c in header], *[f"{n}\n" for n in added])
+            places = [f"{quoted(n + '\n')} AS {quoted(n)}" for n in added]
+            # A ragged record's cells are not trusted; the record itself is there.
+            ragged = found.where(f"{quoted('reason\n')} IS NOT NULL").selectExpr(*[f"CAST(NULL AS string) AS {n}" for n in names], "CAST(array() AS array<string>) AS bad_columns", *places)
+            mistyped = enforce_types(found.where(f"{quoted('reason\n')} IS NULL"), schema, mode).rejects
+            told = "concat('not of the declared type: ', array_join(bad_columns, ', '))"
+            mistyped = mistyped.selectExpr(*names, "bad_columns", *places[:3], f"{told} AS reason")
+            load = TypedLoad(load.rows, ragged.unionAll(mistyped))
+        loads[table] = load
     return loads
 
 
-def load_all_text(spark: SparkSession, data_dir: str, **options) -> dict[str, DataFrame]:
-    """Every CSV of a directory as an all-text table, registered as a view of its name."""
-    files = list_csv(spark, data_dir)
+def load_all_text(spark: SparkSession, data_dir: str, only: set[str] | None = None, **options) -> dict[str, DataFrame]:
+    """Every CSV of a directory (or those in ``only``) as an all-text table, registered as a view of its name."""
+    files = [(table, path) for table, path in list_csv(spark, data_dir) if only is None or table in only]
     if not files:
         log.warning("no CSV files in %s", data_dir)
     tables = {require_safe_name(table): path for table, path in files}
@@ -138,8 +229,9 @@ def load_inferred(spark: SparkSession, data_dir: str, sep: str = ",", encoding:
 
 
 def read_inferred(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Inference is one more pass over the file; headers stay as written."""
-    return _reader(spark, sep, encoding, False).option("inferSchema", True).csv(str(path))
+    """Inference is one more pass over the file; headers stay as written. A record that does not fit the header raises."""
+    kinds = _reader(spark, sep, encoding, False).option("inferSchema", True).csv(str(path)).schema
+    return _fitting(spark, path, kinds.names, sep, encoding, True, kinds)
 
 
 # Candidates in the order that settles a tie.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +34,42 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file or folder; the folders above ``to`` are made."""
+    fs, p = _file_system(spark, path)
+    _, target = _file_system(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def children(spark: SparkSession, directory: str) -> list[str]:
+    """Full names of what a folder holds, sorted; none if there is no such folder."""
+    fs, p = _file_system(spark, directory)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written under another name and renamed over an earlier one."""
+    fs, p = _file_system(spark, path)
+    _, beside = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(beside, p)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    held = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(held)).decode()
+    finally:
+        held.close()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The one full name of a path, so that two spellings of a folder compare equal."""
     fs, p = _file_system(spark, str(path))

@@ -583,6 +583,22 @@ TYPE_INFERENCE = f"""WITH {TEXTUAL}
 SELECT o_orderkey, strftime({PARSED.format(c='placed')}, '%Y-%m-%d %H:%M:%S') AS placed,
        TRY_CAST(price AS DOUBLE) AS price, season, buyer, CAST(NULL AS VARCHAR) AS update_mark FROM x"""
 
+def date_election() -> str:
+    """Each column read day first and month first; the reading of more values counts, day first if they are equal."""
+    low = "make_date(year(o_orderdate), month(o_orderdate), day(o_orderdate) % 12 + 1)"
+    mixed = f"""CASE WHEN o_orderkey % 10 = 0 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+                     ELSE strftime(o_orderdate, '%-d.%-m.%Y') END"""
+    columns = {"day_first": "strftime(o_orderdate, '%d/%m/%Y')", "month_first": "strftime(o_orderdate, '%m/%d/%Y')", "either": f"strftime({low}, '%m/%d/%Y')", "mixed_day": mixed}
+    texts = union([f"SELECT '{c}' AS {COL}, {text} AS v FROM orders" for c, text in columns.items()])
+    iso, european = "try_strptime(v, '%Y-%m-%d')", "try_strptime(v, '%d/%m/%Y'), try_strptime(v, '%d.%m.%Y')"
+    return f"""WITH x AS ({texts}),
+r AS (SELECT {COL}, coalesce({iso}, {european}) AS d, coalesce({iso}, try_strptime(v, '%m/%d/%Y')) AS m FROM x),
+e AS (SELECT {COL}, count(d) AS nd, count(m) AS nm, count(*) FILTER (d <> m) AS apart,
+             sum(date_diff('day', DATE '1970-01-01', d::DATE)) AS dd, sum(date_diff('day', DATE '1970-01-01', m::DATE)) AS dm FROM r GROUP BY {COL})
+SELECT {COL}, CASE WHEN nd >= nm THEN 'dMy' ELSE 'Mdy' END AS date_order, CASE WHEN nd = nm THEN apart ELSE 0 END AS n_ambiguous,
+       greatest(nd, nm) AS n_read, CAST(CASE WHEN nd >= nm THEN dd ELSE dm END AS BIGINT) AS days FROM e"""
+
+
 RAW_CUSTOMER = """raw AS (SELECT c_custkey, c_name,
     CASE WHEN c_custkey % 19 = 0 THEN '12,5' WHEN c_custkey % 23 = 0 THEN ''
          ELSE CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) END AS c_acctbal,
@@ -601,6 +617,22 @@ SELECT c_custkey, c_acctbal, c_nationkey, since,
                  CASE WHEN c_custkey % 31 = 0 THEN 'since' END) AS bad_columns
 FROM raw WHERE c_custkey % 19 = 0 OR c_custkey % 29 = 0 OR c_custkey % 31 = 0"""
 
+RAGGED = """
+WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN '"the ""first"", ' || c_name || '"' ELSE c_name END AS raw,
+                  CASE WHEN c_custkey % 13 = 0 THEN 'the "first", ' || c_name ELSE c_name END AS c_name, c_nationkey FROM customer
+), y AS (SELECT concat_ws(',', c_custkey, raw, CASE WHEN c_custkey % 11 <> 0 THEN c_nationkey END, CASE WHEN c_custkey % 7 = 0 THEN 'LOST' END) AS record,
+                3 - (c_custkey % 11 = 0)::INTEGER + (c_custkey % 7 = 0)::INTEGER AS cells, c_custkey, c_name, c_nationkey FROM x)
+SELECT record, CASE WHEN cells = 3 THEN 'not of the declared type: c_nationkey'
+                    ELSE CASE WHEN cells > 3 THEN 'too wide: ' ELSE 'too narrow: ' END || cells || ' cells for 3 columns' END AS reason,
+       CAST(NULL AS VARCHAR) AS c_name
+FROM y WHERE cells <> 3 OR c_custkey % 77 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'row', c_name FROM y WHERE cells = 3 AND c_custkey % 77 <> 0"""
+
+MULTILINE = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'first' || chr(10) || chr(10) || 'of ' || o_orderpriority || chr(13) || chr(10) || '"second", third' ELSE o_orderpriority END AS note
+FROM orders"""
+
 CONSTRAINTS = f"""
 SELECT 'not_null' AS "constraint", 'l_returnflag' AS {COL}, CAST(NULL AS VARCHAR) AS key, count(*) AS n_rows
 FROM lineitem WHERE l_suppkey % 83 = 0 OR l_returnflag IS NULL HAVING count(*) > 0
@@ -644,6 +676,12 @@ PUBLISHED = """
 SELECT o_orderstatus, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price
 FROM orders GROUP BY o_orderstatus"""
 
+ATOMIC = """
+SELECT state, o_orderstatus, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM orders, (VALUES ('failed', 0), ('replaced', 1), ('from_itself', 2)) AS s(state, n)
+WHERE (n < 1 OR o_orderkey % 97 <> 0) AND (n < 2 OR o_orderkey % 89 <> 0)
+GROUP BY state, o_orderstatus"""
+
 ORACLE: dict[str, str] = {
     "payment_status_job": payment("ORDER BY o_orderkey LIMIT 50"),
     "payment_status_full": payment(""),
@@ -682,13 +720,17 @@ ORACLE: dict[str, str] = {
     "normalise_nulls_trim": NORMALISE,
     "type_evidence": type_evidence(),
     "type_inference": TYPE_INFERENCE,
+    "date_format_election": date_election(),
     "normalise_chain": NORMALISE_CHAIN,
     "typed_ingest": TYPED_INGEST,
     "typed_ingest_rejects": TYPED_REJECTS,
+    "ragged_rejects": RAGGED,
+    "multiline_ingest": MULTILINE,
     "constraint_report": CONSTRAINTS,
     "inferred_ingest_profile": inferred_profile(),
     "delimiter_detect": delimiters(),
     "sink_roundtrip": SINKS,
     "published_run": PUBLISHED,
+    "atomic_overwrite": ATOMIC,
     "pipeline_execute": PIPELINE,
 }

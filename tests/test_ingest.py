@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import warnings
+from collections import Counter
 
 import pytest
 from pyspark.sql import types as T
 
 from concordat.functions.types import comparison_type, family, parse_type_token
 from concordat.operators import normalise
-from concordat.sources import csv_tables
+from concordat.sources import csv_tables, records
 from concordat.sources.constraints import constraint_violations
 from concordat.sources.schema_files import comparison_hints, load_schema, load_schemas, primary_key
 
@@ -132,11 +134,112 @@ def test_failfast_raises_and_quarantine_keeps_whole_rows(spark, tmp_path):
         declared(spark, tmp_path / "f", body)["t"].rows.collect()
     load = declared(spark, tmp_path / "q", body, mode="quarantine")["t"]
     assert sorted(r["id"] for r in load.rows.collect()) == [1, 3]
-    assert sorted(tuple(r) for r in load.rejects.collect()) == [("2d", "c", ["id"]), ("x", "b", ["id"])]
+    assert sorted(tuple(r)[:3] for r in load.rejects.collect()) == [("2d", "c", ["id"]), ("x", "b", ["id"])]
     with pytest.raises(ValueError):
         declared(spark, tmp_path / "m", body, mode="other")
 
 
+# --- records that do not fit their header, line breaks inside quotes ----------------------
+
+RAGGED = 'id,label\r\n1,a\r\n2,b,LOST\r\n\r\n5\r\n"6","x ""y"", z"\r\nq,d\r\n7,"e",\r\n8,ü\r\n'
+
+
+@pytest.mark.parametrize("options", [{}, {"multiline": True}])
+def test_ragged_records_are_rejects_with_their_place(spark, tmp_path, options):
+    load = declared(spark, tmp_path, RAGGED, mode="quarantine", **options)["t"]
+    assert sorted(map(tuple, load.rows.collect())) == [(1, "a"), (6, 'x "y", z'), (8, "ü")]
+    got = {r["record"]: r for r in load.rejects.collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {
+        "2,b,LOST": "too wide: 3 cells for 2 columns",
+        "5": "too narrow: 1 cells for 2 columns",
+        '7,"e",': "too wide: 3 cells for 2 columns",
+        "q,d": "not of the declared type: id",
+    }
+    raw = RAGGED.encode()
+    for record, r in got.items():
+        assert r["file"].endswith("/data/t.csv")
+        assert raw[r["byte_offset"] :].startswith(record.encode() + b"\r\n")
+    assert (got["q,d"]["id"], got["q,d"]["bad_columns"], got["5"]["id"], got["5"]["bad_columns"]) == ("q", ["id"], None, [])
+
+
+@pytest.mark.parametrize("options", [{}, {"multiline": True}])
+@pytest.mark.parametrize("line", ["2,b,LOST", "2", "2,b,"])
+def test_ragged_records_stop_a_failfast_load(spark, tmp_path, line, options):
+    body = f"id,label\n1,a\n{line}\n"
+    rows = declared(spark, tmp_path, body, **options)["t"].rows
+    for action in (rows.collect, rows.count, rows.select("label").collect):
+        with pytest.raises(Exception, match="cells"):
+            action()
+    with pytest.raises(Exception, match="cells"):
+        csv_tables.load_all_text(spark, str(tmp_path / "data"))["t"].count()
+    with pytest.raises(Exception, match="cells"):
+        csv_tables.load_inferred(spark, str(tmp_path / "data"))["t"].count()
+
+
+def test_misfits_of_every_part(spark, tmp_path):
+    write(tmp_path / "t.csv" / "a.csv", "k,v\n1,2\n3,4,5\n")
+    write(tmp_path / "t.csv" / "b.csv", "k,v\n6\n7,8\n")
+    got = {(r["file"].rsplit("/", 1)[1], r["byte_offset"], r["record"]) for r in csv_tables.misfits(spark, str(tmp_path / "t.csv")).collect()}
+    assert got == {("a.csv", 8, "3,4,5"), ("b.csv", 4, "6")}
+
+
+def odd_cells(seed: int, n: int) -> list[tuple]:
+    rng = random.Random(seed)
+    cell = lambda: "".join(rng.choice(["a", "ß", "\n", "\r\n", '"', ",", " ", "\n\n", '""', "x" * 30]) for _ in range(rng.randint(0, 6)))
+    return [(str(i), cell(), cell()) for i in range(n)]
+
+
+def csv_text(rows: list[tuple]) -> str:
+    quote = lambda c: '"' + c.replace('"', '""') + '"' if set(c) & set(' ,"\r\n') else c
+    return "".join(",".join(map(quote, r)) + "\n" for r in [("id", "b", "c"), *rows])
+
+
+@pytest.mark.parametrize("seed, split", [(1, 64), (2, 150), (3, 1000), (4, 128 << 20)])
+def test_many_tasks_read_what_one_reads(spark, tmp_path, seed, split):
+    """Splits that begin inside quotes, at doubled quotes, in the middle of records longer than several splits."""
+    rows = odd_cells(seed, 300) + [("big", "line\n" * 200, '"\n"')] + odd_cells(seed + 10, 50)
+    path, body = str(tmp_path / "t.csv"), csv_text(rows)
+    write(tmp_path / "t.csv", body)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = csv_tables.read_text_columns(spark, path, multiline=True).collect()
+        found = records.records(spark, path, multiline=True).collect()
+        splits = records.lines(spark, path).select("split").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert splits > 1 or split > len(body)
+    # What stands between quotes comes back as it was, line ends too.
+    assert Counter(map(tuple, got)) == Counter(rows)
+    one_task = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).count()
+    assert len(got) == one_task
+    raw = body.encode()
+    for r in found:
+        assert raw[r["byte_offset"] :].startswith(r["record"].encode())
+
+
+def test_other_encodings(spark, tmp_path):
+    body = 'id,label\n1,"größe\nÄ"\n2,é,x\n'
+    (tmp_path / "t.csv").write_bytes(body.encode("latin-1"))
+    got = csv_tables.read_text_columns(spark, str(tmp_path / "t.csv"), encoding="ISO-8859-1", multiline=True, strict=False).collect()
+    assert list(map(tuple, got)) == [("1", "größe\nÄ")]
+    lost = csv_tables.misfits(spark, str(tmp_path / "t.csv"), encoding="ISO-8859-1", multiline=True).collect()
+    assert [(r["byte_offset"], r["record"]) for r in lost] == [(body.index("2,é"), "2,é,x")]
+    with pytest.raises(ValueError):
+        records.records(spark, str(tmp_path / "t.csv"), encoding="UTF-16")
+
+
+def test_a_quote_that_never_closes(spark, tmp_path, monkeypatch):
+    write(tmp_path / "t.csv", 'a,b\n1,"x\n2,y\n' + "3,zzzzzzzz\n" * 50)
+    lost = csv_tables.misfits(spark, str(tmp_path / "t.csv"), multiline=True).collect()
+    assert [(r["byte_offset"], r["reason"]) for r in lost] == [(4, "a quote that is not closed")]
+    write(tmp_path / "u.csv", "\na,b\n1,2\n")
+    with pytest.raises(Exception, match="blank line"):
+        csv_tables.misfits(spark, str(tmp_path / "u.csv")).collect()
+
+
 def test_constraints(spark, tmp_path):
     load = declared(spark, tmp_path, "id,label\n1,a\n1,b\n,c\n", ddl="id,INT,false,true\nlabel,TEXT,true,false\n")["t"]
     schema = load_schemas(spark, str(tmp_path / "ddl"))["t"]
@@ -201,14 +304,67 @@ def converted(spark, columns: dict[str, list]):
     return normalise.normalise(df)
 
 
-def test_dates_are_day_first_with_month_first_as_last_resort(spark):
+def test_a_date_column_is_read_in_one_order(spark):
     spellings = ["2024-03-05 06:07:08", "2024-03-05T06:07:08", "2024-03-05", "20240305", "5/3/2024", "05/03/2024 06:07:08", "5-3-2024", "05.03.2024"]
     values = spellings * 3 + ["12/25/2026", "31/02/2024"]
     out = converted(spark, {"seen": values})
-    assert out.converted == {"seen": "date"} and out.coerced_to_null == {"seen": 1}
+    # The day comes first in 12 values, the month in 7; a date of the other order is not read the other way.
+    assert out.converted == {"seen": "date"} and out.coerced_to_null == {"seen": 2}
     got = [r["seen"] for r in out.rows.collect()]
     assert {d.date() for d in got[:8]} == {dt.date(2024, 3, 5)}
-    assert got[24] == dt.datetime(2026, 12, 25) and got[25] is None
+    assert got[24] is None and got[25] is None
+    assert out.orders == {"seen": ("dMy", "yMd")} and out.ambiguous == {}
+
+
+def test_election_of_the_order(spark):
+    n = 24
+    days = [dt.date(2024, i % 12 + 1, (i * 7) % 28 + 1) for i in range(n)]
+    low = [dt.date(2024, i % 12 + 1, i % 9 + 1) for i in range(n)]
+    out = converted(
+        spark,
+        {
+            "american": [f"{d:%m/%d/%Y}" for d in days],
+            "european": [f"{d:%d/%m/%Y}" for d in days],
+            "open": [f"{d:%m/%d/%Y}" for d in low],
+            "mixed": [f"{d:%m/%d/%Y}" if i % 2 else f"{d:%d.%m.%Y}" for i, d in enumerate(days)],
+            "clock": [f"{d:%m/%d/%Y} 01:02:03" if i % 2 else f"{d:%Y-%m-%d}" for i, d in enumerate(days)],
+        },
+    )
+    assert out.orders["american"][0] == out.orders["clock"][0] == "Mdy" and out.orders["european"][0] == out.orders["open"][0] == "dMy"
+    rows = out.rows.collect()
+    for c in ("american", "european", "clock"):
+        assert [r[c].date() for r in rows] == days and out.coerced_to_null[c] == 0
+    # Read day first, as nothing speaks against it, and named.
+    assert out.ambiguous.keys() == {"open"} and out.ambiguous["open"] == sum(d.day != d.month for d in low)
+    assert "mixed" not in out.converted or out.coerced_to_null["mixed"] > 0
+
+
+def test_custom_formats_are_elected_too(spark):
+    days = [dt.date(2024, i % 12 + 1, i % 28 + 1) for i in range(30)]
+    df = spark.createDataFrame([(f"{d:%Y|%d|%m}", f"{d:%Y|%m|%d}") for d in days], "a string, b string")
+    out = normalise.infer_types(df, ["yyyy'|'MM'|'dd", "yyyy'|'dd'|'MM"])
+    assert out.orders == {"a": ("ydM",), "b": ("yMd",)}
+    assert [tuple(x.date() for x in r) for r in out.rows.collect()] == [(d, d) for d in days]
+
+
+def test_a_side_in_doubt_follows_the_other(spark):
+    days = [dt.date(2024, i % 12 + 1, i % 28 + 1) for i in range(30)]
+    low = [d for d in days if d.day <= 12] * 3
+    side = lambda values, pattern: spark.createDataFrame([(format(d, pattern),) for d in values], "seen string")
+    both = normalise.normalise_pair(side(days, "%m/%d/%Y"), side(low, "%m/%d/%Y"))
+    assert both.orders["seen"] == (("Mdy", "yMd"), ("Mdy", "yMd")) and both.ambiguous["seen"][0] == 0 < both.ambiguous["seen"][1]
+    assert {r["seen"].date() for r in both.target.collect()} == set(low)
+    # Each side is one program's writing: equal days in two spellings are equal.
+    both = normalise.normalise_pair(side(days, "%m/%d/%Y"), side(days, "%d/%m/%Y"))
+    assert both.orders["seen"] == (("Mdy", "yMd"), ("dMy", "yMd"))
+    assert both.source.exceptAll(both.target).isEmpty()
+
+
+def test_whole_numbers_are_not_rounded(spark):
+    rows = [(str(2**53 + i), f"{i}.5", "9" * 19) for i in range(4)]
+    out = normalise.infer_types(spark.createDataFrame(rows, "a string, b string, c string"))
+    assert [f.dataType.simpleString() for f in out.rows.schema] == ["bigint", "double", "double"]
+    assert sorted(r["a"] for r in out.rows.collect()) == [2**53 + i for i in range(4)]
 
 
 def test_date_rules(spark):

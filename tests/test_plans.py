@@ -13,6 +13,7 @@ from concordat.plans import multi, payment_status, star_schema, steps
 from concordat.plans.report import overall_status
 from concordat.plans.validate import validate
 from concordat.session import scratch_root
+from concordat.sinks import staging
 from concordat.sinks import tables as sinks
 from concordat.sinks.reports import ERROR_SCHEMA, header_path
 from concordat.sources import csv_tables
@@ -229,6 +230,23 @@ def test_different_text_in_a_date_column_differs(spark, tmp_path):
     assert r.overall_status == "FAILED" and r.check("type_conversion").details["values_that_would_be_lost"]["update_note"] == {"source": 30, "target": 30}
 
 
+def test_equal_days_in_two_spellings_are_equal(spark, tmp_path):
+    days = [f"2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}" for i in range(30)]
+    turned = ["/".join(reversed(d.split("-"))) for d in days]
+    a = write(tmp_path / "a.csv", "k,day\n" + "".join(f"{i},{d}\n" for i, d in enumerate(turned)))
+    b = write(tmp_path / "b.csv", "k;day\n" + "".join(f"{i};{d}\n" for i, d in enumerate(days)))
+    assert validate(a, b, spark=spark).overall_status == "PASSED"
+    c = write(tmp_path / "c.csv", "k,day\n" + "".join(f"{i},{d}\n" for i, d in enumerate([*days[:-1], "2024-01-01"])))
+    assert validate(a, c, spark=spark).overall_status == "FAILED"
+
+
+def test_files_that_differ_in_a_surplus_cell_only(spark, tmp_path):
+    a = write(tmp_path / "a.csv", "k,v\n1,2\n3,4\n")
+    b = write(tmp_path / "b.csv", "k,v\n1,2\n3,4,LOST\n")
+    report = validate(a, b, spark=spark)
+    assert report.overall_status == "FAILED" and report.check("load_error").status == "FAILED" and "LOST" in report.load_error
+
+
 def test_separators_are_counted_over_all_lines(spark, tmp_path):
     text = "a;b\n" + "one, two, three; x\n" * 3 + "plain;y\n" * 5000
     assert csv_tables.detect_delimiter(spark, write(tmp_path / "t.csv", text)) == ";"
@@ -245,7 +263,105 @@ def test_outputs_never_replace_inputs_and_old_ones_go(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["one.csv", "one.parquet"]
     with pytest.raises(Exception, match="nowhere"):
         steps.execute(spark, [("one", "SELECT * FROM nowhere")], data, output_dir=out)
-    assert not (tmp_path / "out" / "one.csv").exists()
+    # A failed run leaves what stood.
+    assert spark.read.option("header", True).csv(f"{out}/one.csv").count() == 2
+
+
+def test_a_job_runs_again_in_its_default_folder(spark, tmp_path):
+    write(tmp_path / "orders.csv", "a\n1\n2\n")
+    data = str(tmp_path)
+    for floor, rows in ((0, 2), (1, 1)):
+        run = steps.execute(spark, [("x", f"SELECT * FROM orders WHERE a > {floor}")], data)
+        assert list(run.schemas) == ["orders"] and run.outputs["x"].count() == rows
+    assert spark.read.option("header", True).csv(f"{data}/x.csv").count() == 1
+
+
+def test_a_second_job_reads_what_the_first_made(spark, tmp_path):
+    write(tmp_path / "orders.csv", "a\n1\n2\n")
+    data = str(tmp_path)
+    first, second = [("x", "SELECT a FROM orders")], [("y", "SELECT count(*) AS n FROM x")]
+    steps.execute(spark, first, data)
+    assert steps.execute(spark, second, data).outputs["y"].first()["n"] == 2
+    # Neither job takes the other's outputs for its own, in any order of runs.
+    write(tmp_path / "orders.csv", "a\n1\n2\n3\n")
+    steps.execute(spark, first, data)
+    assert steps.execute(spark, second, data).outputs["y"].first()["n"] == 3
+    assert {p.name for p in tmp_path.iterdir() if p.suffix in (".csv", ".parquet")} == {"orders.csv", "x.csv", "x.parquet", "y.csv", "y.parquet"}
+    with pytest.raises(ValueError, match="other jobs"):
+        steps.execute(spark, [("x", "SELECT 1 AS a"), ("y", "SELECT 2 AS n")], str(tmp_path / "none"), output_dir=data)
+    with pytest.raises(ValueError, match="other jobs"):
+        steps.execute(spark, [("x", "SELECT 1 AS a")], str(tmp_path / "none"), output_dir=data, job="mine")
+
+
+def test_no_view_of_an_earlier_run_is_read(spark, tmp_path):
+    write(tmp_path / "one" / "only_here.csv", "a\n1\n")
+    write(tmp_path / "two" / "other.csv", "a\n1\n")
+    spark.range(7).createOrReplaceTempView("standing")
+    steps.execute(spark, [("x", "SELECT * FROM only_here"), ("standing", "SELECT 1 AS a")], str(tmp_path / "one"))
+    for name in ("x", "only_here"):
+        with pytest.raises(Exception, match=name):
+            steps.execute(spark, [("y", f"SELECT * FROM {name}")], str(tmp_path / "two"))
+    assert spark.table("standing").count() == 7
+    assert not (tmp_path / "two" / "y.csv").exists()
+    spark.catalog.dropTempView("standing")
+
+
+def failing(spark, rows):
+    return spark.range(rows).selectExpr(f"CASE WHEN id = {rows - 1} THEN raise_error('no') ELSE id END AS id")
+
+
+def test_a_failing_overwrite_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.persist_table(spark.range(5), "concordat_kept", path)
+    with pytest.raises(Exception, match="no"):
+        sinks.persist_table(failing(spark, 9), path=path)
+    with pytest.raises(Exception, match="no"):
+        sinks.persist_table(failing(spark, 9), "concordat_kept")
+    assert spark.read.parquet(path).count() == spark.table("concordat_kept").count() == 5
+    # A table may be made from what it replaces.
+    sinks.persist_table(spark.read.parquet(path).where("id > 1"), path=path)
+    sinks.persist_table(spark.table("concordat_kept").where("id > 1"), "concordat_kept")
+    assert spark.read.parquet(path).count() == spark.table("concordat_kept").count() == 3
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith((".", "_"))] == ["t"]
+    spark.sql("DROP TABLE concordat_kept")
+
+
+def test_outputs_are_replaced_together(spark, tmp_path):
+    out, extra = str(tmp_path / "out"), str(tmp_path / "far" / "copy.csv")
+    sinks.save_outputs({"a": spark.range(2), "b": spark.range(3)}, out, {"a": extra}, job="j")
+    with pytest.raises(Exception, match="no"):
+        sinks.save_outputs({"a": spark.range(20), "b": failing(spark, 4)}, out, {"a": extra}, job="j")
+    assert [spark.read.parquet(f"{out}/{n}.parquet").count() for n in "ab"] == [2, 3]
+    assert spark.read.option("header", True).csv(extra).count() == 2
+
+
+@pytest.mark.parametrize("moves", range(9))
+def test_an_interrupted_commit_is_carried_to_its_end(spark, tmp_path, monkeypatch, moves):
+    """A process that dies after any number of moves; the next run finds everything old or everything new."""
+    out, extra = str(tmp_path / "out"), str(tmp_path / "far" / "copy.csv")
+    sinks.save_outputs({"a": spark.range(2), "b": spark.range(3)}, out, {"a": extra}, job="j")
+    left, plain = [moves], staging.move
+
+    def dies(*args):
+        if not left[0]:
+            raise KeyboardInterrupt
+        left[0] -= 1
+        plain(*args)
+
+    monkeypatch.setattr(staging, "move", dies)
+    try:
+        sinks.save_outputs({"a": spark.range(20)}, out, {"a": extra}, job="j")
+        assert moves >= 6
+    except KeyboardInterrupt:
+        assert moves < 6
+    monkeypatch.setattr(staging, "move", plain)
+    staging.recover(spark, f"file:{out}", "j")
+    assert spark.read.parquet(f"{out}/a.parquet").count() == 20
+    assert [spark.read.option("header", True).csv(p).count() for p in (f"{out}/a.csv", extra)] == [20, 20]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["a.csv", "a.parquet"]
+    assert list((tmp_path / "out" / "_staging").iterdir()) == [] and staging.Ledger(spark, out).owners().keys() == {
+        f"file:{p}" for p in (f"{out}/a.csv", f"{out}/a.parquet", extra)
+    }
 
 
 def test_a_failed_republish_keeps_the_published_tables(spark, tmp_path):
