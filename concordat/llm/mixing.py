@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat.session import last_scratch, materialise, release_scratch, scratch_count
+from concordat.session import materialise, scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -171,10 +171,9 @@ def mix(documents: DataFrame) -> DataFrame:
 
 def emitted(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken; ``taken`` is counted in the texts that the sorted mix emits."""
-    spark = documents.sparkSession
-    since = scratch_count(spark)
-    wanted = materialise(mixture(documents), "wanted")
-    release_scratch(spark, since, keep=last_scratch(spark))
+    with scratch(documents.sparkSession) as first:
+        wanted = materialise(mixture(documents), "wanted")
+    first.release(keep=wanted)
     rows = _sorted_by_position(documents, wanted, ["text"])
     # Stored, as a sort below a sum would be dropped.
     rows = materialise(rows.select("order", "copy", "at", word_count(F.col("row.text")).alias("words")), "mixed")

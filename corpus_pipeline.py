@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.llm import exact_dedup, mixing, ngram_join, ordinal_quality, packing
-from concordat.session import last_scratch, materialise, release_scratch, scratch_count, ship_package
+from concordat.session import materialise, scratch, ship_package
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Once a stage's result is stored, what the stage and the one before it stored on the way is deleted.
     """
-    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_count(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with scratch(spark) as own:
+            docs = stage(spark, docs, sf_dir)
+            if i + 1 < len(STAGES):
+                docs = materialise(docs, re.sub(r"\W+", "-", name))
         if i + 1 < len(STAGES):
-            docs = materialise(docs, re.sub(r"\W+", "-", name))
-            release_scratch(spark, since, keep=last_scratch(spark))
+            own.release(keep=docs)
+            if before is not None:
+                before.release()
+            before = own
     return docs
