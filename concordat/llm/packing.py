@@ -6,17 +6,21 @@ counts the pieces of each length, and the plan is made on these counts alone, wh
 corpus.
 
 *Plan.* Best-fit decreasing gives the first incumbent. Then bins are completed: around the largest length
-left, fillings of the rest of the bin are listed, largest lengths first, so a filling of no waste that is found first
-is dominated by none; a filling is dropped when the waste so far would exceed what a plan of fewer
-bins than the incumbent's can have. A filling is used as often as the counts allow. The search takes
-the first filling at each step, goes back to others when a bound is hit, and ends when the incumbent meets the lower bound or
-the node limit is reached (the limit bounds effort; the incumbent always packs every piece).
+left, fillings of the rest of the bin are listed, least waste first and among these the largest lengths first. Which sums the lengths left can
+make is one bit string for each length, so the listing runs into no dead ends. A filling is dominated, and dropped, if a length that it leaves
+out could stand in place of some of its pieces without being smaller than these: they would then be left, and are easier to place. Of the undominated ones the first
+``FILLINGS`` are tried. A filling is used as often as the counts allow. A branch ends when its waste exceeds
+what a plan of fewer bins than the incumbent's can have; the search ends when the incumbent meets the lower bound, when
+all branches are done, or after ``NODE_LIMIT`` fillings. The lower bound is the best of the sum, of pieces over each threshold with what may go
+beside them, and of the exact number of bins for pieces over a third, of which two go to a bin. ``Planned.proved`` tells whether no plan of
+fewer bins exists; where fillings were left out or the limit was reached, it does not claim so. The incumbent always packs every piece.
 
 *Assignment.* The pieces of a length are numbered in two steps (by length and hash range, then
 inside a range), and a number tells the bin and the place in it.
 
-Defined results: a null or empty text is the closing id alone. Repeated rows are packed each. A null doc_id is carried.
-An empty table gives no rows. Other columns are not read.
+Defined results: a null or empty text is the closing id alone. Repeated rows are packed each, rows equal in doc_id, piece and ids in any order
+among themselves. A null doc_id is carried. The strings of special tokens in a text become these tokens, as the tokenizer file
+says. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import base64
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -38,23 +44,25 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 CLOSING_ID = 0
-NODE_LIMIT = 400_000
-FILLINGS = 3
+NODE_LIMIT = 4000
+FILLINGS = 4
+TRIES = 64  # fillings looked at for one list of them
 ROWS_PER_RANGE = 50_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, how often), largest first
 Plan = list[tuple[Filling, int]]  # and in how many bins
 
-_encoders: dict[tuple[str, str], object] = {}
+_encoders: dict[tuple[str, str, bool], object] = {}
 
 
 class _Encoder:
     """Ids of a text by the byte-level vocabulary.
 
-    The same vocabulary is there as ranks for a faster library; what that one refuses goes to the tokenizer file.
+    The same vocabulary is there as ranks for a faster library; what that one refuses goes to the tokenizer file, and so do
+    texts with the string of a special token, unless such strings are to be ordinary text.
     """
 
-    def __init__(self, tokenizer: str, ranks: str):
+    def __init__(self, tokenizer: str, ranks: str, ordinary: bool):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -62,24 +70,28 @@ class _Encoder:
             held = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=held, special_tokens={})
         self.plain = Tokenizer.from_file(tokenizer)
-        self.plain.encode_special_tokens = True
+        self.plain.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.content for t in self.plain.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> np.ndarray:
-        try:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        except Exception:
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not any(t in text for t in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except Exception:  # noqa: BLE001 - what the faster library refuses
+                pass
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def encoder(tokenizer: str, ranks: str) -> _Encoder:
-    if (tokenizer, ranks) not in _encoders:
-        _encoders[tokenizer, ranks] = _Encoder(tokenizer, ranks)
-    return _encoders[tokenizer, ranks]
+def encoder(tokenizer: str, ranks: str, ordinary: bool = True) -> _Encoder:
+    """``ordinary``: strings of special tokens are text like other, as a scan for a separator needs it."""
+    if (tokenizer, ranks, ordinary) not in _encoders:
+        _encoders[tokenizer, ranks, ordinary] = _Encoder(tokenizer, ranks, ordinary)
+    return _encoders[tokenizer, ranks, ordinary]
 
 
 def _cut(tokenizer: str, ranks: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, ranks)
+        encode = encoder(tokenizer, ranks, ordinary=False)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -142,46 +154,134 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(filling, bins) for held in groups.values() for filling, bins in held]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int, nodes: int) -> tuple[list[tuple[int, Filling]], int]:
-    """(waste, filling) of up to FILLINGS fillings of ``room``, the least waste first, and the nodes used.
-
-    Depth first from the largest length that fits; a filling is kept only if nothing that is left would still fit.
-    """
-    best: list[tuple[int, Filling]] = []
-    used = 0
-    stack: list[tuple[int, int, Filling]] = [(bisect_right(sizes, room) - 1, room, ())]
-    while stack and used < nodes:
-        at, room_left, filling = stack.pop()
-        used += 1
-        limit = min(most_waste, best[-1][0] - 1) if len(best) == FILLINGS else most_waste
-        at = min(at, bisect_right(sizes, room_left) - 1)
-        if at < 0 or room_left == 0:
-            if room_left <= limit:
-                best.append((room_left, filling))
-                best.sort(key=lambda x: x[0])
-                del best[FILLINGS:]
-                if room_left == 0:
-                    break
+def _reachable(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """Bit strings of the sums up to ``room`` that the first 0, 1, 2, ... of the sizes can make."""
+    reach, mask = [1], (1 << room + 1) - 1
+    for size in sizes:
+        bits, left, k = reach[-1], min(counts[size], room // size), 1
+        while left:
+            step = min(k, left)
+            bits |= bits << step * size & mask
+            left, k = left - step, 2 * k
+        reach.append(bits)
+    return reach
+
+
+def _with_sum(sizes: list[int], counts: dict[int, int], reach: list[int], total: int) -> Iterator[Filling]:
+    """All fillings of that sum, the largest lengths first."""
+    stack: list[tuple[int, int, Filling]] = [(len(sizes), total, ())]
+    while stack:
+        at, left, filling = stack.pop()
+        while at and left and not sizes[at - 1] <= left:
+            at -= 1
+        if not left:
+            yield filling
             continue
-        length = sizes[at]
-        # Without this length; with as many as fit first, so they are tried first.
-        stack.append((at - 1, room_left, filling))
-        for k in range(1, min(counts[length], room_left // length) + 1):
-            stack.append((at - 1, room_left - k * length, filling + ((length, k),)))
-    return best, used
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> Plan:
-    """Fillings and how many bins have each, for all pieces of the given counts by length."""
+        size = sizes[at - 1]
+        for k in range(min(counts[size], left // size) + 1):
+            if reach[at - 1] >> left - k * size & 1:
+                stack.append((at - 1, left - k * size, filling + ((size, k),) if k else filling))
+
+
+def dominated(filling: Filling, waste: int, sizes: list[int], counts: dict[int, int]) -> bool:
+    """Whether a length that is left out fits in place of pieces that together are no larger."""
+    used = dict(filling)
+
+    def sums(without: int = 0) -> int:
+        bits = 1
+        for size, k in filling:
+            if size != without:
+                for _ in range(k):
+                    bits |= bits << size
+        return bits
+
+    whole = sums()
+    window = (1 << waste + 1) - 1
+    for size in sizes:
+        if counts[size] > used.get(size, 0):
+            bits = sums(size) if size in used else whole
+            least = size - waste
+            # Pieces of a sum in [size - waste, size], at least one of them.
+            found = bits >> least & window if least > 0 else (bits & (1 << size + 1) - 1) >> 1
+            if found or least <= 0:
+                return True
+    return False
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int, keep: int = FILLINGS) -> tuple[list[tuple[int, Filling]], bool]:
+    """Up to ``keep`` undominated (waste, filling) of ``room``, least waste first, and whether these are all there are."""
+    usable = sizes[: bisect_right(sizes, room)]
+    reach, out, tries = _reachable(usable, counts, room), [], 0
+    for waste in range(min(most_waste, room) + 1):
+        if not reach[-1] >> room - waste & 1:
+            continue
+        for filling in _with_sum(usable, counts, reach, room - waste):
+            if len(out) == keep or tries == TRIES:
+                return out, False
+            tries += 1
+            if not dominated(filling, waste, usable, counts):
+                out.append((waste, filling))
+    return out, True
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that no plan can do without."""
+    sizes = sorted(counts)
+    best = -(-sum(n * c for n, c in counts.items()) // capacity)
+    # Pieces over capacity - a stand alone but for pieces under a; the others over a half have room for what is between.
+    for a in [0, *(n for n in sizes if 2 * n <= capacity)]:
+        alone = sum(c for n, c in counts.items() if n > capacity - a)
+        half = [(n, c) for n, c in counts.items() if 2 * n > capacity and n <= capacity - a]
+        between = sum(n * c for n, c in counts.items() if a <= n and 2 * n <= capacity)
+        room = sum((capacity - n) * c for n, c in half)
+        best = max(best, alone + sum(c for _, c in half) + max(0, -(-(between - room) // capacity)))
+    # Of pieces over a k-th part, fewer than k go to a bin.
+    upto = list(accumulate(counts[n] for n in sizes))
+    for k in range(2, capacity // sizes[0] + 2):
+        below = bisect_right(sizes, capacity // k)
+        best = max(best, -(-(upto[-1] - (upto[below - 1] if below else 0)) // (k - 1)))
+    # Two pieces over a third at most go to a bin: the largest with the smallest that fits it, or alone.
+    left = {n: c for n, c in counts.items() if 3 * n > capacity}
+    order = sorted(left)
+    i, j, bins = 0, len(order) - 1, 0
+    while i <= j:
+        small, large = order[i], order[j]
+        if not left[small]:
+            i += 1
+        elif not left[large]:
+            j -= 1
+        elif small + large > capacity:
+            bins, left[large] = bins + left[large], 0
+        elif i == j:
+            bins, left[small] = bins + (left[small] + 1) // 2, 0
+        else:
+            both = min(left[small], left[large])
+            bins, left[small], left[large] = bins + both, left[small] - both, left[large] - both
+    return max(best, bins)
+
+
+@dataclass
+class Planned:
+    """A plan, a number of bins that none can go below, and whether the plan is known to be the best."""
+
+    plan: Plan
+    bound: int
+    proved: bool
+
+    @property
+    def bins(self) -> int:
+        return sum(bins for _, bins in self.plan)
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT, keep: int = FILLINGS) -> Planned:
+    """Bin completion with branch and bound, best fit decreasing as the first incumbent."""
     counts = {n: c for n, c in counts.items() if c}
     if not counts:
-        return []
+        return Planned([], 0, True)
     total = sum(n * c for n, c in counts.items())
     incumbent = best_fit(counts, capacity)
     fewest = sum(bins for _, bins in incumbent)
-    over_half = sum(c for n, c in counts.items() if 2 * n > capacity)
-    bound = max(-(-total // capacity), over_half)
-    nodes = node_limit
+    bound, nodes, all_tried = lower_bound(counts, capacity), node_limit, True
     left, sizes = dict(counts), sorted(counts)
     #: (filling, bins, waste before, other fillings not tried)
     path: list[tuple[Filling, int, int, list[tuple[int, Filling]]]] = []
@@ -202,26 +302,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NOD
         if sizes and waste <= allowed:
             top = sizes[-1]
             change(((top, 1),), 1, -1)
-            options, used = fillings(sizes, left, capacity - top, allowed - waste, min(nodes, 4000))
+            options, complete = fillings(sizes, left, capacity - top, allowed - waste, keep)
             change(((top, 1),), 1, 1)
-            nodes -= used
+            nodes, all_tried = nodes - 1, all_tried and complete
             options = [(w, ((top, 1),) + f if not f or f[0][0] != top else ((top, 1 + f[0][1]),) + f[1:]) for w, f in options]
         elif not sizes and waste <= allowed:
             incumbent, fewest = [(f, b) for f, b, *_ in path], sum(b for _, b, *_ in path)
         while not options and path:
             filling, bins, waste, options = path.pop()
             change(filling, bins, 1)
-            nodes -= 1
         if not options:
-            break
+            return Planned(incumbent, bound, fewest == bound or all_tried)
         (lost, filling), rest = options[0], options[1:]
         bins = min(left[n] // k for n, k in filling)
         if lost:
             bins = min(bins, max(1, ((fewest - 1) * capacity - total - waste) // lost))
         path.append((filling, bins, waste, rest))
+        # Another number of such bins is another branch, which is not tried.
+        all_tried = all_tried and bins == 1
         change(filling, bins, -1)
         waste += lost * bins
-    return incumbent
+    return Planned(incumbent, bound, fewest == bound)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> Plan:
+    """Fillings and how many bins have each, for all pieces of the given counts by length."""
+    return search(counts, capacity, node_limit).plan
 
 
 def _table(made: Plan) -> tuple[np.ndarray, ...]:

@@ -94,7 +94,6 @@ def test_repetition(spark, sf_dir, texts):
 
 def test_packing(spark, sf_dir, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = {}
     for k, text in texts.items():
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
@@ -130,6 +129,68 @@ def test_plan_packs_every_piece(lengths):
     assert sum(b for _, b in made) <= sum(b for _, b in packing.best_fit(counts, 2048))
 
 
+def test_special_strings_follow_the_tokenizer_file(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x<|endoftext|><|endoftext|>"]
+    rows = packing.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert tokenizer.encode(texts[0]).ids == [64, 220, 50256, 275]
+
+
+def fewest_bins(lengths: list[int], capacity: int) -> int:
+    """By trying every piece in every open bin."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(i: int, rooms: list[int]) -> None:
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for j in {r: j for j, r in enumerate(rooms) if r >= lengths[i]}.values():
+            place(i + 1, [*rooms[:j], rooms[j] - lengths[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_against_all_plans(seed):
+    """Small instances: no bound over the optimum, nothing called proved that is not, and nearly always the optimum."""
+    rng, hits = random.Random(seed), 0
+    for _ in range(60):
+        capacity = rng.choice([20, 50, 100])
+        low = rng.choice([1, capacity // 6, capacity // 4])
+        lengths = [rng.randint(low, capacity * 2 // 3) for _ in range(rng.randint(1, 10))]
+        best = fewest_bins(lengths, capacity)
+        found = packing.search(Counter(lengths), capacity)
+        assert found.bound <= best <= found.bins
+        assert not found.proved or found.bins == best
+        hits += found.bins == best
+    assert hits >= 59
+
+
+def test_fillings_are_undominated():
+    sizes = [3, 4, 5, 9, 12]
+    counts = dict.fromkeys(sizes, 1)
+    found, complete = packing.fillings(sizes, counts, 13, 13, keep=50)
+    assert complete and [w for w, _ in found] == sorted(w for w, _ in found)
+    assert found[0] == (0, ((9, 1), (4, 1)))
+    # 5 + 4 + 3 is no filling: 12 fits in place of all three.
+    assert all(f != ((5, 1), (4, 1), (3, 1)) for _, f in found)
+    few, complete = packing.fillings(sizes, counts, 13, 13, keep=1)
+    assert few == found[:1] and not complete
+
+
+@pytest.mark.parametrize("lengths, most", [((300, 1000, 3000), 1.02), ((600, 760, 1500), 1.0), ((700, 1100, 1500), 1.0)])
+def test_search_nears_the_bound(lengths, most):
+    low, high, n = lengths
+    rng = random.Random(7)
+    found = packing.search(Counter(rng.randint(low, high) for _ in range(n)))
+    assert found.bins <= most * found.bound
+
+
 def test_plan_beats_best_fit():
     counts = Counter([900, 700, 448, 1100, 600, 348] * 3)
     assert sum(b for _, b in packing.plan(counts)) == 6
