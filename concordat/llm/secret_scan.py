@@ -3,16 +3,19 @@
 Fixed patterns find credentials of three kinds. The strings they find are labelled examples: for each kind a
 prefix tree of them is folded into a probabilistic automaton by merging states whose continuations are
 statistically compatible (the Hoeffding test of ALERGIA). A further automaton is inferred from tokens of the same alphabet
-that no pattern covers. Every candidate token of every text is then scored: it is added as a span if the
+that no pattern covers. Every candidate of every text is then scored. Candidates are all tokens of the alphabet and least length that
+labelled ones may have, but for those inside a base span; dots at their ends are left off. One is added as a span if the
 automaton of a kind finds it likely enough (as likely as nearly all examples are, per character), and far
-likelier than the automaton of other tokens does. The base spans always stay.
+likelier than the automaton of other tokens does. Nothing but the likelihood decides. The base spans always stay.
 
-One pass reads the texts and stores the spans and candidates of each; the automata are inferred from at
-most ``MAX_EXAMPLES`` different strings a kind, those with the smallest hashes; all candidates are scored.
+A first pass over the texts takes the sample that the automata are inferred from: at most ``MAX_EXAMPLES`` different strings a
+kind, and as many other tokens of letters alone, with digits, and with marks, always those with the smallest hashes; each
+task keeps no more. Of a string over ``MAX_LENGTH`` characters the sample has so many, and its end is not counted as one. The second pass
+scores all candidates, whole; a task remembers up to ``REMEMBERED`` tokens that are none.
 
 Places are code points, the end exclusive. Defined results: a null or empty text has no spans, zero counts, and the
 digest of the empty string. Repeated rows each get a row. Other columns are not read. With fewer than
-``LEAST_EXAMPLES`` examples a kind infers nothing and adds no spans.
+``LEAST_EXAMPLES`` examples a kind infers nothing and adds no spans. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.session import materialise
@@ -35,9 +39,12 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-DIGIT = re.compile(r"[0-9]")
+#: The alphabet and least length of an assigned credential.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{4,}[A-Za-z0-9+/_=-]")
+DIGIT, MARK = re.compile(r"[0-9]"), re.compile(r"[^A-Za-z0-9]")
 MAX_EXAMPLES = 1500
+MAX_LENGTH = 256
+REMEMBERED = 300_000
 LEAST_EXAMPLES = 20
 ALPHA = 0.05
 FLOOR = 1e-5  # chance of what a state has never seen
@@ -47,20 +54,20 @@ QUANTILE = 0.02  # of examples may be less likely than what is added
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, credential) of what the patterns find."""
-    out = [(0, m.start(), m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
-    out += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    out = []
+    if ":" in text or "=" in text:
+        out += [(0, m.start(), m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    if "AKIA" in text:
+        out += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     return out
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, token) of tokens with a digit that no base span touches."""
+    """(start, end, token) of all tokens that do not lie inside a base span."""
     taken = [(a, b) for _, a, b, _ in base]
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append((m.start(), m.end(), m[0]))
-    return out
+    found = ((m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text))
+    return [(a, b, t) for a, b, t in found if not any(x <= a and b <= y for x, y in taken)]
 
 
 @dataclass
@@ -87,13 +94,16 @@ class Automaton:
         return (total + self.ends[state]) / (len(token) + 1)
 
 
-def infer(examples: list[str], alpha: float = ALPHA) -> Automaton:
-    """Prefix tree of the examples, its states merged breadth first where they are compatible."""
+def infer(examples: list[str], alpha: float = ALPHA, longest: int = MAX_LENGTH) -> Automaton:
+    """Prefix tree of the examples, its states merged breadth first where they are compatible.
+
+    Of an example over ``longest`` characters so many are taken, without an end.
+    """
     states = [_State()]
     for token in examples:
         at = 0
         states[0].passed += 1
-        for c in token:
+        for c in token[:longest]:
             here = states[at]
             if c not in here.to:
                 here.to[c] = len(states)
@@ -102,7 +112,7 @@ def infer(examples: list[str], alpha: float = ALPHA) -> Automaton:
             here.count[c] += 1
             at = here.to[c]
             states[at].passed += 1
-        states[at].ended += 1
+        states[at].ended += len(token) <= longest
     spread = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(a: int, n: int, b: int, m: int) -> bool:
@@ -183,35 +193,66 @@ def learn(labelled: dict[int, list[str]], other: list[str]) -> Grammar:
     return Grammar(kinds, infer(other) if len(other) >= LEAST_EXAMPLES else None)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-    token_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-    for batch in batches:
-        base, tokens = [], []
-        for text in batch.column(1):
-            text = text.as_py() or ""
-            found = base_spans(text)
-            base.append([dict(zip(("kind", "start", "end", "value"), x)) for x in found])
-            tokens.append([dict(zip(("start", "end", "value"), x)) for x in candidates(text, found)])
-        yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(base, base_type), pa.array(tokens, token_type)], ["doc_id", "base", "tokens"])
+#: Classes of the sample after the kinds: other tokens by what they are made of.
+LETTERS, DIGITS, MARKS = 3, 4, 5
+
+
+def _class_of(token: str) -> int:
+    return MARKS if MARK.search(token) else DIGITS if DIGIT.search(token) else LETTERS
+
+
+class _Smallest:
+    """The strings with the smallest hashes of those that were offered."""
 
+    def __init__(self, most: int):
+        self.most, self.held, self.limit = most, {}, 1 << 32
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, tokens): what the patterns find in each text, and the candidates."""
-    schema = "doc_id long, base array<struct<kind int, start long, end long, value string>>, tokens array<struct<start long, end long, value string>>"
-    return docs.select("doc_id", "text").mapInArrow(_scan, schema)
+    def offer(self, text: str) -> None:
+        order = zlib.crc32(text.encode())
+        if order <= self.limit and text not in self.held:
+            self.held[text] = order
+            if len(self.held) > 2 * self.most:
+                self.cut()
 
+    def cut(self) -> None:
+        kept = sorted((order, text) for text, order in self.held.items())[: self.most]
+        self.held = {text: order for order, text in kept}
+        if len(kept) == self.most:
+            self.limit = kept[-1][0]
 
-def grammar(found: DataFrame, max_examples: int = MAX_EXAMPLES) -> Grammar:
-    """Infer the automata from a bounded sample of the stored findings."""
 
-    def sample(values: DataFrame) -> list[str]:
-        rows = values.distinct().orderBy(F.xxhash64("value"), "value").limit(max_examples).collect()
-        return [r["value"] for r in rows]
+def _sample(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = [_Smallest(most) for _ in range(6)]
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                for kind, _, _, value in base:
+                    classes[kind].offer(value[: MAX_LENGTH + 1])
+                if base:
+                    tokens = {t for _, _, t in candidates(text, base)}
+                else:
+                    tokens = set(CANDIDATE.findall(text))
+                for token in tokens:
+                    classes[_class_of(token)].offer(token[: MAX_LENGTH + 1])
+        for held in classes:
+            held.cut()
+        rows = [(i, text, order) for i, held in enumerate(classes) for text, order in held.held.items()]
+        columns = list(zip(*rows)) or [[], [], []]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.int64()))], ["class", "value", "order"])
+
+    return run
 
-    base = found.select(F.explode("base").alias("b")).select("b.kind", F.substring("b.value", 1, 256).alias("value"))
-    labelled = {k: sample(base.where(F.col("kind") == k).select("value")) for k in range(3)}
-    return learn(labelled, sample(found.select(F.explode("tokens").alias("t")).select(F.substring("t.value", 1, 256).alias("value"))))
+
+def grammar(docs: DataFrame, max_examples: int = MAX_EXAMPLES) -> Grammar:
+    """Infer the automata from a bounded sample of the labelled strings and of other tokens."""
+    found = docs.select("text").mapInArrow(_sample(max_examples), "class int, value string, order long").distinct()
+    place = F.row_number().over(Window.partitionBy("class").orderBy("order", "value"))
+    kept: dict[int, list[str]] = {}
+    for r in materialise(found, "examples").withColumn("place", place).where(F.col("place") <= max_examples).orderBy("class", "place").collect():
+        kept.setdefault(r["class"], []).append(r["value"])
+    return learn({k: kept.get(k, []) for k in range(3)}, [t for k in (LETTERS, DIGITS, MARKS) for t in kept.get(k, [])])
 
 
 def _report(held):
@@ -219,12 +260,28 @@ def _report(held):
         return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = held.value
+        rules, unlikely = held.value, set()
+
+        def likely(token: str) -> bool:
+            if token in unlikely:
+                return False
+            if rules.likely(token):
+                return True
+            if len(unlikely) >= REMEMBERED:
+                unlikely.clear()
+            if len(token) <= MAX_LENGTH:
+                unlikely.add(token)
+            return False
+
         for batch in batches:
             out = []
-            for doc_id, base, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                spans = [(b["start"], b["kind"], b["end"]) for b in base]
-                added = [(t["start"], 3, t["end"]) for t in tokens if rules.likely(t["value"])]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                spans = [(a, kind, b) for kind, a, b, _ in base]
+                added = []
+                if any(likely(t) for t in set(CANDIDATE.findall(text)) - unlikely):
+                    added = [(a, 3, b) for a, b, t in candidates(text, base) if likely(t)]
                 n = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
                 out.append((doc_id, *n, hashlib.sha256(digest(spans).encode()).hexdigest(), digest(spans + added), len(added)))
             if out:
@@ -237,6 +294,6 @@ def _report(held):
 
 def secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format."""
-    found = materialise(scan(docs), "spans")
-    held = docs.sparkSession.sparkContext.broadcast(grammar(found))
-    return found.mapInArrow(_report(held), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    held = docs.sparkSession.sparkContext.broadcast(grammar(docs))
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_report(held), schema)
