@@ -1,7 +1,8 @@
 """Quality rules on repetition: characters inside duplicated n-grams and lines.
 
 Words are runs of bytes that are not white space; windows of several lengths get rolling hashes of
-their word hashes, and a window whose hash stands twice in its text covers all its words. A window of
+their word hashes. For the verdict a window whose hash stands earlier in its text covers all its words; first
+occurrences are not counted, as in the published rule. The base rule counts all windows that stand twice, first included. A window of
 more words repeats only where its first five do, so the longer lengths look at those places alone.
 
 Defined results: a null or empty text has all counts 0 and fails the base rule. Ties and repeated rows are
@@ -21,9 +22,8 @@ from concordat.llm import bytewise
 BASE_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-# Limits for the share of characters in duplicated n-grams, by n, and in repeated lines. Those for n-grams are
-# twice the published ones for repeats, as here the first occurrence counts among the duplicated characters too.
-COVERAGE_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+# Published limits for the share of characters in duplicated n-grams, by n, and in repeated lines.
+COVERAGE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_CHARS_LIMIT = 0.20
 
 SYMBOL = np.zeros(256, bool)
@@ -44,6 +44,14 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
 
 
+def _again(keys: np.ndarray) -> np.ndarray:
+    """Which keys stand at an earlier place as well."""
+    order = np.argsort(keys, kind="stable")
+    later = np.zeros(len(keys), bool)
+    later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    return later
+
+
 def _own(hashes: np.ndarray, owners: np.ndarray) -> np.ndarray:
     return bytewise.mix(hashes + owners.astype(np.uint64) * _OWNER)
 
@@ -78,26 +86,30 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     real = seen_words[end] > seen_words[begin]
     begin, end, of = begin[real], end[real], of[real]
     keys = _own(bytewise.span_hashes(data, begin, end), of)
-    order = np.argsort(keys, kind="stable")
-    later = np.zeros(len(keys), bool)
-    later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    later = _again(keys)
     out["n_dup_lines"] = np.bincount(of[later], minlength=rows)
     line_chars = np.bincount(of[later], (chars[end] - chars[begin])[later], rows).astype(np.int64)
 
-    def cover(width: int, places: np.ndarray) -> np.ndarray:
+    def windows(width: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a window of one text may begin, and the keys of the windows."""
         places = places[places + width <= len(words)]
         places = places[owners[places] == owners[places + width - 1]]
         total = words[places] * bytewise._FACTORS[0]
         for i in range(1, width):
             total += words[places + i] * bytewise._FACTORS[i]
-        return places[_repeated(_own(bytewise.mix(total), owners[places]))]
+        return places, _own(bytewise.mix(total), owners[places])
 
     short = min(min(COVERAGE_LIMITS), BASE_WINDOW)
     inside = bytewise.inside_one_text(owners, short)
     places = np.flatnonzero(inside)
     places = places[_repeated(_own(bytewise.window_hashes(words, short)[inside], owners[places]))]
-    held = {n: _covered(cover(n, places), n, len(words)) for n in sorted({*COVERAGE_LIMITS, BASE_WINDOW})}
-    out["n_repeat_words"] = np.bincount(owners[held[BASE_WINDOW]], minlength=rows)
+    held = {}
+    for n in sorted({*COVERAGE_LIMITS, BASE_WINDOW}):
+        begin, keys = windows(n, places)
+        held[n] = _covered(begin[_again(keys)], n, len(words))
+        if n == BASE_WINDOW:
+            both = _covered(begin[_repeated(keys)], n, len(words))
+            out["n_repeat_words"] = np.bincount(owners[both], minlength=rows)
     for n in COVERAGE_LIMITS:
         out[f"dup_{n}gram_chars"] = np.bincount(owners[held[n]], of_word[held[n]], rows).astype(np.int64)
     out["dup_line_chars"] = line_chars
