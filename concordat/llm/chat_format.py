@@ -7,7 +7,8 @@ the same conv_id, turn and msg, folded in the order of seq (then kind, role, tex
   throws it away for a new first text;
 * ``delta`` appends.
 
-So the final text is that of the last event that is not a delta, and all deltas after it. Messages of a
+So the final text is that of the last event that is not a delta, and all deltas after it. Events may come in any order, and
+one that is delivered again (all columns equal) counts once. Messages of a
 conversation stand by turn (null first), then msg. A null text adds nothing; the role is the last one given
 by an event, or empty.
 
@@ -16,6 +17,9 @@ doubled and each control string gets a backslash after its first character, so n
 arise from a text; a new line in a role gets one before it. Dropping each backslash that stands before a character
 gives the text back. The loss mask has the place of each assistant text, in code points and in bytes.
 
+Defined results: an empty log, or an empty table of rows, gives no conversations. Rows that are repeated are messages each (they
+differ in msg). A null conv_id or turn is a value like others. Columns other than those named are not read, whatever their names.
+
 Deltas are folded under (conv_id, turn, msg), so a long conversation is spread over tasks up to
 the last step, where its turns become the one value that is asked for.
 """
@@ -42,7 +46,7 @@ def unescape(text: Column) -> Column:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, msg, role, text): the final messages of the log."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
+    ordered = F.array_sort(F.collect_set(F.struct("seq", "kind", "role", "text")))
     held = events.groupBy("conv_id", "turn", "msg").agg(ordered.alias("log"))
     last = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"].eqNullSafe("delta"), 0).otherwise(i)))
     parts = F.transform(F.slice("log", last + 1, F.size("log")), lambda e: F.coalesce(e["text"], F.lit("")))
@@ -85,19 +89,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(rows: DataFrame, chunk: int = 256) -> DataFrame:
-    """A log of whole messages as a stream gives them: one opening event and a delta for every ``chunk`` characters more.
+    """A log that ends in the messages of ``rows``, as a stream would give it, out of order.
+
+    Each message is opened with a draft that a delta goes on with. An assistant's draft is then thrown away by a ``regenerate``, others'
+    are replaced by an ``edit``, with the first ``chunk`` characters of the true text; a delta for every ``chunk`` more follows. Every
+    third event is delivered twice. Events are dealt out by conversation, turn and number, so those of a message meet only in the fold.
 
     Rows with one conv_id and turn are different messages, numbered by role and text.
     """
     turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     numbered = rows.select("conv_id", "turn", "role", text.alias("text"), F.row_number().over(turn).alias("msg"))
-    parts = F.sequence(F.lit(0), F.floor(F.length("text") / chunk).cast("int"))
-    opened = F.when(F.col("seq") == 0, "message").otherwise("delta")
-    return numbered.withColumn("seq", F.explode(parts)).select(
-        "conv_id", "turn", "msg", "seq", opened.alias("kind"), F.when(F.col("seq") == 0, F.col("role")).alias("role"),
-        F.substring("text", F.col("seq") * chunk + 1, F.lit(chunk)).alias("text"),
-    )
+    # Events 0 and 1 are the draft, 2 replaces it.
+    last = F.floor(F.length("text") / chunk).cast("int") + 2
+    seq = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i % 3 == 1, F.array(i, i)).otherwise(F.array(i)))))
+    seen = numbered.withColumn("seq", seq)
+    n = F.col("seq")
+    replaced = F.when(F.col("role").eqNullSafe("assistant"), "regenerate").otherwise("edit")
+    kind = F.when(n == 0, "message").when(n == 2, replaced).otherwise("delta")
+    draft = F.when(n == 0, F.reverse(F.substring("text", F.lit(1), F.lit(chunk)))).when(n == 1, F.lit(" ... ")).otherwise(F.substring("text", (n - 2) * chunk + 1, F.lit(chunk)))
+    log = seen.select("conv_id", "turn", "msg", "seq", kind.alias("kind"), F.when(n == 0, F.col("role")).alias("role"), draft.alias("text"))
+    return log.repartition("conv_id", "turn", "seq")
 
 
 def digests(conversations: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import re
 from collections import Counter
 
 import numpy as np
@@ -207,6 +209,43 @@ def test_repetition_values(spark):
     assert row[0]["base_failed"] and not row[0]["kept"] and row[1]["n_words"] == 0 and row[1]["base_failed"]
 
 
+def plain_verdict(text: str) -> bool:
+    """The published limits, words and windows counted one by one, first occurrences left out."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeats = {i + j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(8)}
+    if len(words) < 20 or 100 * len(repeats) > 30 * len(words):
+        return False
+    for n, limit in zip(range(5, 11), (0.15, 0.14, 0.13, 0.12, 0.11, 0.10)):
+        seen, inside = set(), set()
+        for i in range(len(words) - n + 1):
+            window = tuple(words[i : i + n])
+            if window in seen:
+                inside |= set(range(i, i + n))
+            seen.add(window)
+        if sum(len(words[i]) for i in inside) > limit * sum(map(len, words)):
+            return False
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if line.strip(" \t\r\x0b\x0c"):
+            again += len(line) if line in seen else 0
+            seen.add(line)
+    return again <= 0.20 * max(len(text), 1)
+
+
+def test_repetition_verdict(spark):
+    """A phrase that stands from two to ten times among other words, in texts around each limit."""
+    rng, texts = np.random.default_rng(8), []
+    for _ in range(300):
+        phrase = [f"p{i}" for i in range(rng.integers(5, 12))]
+        parts = [[f"w{rng.integers(10**9)}" for _ in range(rng.integers(1, 40))] + (phrase if i else []) for i in range(rng.integers(2, 11))]
+        texts.append(" ".join(w for part in parts for w in part) + rng.choice(["", "\nthe same line\nthe same line"]))
+    rows = repetition.repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["kept"] for r in rows}
+    assert got == {i: plain_verdict(t) for i, t in enumerate(texts)}
+    assert 50 < sum(got.values()) < 250
+
+
 EVENTS = "conv_id long, turn long, msg int, seq int, kind string, role string, text string"
 
 
@@ -231,6 +270,33 @@ def test_event_folding(spark):
     assert [(t["role"], t["text"]) for t in back[None]["turns"]] == [("", "")]
 
 
+def test_derived_log_supersedes_drafts(spark):
+    """Every message has a draft, its replacement, and events that come twice and out of order; the fold undoes all of it."""
+    long_text = "".join(f"{i} ü😀 <|turn|> " for i in range(400))
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long_text), (1, None, "system", None), (2, 0, "user", "same"), (2, 0, "user", "same"), (None, 0, None, "x" * 256), (3, 5, "assistant", "")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    more = plain.select("*", *[F.lit("y").alias(n) for n in ("msg", "seq", "kind", "log", "Head", "place", "turns", "loss")])
+    for df in (plain, more):
+        log = chat_format.conversation_events(df, chunk=16).cache()
+        kinds = Counter(r["kind"] for r in log.collect())
+        assert kinds["edit"] == 5 and kinds["regenerate"] == 2 and kinds["message"] == 7 and log.count() > log.distinct().count()
+        folded = {(r["conv_id"], r["turn"], r["msg"]): (r["role"], r["text"]) for r in chat_format.fold_events(log).collect()}
+        assert sorted(folded.items(), key=str) == sorted(
+            {(1, 0, 1): ("user", "hi"), (1, 1, 1): ("assistant", long_text), (1, None, 1): ("system", ""), (2, 0, 1): ("user", "same"), (2, 0, 2): ("user", "same"),
+             (None, 0, 1): ("", "x" * 256), (3, 5, 1): ("assistant", "")}.items(), key=str)
+        back = {r["conv_id"]: r for r in chat_format.digests(chat_format.render(chat_format.fold_events(log))).collect()}
+        assert back[1]["loss_chars"] == len(long_text) and back[2]["n_turns"] == 2 and back[None]["n_turns"] == 1
+    none = chat_format.conversation_events(plain.limit(0))
+    assert chat_format.digests(chat_format.render(chat_format.fold_events(none))).collect() == []
+
+
+def test_a_very_long_message(spark):
+    text = "\\<|end|> ü" * 60_000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = chat_format.digests(chat_format.render(chat_format.fold_events(chat_format.conversation_events(df)))).first()
+    assert row["loss_chars"] == len(text) and row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_empty_log(spark):
     assert chat_format.render(chat_format.fold_events(spark.createDataFrame([], EVENTS))).collect() == []
 
