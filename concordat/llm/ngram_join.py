@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm import bytewise
 from concordat.llm.components import components
+from concordat.llm.skew import join_groups
 from concordat.session import materialise
 
 WIDTH = 5
@@ -45,7 +46,8 @@ CELLS = 512
 STAR_ROUNDS = 2  # after the first
 PAIRS = 1 << 13  # compared at a time
 BLOCK = 512  # sets of one signature that meet another such block in one group
-BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
+BROADCAST_BYTES = 32 << 20
+KEY_BYTES = 32  # of a long in a broadcast table
 SEEN = 1 << 20  # nodes a task remembers so as to give the signatures of copies once
 
 _SMALL = np.uint64(0xA0761D6478BD642F)
@@ -151,7 +153,7 @@ def _profile(width: int):
             if sizes:
                 n = np.concatenate(sizes)
                 node = pa.array(np.concatenate(nodes), mask=n == 0)
-                yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), node], ["doc_id", "text_key", "n_shingles", "node"])
+                yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), node], ["doc_id", "key", "n_shingles", "node"])
 
     return run
 
@@ -218,34 +220,13 @@ def _whole_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, features, n in sets_of(batch.column(0), width):
-                cuts = np.cumsum(n)[:-1]
-                held = pa.array([x.tobytes() for x in np.split(features, cuts)], pa.binary())
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                held = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(features.view(np.int64)))
                 yield pa.record_batch([pa.array(_nodes(features, n)), held], ["node", "features"])
 
     return run
 
 
-def _verify(percent: int):
-    """(a, b) whose sets overlap enough, by merging two sorted sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int(np.count_nonzero(large[place] == small))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            if keep.any():
-                keep = pa.array(keep)
-                yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return run
-
-
 def _allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether the cell counts of two sets leave room for a link: a lower bound of their difference."""
     apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(1, dtype=np.int64)
@@ -301,30 +282,30 @@ def _close_pairs(percent: int):
     return run
 
 
-def _some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the documents in ``ids`` (doc_id, text_key), which are sent to every executor if they are few.
+def _some_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Texts of the documents with one of the stored ``keys``, which are sent to every executor if their bytes are few.
 
-    A null doc_id is told from others by the hash of its text; that key is null beside any other doc_id.
+    A key is a hash of doc_id and text. A text more, by two with one hash, does no harm.
     """
-    few = ids.count() <= BROADCAST_ROWS
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_key").eqNullSafe(F.col("key"))
-    return docs.join(F.broadcast(ids) if few else ids, same, "left_semi").select("text")
+    few = keys.count() * KEY_BYTES <= BROADCAST_BYTES
+    return docs.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("text")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass on whole sets; each side's set comes by a join on its node."""
-    whole = texts.mapInArrow(_whole_sets(width), "node long, features binary")
+    """The pairs (a, b) whose sets overlap enough; each side's set comes by a join on its node."""
+    whole = texts.mapInArrow(_whole_sets(width), "node long, features array<long>")
     one = whole.select(F.col("node").alias("a"), F.col("features").alias("fa"))
     two = whole.select(F.col("node").alias("b"), F.col("features").alias("fb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    both = pairs.join(one, "a").join(two, "b")
+    # Features of a set are distinct, so the intersection's size is that of the sets'.
+    sizes = both.select("a", "b", F.size("fa").cast("long").alias("n"), F.size("fb").cast("long").alias("m"), F.size(F.array_intersect("fa", "fb")).cast("long").alias("both"))
+    return sizes.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
 def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reached by links)."""
-    docs = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_key"))
-    known = materialise(docs.mapInArrow(_profile(width), "doc_id long, text_key long, n_shingles long, node long"), "sets")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    known = materialise(docs.mapInArrow(_profile(width), "doc_id long, key long, n_shingles long, node long"), "sets")
 
     made = docs.select("text").mapInArrow(_signatures(width, percent), "sig long, node long")
     stars = made.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, hub long, node long")
@@ -332,36 +313,48 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     star_pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     candidates = star_pairs.select(F.col("a").alias("node")).unionByName(star_pairs.select(F.col("b").alias("node"))).distinct()
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one")
-    ids = materialise(known.join(candidates, "node").groupBy("node").agg(one).select("one.doc_id", "one.text_key").distinct(), "candidates")
-    texts = _some_texts(docs, ids)
+    # A node's copies fold before they move, so a join by node meets one row of each.
+    one = known.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
+    keys = materialise(one.join(candidates, "node").select("key").distinct(), "candidates")
+    texts = _some_texts(docs, keys)
     cells = materialise(texts.mapInArrow(_cells(width), "node long, n long, cells binary").dropDuplicates(["node"]), "cells")
 
-    links = materialise(_linked(_near(star_pairs, cells, percent), texts, width, percent), "linked")
-    found = components(links)
+    found = components(materialise(_linked(_near(star_pairs, cells, percent), texts, width, percent), "linked"))
     for n in range(STAR_ROUNDS):
         pairs = materialise(_near(_other_stars(_unresolved(stars, found), n), cells, percent), "pairs")
-        links, found = _extended(links, found, pairs, texts, width, percent)
+        found = _extended(found, pairs, texts, width, percent)
     pairs = materialise(_blocks(_unresolved(stars, found), cells).mapInArrow(_close_pairs(percent), "a long, b long").distinct(), "pairs")
-    links, found = _extended(links, found, pairs, texts, width, percent)
-
-    held = known.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = held.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    with_words = known.where("node IS NOT NULL").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    found = _extended(found, pairs, texts, width, percent)
+    return _named(known, found)
+
+
+def _named(known: DataFrame, found: DataFrame) -> DataFrame:
+    """The components' least ids brought back to the documents; one set's copies, or one component's sets, may be a third of all."""
+    held = known.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    rooted = materialise(held.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    total, sets = rooted.agg(F.sum("copies"), F.count(F.lit(1))).first()
+    named = join_groups(rooted.select("root", "node", "copies"), least, "root", "sets", sets)
+    named = materialise(named.select("node", "component_id", "copies"), "named")
+    with_words = join_groups(known.where("node IS NOT NULL"), named, "node", "copies", total or 0).select("doc_id", "n_shingles", "component_id")
     return with_words.unionByName(known.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _extended(links: DataFrame, found: DataFrame, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and components once those of stored ``pairs`` that are linked have been added."""
+def _extended(found: DataFrame, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Components once those of stored ``pairs`` that are linked have been added: on the graph of what was found, not on all links."""
     if pairs.isEmpty():
-        return links, found
+        return found
     more = materialise(_linked(pairs, texts, width, percent), "linked")
     if more.isEmpty():
-        return links, found
-    links = links.unionByName(more)
-    return links, components(links)
+        return found
+    root_of = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    ends = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    ends = materialise(ends.select("a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")), "merging")
+    up = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    alone = ends.select(F.col("a").alias("node"), F.col("x").alias("root")).unionByName(ends.select(F.col("b").alias("node"), F.col("y").alias("root")))
+    every = found.select("node", "root").unionByName(alone.where("node = root")).distinct()
+    # Few roots rise; Spark sends them to every executor where their stored bytes allow it.
+    return materialise(every.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "components")
 
 
 def _other_stars(rest: DataFrame, n: int) -> DataFrame:
@@ -422,4 +415,5 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     gone = similarity_classes(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
     gone = materialise(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    few = gone.count() * KEY_BYTES <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
