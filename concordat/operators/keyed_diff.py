@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from concordat.functions.digest import canonical_text, row_hash
 from concordat.functions.numbers import absolute_diff, relative_diff
 from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
+from concordat.operators import lookup
 from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
 from concordat.session import materialise
 
@@ -62,11 +63,6 @@ def _as_marks(keys: DataFrame, key: list[str], *more: str) -> DataFrame:
     return keys.selectExpr(*[f"{quoted(k)} AS __k{i}" for i, k in enumerate(key)], *more)
 
 
-def _lookup(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key is among ``keys``; the join is picked by the size of the keys as they turn out."""
-    return rows.join(_as_marks(keys, key), F.expr(_same_key(key)), "left_semi")
-
-
 def cell_diff(pair: Pair, key: list[str], changed: DataFrame) -> DataFrame:
     """(key..., column, source_value, target_value, n) for the keys in ``changed``.
 
@@ -75,7 +71,7 @@ def cell_diff(pair: Pair, key: list[str], changed: DataFrame) -> DataFrame:
     repeated key each unmatched value is listed on its own side with its count.
     """
     others = [c for c in pair.columns if c not in key]
-    rows = _lookup(pair.tagged(), changed, key)
+    rows = lookup.rows_of(pair.tagged(), changed, key)
     cells = [struct(__column=literal(c), __value=canonical_text(quoted(c), pair.dtype(c))) for c in others]
     keys = list(map(quoted, key))
     values = aggregate(
@@ -113,7 +109,7 @@ def cell_diff(pair: Pair, key: list[str], changed: DataFrame) -> DataFrame:
 def diff_sample(pair: Pair, key: list[str], diff: DataFrame, limit: int = 20) -> DataFrame:
     """The first ``limit`` differing keys in key order with their rows from both sides."""
     first = diff.orderBy(*map(quoted, key)).limit(limit)
-    return _lookup(pair.tagged(), first, key)
+    return lookup.rows_of(pair.tagged(), first, key)
 
 
 def key_differences(pair: Pair, key: list[str], columns: list[str]) -> DataFrame:

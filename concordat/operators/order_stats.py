@@ -1,9 +1,10 @@
 """Global order without a global sort: exact percentiles and pairing by rank.
 
 Values are cut into bins by bounds taken from a quantile sketch over both sides, so a bin
-holds about ``rows_per_bin`` rows whatever the distribution. A bin is a function of the
-value alone: a lost task recomputes to the same bin, and nothing has to be materialised
-for the bins to stay consistent. Within a bin equal values are first folded to
+holds about ``rows_per_bin`` rows whatever the distribution. Where that takes more than ``FAN`` bins, the bins are cut again by
+bounds from sketches of their own, level after level, until none holds more than twice ``rows_per_bin`` rows; a value that fills
+a bin alone ends it. Bounds are the only state: one number for ``rows_per_bin`` rows. A bin is a function of the
+value alone: a lost task recomputes to the same bin. Within a bin equal values are first folded to
 (value, count) before any shuffle, which is what keeps a value held by a third of all
 rows from becoming one large task; ranks are then a running sum of counts inside the bin
 plus the count of all lower bins.
@@ -21,12 +22,15 @@ from pyspark.sql import types as T
 
 from concordat.functions.numbers import absolute_diff, relative_diff
 from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
-from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair
+from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair, as_doubles
+from concordat.session import materialise
 
-# Bounds are driver state and plan text, so there is a most; beyond it bins grow, and a larger bin is sorted with spilling.
-MAX_BINS = 10_000
+# Bins of the first level, whose bounds are plan text, and at most so many parts of a bin on each level below it.
+FAN, SUB_FAN = 256, 64
+SUB_SKETCH = 1024
 SKETCH_GROUPS = 512
 RANKS_PER_BLOCK = 100_000
+EXACT_IN_DOUBLE = 2**53
 
 
 def percentile_name(p: float) -> str:
@@ -48,27 +52,46 @@ def _by_type(pair: Pair, columns: list[str]) -> list[list[str]]:
     return list(groups.values())
 
 
-def bin_bounds(pair: Pair, columns: list[str], n_bins: int) -> dict[str, list[float]]:
-    """At most ``n_bins - 1`` ascending finite bounds per column: small, fixed-size driver state.
+def _finite(c: str) -> str:
+    return f"CASE WHEN abs(CAST({c} AS double)) < double('infinity') THEN CAST({c} AS double) END"
+
+
+def _first_look(pair: Pair, columns: list[str], n_bins: int) -> tuple[dict[str, list[float]], dict[str, int]]:
+    """Bounds of ``n_bins`` bins of every column, and the largest absolute value of each bigint column, in one job.
 
     Sketches are merged in two steps, first those of the partitions that share one of ``SKETCH_GROUPS`` numbers, so
     the one task of the last step gets at most that many a column, however many partitions there are.
     """
-    if n_bins < 2:
-        return {c: [] for c in columns}
+    index = dict(enumerate(columns))
+    longs = [i for i, c in index.items() if isinstance(pair.dtype(c), T.LongType)]
+    cut = index if n_bins > 1 else {}
+    if not cut and not longs:
+        return {c: [] for c in columns}, {}
     accuracy = min(max(1024, 4 * n_bins), 65535)
-    finite = lambda c: f"CASE WHEN abs(CAST({c} AS double)) < double('infinity') THEN CAST({c} AS double) END"
-    values = [f"{finite(quoted(c))} AS v{i}" for i, c in enumerate(columns)]
+    values = [f"{_finite(quoted(c))} AS v{i}" for i, c in cut.items()] + [f"CAST({quoted(index[i])} AS decimal(20,0)) AS x{i}" for i in longs]
     rows = pair.tagged(*values, f"pmod(spark_partition_id(), {SKETCH_GROUPS}) AS part")
-    sketches = {f"b{i}": f"kll_sketch_agg_double(v{i}, {accuracy})" for i in range(len(columns))}
-    sketches |= {f"n{i}": f"count(v{i})" for i in range(len(columns))}
-    parts = aggregate(rows, ["part"], sketches)
-    merged = {f"b{i}": f"kll_merge_agg_double(CASE WHEN n{i} > 0 THEN b{i} END)" for i in range(len(columns))}
-    merged |= {f"n{i}": f"sum(n{i})" for i in range(len(columns))}
+    parts, merged = {}, {}
+    for i in cut:
+        parts |= {f"b{i}": f"kll_sketch_agg_double(v{i}, {accuracy})", f"n{i}": f"count(v{i})"}
+        merged |= {f"b{i}": f"kll_merge_agg_double(CASE WHEN n{i} > 0 THEN b{i} END)", f"n{i}": f"sum(n{i})"}
+    for i in longs:
+        parts[f"m{i}"] = f"max(abs(x{i}))"
+        merged[f"m{i}"] = f"max(m{i})"
     cuts = f"array({', '.join(f'{i / n_bins!r}D' for i in range(1, n_bins))})"
-    read = [f"CASE WHEN n{i} > 0 THEN kll_sketch_get_quantile_double(b{i}, {cuts}) END AS b{i}" for i in range(len(columns))]
-    row = aggregate(parts, [], merged).selectExpr(*read).first()
-    return {c: sorted(set(row[f"b{i}"] or [])) for i, c in enumerate(columns)}
+    read = [f"CASE WHEN n{i} > 0 THEN kll_sketch_get_quantile_double(b{i}, {cuts}) END AS b{i}" for i in cut]
+    row = aggregate(aggregate(rows, ["part"], parts), [], merged).selectExpr(*read, *[f"m{i}" for i in longs]).first()
+    return {c: sorted(set(row[f"b{i}"] or [])) if cut else [] for i, c in index.items()}, {index[i]: int(row[f"m{i}"] or 0) for i in longs}
+
+
+def bin_bounds(pair: Pair, columns: list[str], n_bins: int) -> dict[str, list[float]]:
+    """At most ``n_bins - 1`` ascending finite bounds per column: small, fixed-size driver state."""
+    return _first_look(pair, columns, n_bins)[0] if n_bins > 1 else {c: [] for c in columns}
+
+
+def _exact_in_doubles(pair: Pair, columns: list[str], largest: dict[str, int]) -> Pair:
+    """Integers that a double holds exactly join the doubles, for one pass instead of two."""
+    small = (T.ByteType, T.ShortType, T.IntegerType)
+    return as_doubles(pair, [c for c in columns if isinstance(pair.dtype(c), small) or largest.get(c, EXACT_IN_DOUBLE + 1) <= EXACT_IN_DOUBLE])
 
 
 def _long(pair: Pair, columns: list[str], bounds: dict[str, list[float]]) -> DataFrame:
@@ -118,12 +141,48 @@ def _ranked(runs: DataFrame) -> DataFrame:
     return runs.selectExpr("*", f"coalesce(sum(n) OVER ({within}), 0) AS lo")
 
 
-def _bounds_for(pair: Pair, columns: list[str], rows: int, rows_per_bin: int) -> dict[str, list[float]]:
-    return bin_bounds(pair, columns, min(MAX_BINS, -(-rows // rows_per_bin)))
+def _binned(pair: Pair, columns: list[str], rows: int, rows_per_bin: int, fan: int = 0) -> list[tuple[list[str], DataFrame]]:
+    """(columns, long rows with their bins) of each value type. ``fan`` is for tests."""
+    n, fan = -(-rows // rows_per_bin), fan or FAN
+    bounds, largest = _first_look(pair, columns, min(fan, n))
+    pair = _exact_in_doubles(pair, columns, largest)
+    out = []
+    for group in _by_type(pair, columns):
+        long = _long(pair, group, bounds)
+        # Up to one level the sketch's error bounds a bin by about twice its share; below that bins are counted.
+        out.append((group, _split_large(long, rows_per_bin, min(fan, SUB_FAN)) if n > fan else long))
+    return out
+
+
+def _split_large(long: DataFrame, limit: int, fan: int) -> DataFrame:
+    """Bins of more than twice ``limit`` rows with more than one value, cut again and again.
+
+    A level reads the rows of the bins in question once, for their counts and sketches; the bounds it finds are a small
+    stored table. Bin numbers grow by a factor of ``fan`` a level, so they keep the order of values.
+    """
+    suspects = None
+    double = "CAST(v AS double)"
+    steps = [k for k in (2, 4, 8, 16, 32, 64) if k < fan] + [fan]
+    while True:
+        rows = long if suspects is None else long.join(F.broadcast(suspects), ["c", "bin"], "left_semi")
+        aggs = {"n": "count(1)", "low": f"min({double})", "high": f"max({double})", "sketch": f"kll_sketch_agg_double({_finite('v')}, {SUB_SKETCH})", "finite": f"count({_finite('v')})"}
+        found = aggregate(rows, ["c", "bin"], aggs).where(f"n > {2 * limit} AND low < high AND finite > 0")
+        cuts = lambda k: f"kll_sketch_get_quantile_double(sketch, array({', '.join(f'{i / k!r}D' for i in range(1, k))}))"
+        whens = " ".join(f"WHEN n <= {k * limit} THEN {cuts(k)}" for k in steps[:-1])
+        # The largest value is no bound, or a bin of few values would stay as it is.
+        wanted = f"CASE {whens} ELSE {cuts(steps[-1])} END" if whens else cuts(steps[-1])
+        bounds = f"array_distinct(filter({wanted}, b -> b < high))"
+        split = materialise(found.selectExpr("c", "bin", f"CASE WHEN size({bounds}) > 0 THEN {bounds} ELSE array(low) END AS bounds"), "bin-bounds")
+        if split.isEmpty():
+            return long
+        below = f"coalesce(size(filter(bounds, b -> b < {double})), 0)"
+        shift = f"CAST(bin AS bigint) * {fan}"
+        long = long.join(F.broadcast(split), ["c", "bin"], "left").selectExpr(IS_SOURCE, "c", f"{shift} + {below} AS bin", "v")
+        suspects = split.selectExpr("c", f"explode(transform(sequence(0, size(bounds)), i -> {shift} + i)) AS bin")
 
 
 def column_percentiles(
-    pair: Pair, columns: list[str], percentiles: list[float], rows_per_bin: int = 1_000_000, rows: int | None = None
+    pair: Pair, columns: list[str], percentiles: list[float], rows_per_bin: int = 1_000_000, rows: int | None = None, fan: int = 0
 ) -> DataFrame:
     """Exact percentiles with linear interpolation: rows (is_source, column, stat, value).
 
@@ -136,9 +195,8 @@ def column_percentiles(
         return pair.source.sparkSession.createDataFrame([], empty)
     rows = count_rows(pair) if rows is None else rows
     parts = []
-    for group in _by_type(pair, columns):
-        found = _percentiles_from_bins(_long(pair, group, _bounds_for(pair, group, rows, rows_per_bin)), percentiles)
-        parts.append(found.selectExpr(IS_SOURCE, _name(group), "stat", "value"))
+    for group, long in _binned(pair, columns, rows, rows_per_bin, fan):
+        parts.append(_percentiles_from_bins(long, percentiles).selectExpr(IS_SOURCE, _name(group), "stat", "value"))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -184,6 +242,7 @@ def rank_differences(
     ranks_per_block: int = RANKS_PER_BLOCK,
     percentiles: list[float] | None = None,
     numbers: Numbers | None = None,
+    fan: int = 0,
 ) -> DataFrame:
     """Sort each side by value and compare the i-th with the i-th, for every column at once.
 
@@ -205,8 +264,8 @@ def rank_differences(
         return spark.createDataFrame([], ", ".join(fields))
     rows = count_rows(pair) if rows is None else rows
     parts = []
-    for group in _by_type(pair, columns):
-        runs = _runs(_long(pair, group, _bounds_for(pair, group, rows, rows_per_bin)))
+    for group, long in _binned(pair, columns, rows, rows_per_bin, fan):
+        runs = _runs(long)
         # Two rows per column and bin at most; the runs are shuffled once for both.
         ranked = _ranked(runs).join(_bin_starts(runs, "sum(n)").select(*BIN, "bin_start"), BIN)
         spots = {}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.config import BusinessRule
+from concordat.config import Rule
 from concordat.functions.numbers import as_number, summable, within_tolerance
 from concordat.functions.sql import aggregate, literal, quoted, struct, unpivot
 from concordat.operators.pairing import FROM_SOURCE, FROM_TARGET, IS_SOURCE, Pair, both_sides
@@ -77,10 +77,10 @@ class RuleOutcome:
     error: str | None = None
 
 
-def _as_aggregate(rule: BusinessRule, df: DataFrame) -> Column | DataFrame | Any:
-    if callable(rule.rule):
-        return rule.rule(df)
-    text = rule.rule.strip()
+def _as_aggregate(rule: Rule, df: DataFrame) -> Column | DataFrame | Any:
+    if callable(rule.measure):
+        return rule.measure(df)
+    text = rule.measure.strip()
     if "{table}" in text:
         return df.sparkSession.sql(text, table=df)
     return F.expr(text)
@@ -90,12 +90,14 @@ def _scalar(df: DataFrame, wanted: Column | DataFrame | Any) -> Any:
     if isinstance(wanted, Column):
         return df.agg(wanted.alias("value")).first()[0]
     if isinstance(wanted, DataFrame):
-        row = wanted.limit(1).collect()
-        return row[0][0] if row else None
+        rows = wanted.limit(2).collect()
+        if len(rows) > 1 or len(wanted.columns) != 1:
+            raise ValueError(f"a rule has to give one value, this one gives {'several rows' if len(rows) > 1 else wanted.columns}")
+        return rows[0][0] if rows else None
     return wanted
 
 
-def rule_values(df: DataFrame, rules: list[BusinessRule]) -> dict[str, Any]:
+def rule_values(df: DataFrame, rules: list[Rule]) -> dict[str, Any]:
     """Each rule's scalar, or the exception it raised.
 
     All rules that are aggregates run in one job; if that job fails, each is run on its own
@@ -126,7 +128,7 @@ def rule_values(df: DataFrame, rules: list[BusinessRule]) -> dict[str, Any]:
     return out
 
 
-def rule_outcomes(source: DataFrame, target: DataFrame, rules: list[BusinessRule]) -> list[RuleOutcome]:
+def rule_outcomes(source: DataFrame, target: DataFrame, rules: list[Rule]) -> list[RuleOutcome]:
     s, t = rule_values(source, rules), rule_values(target, rules)
     out = []
     for rule in rules:
@@ -137,13 +139,13 @@ def rule_outcomes(source: DataFrame, target: DataFrame, rules: list[BusinessRule
 
 
 
-def custom_rules(source: DataFrame, target: DataFrame, rules: list[BusinessRule]) -> DataFrame:
+def custom_rules(source: DataFrame, target: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, source_value, target_value, agrees) for rules given as SQL aggregates, lazily:
     one aggregate a side and no intermediate result on the driver."""
 
     def one(df: DataFrame, is_source: bool) -> DataFrame:
         row = df.agg(*[_as_aggregate(r, df).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-        cells = [struct(rule=literal(r.name), tol=f"{float(r.tolerance)!r}D", value=f"r{i}") for i, r in enumerate(rules)]
+        cells = [struct(rule=literal(r.name), tol=f"{float(r.margin)!r}D", value=f"r{i}") for i, r in enumerate(rules)]
         return unpivot(row, [f"{str(is_source).lower()} AS {IS_SOURCE}"], cells)
 
     both = both_sides(one(source, True).unionAll(one(target, False)), ["rule", "tol"], {"value": "value"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.config import BUSINESS, CompareConfig
+from concordat.config import BUSINESS, Comparison
 from concordat.functions.sql import quoted
 from concordat.functions.types import family
 from concordat.operators import order_stats, totals
@@ -15,8 +15,6 @@ from concordat.plans.jobs import Jobs
 from concordat.plans.report import Check, skipped, verdict
 from concordat.session import stored
 
-EXACT_IN_DOUBLE = 2**53
-
 
 def within(a, b, absolute: float, relative: float) -> bool:
     """``functions.numbers.within_tolerance`` for two collected values."""
@@ -29,18 +27,18 @@ def within(a, b, absolute: float, relative: float) -> bool:
     return x == y or abs(x - y) <= absolute or abs(x - y) / (abs(x) or 1.0) <= relative
 
 
-def _shared_aggregation_columns(pair: Pair, cfg: CompareConfig) -> tuple[list[str], list[str]]:
-    known = [c for c in cfg.aggregation_columns if c in pair.columns]
-    return known, [c for c in cfg.aggregation_columns if c not in pair.columns]
+def _shared_totals(pair: Pair, cfg: Comparison) -> tuple[list[str], list[str]]:
+    known = [c for c in cfg.totals.of if c in pair.columns]
+    return known, [c for c in cfg.totals.of if c not in pair.columns]
 
 
 def _ranking_pair(pair: Pair, facts: Facts) -> Pair:
     """Integers a double holds exactly join the doubles, for one pass instead of two."""
     integers = [c for c in pair.numeric_columns() if family(pair.dtype(c)) == "integer"]
-    return as_doubles(pair, [c for c in integers if facts.largest(c) <= EXACT_IN_DOUBLE])
+    return as_doubles(pair, [c for c in integers if facts.largest(c) <= order_stats.EXACT_IN_DOUBLE])
 
 
-def _ranks(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[dict]:
+def _ranks(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> list[dict]:
     """Differences by rank and percentiles of the columns whose digests do not agree."""
     _, same = jobs.alike(pair.numeric_columns())
     columns = [c for c in pair.numeric_columns() if c not in same]
@@ -49,28 +47,28 @@ def _ranks(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[dic
     found = order_stats.rank_differences(
         _ranking_pair(pair, facts),
         columns,
-        cfg.rows_per_bin,
+        cfg.statistics.rows_per_bin,
         max(facts.row_count(True), facts.row_count(False)),
-        percentiles=cfg.percentiles,
+        percentiles=cfg.statistics.quantiles,
         numbers={(side, c): facts.numbers(side, c) for side in (True, False) for c in columns},
     )
-    rows = order_stats.exceeds_tolerance(found, {c: cfg.tolerance_for(c) for c in columns}).collect()
+    rows = order_stats.exceeds_tolerance(found, {c: cfg.tolerances.limits(c) for c in columns}).collect()
     return [r.asDict() for r in rows]
 
 
-def _percentiles_of_same(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[dict]:
+def _percentiles_of_same(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> list[dict]:
     """The same rows for columns whose digests agree: there is no difference to look for, and
     the percentiles of one side, which take no shuffle of the values, are those of both."""
     _, same = jobs.alike(pair.numeric_columns())
     if not same:
         return []
     one_side, rows = source_only(_ranking_pair(pair, facts)), facts.row_count(True)
-    read = order_stats.column_percentiles(one_side, same, cfg.percentiles, cfg.rows_per_bin, rows).collect()
+    read = order_stats.column_percentiles(one_side, same, cfg.statistics.quantiles, cfg.statistics.rows_per_bin, rows).collect()
     stats = {(r["column"], r["stat"]): r["value"] for r in read}
     out = []
     for c in same:
-        values = [stats.get((c, order_stats.percentile_name(p))) for p in cfg.percentiles]
-        n, (absolute, relative) = facts.numbers(True, c), cfg.tolerance_for(c)
+        values = [stats.get((c, order_stats.percentile_name(p))) for p in cfg.statistics.quantiles]
+        n, (absolute, relative) = facts.numbers(True, c), cfg.tolerances.limits(c)
         out.append(
             {
                 "column": c,
@@ -94,9 +92,9 @@ def ranked(jobs: Jobs) -> tuple[list[dict], float]:
     return unlike + same, max(ms, ms_same)
 
 
-def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
-    by = cfg.group_by_columns
-    wrong = totals.group_consistency(pair, by, columns, cfg.default_abs_tolerance).where(~F.col("agrees"))
+def _groups(pair: Pair, cfg: Comparison, columns: list[str]) -> dict:
+    by = cfg.totals.within
+    wrong = totals.group_consistency(pair, by, columns, cfg.tolerances.others.absolute).where(~F.col("agrees"))
     with stored(wrong, "groups") as grouped:
         found = grouped.groupBy("column").agg(
             F.count(F.lit(1)).alias("n_groups"),
@@ -104,37 +102,37 @@ def _groups(pair: Pair, cfg: CompareConfig, columns: list[str]) -> dict:
             F.count_if(F.col("target_rows") == 0).alias("only_in_source"),
         )
         counts = {r["column"]: r.asDict() for r in found.collect()}
-        first = {c: grouped.where(F.col("column") == c).orderBy(*map(quoted, by)).limit(cfg.group_sample) for c in counts}
+        first = {c: grouped.where(F.col("column") == c).orderBy(*map(quoted, by)).limit(cfg.samples.groups) for c in counts}
         shown = {c: [r.asDict() for r in df.collect()] for c, df in first.items()}
     truncated = any(counts[c]["n_groups"] > len(shown[c]) for c in counts)
     return {"counts": counts, "shown": shown, "sample_truncated": truncated}
 
 
-def start(source: DataFrame, target: DataFrame, pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
+def start(source: DataFrame, target: DataFrame, pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> None:
     if pair.numeric_columns():
         jobs.start("ranks", _ranks, pair, cfg, facts, jobs)
         jobs.start("percentiles", _percentiles_of_same, pair, cfg, facts, jobs)
-    known, _ = _shared_aggregation_columns(pair, cfg)
-    if cfg.group_by_columns and known:
+    known, _ = _shared_totals(pair, cfg)
+    if cfg.totals.within and known:
         jobs.start("groups", _groups, pair, cfg, known)
-    if cfg.business_rules:
-        jobs.start("rules", totals.rule_outcomes, source, target, cfg.business_rules)
+    if cfg.rules:
+        jobs.start("rules", totals.rule_outcomes, source, target, cfg.rules)
 
 
-def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]:
+def run(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> list[Check]:
     return [_totals(pair, cfg, facts), _tolerance(pair, jobs), _group_sums(pair, cfg, jobs), *_rules(cfg, jobs)]
 
 
-def _totals(pair: Pair, cfg: CompareConfig, facts: Facts) -> Check:
+def _totals(pair: Pair, cfg: Comparison, facts: Facts) -> Check:
     name = "grand_total_aggregations"
-    if not cfg.aggregation_columns:
-        return skipped(BUSINESS, name, "no columns to total", "set aggregation_columns, e.g. ['revenue']")
-    known, unknown = _shared_aggregation_columns(pair, cfg)
+    if not cfg.totals.of:
+        return skipped(BUSINESS, name, "no columns to total", "set totals, e.g. Totals(['revenue'])")
+    known, unknown = _shared_totals(pair, cfg)
     issues: list[dict] = [{"column": c, "error": "no such column"} for c in unknown]
     for c in known:
         for fn in ("SUM", "COUNT", "AVG"):
             s, t = facts.total(True, c, fn), facts.total(False, c, fn)
-            if not within(s, t, cfg.default_abs_tolerance, cfg.default_rel_tolerance):
+            if not within(s, t, cfg.tolerances.others.absolute, cfg.tolerances.others.relative):
                 delta = None if s is None or t is None else s - t
                 issues.append({"column": c, "function": fn, "source": s, "target": t, "delta": delta})
     return verdict(
@@ -166,13 +164,13 @@ def _tolerance(pair: Pair, jobs: Jobs) -> Check:
     )
 
 
-def _group_sums(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> Check:
+def _group_sums(pair: Pair, cfg: Comparison, jobs: Jobs) -> Check:
     name = "group_by_consistency"
-    if not cfg.group_by_columns:
-        return skipped(BUSINESS, name, "no columns to group by", "set group_by_columns and aggregation_columns")
-    if not cfg.aggregation_columns:
-        return skipped(BUSINESS, name, "no columns to total per group", "set aggregation_columns too")
-    known, unknown = _shared_aggregation_columns(pair, cfg)
+    if not cfg.totals.within:
+        return skipped(BUSINESS, name, "no columns to group by", "set totals, e.g. Totals(['revenue'], ['region'])")
+    if not cfg.totals.of:
+        return skipped(BUSINESS, name, "no columns to total per group", "name the columns to add up in totals")
+    known, unknown = _shared_totals(pair, cfg)
     details: dict = {"ignored_columns": unknown}
     if not known:
         return verdict(BUSINESS, name, True, "none of the columns to total exists, nothing to compare", "", details)
@@ -183,23 +181,23 @@ def _group_sums(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> Check:
     details |= found
     n = sum(c["n_groups"] for c in found["counts"].values())
     return verdict(
-        BUSINESS, name, not n, f"group sums agree on {cfg.group_by_columns}", f"{n:,} group sum(s) disagree", details, ms
+        BUSINESS, name, not n, f"group sums agree on {cfg.totals.within}", f"{n:,} group sum(s) disagree", details, ms
     )
 
 
-def _rules(cfg: CompareConfig, jobs: Jobs) -> list[Check]:
-    if not cfg.business_rules:
-        return [skipped(BUSINESS, "custom_rules", "there are no custom rules", "add BusinessRule entries to business_rules")]
+def _rules(cfg: Comparison, jobs: Jobs) -> list[Check]:
+    if not cfg.rules:
+        return [skipped(BUSINESS, "custom_rules", "there are no custom rules", "add Rule entries to rules")]
     outcomes, ms = jobs.result("rules")
     checks = []
-    for rule, o in zip(cfg.business_rules, outcomes):
+    for rule, o in zip(cfg.rules, outcomes):
         if o.error is not None:
             checks.append(
                 verdict(BUSINESS, f"rule_{o.name}", False, "", f"rule '{o.name}' could not run: {o.error}", {"error": o.error})
             )
             continue
-        ok = within(o.source, o.target, rule.tolerance, rule.tolerance)
-        both = f"{cfg.source_label} {o.source}, {cfg.target_label} {o.target}"
+        ok = within(o.source, o.target, rule.margin, rule.margin)
+        both = f"{cfg.sides[0]} {o.source}, {cfg.sides[1]} {o.target}"
         checks.append(
             verdict(
                 BUSINESS,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from concordat.config import DATA_LEVEL, CompareConfig
-from concordat.operators import duplicates, fingerprint, keyed_diff
+from concordat.config import DATA_LEVEL, Comparison
+from concordat.operators import digest_tree, duplicates, fingerprint, keyed_diff
 from concordat.operators.pairing import IS_SOURCE, Pair, source_only
 from concordat.plans.facts import Facts
 from concordat.plans.jobs import Jobs
@@ -14,11 +14,11 @@ from concordat.session import stored
 NOT_RUN = ["full_dataset_hash", "column_level_hash", "duplicate_rows", "bucketed_checksum", "row_aligned_diff"]
 
 
-def usable_key(pair: Pair, cfg: CompareConfig) -> list[str]:
-    return cfg.primary_key if cfg.primary_key and set(cfg.primary_key) <= set(pair.columns) else []
+def usable_key(pair: Pair, cfg: Comparison) -> list[str]:
+    return cfg.key if cfg.key and set(cfg.key) <= set(pair.columns) else []
 
 
-def _digests(pair: Pair, cfg: CompareConfig) -> dict[str, dict]:
+def _digests(pair: Pair, cfg: Comparison) -> dict[str, dict]:
     partial = fingerprint.bucket_digests(pair, usable_key(pair, cfg), cfg.buckets)
     return fingerprint.roll_up(partial.collect(), pair.columns)
 
@@ -29,31 +29,33 @@ def _duplicates(pair: Pair, jobs: Jobs) -> dict[str, int]:
     return found | {"target_duplicates": found["source_duplicates"]} if same_rows else found
 
 
-def _diff(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> dict:
+def _diff(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> dict:
     if jobs.alike(pair.columns)[0]:
         return {"counts": {}, "sample": [], "truncated": False}
-    with stored(keyed_diff.row_diff(pair, cfg.primary_key), "row-diff") as diff:
+    rows = facts.row_count(True) + facts.row_count(False)
+    opened = digest_tree.drill_down(pair, cfg.key).pair if rows > digest_tree.FEW_ROWS else pair
+    with stored(keyed_diff.row_diff(opened, cfg.key), "row-diff") as diff:
         counts = {r["difference"]: r.asDict() for r in keyed_diff.diff_counts(diff).collect()}
-        sample, truncated = [], sum(r["n_keys"] for r in counts.values()) > cfg.diff_sample
+        sample, truncated = [], sum(r["n_keys"] for r in counts.values()) > cfg.samples.keys
         if counts:
             # A repeated key may bring any number of rows: the sample shows a bounded part, and says so.
-            found = keyed_diff.diff_sample(pair, cfg.primary_key, diff, cfg.diff_sample).orderBy(*cfg.primary_key, IS_SOURCE)
-            rows = found.limit(cfg.diff_sample_rows + 1).collect()
-            sample = [r.asDict() for r in rows[: cfg.diff_sample_rows]]
-            truncated |= len(rows) > cfg.diff_sample_rows
+            found = keyed_diff.diff_sample(pair, cfg.key, diff, cfg.samples.keys).orderBy(*cfg.key, IS_SOURCE)
+            rows = found.limit(cfg.samples.rows + 1).collect()
+            sample = [r.asDict() for r in rows[: cfg.samples.rows]]
+            truncated |= len(rows) > cfg.samples.rows
     return {"counts": counts, "sample": sample, "truncated": truncated}
 
 
-def start(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
+def start(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> None:
     if facts.row_count(True) != facts.row_count(False):
         return
     jobs.start("digests", _digests, pair, cfg)
     jobs.start("duplicates", _duplicates, pair, jobs)
     if usable_key(pair, cfg):
-        jobs.start("row_diff", _diff, pair, cfg, jobs)
+        jobs.start("row_diff", _diff, pair, cfg, facts, jobs)
 
 
-def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]:
+def run(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> list[Check]:
     s, t = facts.row_count(True), facts.row_count(False)
     checks = [
         verdict(
@@ -61,7 +63,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
             "row_count",
             s == t,
             f"{s:,} rows on both sides",
-            f"{cfg.source_label} has {s:,} rows, {cfg.target_label} has {t:,}: {abs(s - t):,} apart",
+            f"{cfg.sides[0]} has {s:,} rows, {cfg.sides[1]} has {t:,}: {abs(s - t):,} apart",
             {"source_rows": s, "target_rows": t, "delta": s - t} | ({} if s == t else {"not_run": NOT_RUN}),
             facts.duration_ms,
         )
@@ -101,8 +103,8 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
             "duplicate_rows",
             dup["source_duplicates"] == dup["target_duplicates"],
             f"{dup['source_duplicates']:,} repeated rows on both sides",
-            f"{dup['source_duplicates']:,} repeated rows in {cfg.source_label}, "
-            f"{dup['target_duplicates']:,} in {cfg.target_label}",
+            f"{dup['source_duplicates']:,} repeated rows in {cfg.sides[0]}, "
+            f"{dup['target_duplicates']:,} in {cfg.sides[1]}",
             dup,
             ms_dup,
         )
@@ -123,12 +125,12 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
     return checks
 
 
-def _row_aligned(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> Check:
+def _row_aligned(pair: Pair, cfg: Comparison, jobs: Jobs) -> Check:
     name = "row_aligned_diff"
-    if not cfg.primary_key:
-        return skipped(DATA_LEVEL, name, "rows cannot be matched without a key", "set primary_key, e.g. ['order_id']")
+    if not cfg.key:
+        return skipped(DATA_LEVEL, name, "rows cannot be matched without a key", "set key, e.g. ['order_id']")
     if not usable_key(pair, cfg):
-        absent = sorted(set(cfg.primary_key) - set(pair.columns))
+        absent = sorted(set(cfg.key) - set(pair.columns))
         return verdict(DATA_LEVEL, name, False, "", f"key columns not in the table: {absent}", {"missing_key_columns": absent})
     found, ms = jobs.result("row_diff")
     total = sum(r["n_keys"] for r in found["counts"].values())

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Row
 
-from concordat.config import CompareConfig
+from concordat.config import Comparison
 from concordat.operators.pairing import IS_SOURCE, Pair
 from concordat.operators.profile import side_profile
 
@@ -46,9 +46,9 @@ class Facts:
         return float(value) if value is not None else None if function == "AVG" else 0.0
 
 
-def gather(pair: Pair, cfg: CompareConfig) -> Facts:
+def gather(pair: Pair, cfg: Comparison) -> Facts:
     began = time.perf_counter()
-    coerced = [c for c in cfg.aggregation_columns if c in pair.columns]
+    coerced = [c for c in cfg.totals.of if c in pair.columns]
     collected = side_profile(pair, coerced).collect()
     return Facts(
         {(r[IS_SOURCE], r["column"]): r for r in collected},

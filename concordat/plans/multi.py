@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, replace
-from functools import reduce
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor, as_completed
+from contextvars import copy_context
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.config import PASSED, CompareConfig
+from concordat.config import PASSED, Comparison
 from concordat.plans.report import checks_frame, overall_status
+from concordat.plans.run_ledger import RunLedger, content_key
 from concordat.plans.validate import Report, failed_to_load, validate
-from concordat.sinks.reports import write_checks, write_headers
 from concordat.sources.paths import list_csv
 
 
@@ -33,6 +35,8 @@ def discover_pairs(spark: SparkSession, output_dir: str, expected_dir: str) -> l
 class MultiReport:
     reports: list[Report]
     checks: DataFrame
+    # Comparisons that an earlier, interrupted run had finished.
+    resumed: list[str] = field(default_factory=list)
 
     @property
     def success(self) -> bool:
@@ -40,33 +44,67 @@ class MultiReport:
         return bool(self.reports) and all(r.passed for r in self.reports)
 
 
+def _compare(spark: SparkSession, cfg: Comparison, name: str, output: Table, expected: Table) -> Report:
+    own = replace(cfg, name=name)
+    if output is None or expected is None:
+        side = "output" if output is None else "expected"
+        return failed_to_load(spark, own, f"missing_{side}", f"table '{name}' has no {side} table")
+    return validate(expected, output, own, spark)
+
+
+def _in_pools(spark: SparkSession, work: dict[str, Callable[[], Report]], at_once: int, finished: Callable[[str, Report], None]) -> dict[str, Report]:
+    """Run independent comparisons side by side, each in a scheduler pool of its own (under ``spark.scheduler.mode=FAIR`` they share
+    the cluster evenly); ``finished`` is called for each as it ends."""
+
+    def run(name: str, job: Callable[[], Report]) -> Report:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"compare-{name}")
+        try:
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    done: dict[str, Report] = {}
+    with ThreadPoolExecutor(max(1, at_once), thread_name_prefix="compare") as pool:
+        running = {pool.submit(copy_context().run, run, name, job): name for name, job in work.items()}
+        try:
+            for future in as_completed(running):
+                done[running[future]] = future.result()
+                finished(running[future], done[running[future]])
+        except BaseException:
+            for future in running:
+                future.cancel()
+            raise
+    return {name: done[name] for name in work}
+
+
 def compare_many(
     spark: SparkSession,
     pairs: Iterable[tuple[str, Table, Table]],
-    config: CompareConfig | None = None,
+    config: Comparison | None = None,
     report_path: str | None = None,
+    at_once: int = 4,
 ) -> MultiReport:
-    """Validate (name, output, expected) one after another; the expected table is the source.
+    """Validate (name, output, expected), ``at_once`` side by side; the expected table is the source.
 
-    A table that one side lacks is a failed comparison, with a row of its own.
+    A table that one side lacks is a failed comparison, with a row of its own. With ``report_path`` the rows of a comparison are written
+    as it ends, and a ledger beside them says which were. A run that is begun again under the ``run_id`` of one that broke off
+    takes the results of those whose inputs and settings are the same (``run_ledger.content_key``) and validates the others.
     """
-    cfg = config or CompareConfig()
-    cfg = replace(cfg, run_id=cfg.effective_run_id())
-
-    def compare(name: str, output: Table, expected: Table) -> Report:
-        own = replace(cfg, comparison=name)
-        if output is None or expected is None:
-            side = "output" if output is None else "expected"
-            return failed_to_load(spark, own, f"missing_{side}", f"table '{name}' has no {side} table")
-        return validate(expected, output, own, spark)
-
-    reports = [compare(*p) for p in pairs]
-    rows = [row for r in reports for row in r.rows()]
-    checks = checks_frame(spark, rows)
-    if report_path and rows:
-        write_checks(checks, report_path)
-        write_headers(spark, [r.header() for r in reports], report_path)
-    return MultiReport(reports, checks)
+    cfg = config or Comparison()
+    cfg = replace(cfg, run=cfg.run_name())
+    ledger = RunLedger(spark, report_path, cfg.run) if report_path else None
+    reports: dict[str, Report] = {}
+    work, keys, resumed = {}, {}, []
+    for name, output, expected in pairs:
+        keys[name] = content_key(spark, replace(cfg, name=name), output, expected) if ledger else None
+        reports[name] = ledger.finished(name, keys[name], cfg) if ledger else None
+        if reports[name] is not None:
+            resumed.append(name)
+        else:
+            work[name] = partial(_compare, spark, cfg, name, output, expected)
+    reports |= _in_pools(spark, work, at_once, lambda name, r: ledger.record(name, keys[name], r) if ledger else None)
+    rows = [row for r in reports.values() for row in r.rows()]
+    return MultiReport(list(reports.values()), checks_frame(spark, rows), resumed)
 
 
 PHASES = "phase string, ordinal int, success boolean"
@@ -114,13 +152,19 @@ def validate_two_phases(
     spark: SparkSession,
     outputs: dict[str, DataFrame],
     baselines: dict[str, dict[str, DataFrame]],
-    config: CompareConfig | None = None,
+    config: Comparison | None = None,
+    at_once: int = 4,
 ) -> TwoPhaseResult:
-    """Compare the outputs with each baseline in the order given."""
-    reports = {}
+    """Compare the outputs with each baseline, all comparisons side by side; the order of the baselines decides."""
+    work = {}
     for phase, expected in baselines.items():
-        cfg = replace(config or CompareConfig(), run_id=phase)
-        reports[phase] = compare_many(spark, pair_up(outputs, expected), cfg)
+        cfg = replace(config or Comparison(), run=phase)
+        work |= {(phase, name): partial(_compare, spark, cfg, name, o, e) for name, o, e in pair_up(outputs, expected)}
+    made = _in_pools(spark, work, at_once, lambda *_: None)
+    reports = {}
+    for phase in baselines:
+        own = [r for (p, _), r in made.items() if p == phase]
+        reports[phase] = MultiReport(own, checks_frame(spark, [row for r in own for row in r.rows()]))
     rows = [(phase, i, r.success) for i, (phase, r) in enumerate(reports.items(), 1)]
     v = two_phase_verdict(spark.createDataFrame(rows, PHASES)).first()
     return TwoPhaseResult(v["status"], v["winning_phase"], v["reported_phase"], reports)
@@ -133,8 +177,9 @@ def completeness(required: list[str], parts: dict[str, dict[str, DataFrame]], sp
     table must exist in every part and have rows there.
     """
     needed = spark.createDataFrame([(t, p) for p in parts for t in required], "table_name string, part string")
+    # One row is enough to know that a table is not empty.
     counts = [
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.lit(p).alias("part"), "n")
+        df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.lit(p).alias("part"), "n")
         for p, tables in parts.items()
         for t, df in tables.items()
     ]

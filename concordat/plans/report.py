@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.config import CHECKS_SCHEMA, FAILED, PASSED, SKIPPED, CompareConfig
+from concordat.config import CHECKS_SCHEMA, FAILED, PASSED, SKIPPED, Comparison
 
 
 @dataclass
@@ -31,12 +31,12 @@ def skipped(layer: str, name: str, message: str, to_enable: str) -> Check:
     return Check(layer, name, SKIPPED, message, skipped_reason=to_enable)
 
 
-def as_rows(checks: list[Check], cfg: CompareConfig, run_id: str) -> list[tuple]:
+def as_rows(checks: list[Check], cfg: Comparison, run_id: str) -> list[tuple]:
     """Checks in the order of ``CHECKS_SCHEMA``."""
     return [
         (
             run_id,
-            cfg.comparison,
+            cfg.name,
             c.layer,
             c.name,
             c.status,

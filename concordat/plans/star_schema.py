@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.config import BUSINESS, DATA_LEVEL, FAILED, PASSED, SKIPPED, STATISTICAL, STRUCTURAL, BusinessRule
-from concordat.config import ColumnTolerance, CompareConfig
+from concordat.config import BUSINESS, DATA_LEVEL, FAILED, PASSED, SKIPPED, STATISTICAL, STRUCTURAL
+from concordat.config import Comparison, Margin, Rule, Tolerances, Totals
 from concordat.functions.types import family
 from concordat.operators import cardinality as distinct
-from concordat.operators import duplicates, fingerprint, keyed_diff, normalise, order_stats, profile, structure, totals
+from concordat.operators import digest_tree, duplicates, fingerprint, keyed_diff, normalise, order_stats, profile, structure, totals
 from concordat.operators.pairing import IS_SOURCE, Pair, align
 from concordat.plans import multi, payment_status, report, steps
 from concordat.plans.validate import validate
@@ -28,7 +28,7 @@ from concordat.sources import csv_tables
 from concordat.sources.constraints import constraint_violations
 from concordat.sources.paths import list_csv
 from concordat.sources.reports import read_checks
-from concordat.sources.schema_files import load_schemas
+from concordat.sources.schema_files import comparison_hints, load_schemas
 
 PRICE = T.DecimalType(18, 2)
 RATE = T.DecimalType(6, 4)
@@ -237,6 +237,15 @@ def row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_diff.row_diff(orders_pair(spark, sf_dir), ["o_orderkey"])
 
 
+def digest_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few differences in many rows: the differing keys, and how many rows had to be shuffled to find them."""
+    o = priced(orders(spark, sf_dir))
+    few = o.withColumn("o_totalprice", F.when(nth("o_orderkey", 4999), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast(PRICE)).where(~nth("o_orderkey", 7919))
+    found = digest_tree.drill_down(align(o, few), ["o_orderkey"], fan=64, few_rows=0, kind="portable")
+    rows = keyed_diff.row_diff(found.pair, ["o_orderkey"])
+    return rows.withColumn("rows_shuffled", F.lit(found.levels[-1].rows).cast("long"))
+
+
 def row_diff_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_diff.row_diff(lineitem_pair(spark, sf_dir), ["l_orderkey", "l_linenumber"])
 
@@ -309,11 +318,11 @@ def group_consistency_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = [
-    BusinessRule("lowest_price", "min(o_totalprice)"),
-    BusinessRule("open_orders", "count_if(o_orderstatus = 'O')", tolerance=0.02),
-    BusinessRule("price_spread", "max(o_totalprice) - min(o_totalprice)", tolerance=1e-9),
-    BusinessRule("customers", lambda df: F.count_distinct("o_custkey"), tolerance=0.0),
-    BusinessRule("never_null", "sum(CASE WHEN o_orderkey IS NULL THEN 1 END)"),
+    Rule("lowest_price", "min(o_totalprice)"),
+    Rule("open_orders", "count_if(o_orderstatus = 'O')", margin=0.02),
+    Rule("price_spread", "max(o_totalprice) - min(o_totalprice)", margin=1e-9),
+    Rule("customers", lambda df: F.count_distinct("o_custkey"), margin=0.0),
+    Rule("never_null", "sum(CASE WHEN o_orderkey IS NULL THEN 1 END)"),
 ]
 
 
@@ -321,11 +330,11 @@ def custom_rules_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that are whole statements over ``{table}``, one of which cannot run."""
     o = orders(spark, sf_dir)
     rules = [
-        BusinessRule("late_orders", "SELECT count(*) FROM {table} WHERE o_orderdate >= timestamp_ntz '1997-01-01'"),
-        BusinessRule("dearest_open", "SELECT max(o_totalprice) FROM {table} WHERE o_orderstatus = 'O'", tolerance=0.5),
-        BusinessRule("no_such_column", "SELECT max(nowhere) FROM {table}"),
+        Rule("late_orders", "SELECT count(*) FROM {table} WHERE o_orderdate >= timestamp_ntz '1997-01-01'"),
+        Rule("dearest_open", "SELECT max(o_totalprice) FROM {table} WHERE o_orderstatus = 'O'", margin=0.5),
+        Rule("no_such_column", "SELECT max(nowhere) FROM {table}"),
     ]
-    cfg = CompareConfig(run_id="rules", business_rules=rules)
+    cfg = Comparison(run="rules", rules=rules, layers=[BUSINESS])
     dearer = F.when(nth("o_orderkey", 89), F.col("o_totalprice") * 3).otherwise(F.col("o_totalprice"))
     checks = validate(o, o.withColumn("o_totalprice", dearer), cfg).checks
     return checks.where("check_name LIKE 'rule_%'").select("check_name", "status")
@@ -337,10 +346,9 @@ def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = c.select(*reversed(c.columns))
     parts = []
     for run_id, target in (("same", c), ("turned", turned)):
-        checks = validate(c, target, CompareConfig(run_id=run_id, check_column_order=True)).checks
+        checks = validate(c, target, Comparison(run=run_id, ordered=True, layers=[STRUCTURAL])).checks
         parts.append(checks.where("check_name = 'column_order'").select("run_id", "status"))
-    rows = c.agg(F.count(F.lit(1)).alias("rows"))
-    return reduce(DataFrame.unionAll, parts).join(F.broadcast(rows))
+    return reduce(DataFrame.unionAll, parts).withColumn("rows", F.lit(c.count()).cast("long"))
 
 
 def typed_ingest_failfast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,7 +509,7 @@ def compare_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, p = (table(spark, sf_dir, t) for t in ("orders", "customer", "part"))
     outputs = {"equal": o, "changed": c.withColumn("c_acctbal", F.col("c_acctbal") + nth("c_custkey", 89).cast("int")), "surplus": p}
     expected = {"equal": o.repartition("o_custkey"), "changed": c, "absent": p}
-    found = multi.compare_many(spark, multi.pair_up(outputs, expected), CompareConfig(run_id="many"))
+    found = multi.compare_many(spark, multi.pair_up(outputs, expected), Comparison(run="many"))
     return report.overall_status(found.checks).select("comparison", "status")
 
 
@@ -519,13 +527,12 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four layers in one call: (layer, check_name, status) of every check."""
     o = orders(spark, sf_dir)
-    cfg = CompareConfig(
-        run_id="full",
-        primary_key=["o_orderkey"],
-        aggregation_columns=["o_totalprice"],
-        group_by_columns=["o_orderpriority"],
-        column_tolerances=[ColumnTolerance("o_totalprice", 0.5, 1e-3)],
-        business_rules=[BusinessRule("customers", "count(DISTINCT o_custkey)")],
+    cfg = Comparison(
+        run="full",
+        key=["o_orderkey"],
+        totals=Totals(["o_totalprice"], ["o_orderpriority"]),
+        tolerances=Tolerances({"o_totalprice": Margin(0.5, 1e-3)}),
+        rules=[Rule("customers", "count(DISTINCT o_custkey)")],
     )
     return validate(o, noisy_orders(o), cfg).checks.select("layer", "check_name", "status")
 
@@ -694,6 +701,34 @@ def multiline_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_tables.read_text_columns(spark, f"{root}/orders.csv", multiline=True)
 
 
+def schema_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a schema file tells a comparison, put to use: rows that differ under its key, with the family of each column."""
+    root = scratch_path(spark, "hints")
+    declared = [("o_orderkey", "BIGINT", "false", "true"), ("o_custkey", "BIGINT", "", ""), ("o_orderstatus", "CHAR(1)", "", ""), ("o_totalprice", "DOUBLE", "", "")]
+    _schema_file(spark, f"{root}/orders.csv", declared)
+    hints = comparison_hints(load_schemas(spark, root)["orders"])
+    o = orders(spark, sf_dir).select(*hints["column_types"])
+    changed = keyed_diff.row_diff(align(o, changed_orders(o)), hints["primary_key"])
+    families = ",".join(f"{c}={kind}" for c, kind in hints["column_types"].items())
+    return changed.groupBy("difference").agg(F.count(F.lit(1)).alias("n_keys")).withColumn("families", F.lit(families))
+
+
+def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons that cannot be carried out: a file that does not exist, one with surplus cells, a row that breaks a layer, a rule of two rows."""
+    data, _ = _ragged_customer(spark, sf_dir)
+    o = orders(spark, sf_dir)
+    breaks = F.when(F.col("o_orderkey") % 1000 == 999, F.raise_error(F.lit("broken row")).cast("string")).otherwise(F.col("o_orderpriority"))
+    missing, ragged = f"{scratch_path(spark, 'nowhere')}/a.csv", f"{data}/customer.csv"
+    cases = {
+        "missing": validate(missing, missing, Comparison(run="isolated"), spark),
+        "ragged": validate(ragged, ragged, Comparison(run="isolated"), spark),
+        "broken": validate(o, o.withColumn("o_orderpriority", breaks), Comparison(run="isolated")),
+        "rule": validate(o, o, Comparison(run="isolated", rules=[Rule("rows", "SELECT o_orderstatus FROM {table}")], layers=[BUSINESS])),
+    }
+    rows = [(case, r.overall_status, ",".join(sorted(c.name for c in r.check_rows if c.status == FAILED))) for case, r in cases.items()]
+    return spark.createDataFrame(rows, "case string, status string, failed string")
+
+
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declared key that is not unique and a required column with gaps."""
     declared = T.StructType(
@@ -830,6 +865,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fingerprint_match,
         duplicate_rows,
         row_diff,
+        digest_drilldown,
         row_diff_repeated_keys,
         cell_diff,
         grand_totals,
@@ -862,6 +898,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         typed_ingest_rejects,
         ragged_rejects,
         multiline_ingest,
+        schema_hints,
+        failure_isolation,
         constraint_report,
         inferred_ingest_profile,
         delimiter_detect,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concordat.config import STATISTICAL, CompareConfig
+from concordat.config import STATISTICAL, Comparison
 from concordat.operators import cardinality, order_stats
 from concordat.operators.pairing import Pair
 from concordat.operators.profile import MOMENTS
@@ -14,32 +14,32 @@ from concordat.plans.report import Check, skipped, verdict
 CONFIDENCE = 0.95
 
 
-def _cardinality(pair: Pair, cfg: CompareConfig, jobs: Jobs) -> list[dict]:
+def _cardinality(pair: Pair, cfg: Comparison, jobs: Jobs) -> list[dict]:
     """Columns whose digests agree have the same distinct count; only the others are counted."""
     _, same = jobs.alike(pair.columns)
     other = pair.subset([c for c in pair.columns if c not in same])
     if not other.columns:
         return []
-    return [r.asDict() for r in cardinality.cardinality(other, cfg.stat_tolerance, cfg.cardinality_rsd).collect()]
+    return [r.asDict() for r in cardinality.cardinality(other, cfg.statistics.drift, cfg.statistics.distinct_error).collect()]
 
 
-def _percentiles(cfg: CompareConfig, found: list[dict]) -> dict:
+def _percentiles(cfg: Comparison, found: list[dict]) -> dict:
     """(is_source, column, stat) -> value, from the rows of the ranking jobs."""
     out = {}
     for r in found:
         for side, key in ((True, "source_percentiles"), (False, "target_percentiles")):
-            for p, value in zip(cfg.percentiles, r.get(key) or []):
+            for p, value in zip(cfg.statistics.quantiles, r.get(key) or []):
                 out[(side, r["column"], order_stats.percentile_name(p))] = value
     return out
 
 
-def start(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> None:
+def start(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> None:
     if not pair.numeric_columns():
         return
     jobs.start("cardinality", _cardinality, pair, cfg, jobs)
 
 
-def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]:
+def run(pair: Pair, cfg: Comparison, facts: Facts, jobs: Jobs) -> list[Check]:
     numeric = pair.numeric_columns()
     if not numeric:
         return [
@@ -50,7 +50,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
     found, ms = ranked(jobs)
     percentiles = _percentiles(cfg, found)
     profiles, issues, stats = {}, [], 0
-    names = [order_stats.percentile_name(p) for p in cfg.percentiles]
+    names = [order_stats.percentile_name(p) for p in cfg.statistics.quantiles]
     for c in numeric:
         sides = []
         for side in (True, False):
@@ -63,7 +63,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
             if s is None or t is None:
                 continue
             rel = abs(s - t) / (abs(s) or 1.0)
-            if rel > cfg.stat_tolerance:
+            if rel > cfg.statistics.drift:
                 own.append({"column": c, "stat": stat, "source": s, "target": t, "relative_diff": round(rel, 6)})
         counted = [
             {"non_null": facts.row_count(side) - facts.nulls(side, c), "null_ratio": round(facts.null_ratio(side, c), 6)}
@@ -80,7 +80,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
             f"profiles agree in {len(numeric)} numeric column(s)",
             f"{len(issues)} statistic(s) deviate",
             {
-                "tolerance": cfg.stat_tolerance,
+                "tolerance": cfg.statistics.drift,
                 "columns_checked": numeric,
                 "column_profiles": profiles,
                 "issues": issues,
@@ -91,7 +91,7 @@ def run(pair: Pair, cfg: CompareConfig, facts: Facts, jobs: Jobs) -> list[Check]
     ratios = []
     for c in pair.columns:
         s, t = facts.null_ratio(True, c), facts.null_ratio(False, c)
-        if abs(s - t) > cfg.stat_tolerance:
+        if abs(s - t) > cfg.statistics.drift:
             ratios.append(
                 {"column": c, "source_null_ratio": round(s, 6), "target_null_ratio": round(t, 6), "delta": round(abs(s - t), 6)}
             )

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from concordat.config import STRUCTURAL, CompareConfig
+from concordat.config import STRUCTURAL, Comparison
 from concordat.functions.types import family
 from concordat.plans.facts import Facts
 from concordat.plans.report import Check, verdict
 
 
-def run(source: DataFrame, target: DataFrame, cfg: CompareConfig, facts: Callable[[], Facts]) -> list[Check]:
+def run(source: DataFrame, target: DataFrame, cfg: Comparison, facts: Callable[[], Facts]) -> list[Check]:
     """``facts`` is called, and its job run, only if the column names agree."""
     s, t = source.columns, target.columns
     checks = [
@@ -21,7 +21,7 @@ def run(source: DataFrame, target: DataFrame, cfg: CompareConfig, facts: Callabl
             "column_count",
             len(s) == len(t),
             f"{len(s)} columns on both sides",
-            f"{cfg.source_label} has {len(s)} columns, {cfg.target_label} has {len(t)}",
+            f"{cfg.sides[0]} has {len(s)} columns, {cfg.sides[1]} has {len(t)}",
             {"source_count": len(s), "target_count": len(t)},
         )
     ]
@@ -32,7 +32,7 @@ def run(source: DataFrame, target: DataFrame, cfg: CompareConfig, facts: Callabl
             "column_names",
             not missing and not extra,
             "same column names on both sides",
-            f"{cfg.target_label} lacks {missing} and adds {extra}",
+            f"{cfg.sides[1]} lacks {missing} and adds {extra}",
             {"missing_in_target": missing, "extra_in_target": extra},
         )
     )
@@ -72,7 +72,7 @@ def run(source: DataFrame, target: DataFrame, cfg: CompareConfig, facts: Callabl
             known.duration_ms,
         )
     )
-    if cfg.check_column_order:
+    if cfg.ordered:
         checks.append(
             verdict(
                 STRUCTURAL,

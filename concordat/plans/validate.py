@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.config import BUSINESS, DATA_LEVEL, FAILED, LOAD, PASSED, SKIPPED, STATISTICAL, STRUCTURAL, CompareConfig
+from concordat.config import BUSINESS, DATA_LEVEL, FAILED, LOAD, PASSED, SKIPPED, STATISTICAL, STRUCTURAL, Comparison
 from concordat.functions.sql import quoted
 from concordat.operators import keyed_diff, totals
 from concordat.operators.normalise import normalise_pair
@@ -29,7 +29,7 @@ from concordat.sources.csv_tables import detect_delimiter, read_inferred, read_t
 @dataclass
 class Report:
     spark: SparkSession
-    config: CompareConfig
+    config: Comparison
     run_id: str
     layers: dict[str, list[Check]]
     duration_ms: float = 0.0
@@ -85,24 +85,24 @@ class Report:
 
     def row_diff(self) -> DataFrame:
         """Every differing key, complete and lazy (the check itself shows a sample)."""
-        return keyed_diff.row_diff(self._compared(), self.config.primary_key)
+        return keyed_diff.row_diff(self._compared(), self.config.key)
 
     def group_differences(self) -> DataFrame:
         """Every group whose sums differ, complete and lazy (the check itself shows a sample)."""
         pair, cfg = self._compared(), self.config
-        known = [c for c in cfg.aggregation_columns if c in pair.columns]
-        return totals.group_consistency(pair, cfg.group_by_columns, known, cfg.default_abs_tolerance).where("NOT agrees")
+        known = [c for c in cfg.totals.of if c in pair.columns]
+        return totals.group_consistency(pair, cfg.totals.within, known, cfg.tolerances.others.absolute).where("NOT agrees")
 
     def cell_diff(self) -> DataFrame:
         """Every differing cell under the keys both sides have, complete and lazy."""
-        key = self.config.primary_key
+        key = self.config.key
         changed = self.row_diff().where(f"difference = '{keyed_diff.CHANGED}'").select(*map(quoted, key))
         return keyed_diff.cell_diff(self._compared(), key, changed)
 
     def header(self) -> tuple:
         """What a reader of the saved checks has to know, in the order of ``sinks.reports.HEADER``."""
         cfg = self.config
-        return (self.run_id, cfg.comparison, cfg.source_label, cfg.target_label, self.started_at, float(self.duration_ms),
+        return (self.run_id, cfg.name, cfg.sides[0], cfg.sides[1], self.started_at, float(self.duration_ms),
                 self.overall_status, self.load_error, json.dumps(self.summary))
 
     def save(self, path: str) -> None:
@@ -141,11 +141,11 @@ def _brought_together(source: DataFrame, target: DataFrame) -> tuple[DataFrame,
     return both.source, both.target, check
 
 
-def failed_to_load(spark: SparkSession, cfg: CompareConfig, name: str, message: str, details: dict | None = None) -> Report:
+def failed_to_load(spark: SparkSession, cfg: Comparison, name: str, message: str, details: dict | None = None) -> Report:
     """The report of a comparison that could not begin."""
-    run_id = cfg.effective_run_id()
+    run_id = cfg.run_name()
     layers = {LOAD: [Check(LOAD, name, FAILED, message, details or {})]}
-    return Report(spark, replace(cfg, run_id=run_id), run_id, layers, load_error=message)
+    return Report(spark, replace(cfg, run=run_id), run_id, layers, load_error=message)
 
 
 def _isolated(layer: str, work: Callable[[], list[Check]]) -> list[Check]:
@@ -167,7 +167,7 @@ def _isolated(layer: str, work: Callable[[], list[Check]]) -> list[Check]:
 def validate(
     source: DataFrame | str,
     target: DataFrame | str,
-    config: CompareConfig | None = None,
+    config: Comparison | None = None,
     spark: SparkSession | None = None,
     materialised: bool = False,
 ) -> Report:
@@ -178,10 +178,10 @@ def validate(
     inputs whose own plan is expensive: about seven scans follow.
     """
     began = time.perf_counter()
-    cfg = config or CompareConfig()
-    run_id = cfg.effective_run_id()
+    cfg = config or Comparison()
+    run_id = cfg.run_name()
     spark = spark or (source.sparkSession if isinstance(source, DataFrame) else SparkSession.getActiveSession())
-    report = Report(spark, replace(cfg, run_id=run_id), run_id, {})
+    report = Report(spark, replace(cfg, run=run_id), run_id, {})
     try:
         by_path = isinstance(source, str) or isinstance(target, str)
         source, target = (load_text(spark, x) if isinstance(x, str) else x for x in (source, target))
@@ -203,15 +203,22 @@ def validate(
         return known[0]
 
     report.layers[STRUCTURAL] = _isolated(STRUCTURAL, lambda: structural.run(source, target, cfg, facts))
-    if report.layer_status(STRUCTURAL) == PASSED:
+    gate = report.layer_status(STRUCTURAL)
+    if gate == PASSED and not cfg.wants(STRUCTURAL):
+        del report.layers[STRUCTURAL]
+    if gate == PASSED:
         pair = report.pair
         with Jobs(at_once=8) as jobs:
             # The digests go first: most other jobs wait for what they settle.
-            data_level.start(pair, cfg, known[0], jobs)
-            business.start(source, target, pair, cfg, known[0], jobs)
-            statistics.start(pair, cfg, known[0], jobs)
-            report.layers[DATA_LEVEL] = _isolated(DATA_LEVEL, lambda: data_level.run(pair, cfg, known[0], jobs))
-            report.layers[BUSINESS] = _isolated(BUSINESS, lambda: business.run(pair, cfg, known[0], jobs))
-            report.layers[STATISTICAL] = _isolated(STATISTICAL, lambda: statistics.run(pair, cfg, known[0], jobs))
+            if cfg.wants(DATA_LEVEL):
+                data_level.start(pair, cfg, known[0], jobs)
+            if cfg.wants(BUSINESS) or cfg.wants(STATISTICAL):
+                # One ranking of the values serves both layers.
+                business.start(source, target, pair, cfg, known[0], jobs)
+            if cfg.wants(STATISTICAL):
+                statistics.start(pair, cfg, known[0], jobs)
+            for layer, plan in ((DATA_LEVEL, data_level), (BUSINESS, business), (STATISTICAL, statistics)):
+                if cfg.wants(layer):
+                    report.layers[layer] = _isolated(layer, lambda plan=plan: plan.run(pair, cfg, known[0], jobs))
     report.duration_ms = (time.perf_counter() - began) * 1000
     return report

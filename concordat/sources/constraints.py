@@ -31,7 +31,9 @@ def constraint_violations(df: DataFrame, schema: T.StructType) -> DataFrame:
         gaps = null_violations(df, required)
         parts.append(gaps.selectExpr("'not_null' AS constraint", "`column`", "CAST(NULL AS string) AS key", "n_rows"))
     if key:
-        shown = ", ".join(f"coalesce(CAST({quoted(k)} AS string), 'null')" for k in key)
+        # A mark or backslash inside a value is escaped, so no two keys are shown alike; a null is \N.
+        text = lambda k: f"replace(replace(CAST({quoted(k)} AS string), {literal(chr(92))}, {literal(chr(92) * 2)}), '|', {literal(chr(92) + '|')})"
+        shown = ", ".join(f"coalesce({text(k)}, {literal(chr(92) + 'N')})" for k in key)
         parts.append(
             key_violations(df, key).selectExpr(
                 "'primary_key' AS constraint", f"{literal(','.join(key))} AS `column`", f"concat_ws('|', {shown}) AS key", "n_rows"

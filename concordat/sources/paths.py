@@ -49,6 +49,22 @@ def children(spark: SparkSession, directory: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def files_below(spark: SparkSession, paths: list[str]) -> list[list]:
+    """[name, bytes, time of change] of every file under the paths, sorted; hidden ones and markers left out."""
+    out = []
+    for path in paths:
+        fs, p = _file_system(spark, path)
+        if not fs.exists(p):
+            out.append([path, -1, -1])
+            continue
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            s = found.next()
+            if not s.getPath().getName().startswith((".", "_")):
+                out.append([s.getPath().toString(), s.getLen(), s.getModificationTime()])
+    return sorted(out)
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small file that appears whole: written under another name and renamed over an earlier one."""
     fs, p = _file_system(spark, path)

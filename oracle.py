@@ -682,6 +682,24 @@ FROM orders, (VALUES ('failed', 0), ('replaced', 1), ('from_itself', 2)) AS s(st
 WHERE (n < 1 OR o_orderkey % 97 <> 0) AND (n < 2 OR o_orderkey % 89 <> 0)
 GROUP BY state, o_orderstatus"""
 
+SCHEMA_HINTS = """
+SELECT difference, count(*) AS n_keys, 'o_orderkey=integer,o_custkey=integer,o_orderstatus=string,o_totalprice=float' AS families
+FROM (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'missing_in_target' ELSE 'changed' END AS difference
+      FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 OR o_orderkey % 83 = 0)
+GROUP BY difference"""
+
+ISOLATION = """
+SELECT * FROM (VALUES ('missing', 'FAILED', 'load_error'), ('ragged', 'FAILED', 'load_error'), ('broken', 'FAILED', 'layer_execution_error'), ('rule', 'FAILED', 'rule_rows')) AS t("case", status, failed)"""
+
+DRILLDOWN = """
+WITH h AS (SELECT *, ('0x' || substr(md5(md5('v' || o_orderkey)), 1, 15))::BIGINT % 64 AS top, ('0x' || substr(md5(md5('v' || o_orderkey)), 1, 15))::BIGINT % 4096 AS node FROM orders),
+d AS (SELECT o_orderkey, top, node, 1::BIGINT AS source_rows, CASE WHEN o_orderkey % 7919 = 0 THEN 0 ELSE 1 END::BIGINT AS target_rows,
+             CASE WHEN o_orderkey % 7919 = 0 THEN 'missing_in_target' ELSE 'changed' END AS difference FROM h WHERE o_orderkey % 4999 = 0 OR o_orderkey % 7919 = 0),
+crowded AS (SELECT count(DISTINCT top) > 32 AS c FROM d),
+moved AS (SELECT sum(CASE WHEN o_orderkey % 7919 = 0 THEN 1 ELSE 2 END)::BIGINT AS n FROM h, crowded
+          WHERE CASE WHEN c THEN top IN (SELECT top FROM d) ELSE node IN (SELECT node FROM d) END)
+SELECT o_orderkey, source_rows, target_rows, difference, n AS rows_shuffled FROM d, moved"""
+
 ORACLE: dict[str, str] = {
     "payment_status_job": payment("ORDER BY o_orderkey LIMIT 50"),
     "payment_status_full": payment(""),
@@ -693,6 +711,7 @@ ORACLE: dict[str, str] = {
     "fingerprint_match": fingerprint_match(),
     "duplicate_rows": DUPLICATES,
     "row_diff": ROW_DIFF,
+    "digest_drilldown": DRILLDOWN,
     "row_diff_repeated_keys": ROW_DIFF_REPEATED,
     "cell_diff": cell_diff(),
     "grand_totals": grand_totals(),
@@ -726,6 +745,8 @@ ORACLE: dict[str, str] = {
     "typed_ingest_rejects": TYPED_REJECTS,
     "ragged_rejects": RAGGED,
     "multiline_ingest": MULTILINE,
+    "schema_hints": SCHEMA_HINTS,
+    "failure_isolation": ISOLATION,
     "constraint_report": CONSTRAINTS,
     "inferred_ingest_profile": inferred_profile(),
     "delimiter_detect": delimiters(),

@@ -255,6 +255,15 @@ def test_composite_key(spark):
     assert [tuple(r) for r in constraint_violations(df, schema).collect()] == [("primary_key", "a,b", "1|2", 2)]
 
 
+def test_keys_are_not_mixed_up(spark):
+    key = {"primary_key": True}
+    schema = T.StructType([T.StructField("a", T.StringType(), True, key), T.StructField("b", T.StringType(), True, key)])
+    rows = [("x|y", "z"), ("x", "y|z"), ("null", "n"), (None, "n"), ("\\N", "n"), ("x\\", "y|z")] * 2
+    found = constraint_violations(spark.createDataFrame(rows, "a string, b string"), schema).where("`constraint` = 'primary_key'")
+    keys = [r["key"] for r in found.collect()]
+    assert len(keys) == len(set(keys)) == 6 and "x\\|y|z" in keys and "\\N|n" in keys
+
+
 # --- undeclared loading -----------------------------------------------------------------
 
 

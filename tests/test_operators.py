@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from concordat.functions.names import normalise_name, normalise_names, unique_names
-from concordat.operators import cardinality, duplicates, fingerprint, keyed_diff, order_stats, profile, totals
+from concordat.operators import cardinality, digest_tree, duplicates, fingerprint, keyed_diff, lookup, order_stats, profile, totals
 from concordat.operators.pairing import IS_SOURCE, align
 
 
@@ -198,11 +201,79 @@ def test_infinities_equal_themselves(spark, rows_per_bin):
     assert {(r["stat"], r["value"]) for r in found} == {("p0", -inf), ("p50", 1.5), ("p100", inf)}
 
 
+def skewed_values(seed: int, n: int) -> list[tuple]:
+    rng = random.Random(seed)
+    inf = float("inf")
+    value = lambda: rng.choice([7.0, 7.0, rng.gauss(0, 1), rng.gauss(0, 1) * 1e9, 1 + rng.random() * 1e-9, inf, -inf, None])
+    return [(value(), rng.choice([5, rng.randint(-9, 9), 2**53 + rng.randint(0, 50)])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("fan, rows_per_bin", [(2, 3), (4, 10), (3, 40), (0, 7)])
+def test_bins_of_any_depth_give_the_same(spark, fan, rows_per_bin):
+    """Clumps at all scales, one value in a quarter of the rows, integers that a double cannot tell apart."""
+    a, b = skewed_values(1, 1500), skewed_values(2, 1500)
+    pair = pair_of(spark, a, b, "v double, w bigint")
+    sort = lambda rows: sorted(map(str, rows))
+    plain = order_stats.rank_differences(pair, ["v", "w"], 10**6).collect()
+    assert sort(order_stats.rank_differences(pair, ["v", "w"], rows_per_bin, fan=fan, ranks_per_block=50).collect()) == sort(plain)
+    wanted = order_stats.column_percentiles(pair, ["v", "w"], [0.0, 0.1, 0.5, 0.77, 1.0], 10**6).collect()
+    assert sort(order_stats.column_percentiles(pair, ["v", "w"], [0.0, 0.1, 0.5, 0.77, 1.0], rows_per_bin, fan=fan).collect()) == sort(wanted)
+    for (group, long) in order_stats._binned(pair, ["v", "w"], 1500, rows_per_bin, fan or 4):
+        for r in long.groupBy("c", "bin").agg({"*": "count", "v": "max", order_stats.IS_SOURCE: "max"}).collect():
+            held = long.where(f"c = {r['c']} AND bin = {r['bin']}").selectExpr("CAST(v AS double) AS d").distinct().count() if r["count(1)"] > 2 * rows_per_bin else 1
+            assert held == 1, (group, r)
+    # Bins are in the order of their values.
+    (_, long) = order_stats._binned(pair, ["v"], 1500, rows_per_bin, fan or 4)[0]
+    ends = long.groupBy("bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("bin").collect()
+    assert all(x["hi"] < y["lo"] for x, y in zip(ends, ends[1:])) and len(ends) > 4
+
+
 def test_sketches_do_not_meet_in_one_task(spark):
     pair = pair_of(spark, [(float(i),) for i in range(50)], [(float(i),) for i in range(50)], "v double")
     assert order_stats.bin_bounds(pair, ["v"], 4)["v"] == sorted(set(order_stats.bin_bounds(pair, ["v"], 4)["v"]))
 
 
+@pytest.mark.parametrize("kind", ["fast", "portable"])
+def test_drill_down_finds_all_and_moves_little(spark, kind):
+    rows = [(i, f"v{i % 50}") for i in range(3000)] + [(None, "x"), (None, "y")]
+    target = [(i, v if i not in (17, 1800) else "other") for i, v in rows if i != 2500] + [(9999, "new"), (None, "z")]
+    pair = pair_of(spark, rows, target, "k int, v string")
+    for fan, levels in ((16, 3), (64, 2), (2, 1)):
+        found = digest_tree.drill_down(pair, ["k"], fan, few_rows=0, kind=kind, levels=levels)
+        got = keyed_diff.row_diff(found.pair, ["k"])
+        assert got.exceptAll(keyed_diff.row_diff(pair, ["k"])).isEmpty() and {r["k"] for r in got.collect()} == {17, 1800, 2500, 9999, None}
+        assert found.levels[-1].rows == found.pair.tagged().count()
+    deep = digest_tree.drill_down(pair, ["k"], 64, few_rows=0, kind=kind).levels
+    assert [x.nodes for x in deep] == [64, 4096] and deep[1].rows < 40 < deep[0].rows
+    # Few rows, or differences everywhere, end it at the first level; equal tables leave nothing.
+    assert len(digest_tree.drill_down(pair, ["k"], 64, few_rows=10**6, kind=kind).levels) == 1
+    other = pair_of(spark, rows, [(k, "w") for k, _ in rows], "k int, v string")
+    assert len(digest_tree.drill_down(other, ["k"], 16, few_rows=0, kind=kind).levels) == 1
+    same = digest_tree.drill_down(pair_of(spark, rows, rows[::-1], "k int, v string"), ["k"], 16, kind=kind)
+    assert same.levels[0].unequal == 0 and same.pair.tagged().count() == 0
+
+
+def test_rows_of_heavy_keys(spark):
+    """A third of the rows under one key, a third under null; every way of joining gives the same rows."""
+    rows = [(7, i) for i in range(4000)] + [(None, i) for i in range(4000)] + [(100 + i, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(4)
+    keys = spark.createDataFrame([(7,), (None,), *((100 + i,) for i in range(0, 4000, 3)), (5,)], "k int")
+    want = Counter(r for r in rows if r[0] in (7, None) or (r[0] - 100) % 3 == 0)
+    assert len(lookup.heavy_hashes(df, ["k"])) == 2
+    for most in (1 << 20, 0):
+        got = lookup.rows_of(df, keys, ["k"], most_bytes=most)
+        assert Counter(map(tuple, got.collect())) == want and got.columns == ["k", "v"]
+    assert lookup.rows_of(df, keys.limit(0), ["k"]).isEmpty()
+    # What is shuffled has no heavy key: no task holds over ten times the median.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = lookup.rows_of(df, keys, ["k"], most_bytes=0)
+        shuffled = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" in shuffled and shuffled.count("BroadcastExchange") >= 3
+
+
 def test_binary_values_are_told_apart(spark):
     pair = pair_of(spark, [(1, bytearray(b"\xff"))], [(1, bytearray(b"\xfe"))], "k int, b binary")
     (cell,) = keyed_diff.cell_diff(pair, ["k"], keyed_diff.row_diff(pair, ["k"]).select("k")).collect()

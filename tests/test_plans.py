@@ -6,7 +6,7 @@ import csv
 
 import pytest
 
-from concordat import CompareConfig
+from concordat import Comparison, Totals
 from concordat.operators import cardinality, keyed_diff, order_stats, profile
 from concordat.operators.pairing import align
 from concordat.plans import multi, payment_status, star_schema, steps
@@ -17,6 +17,7 @@ from concordat.sinks import staging
 from concordat.sinks import tables as sinks
 from concordat.sinks.reports import ERROR_SCHEMA, header_path
 from concordat.sources import csv_tables
+from concordat.sources.reports import read_checks
 
 
 def write(path, text):
@@ -189,13 +190,60 @@ def test_compare_many(spark, tmp_path):
     a = spark.createDataFrame([(1, 2.0)], "k int, v double")
     b = spark.createDataFrame([(1, 3.0)], "k int, v double")
     path = str(tmp_path / "reports")
-    both = multi.compare_many(spark, [("same", a, a), ("other", b, a)], CompareConfig(run_id="m"), path)
+    both = multi.compare_many(spark, [("same", a, a), ("other", b, a)], Comparison(run="m"), path)
     assert not both.success and [r.passed for r in both.reports] == [True, False]
     assert {(r["run_id"], r["comparison"]) for r in spark.read.json(path).select("run_id", "comparison").collect()} == {("m", "same"), ("m", "other")}
     assert multi.compare_many(spark, [("same", a, a)]).success
     assert not multi.compare_many(spark, []).success
 
 
+def test_a_run_that_broke_off_goes_on(spark, tmp_path, monkeypatch):
+    """Killed after two of four; begun again it validates the other two, and a third time none but what changed."""
+    pairs = []
+    for i in range(4):
+        a = write(tmp_path / "out" / f"t{i}.csv", "k,v\n" + "".join(f"{j},{j + i}\n" for j in range(30)))
+        b = write(tmp_path / "want" / f"t{i}.csv", "k,v\n" + "".join(f"{j},{j + i + (i == 1)}\n" for j in range(30)))
+        pairs.append((f"t{i}", a, b))
+    path, cfg, seen = str(tmp_path / "checks"), Comparison(run="r1"), []
+    plain = multi.validate
+
+    def counted(source, target, config, session):
+        if len(seen) == 2 and dies:
+            raise KeyboardInterrupt
+        seen.append(config.name)
+        return plain(source, target, config, session)
+
+    monkeypatch.setattr(multi, "validate", counted)
+    dies = True
+    with pytest.raises(KeyboardInterrupt):
+        multi.compare_many(spark, pairs, cfg, path, at_once=1)
+    assert seen == ["t0", "t1"]
+    dies = False
+    found = multi.compare_many(spark, pairs, cfg, path, at_once=2)
+    assert sorted(seen) == ["t0", "t1", "t2", "t3"] and found.resumed == ["t0", "t1"] and not found.success
+    status = {(r["comparison"], r["status"]) for r in overall_status(found.checks).collect()}
+    assert status == {("t0", "PASSED"), ("t1", "FAILED"), ("t2", "PASSED"), ("t3", "PASSED")}
+    # Every row was written once, as its comparison ended.
+    saved = read_checks(spark, path)
+    assert saved.count() == found.checks.count() and saved.exceptAll(found.checks).isEmpty()
+    write(tmp_path / "out" / "t2.csv", "k,v\n1,2\n")
+    again = multi.compare_many(spark, pairs, cfg, path)
+    assert seen[4:] == ["t2"] and again.resumed == ["t0", "t1", "t3"]
+    # Rows that are not in files are validated every time.
+    rows = [("r", spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(1,)], "a int"))]
+    for _ in range(2):
+        assert multi.compare_many(spark, rows, cfg, path).resumed == []
+    stored = spark.read.parquet(sinks_path(spark, tmp_path))
+    for expect in ([], ["p"]):
+        assert multi.compare_many(spark, [("p", stored.where("id > 1"), stored)], Comparison(run="r2"), path).resumed == expect
+    assert multi.compare_many(spark, [("p", stored.where("id > 2"), stored)], Comparison(run="r2"), path).resumed == []
+
+
+def sinks_path(spark, tmp_path):
+    sinks.persist_table(spark.range(9), path=str(tmp_path / "stored"))
+    return str(tmp_path / "stored")
+
+
 def test_pairs_are_discovered_by_name(spark, tmp_path):
     for side, names in (("out", "ab"), ("expected", "bc")):
         for n in names:
@@ -210,7 +258,7 @@ def test_pairs_are_discovered_by_name(spark, tmp_path):
 def test_a_broken_path_is_a_failed_row(spark, tmp_path):
     good = write(tmp_path / "g.csv", "k,v\n1,2\n")
     path = str(tmp_path / "reports")
-    found = multi.compare_many(spark, [("good", good, good), ("bad", str(tmp_path / "none.csv"), good)], CompareConfig(run_id="p"), path)
+    found = multi.compare_many(spark, [("good", good, good), ("bad", str(tmp_path / "none.csv"), good)], Comparison(run="p"), path)
     assert not found.success
     rows = {r["comparison"]: r["status"] for r in overall_status(spark.read.json(path)).collect()}
     assert rows == {"good": "PASSED", "bad": "FAILED"}
@@ -226,7 +274,7 @@ def test_one_sided_tables_fail_a_phase(spark):
 
 def test_different_text_in_a_date_column_differs(spark, tmp_path):
     rows = lambda word: "id,update_note\n" + "".join(f"{i},{word} {i}\n" for i in range(30))
-    r = validate(write(tmp_path / "a.csv", rows("left")), write(tmp_path / "b.csv", rows("right")), CompareConfig(primary_key=["id"]), spark)
+    r = validate(write(tmp_path / "a.csv", rows("left")), write(tmp_path / "b.csv", rows("right")), Comparison(key=["id"]), spark)
     assert r.overall_status == "FAILED" and r.check("type_conversion").details["values_that_would_be_lost"]["update_note"] == {"source": 30, "target": 30}
 
 
@@ -377,7 +425,7 @@ def test_a_failed_republish_keeps_the_published_tables(spark, tmp_path):
 def test_all_wrong_groups_are_there(spark):
     a = spark.createDataFrame([(i, 1.0) for i in range(50)], "g int, v double")
     b = spark.createDataFrame([(i, 2.0) for i in range(50)], "g int, v double")
-    r = validate(a, b, CompareConfig(aggregation_columns=["v"], group_by_columns=["g"]))
+    r = validate(a, b, Comparison(totals=Totals(["v"], ["g"])))
     shown = r.check("group_by_consistency").details
     assert len(shown["shown"]["v"]) == 10 and shown["sample_truncated"] and r.group_differences().count() == 50
 

@@ -6,7 +6,7 @@ import json
 
 import pytest
 
-from concordat import BusinessRule, ColumnTolerance, CompareConfig, validate
+from concordat import Comparison, Margin, Rule, Statistics, Tolerances, Totals, validate
 from concordat.plans import report as reports
 from concordat.sinks.reports import write_checks
 from concordat.sources.reports import read_checks
@@ -14,7 +14,7 @@ from tests.scenario import order_table
 
 
 def run(spark, source, target, **config):
-    return validate(spark.createDataFrame(source), spark.createDataFrame(target), CompareConfig(**config))
+    return validate(spark.createDataFrame(source), spark.createDataFrame(target), Comparison(**config))
 
 
 def counts(report) -> tuple:
@@ -35,9 +35,8 @@ def test_identical_tables_pass(spark):
         spark,
         order_table(300),
         order_table(300, shuffled=True),
-        primary_key=["order_id"],
-        aggregation_columns=["revenue", "qty"],
-        group_by_columns=["region"],
+        key=["order_id"],
+        totals=Totals(["revenue", "qty"], ["region"]),
     )
     assert (r.overall_status, counts(r)) == ("PASSED", (18, 17, 0, 1, 1.0))
     profile = r.check("per_column_statistics").details["column_profiles"]
@@ -54,11 +53,9 @@ def test_noise_within_tolerance_fails_only_the_digests(spark):
         spark,
         order_table(300),
         order_table(300, noise=0.004),
-        aggregation_columns=["revenue"],
-        column_tolerances=[ColumnTolerance("revenue", 0.01, 0.01)],
-        default_abs_tolerance=0.01,
-        default_rel_tolerance=0.01,
-        stat_tolerance=0.05,
+        totals=Totals(["revenue"]),
+        tolerances=Tolerances({"revenue": Margin(0.01, 0.01)}, Margin(0.01, 0.01)),
+        statistics=Statistics(drift=0.05),
     )
     assert (r.overall_status, counts(r)) == ("FAILED", (18, 12, 3, 3, 0.8))
     assert failed(r) == {"full_dataset_hash", "column_level_hash", "bucketed_checksum"}
@@ -88,7 +85,7 @@ def test_without_key_the_row_diff_is_skipped(spark):
 
 
 def test_without_aggregation_columns_totals_are_skipped(spark):
-    r = run(spark, order_table(200), order_table(200), group_by_columns=["region"])
+    r = run(spark, order_table(200), order_table(200), totals=Totals(within=["region"]))
     assert {"grand_total_aggregations", "group_by_consistency"} <= skipped(r)
     assert all(c.skipped_reason for c in r.check_rows if c.status == "SKIPPED")
 
@@ -96,8 +93,8 @@ def test_without_aggregation_columns_totals_are_skipped(spark):
 def test_broken_rule(spark):
     target = order_table(200)
     target.loc[:10, "revenue"] = -999.0
-    rule = BusinessRule("revenue_positive", "SELECT min(revenue) FROM {table}")
-    r = run(spark, order_table(200), target, business_rules=[rule])
+    rule = Rule("revenue_positive", "SELECT min(revenue) FROM {table}")
+    r = run(spark, order_table(200), target, rules=[rule])
     assert (r.overall_status, counts(r)) == ("FAILED", (18, 7, 8, 3, 0.4667))
     assert r.check("rule_revenue_positive").details["target"] == -999
     before, after = order_table(200)["revenue"], target["revenue"]
@@ -113,7 +110,7 @@ def test_broken_rule(spark):
 def test_row_and_cell_differences_are_complete(spark):
     target = order_table(100)
     target.loc[40:89, "revenue"] += 1
-    r = run(spark, order_table(100), target, primary_key=["order_id"])
+    r = run(spark, order_table(100), target, key=["order_id"])
     details = r.check("row_aligned_diff").details
     assert details["differing_keys"] == 50
     assert {row["order_id"] for row in details["sample"]} == {f"P-{i:05d}" for i in range(40, 60)}
@@ -127,22 +124,21 @@ def test_unknown_key_fails_and_unknown_totals_are_reported(spark):
         spark,
         order_table(50),
         order_table(50),
-        primary_key=["nope"],
-        aggregation_columns=["nope", "qty"],
-        group_by_columns=["region"],
+        key=["nope"],
+        totals=Totals(["nope", "qty"], ["region"]),
     )
     assert failed(r) == {"row_aligned_diff", "grand_total_aggregations"}
     assert r.check("group_by_consistency").details["ignored_columns"] == ["nope"]
 
 
 def test_unknown_group_column_fails_its_check_only(spark):
-    r = run(spark, order_table(50), order_table(50), aggregation_columns=["qty"], group_by_columns=["nope"])
+    r = run(spark, order_table(50), order_table(50), totals=Totals(["qty"], ["nope"]))
     assert failed(r) == {"group_by_consistency"}
 
 
 def test_column_order_is_checked_on_request(spark):
     table = order_table(20)
-    assert failed(run(spark, table, table[table.columns[::-1]], check_column_order=True)) == {"column_order"}
+    assert failed(run(spark, table, table[table.columns[::-1]], ordered=True)) == {"column_order"}
     assert run(spark, table, table[table.columns[::-1]]).passed
 
 
@@ -165,13 +161,13 @@ def test_no_numeric_columns_end_layer_four(spark):
 
 def test_empty_tables_are_equal(spark):
     df = spark.createDataFrame([], "k int, v double, s string")
-    r = validate(df, df, CompareConfig(primary_key=["k"], aggregation_columns=["v"], group_by_columns=["s"]))
+    r = validate(df, df, Comparison(key=["k"], totals=Totals(["v"], ["s"])))
     assert r.passed, failed(r)
 
 
 def test_all_null_column_agrees_with_itself(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "k int, v double")
-    r = validate(df, df, CompareConfig(primary_key=["k"], aggregation_columns=["v"]))
+    r = validate(df, df, Comparison(key=["k"], totals=Totals(["v"])))
     assert r.passed, failed(r)
 
 
@@ -179,17 +175,21 @@ def test_rule_forms_and_faults(spark):
     from pyspark.sql import functions as F
 
     rules = [
-        BusinessRule("sql", "sum(qty)"),
-        BusinessRule("column", lambda df: F.max("qty")),
-        BusinessRule("frame", lambda df: df.groupBy().count()),
-        BusinessRule("scalar", lambda df: len(df.columns)),
-        BusinessRule("text", "min(region)"),
-        BusinessRule("broken", "sum(no_such_column)"),
-        BusinessRule("raises", lambda df: 1 / 0),
-        BusinessRule("late", "sum(CAST(region AS int))"),
+        Rule("sql", "sum(qty)"),
+        Rule("column", lambda df: F.max("qty")),
+        Rule("frame", lambda df: df.groupBy().count()),
+        Rule("scalar", lambda df: len(df.columns)),
+        Rule("text", "min(region)"),
+        Rule("broken", "sum(no_such_column)"),
+        Rule("raises", lambda df: 1 / 0),
+        Rule("late", "sum(CAST(region AS int))"),
+        Rule("many", "SELECT qty FROM {table}"),
+        Rule("wide", "SELECT sum(qty), min(qty) FROM {table}"),
+        Rule("none", "SELECT qty FROM {table} WHERE qty < 0"),
     ]
-    r = run(spark, order_table(30), order_table(30), business_rules=rules)
-    assert failed(r) == {"rule_broken", "rule_raises", "rule_late"}
+    r = run(spark, order_table(30), order_table(30), rules=rules)
+    assert failed(r) == {"rule_broken", "rule_raises", "rule_late", "rule_many", "rule_wide"}
+    assert "several rows" in r.check("rule_many").message
     assert "ZeroDivisionError" in r.check("rule_raises").message or "division by zero" in r.check("rule_raises").message
 
 
@@ -211,7 +211,7 @@ def test_what_the_digests_settle_equals_the_full_checks(spark, monkeypatch):
 
     target = order_table(120)
     target.loc[5:50, "revenue"] += 3
-    config = dict(primary_key=["order_id"], aggregation_columns=["qty"], group_by_columns=["region"])
+    config = dict(key=["order_id"], totals=Totals(["qty"], ["region"]))
     statuses = lambda r: [(c.name, c.status, c.message) for c in r.check_rows]
     profiles = lambda r: r.check("per_column_statistics").details["column_profiles"]
     for other in (target, order_table(120)):
@@ -222,6 +222,17 @@ def test_what_the_digests_settle_equals_the_full_checks(spark, monkeypatch):
         assert statuses(short) == statuses(full) and profiles(short) == profiles(full)
 
 
+def test_layers_may_be_picked(spark):
+    table = order_table(60)
+    full = run(spark, table, order_table(60, noise=0.1), totals=Totals(["revenue"], ["region"]))
+    for layers in (["1_structural"], ["3_business_rules"], ["4_statistical"], ["2_data_level", "4_statistical"]):
+        some = run(spark, table, order_table(60, noise=0.1), totals=Totals(["revenue"], ["region"]), layers=layers)
+        assert list(some.layers) == layers
+        assert [(c.name, c.status) for c in some.check_rows] == [(c.name, c.status) for x in layers for c in full.layers[x]]
+    # A table that does not fit fails the first layer, asked for or not.
+    assert list(run(spark, table, order_table(60, extra=True), layers=["4_statistical"]).layers) == ["1_structural"]
+
+
 def test_load_error_is_a_failed_report(spark):
     r = validate("/nowhere/a.csv", "/nowhere/b.csv", spark=spark)
     assert r.overall_status == "FAILED" and r.load_error and r.check("load_error").status == "FAILED"
@@ -230,13 +241,13 @@ def test_load_error_is_a_failed_report(spark):
 def test_csv_paths_are_loaded_and_normalised(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Order Id;Montant-HT;Note\n1;10.5; x \n2;N/A;null\n3;12;y\n")
     (tmp_path / "b.csv").write_text("order_id|montant_ht|note\n3|12.0|y\n1|10.5|x\n2||\n")
-    r = validate(str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), CompareConfig(primary_key=["order_id"]), spark)
+    r = validate(str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), Comparison(key=["order_id"]), spark)
     assert r.passed, [(c.name, c.message) for c in r.check_rows if c.status == "FAILED"]
 
 
 def test_materialised_inputs_and_report_roundtrip(spark, tmp_path):
     s = spark.createDataFrame(order_table(40))
-    r = validate(s, s, CompareConfig(run_id="again"), materialised=True)
+    r = validate(s, s, Comparison(run="again"), materialised=True)
     path = str(tmp_path / "checks")
     r.save(path)
     back = read_checks(spark, path)
@@ -250,4 +261,4 @@ def test_materialised_inputs_and_report_roundtrip(spark, tmp_path):
 
 
 def test_run_id_defaults_to_utc_time():
-    assert len(CompareConfig().effective_run_id()) == 15 and CompareConfig(run_id="x").effective_run_id() == "x"
+    assert len(Comparison().run_name()) == 15 and Comparison(run="x").run_name() == "x"
