@@ -19,6 +19,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from decimal import Decimal
 from urllib.parse import quote
 
 import numpy as np
@@ -88,31 +89,34 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def shard_bounds(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
     """First ids of the shards after the first, from stored (page_id, size): ranges of about ``shard_bytes``.
 
-    Ids are counted in at most ``BINS`` equal bins; bins with more than a shard are counted again in finer ones.
+    Ids are counted in equal bins, at most ``BINS``; those with more than a shard are counted again in finer ones, all of a level in one job. A
+    level has some four bins for each shard its bins hold, so the driver gets a few numbers a shard.
     """
     sizes = sizes.where("page_id IS NOT NULL")
-    ends = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if ends[0] is None:
+    whole = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + RECORD_BYTES)).first()
+    if whole[0] is None:
         return np.zeros(0, np.int64)
+    lowest, span = whole[0], whole[1] - whole[0] + 1
+    exact = lambda x: F.lit(x).cast("decimal(38,0)")
+    rows = sizes.select(exact(0).alias("start"), (F.col("page_id").cast("decimal(38,0)") - exact(lowest)).alias("pos"), (F.col("size") + RECORD_BYTES).alias("size"))
     totals: list[tuple[int, int]] = []
-    todo = [(ends[0], ends[1])]
-    while todo:
-        deeper = []
-        for low, high in todo:
-            width = (high - low) // BINS + 1
-            part = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int")
-            found = sizes.where(F.col("page_id").between(low, high)).groupBy(part.alias("bin")).agg(F.sum(F.col("size") + RECORD_BYTES)).collect()
-            for b, total in found:
-                first = low + b * width
-                if total > shard_bytes and width > 1:
-                    deeper.append((first, min(first + width - 1, high)))
-                else:
-                    totals.append((first, total))
-        todo = deeper
+    width, fullest = span, whole[2]
+    while True:
+        width = (width - 1) // min(BINS, max(2, 4 * (fullest // shard_bytes + 1))) + 1
+        before = F.col("pos") - F.col("pos") % exact(width)
+        rows = rows.select((F.col("start") + before).cast("decimal(38,0)").alias("start"), (F.col("pos") - before).cast("decimal(38,0)").alias("pos"), "size")
+        found = [(int(start), total) for start, total in rows.groupBy("start").agg(F.sum("size")).collect()]
+        heavy = [(start, total) for start, total in found if total > shard_bytes and width > 1]
+        totals += [x for x in found if x[1] <= shard_bytes or width == 1]
+        if not heavy:
+            break
+        fullest = max(total for _, total in heavy)
+        marks = sizes.sparkSession.createDataFrame([(Decimal(start),) for start, _ in heavy], "start decimal(38,0)")
+        rows = rows.join(F.broadcast(marks), "start", "left_semi")
     bounds, held = [], 0
-    for first, total in sorted(totals):
+    for start, total in sorted(totals):
         if held and held + total > shard_bytes:
-            bounds.append(first)
+            bounds.append(lowest + start)
             held = 0
         held += total
     return np.array(bounds, np.int64)
@@ -173,12 +177,15 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, shard_byt
     marks = marks.select("page_id", "digest", F.lit(True).alias("is_mark"), "first_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     rows = pages.select("page_id", digest.alias("digest"), F.lit(False).alias("is_mark"), F.lit(None).cast("long").alias("first_id"), "url", "html")
     dealt = rows.unionByName(marks)
-    # A null would turn the ids of its batch into floats; null ids stand behind all others.
-    at = F.when(F.col("page_id").isNull(), F.lit(len(bounds))).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long"))))
+    # A null would turn the ids of its batch into floats. Records without an id stand in shards of their own, dealt by payload.
+    unnamed = known.where("page_id IS NULL").agg(F.sum(F.col("size") + RECORD_BYTES)).first()[0] or 0
+    more = -(-unnamed // shard_bytes)
+    without = len(bounds) + 1 + F.pmod(F.xxhash64("digest"), F.lit(max(1, more))).cast("int")
+    at = F.when(F.col("page_id").isNull(), without).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long"))))
     dealt = dealt.withColumn("shard", at)
     dealt = dealt.select("shard", "page_id", "digest", "is_mark", "first_id", "url", "html")
     order = [F.col("shard"), F.col("page_id").asc_nulls_last(), F.col("digest"), F.col("is_mark").desc(), F.col("url")]
-    written = dealt.repartition(len(bounds) + 1, "shard").sortWithinPartitions(*order).mapInArrow(_writer(folder, file_bytes), storage.WRITTEN)
+    written = dealt.repartitionById(len(bounds) + 1 + more, "shard").sortWithinPartitions(*order).mapInArrow(_writer(folder, file_bytes), storage.WRITTEN)
     return storage.commit(written, folder)
 
 
