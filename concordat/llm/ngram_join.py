@@ -293,7 +293,7 @@ def _some_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough; each side's set comes by a join on its node."""
-    whole = texts.mapInArrow(_whole_sets(width), "node long, features array<long>")
+    whole = texts.mapInArrow(bytewise.tidy(_whole_sets(width)), "node long, features array<long>")
     one = whole.select(F.col("node").alias("a"), F.col("features").alias("fa"))
     two = whole.select(F.col("node").alias("b"), F.col("features").alias("fb"))
     both = pairs.join(one, "a").join(two, "b")
@@ -305,10 +305,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reached by links)."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    known = materialise(docs.mapInArrow(_profile(width), "doc_id long, key long, n_shingles long, node long"), "sets")
+    known = materialise(docs.mapInArrow(bytewise.tidy(_profile(width)), "doc_id long, key long, n_shingles long, node long"), "sets")
 
-    made = docs.select("text").mapInArrow(_signatures(width, percent), "sig long, node long")
-    stars = made.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, hub long, node long")
+    made = docs.select("text").mapInArrow(bytewise.tidy(_signatures(width, percent)), "sig long, node long")
+    stars = made.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(bytewise.tidy(_stars), "sig long, hub long, node long")
     stars = materialise(stars, "stars")
 
     star_pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -317,13 +317,13 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     one = known.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
     keys = materialise(one.join(candidates, "node").select("key").distinct(), "candidates")
     texts = _some_texts(docs, keys)
-    cells = materialise(texts.mapInArrow(_cells(width), "node long, n long, cells binary").dropDuplicates(["node"]), "cells")
+    cells = materialise(texts.mapInArrow(bytewise.tidy(_cells(width)), "node long, n long, cells binary").dropDuplicates(["node"]), "cells")
 
     found = components(materialise(_linked(_near(star_pairs, cells, percent), texts, width, percent), "linked"))
     for n in range(STAR_ROUNDS):
         pairs = materialise(_near(_other_stars(_unresolved(stars, found), n), cells, percent), "pairs")
         found = _extended(found, pairs, texts, width, percent)
-    pairs = materialise(_blocks(_unresolved(stars, found), cells).mapInArrow(_close_pairs(percent), "a long, b long").distinct(), "pairs")
+    pairs = materialise(_blocks(_unresolved(stars, found), cells).mapInArrow(bytewise.tidy(_close_pairs(percent)), "a long, b long").distinct(), "pairs")
     found = _extended(found, pairs, texts, width, percent)
     return _named(known, found)
 
@@ -381,7 +381,7 @@ def _near(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     one = cells.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
     two = cells.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(bytewise.tidy(run), "a long, b long")
 
 
 def _unresolved(stars: DataFrame, found: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     rated = rated.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).cast("int").alias("grade"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_train)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
-    rows = texts.mapInArrow(_to_features, "doc_id long, grade int, buckets array<int>").toArrow()
+    rows = texts.mapInArrow(bytewise.tidy(_to_features), "doc_id long, grade int, buckets array<int>").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> Dat
                 ids = batch.column(0)[first : first + len(count)].cast(pa.int64())
                 yield pa.record_batch([ids, *map(pa.array, (total, tails.sum(1), tails[:, -1], tails[:, -1] >= keep_at))], ["doc_id", "score", "expected_grade", "p_good", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, expected_grade double, p_good double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(bytewise.tidy(run), "doc_id long, score double, expected_grade double, p_good double, kept boolean")
 
 
 def select_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
@@ -183,4 +183,4 @@ def select_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT)
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bytewise.tidy(run), docs.schema)

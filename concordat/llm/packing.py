@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordat.llm import bytewise
 from concordat.session import materialise
 
 CAPACITY = 2048
@@ -113,7 +114,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every text."""
     tokenizer, ranks = tokenizer or public_tokenizers.path(TOKENIZER), ranks or public_tokenizers.path(RANKS)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, ranks, capacity, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(bytewise.tidy(_cut(tokenizer, ranks, capacity, with_ids)), schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -369,7 +370,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*batch.columns[:number_at], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(bytewise.tidy(run), schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
