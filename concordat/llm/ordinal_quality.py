@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> Dat
         model = held.value
         for batch in batches:
             for first, bucket, count in features(batch.column(1)):
-                total = np.bincount(np.repeat(np.arange(len(count)), count), model.weights[bucket], len(count))
+                total = np.bincount(np.repeat(np.arange(len(count)), count), model.weights[bucket], len(count)).astype(float)
                 tails = model.tails(total)
                 ids = batch.column(0)[first : first + len(count)].cast(pa.int64())
                 yield pa.record_batch([ids, *map(pa.array, (total, tails.sum(1), tails[:, -1], tails[:, -1] >= keep_at))], ["doc_id", "score", "expected_grade", "p_good", "kept"])
@@ -178,7 +178,7 @@ def select_good(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT)
         for batch in batches:
             good = []
             for _, bucket, count in features(batch.column(place)):
-                total = np.bincount(np.repeat(np.arange(len(count)), count), model.weights[bucket], len(count))
+                total = np.bincount(np.repeat(np.arange(len(count)), count), model.weights[bucket], len(count)).astype(float)
                 good.append(model.tails(total)[:, -1] >= keep_at)
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
