@@ -700,6 +700,11 @@ moved AS (SELECT sum(CASE WHEN o_orderkey % 7919 = 0 THEN 1 ELSE 2 END)::BIGINT
           WHERE CASE WHEN c THEN top IN (SELECT top FROM d) ELSE node IN (SELECT node FROM d) END)
 SELECT o_orderkey, source_rows, target_rows, difference, n AS rows_shuffled FROM d, moved"""
 
+INCREMENTAL = f"""
+SELECT c AS {COL}, (SELECT count(*) FROM orders) AS "rows", (SELECT count(*) FROM orders) AS non_null, TRUE AS distinct_near, TRUE AS median_near, TRUE AS shared_near,
+       (SELECT count(DISTINCT year(o_orderdate)) FROM orders WHERE year(o_orderdate) >= 1996) AS partitions_scanned
+FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('o_orderstatus')) AS t(c)"""
+
 ORACLE: dict[str, str] = {
     "payment_status_job": payment("ORDER BY o_orderkey LIMIT 50"),
     "payment_status_full": payment(""),
@@ -727,6 +732,7 @@ ORACLE: dict[str, str] = {
     "column_profile": side_by_side(LINEITEM_NUMBERS, ["non_null", "null_ratio", *STAT_NAMES]),
     "profile_deviation": profile_deviation(),
     "confidence": confidence(),
+    "incremental_profile": INCREMENTAL,
     "percentiles_by_bin": side_by_side(["l_extendedprice", "l_quantity", "l_orderkey"], list(PERCENTILES)),
     "null_ratio": null_ratio(),
     "cardinality": f"WITH {LINEITEM} {cardinality_rows(LINEITEM_COLUMNS)}",

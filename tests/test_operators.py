@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from concordat.functions.names import normalise_name, normalise_names, unique_names
-from concordat.operators import cardinality, digest_tree, duplicates, fingerprint, keyed_diff, lookup, order_stats, profile, totals
+from concordat.operators import cardinality, digest_tree, duplicates, fingerprint, keyed_diff, lookup, order_stats, profile, stored_profile, totals
 from concordat.operators.pairing import IS_SOURCE, align
 
 
@@ -286,6 +286,25 @@ def test_maps_inside_other_types_compare_by_entries(spark):
     assert [r["k"] for r in keyed_diff.row_diff(pair, ["k"]).collect()] == [2]
 
 
+def test_stored_profiles(spark, tmp_path):
+    rows = [(i % 5 if i % 97 else None, float(i), f"s{i % 700}", None if i % 10 == 0 else i) for i in range(20_000)]
+    df, path = spark.createDataFrame(rows, "p int, x double, s string, n long"), str(tmp_path / "profiles")
+    assert stored_profile.stored(spark, path).collect() == []
+    assert sorted(stored_profile.update(df.where("p < 3"), path, "p", ["x", "s", "n"])) == ["0", "1", "2"]
+    assert sorted(map(str, stored_profile.update(df, path, "p", ["x", "s", "n"]))) == ["3", "4", "None"]
+    assert stored_profile.update(df, path, "p", ["x", "s", "n"]) == []
+    found = {r["column"]: r for r in stored_profile.profile(stored_profile.stored(spark, path), [0.1, 0.5, 0.99]).collect()}
+    assert [(found[c]["rows"], found[c]["non_null"], found[c]["low"], found[c]["high"]) for c in "xsn"] == [(20_000, 20_000, 0.0, 19_999.0), (20_000, 20_000, None, None), (20_000, 18_000, 1.0, 19_999.0)]
+    assert found["s"]["distinct_values"] == 700 and found["s"]["quantiles"] is None
+    assert found["x"]["distinct_values"] == pytest.approx(20_000, rel=0.04)
+    assert found["x"]["quantiles"] == pytest.approx([2_000, 10_000, 19_800], abs=0.01 * 20_000)
+    stored_profile.forget(spark, path, ["3", "4"])
+    assert sorted(stored_profile.update(df, path, "p", ["x", "s", "n"])) == ["3", "4"]
+    other = stored_profile.partition_profile(df.where("x % 2 = 0").withColumn("s", F.concat("s", (F.col("x") % 4).cast("int").cast("string"))), "p", ["x", "s"])
+    shared = {r["column"]: r for r in stored_profile.shared_values(stored_profile.stored(spark, path), other).collect()}
+    assert shared.keys() == {"x", "s"} and shared["x"]["shared"] == pytest.approx(10_000, rel=0.05) and shared["s"]["one_distinct"] == 700
+
+
 # --- digests and duplicates -------------------------------------------------------------
 
 
