@@ -60,9 +60,10 @@ def corpus(seed: int, n: int = 500) -> tuple[list, list]:
     return docs, items
 
 
-@pytest.mark.parametrize("seed, block", [(1, 1 << 16), (2, 40), (3, 1)])
-def test_random_corpus(spark, seed, block):
+@pytest.mark.parametrize("seed, block, queries", [(1, 1 << 16, 99), (2, 150, 99), (3, 1, 3)])
+def test_random_corpus(spark, seed, block, queries):
     docs, items = corpus(seed)
+    items = items[-queries:]
     got = sketch_search.search(spark.createDataFrame(docs, DOCS).repartition(6), spark.createDataFrame(items, ITEMS), block_terms=block)
     assert found(got) == by_hand(docs, items)
 
