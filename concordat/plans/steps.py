@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import logging
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 
 from concordat.functions.sql import quoted
 from concordat.sinks.reports import write_step_error
-from concordat.sinks.staging import Ledger, recover
+from concordat.sinks.staging import Ledger, job_of, recover
 from concordat.sinks.tables import Preview, preview, publish_run, save_outputs
 from concordat.sources.csv_tables import load_all_text, load_declared
 from concordat.sources.paths import exists, list_csv, qualified, require_safe_name
@@ -75,7 +74,7 @@ def owning_job(spark: SparkSession, target: str, finals: list[str], job: str | N
     jobs = {owners[p] for p in (qualified(spark, f) for f in finals) if p in owners}
     if jobs - {job} if job else len(jobs) > 1:
         raise ValueError(f"these outputs would be written over those of other jobs ({sorted(jobs)}), choose an output_dir")
-    return job or next(iter(jobs), None) or "job-" + hashlib.sha256("\n".join(finals).encode()).hexdigest()[:16]
+    return job or next(iter(jobs), None) or job_of(finals)
 
 
 def _refuse_inputs(spark: SparkSession, inputs: dict[str, str], finals: list[str]) -> None:

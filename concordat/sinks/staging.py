@@ -11,6 +11,7 @@ one no longer makes go after the new ones stand.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -49,10 +50,15 @@ class Ledger:
         write_small(self.spark, f"{self.folder}/{job}.json", json.dumps({"job": job, "paths": sorted(paths)}))
 
 
+def job_of(paths: list[str]) -> str:
+    """A name for whoever writes these paths, for writers that have none: others' commits in the folder are not theirs."""
+    return "paths-" + hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+
+
 class Staged:
     """One commit: ask for a place for each target, write there, then ``commit``."""
 
-    def __init__(self, spark: SparkSession, folder: str, job: str = "single"):
+    def __init__(self, spark: SparkSession, folder: str, job: str):
         self.spark, self.folder, self.job = spark, folder.rstrip("/"), job
         self.id = f"{job}-{time.time_ns():020d}-{uuid.uuid4().hex}"
         self.moves: list[dict[str, str]] = []
@@ -112,11 +118,12 @@ def _carry_out(spark: SparkSession, intent: dict) -> None:
             remove(spark, folder)
 
 
-def recover(spark: SparkSession, folder: str, job: str = "single") -> int:
+def recover(spark: SparkSession, folder: str, job: str) -> int:
     """Carry this job's interrupted commits in ``folder`` to their end and drop what never came to one; how many were carried."""
     done = 0
     for left in children(spark, f"{folder.rstrip('/')}/{STAGING}"):
-        if not left.rsplit("/", 1)[1].startswith(f"{job}-"):
+        # A commit is named by job, time and a random number; those of other jobs may be under way.
+        if left.rsplit("/", 1)[1].rsplit("-", 2)[0] != job:
             continue
         if exists(spark, f"{left}/{INTENT}"):
             _carry_out(spark, json.loads(read_small(spark, f"{left}/{INTENT}")))

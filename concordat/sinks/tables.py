@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.session import materialise
-from concordat.sinks.staging import Staged, recover
+from concordat.sinks.staging import Staged, job_of, recover
 from concordat.sources.paths import exists, qualified
 
 log = logging.getLogger(__name__)
@@ -32,9 +32,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def replace_path(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Write beside ``path``, then swap: a write that fails, or reads what it replaces, leaves or finds the old table whole."""
-    folder = qualified(spark, str(path)).rpartition("/")[0]
-    recover(spark, folder)
-    with Staged(spark, folder) as staged:
+    final = qualified(spark, str(path))
+    folder, job = final.rpartition("/")[0], job_of([final])
+    recover(spark, folder, job)
+    with Staged(spark, folder, job) as staged:
         write(staged.place(str(path)))
         staged.commit()
 
@@ -92,8 +93,9 @@ def save_outputs(
     spark = next(iter(tables.values())).sparkSession
     folder = qualified(spark, str(output_dir))
     written: dict[str, list[str]] = {}
-    recover(spark, folder, job or "single")
-    with Staged(spark, folder, job or "single") as staged:
+    writer = job or job_of([folder, *tables])
+    recover(spark, folder, writer)
+    with Staged(spark, folder, writer) as staged:
         for name, df in tables.items():
             extra = (extra_csv_paths or {}).get(name)
             if persist:

@@ -383,6 +383,21 @@ def test_outputs_are_replaced_together(spark, tmp_path):
     assert spark.read.option("header", True).csv(extra).count() == 2
 
 
+def test_others_commits_are_left_alone(spark, tmp_path):
+    """Two writers in one folder: neither clears away what the other has not yet committed."""
+    out = f"file:{tmp_path}"
+    with staging.Staged(spark, out, "j-2") as other:
+        spark.range(3).write.parquet(other.place(f"{out}/a"))
+        with staging.Staged(spark, out, staging.job_of([f"{out}/b"])) as mine:
+            sinks.persist_table(spark.range(5), path=f"{out}/c")
+            sinks.save_outputs({"d": spark.range(2)}, out, job="j")
+            spark.range(4).write.parquet(mine.place(f"{out}/b"))
+            mine.commit()
+        assert staging.recover(spark, out, "j") == 0
+        other.commit()
+    assert [spark.read.parquet(f"{out}/{n}").count() for n in "abc"] == [3, 4, 5]
+
+
 @pytest.mark.parametrize("moves", range(9))
 def test_an_interrupted_commit_is_carried_to_its_end(spark, tmp_path, monkeypatch, moves):
     """A process that dies after any number of moves; the next run finds everything old or everything new."""
