@@ -36,7 +36,7 @@ LEAST_REVISIT = 100
 FILE_BYTES = 16 << 20
 SHARD_BYTES = 32 << 20
 RECORD_BYTES = 600  # headers of a record, for the size of shards
-BINS = 4096
+BINS, LEAST_BINS = 4096, 256
 FILES_PER_TASK = 16
 DATE = "2024-01-01T00:00:00Z"
 # Fixed value: the profile of a revisit in the WARC 1.1 standard.
@@ -90,29 +90,30 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
     """First ids of the shards after the first, from stored (page_id, size): ranges of about ``shard_bytes``.
 
     Ids are counted in equal bins, at most ``BINS``; those with more than a shard are counted again in finer ones, all of a level in one job. A
-    level has some four bins for each shard its bins hold, so the driver gets a few numbers a shard.
+    level has some four bins for each shard its bins hold (``LEAST_BINS`` at least), and only those with records reach the driver.
     """
     sizes = sizes.where("page_id IS NOT NULL")
     whole = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + RECORD_BYTES)).first()
     if whole[0] is None:
         return np.zeros(0, np.int64)
-    lowest, span = whole[0], whole[1] - whole[0] + 1
+    lowest, width, fullest = whole[0], whole[1] - whole[0] + 1, whole[2]
     exact = lambda x: F.lit(x).cast("decimal(38,0)")
-    rows = sizes.select(exact(0).alias("start"), (F.col("page_id").cast("decimal(38,0)") - exact(lowest)).alias("pos"), (F.col("size") + RECORD_BYTES).alias("size"))
+    away = F.col("page_id").cast("decimal(38,0)") - exact(lowest)
     totals: list[tuple[int, int]] = []
-    width, fullest = span, whole[2]
+    inside, marks = away, None  # the place inside the bin of the last level
     while True:
-        width = (width - 1) // min(BINS, max(2, 4 * (fullest // shard_bytes + 1))) + 1
-        before = F.col("pos") - F.col("pos") % exact(width)
-        rows = rows.select((F.col("start") + before).cast("decimal(38,0)").alias("start"), (F.col("pos") - before).cast("decimal(38,0)").alias("pos"), "size")
+        width = (width - 1) // min(BINS, max(LEAST_BINS, 4 * (fullest // shard_bytes + 1))) + 1
+        deeper = inside % exact(width)
+        rows = sizes.select((away - inside).cast("decimal(38,0)").alias("parent"), (away - deeper).cast("decimal(38,0)").alias("start"), (F.col("size") + RECORD_BYTES).alias("size"))
+        if marks is not None:
+            rows = rows.join(F.broadcast(marks), "parent", "left_semi")
         found = [(int(start), total) for start, total in rows.groupBy("start").agg(F.sum("size")).collect()]
         heavy = [(start, total) for start, total in found if total > shard_bytes and width > 1]
         totals += [x for x in found if x[1] <= shard_bytes or width == 1]
         if not heavy:
             break
-        fullest = max(total for _, total in heavy)
-        marks = sizes.sparkSession.createDataFrame([(Decimal(start),) for start, _ in heavy], "start decimal(38,0)")
-        rows = rows.join(F.broadcast(marks), "start", "left_semi")
+        inside, fullest = deeper, max(total for _, total in heavy)
+        marks = sizes.sparkSession.createDataFrame([(Decimal(start),) for start, _ in heavy], "parent decimal(38,0)")
     bounds, held = [], 0
     for start, total in sorted(totals):
         if held and held + total > shard_bytes:
