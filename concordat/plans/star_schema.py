@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.config import BUSINESS, DATA_LEVEL, FAILED, PASSED, SKIPPED, STATISTICAL, STRUCTURAL
+from concordat.config import BUSINESS, FAILED, PASSED, SKIPPED, STATISTICAL, STRUCTURAL
 from concordat.config import Comparison, Margin, Rule, Tolerances, Totals
 from concordat.functions.types import family
 from concordat.operators import cardinality as distinct
