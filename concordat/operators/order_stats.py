@@ -1,13 +1,12 @@
 """Global order without a global sort: exact percentiles and pairing by rank.
 
-Values are cut into bins by bounds taken from a quantile sketch over both sides, so a bin
-holds about ``rows_per_bin`` rows whatever the distribution. Where that takes more than ``FAN`` bins, the bins are cut again by
-bounds from sketches of their own, level after level, until none holds more than twice ``rows_per_bin`` rows; a value that fills
-a bin alone ends it. Bounds are the only state: one number for ``rows_per_bin`` rows. A bin is a function of the
-value alone: a lost task recomputes to the same bin. Within a bin equal values are first folded to
-(value, count) before any shuffle, which is what keeps a value held by a third of all
-rows from becoming one large task; ranks are then a running sum of counts inside the bin
-plus the count of all lower bins.
+Values are cut into bins by bounds taken from a quantile sketch over both sides, whatever the distribution. Where one level of
+``FAN`` bins leaves bins of more than twice ``rows_per_bin`` rows, these are cut again by bounds from sketches of their own, level
+after level; a value that fills a bin alone ends it. A bin is a function of the value alone: a lost task recomputes to the same bin.
+Equal values are folded to (value, count), which is what keeps a value held by a third of all rows from becoming one large task;
+ranks are then a running sum of counts inside the bin plus the count of all lower bins.
+
+Percentiles count the bins of the first level and then fold, store and cut only the bins that hold a wanted rank.
 """
 
 from __future__ import annotations
@@ -27,7 +26,8 @@ from concordat.session import materialise
 
 # Bins of the first level, whose bounds are plan text, and at most so many parts of a bin on each level below it.
 FAN, SUB_FAN = 256, 64
-SUB_SKETCH = 1024
+# A part of a bin takes at least so many entries of the sketch that its bounds come from.
+SKETCH_PER_PART, SMALLEST_SKETCH = 16, 1024
 SKETCH_GROUPS = 512
 RANKS_PER_BLOCK = 100_000
 EXACT_IN_DOUBLE = 2**53
@@ -154,31 +154,40 @@ def _binned(pair: Pair, columns: list[str], rows: int, rows_per_bin: int, fan: i
     return out
 
 
-def _split_large(long: DataFrame, limit: int, fan: int) -> DataFrame:
-    """Bins of more than twice ``limit`` rows with more than one value, cut again and again.
+def _split_large(runs: DataFrame, limit: int, fan: int) -> DataFrame:
+    """Bins of more than twice ``limit`` runs with more than one value, cut again and again.
 
-    A level reads the rows of the bins in question once, for their counts and sketches; the bounds it finds are a small
+    A level reads the runs of the bins in question once, for their counts and sketches; the bounds it finds are a small
     stored table. Bin numbers grow by a factor of ``fan`` a level, so they keep the order of values.
     """
     suspects = None
     double = "CAST(v AS double)"
-    steps = [k for k in (2, 4, 8, 16, 32, 64) if k < fan] + [fan]
+    others = [c for c in runs.columns if c != "bin"]
     while True:
-        rows = long if suspects is None else long.join(F.broadcast(suspects), ["c", "bin"], "left_semi")
-        aggs = {"n": "count(1)", "low": f"min({double})", "high": f"max({double})", "sketch": f"kll_sketch_agg_double({_finite('v')}, {SUB_SKETCH})", "finite": f"count({_finite('v')})"}
+        rows = runs if suspects is None else runs.join(F.broadcast(suspects), ["c", "bin"], "left_semi")
+        sketch = f"kll_sketch_agg_double({_finite('v')}, {max(SKETCH_PER_PART * fan, SMALLEST_SKETCH)})"
+        aggs = {"n": "count(1)", "low": f"min({double})", "high": f"max({double})", "sketch": sketch, "finite": f"count({_finite('v')})"}
         found = aggregate(rows, ["c", "bin"], aggs).where(f"n > {2 * limit} AND low < high AND finite > 0")
         cuts = lambda k: f"kll_sketch_get_quantile_double(sketch, array({', '.join(f'{i / k!r}D' for i in range(1, k))}))"
+        steps = [k for k in (2, 4, 8, 16, 32, 64, 128) if k < fan] + [fan]
         whens = " ".join(f"WHEN n <= {k * limit} THEN {cuts(k)}" for k in steps[:-1])
         # The largest value is no bound, or a bin of few values would stay as it is.
         wanted = f"CASE {whens} ELSE {cuts(steps[-1])} END" if whens else cuts(steps[-1])
         bounds = f"array_distinct(filter({wanted}, b -> b < high))"
         split = materialise(found.selectExpr("c", "bin", f"CASE WHEN size({bounds}) > 0 THEN {bounds} ELSE array(low) END AS bounds"), "bin-bounds")
         if split.isEmpty():
-            return long
-        below = f"coalesce(size(filter(bounds, b -> b < {double})), 0)"
-        shift = f"CAST(bin AS bigint) * {fan}"
-        long = long.join(F.broadcast(split), ["c", "bin"], "left").selectExpr(IS_SOURCE, "c", f"{shift} + {below} AS bin", "v")
+            return runs
+        # Never null, or filters for it would be pushed down through the halving and double it at every step.
+        shift = f"coalesce(CAST(bin AS bigint), 0) * {fan}"
         suspects = split.selectExpr("c", f"explode(transform(sequence(0, size(bounds)), i -> {shift} + i)) AS bin")
+        width = 1 << (fan - 1).bit_length()
+        padded = f"concat(bounds, array_repeat(double('infinity'), {width - 1} - size(bounds))) AS bounds"
+        cut = runs.join(F.broadcast(split.selectExpr("c", "bin", padded)), ["c", "bin"], "left").selectExpr("*", f"{double} AS d", "0 AS part")
+        # How many bounds lie below the value, by halves; none where there are no bounds.
+        for half in (width >> i for i in range(1, width.bit_length())):
+            cut = cut.selectExpr(*runs.columns, "bounds", "d", f"part + IF(bounds[part + {half - 1}] < d, {half}, 0) AS part")
+        runs = cut.selectExpr(*others, f"{shift} + part AS bin")
+        fan = min(fan, SUB_FAN)
 
 
 def column_percentiles(
@@ -187,16 +196,21 @@ def column_percentiles(
     """Exact percentiles with linear interpolation: rows (is_source, column, stat, value).
 
     Only the bins that hold a wanted rank are read out: one counting pass that shuffles nothing but
-    counts, and one pass filtered to those bins. (The built-in ``percentile`` keeps every
+    counts, and one pass filtered to those bins, which are cut further where they are large. (The built-in ``percentile`` keeps every
     distinct value of a group in one task's memory.)
     """
     if not columns or not percentiles:
         empty = f"`{IS_SOURCE}` boolean, column string, stat string, value double"
         return pair.source.sparkSession.createDataFrame([], empty)
     rows = count_rows(pair) if rows is None else rows
+    n, fan = -(-rows // rows_per_bin), fan or FAN
+    bounds, largest = _first_look(pair, columns, min(fan, n))
+    pair = _exact_in_doubles(pair, columns, largest)
     parts = []
-    for group, long in _binned(pair, columns, rows, rows_per_bin, fan):
-        parts.append(_percentiles_from_bins(long, percentiles).selectExpr(IS_SOURCE, _name(group), "stat", "value"))
+    for group in _by_type(pair, columns):
+        # Up to one level the sketch's error bounds a bin by about twice its share; below that bins are counted.
+        found = _percentiles_from_bins(_long(pair, group, bounds), percentiles, rows_per_bin if n > fan else 0, min(fan, SUB_FAN))
+        parts.append(found.selectExpr(IS_SOURCE, _name(group), "stat", "value"))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -205,7 +219,8 @@ def _between(low: str, high: str, share: str) -> str:
     return f"CASE WHEN {low} = {high} OR {share} = 0 THEN {low} ELSE {low} + ({high} - {low}) * {share} END"
 
 
-def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFrame:
+def _percentiles_from_bins(long: DataFrame, percentiles: list[float], limit: int, fan: int) -> DataFrame:
+    """``limit``: cut the wanted bins of more than twice so many runs; 0 leaves them as they are."""
     fractions = [struct(stat=literal(percentile_name(p)), p=f"{float(p)!r}D") for p in percentiles]
     ends = [struct(rank="floor(spot)", upper="false"), struct(rank="ceil(spot)", upper="true")]
     # For each side and column: the bins that hold rank floor(spot) and rank ceil(spot).
@@ -216,7 +231,11 @@ def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFra
         .selectExpr(*BIN, "stat", "spot", "upper", "rank - bin_start AS k")
     )
     # Bounded: sides x columns x percentiles x 2 rows.
-    ranked = _ranked(_runs(long.join(F.broadcast(wanted.select(*BIN).distinct()), BIN, "left_semi")))
+    wanted = materialise(wanted, "wanted-ranks") if limit else wanted
+    runs = _runs(_in_bins(long, wanted))
+    if limit:
+        runs, wanted = _narrowed(runs, wanted, limit, fan)
+    ranked = _ranked(runs)
     found = ranked.join(F.broadcast(wanted), BIN).where("k >= lo AND k < lo + n")
     ends_found = aggregate(
         found,
@@ -230,6 +249,22 @@ def _percentiles_from_bins(long: DataFrame, percentiles: list[float]) -> DataFra
     return ends_found.selectExpr(IS_SOURCE, "c", "stat", f"{_between('low', 'high', 'share')} AS value")
 
 
+def _in_bins(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(wanted.select(*BIN).distinct()), BIN, "left_semi")
+
+
+def _narrowed(runs: DataFrame, wanted: DataFrame, limit: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """The parts of the wanted bins that hold a wanted rank, and the ranks within them."""
+    cut = _split_large(materialise(runs.selectExpr("*", "bin AS home"), "wanted-bins"), limit, fan)
+    home = [IS_SOURCE, "c", "home"]
+    before = f"PARTITION BY {', '.join(home)} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    # At most two rows per wanted bin and part of it.
+    parts = aggregate(cut, [*home, "bin"], {"part_rows": "sum(n)"}).selectExpr("*", f"coalesce(sum(part_rows) OVER ({before}), 0) AS part_start")
+    inside = wanted.withColumnRenamed("bin", "home").join(parts, home).where("k >= part_start AND k < part_start + part_rows")
+    wanted = materialise(inside.selectExpr(*BIN, "stat", "spot", "upper", "k - part_start AS k"), "wanted-ranks")
+    return _in_bins(cut.drop("home"), wanted), wanted
+
+
 # Non-null values per (is_source, column).
 Numbers = dict[tuple[bool, str], int]
 

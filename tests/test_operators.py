@@ -228,6 +228,19 @@ def test_bins_of_any_depth_give_the_same(spark, fan, rows_per_bin):
     assert all(x["hi"] < y["lo"] for x, y in zip(ends, ends[1:])) and len(ends) > 4
 
 
+def test_percentiles_cut_no_bin_that_holds_no_wanted_rank(spark, tmp_path):
+    rng = random.Random(5)
+    spark.createDataFrame([(rng.gauss(0, 1), rng.randint(0, 400)) for _ in range(4000)], "v double, w int").write.parquet(f"{tmp_path}/in")
+    rows = spark.read.parquet(f"{tmp_path}/in")
+    found = order_stats.column_percentiles(align(rows, rows.where("w > 3")), ["v", "w"], [0.25, 0.5], rows_per_bin=10, fan=16)
+    kept = [f for f in found.inputFiles() if "wanted-bins" in f]
+    # Two ranks a side and column, in two bins of 16 at most; values that come twice are stored once.
+    assert 0 < spark.read.parquet(*kept).selectExpr("sum(n)").first()[0] < 6000
+    want = {(side, c): np.quantile([r[c] for r in rows.where(f"{side} OR w > 3").collect()], [0.25, 0.5]) for side in (True, False) for c in "vw"}
+    got = {(r[IS_SOURCE], r["column"], r["stat"]): r["value"] for r in found.collect()}
+    assert got == {(*k, p): pytest.approx(x, rel=1e-12) for k, xs in want.items() for p, x in zip(("p25", "p50"), xs)}
+
+
 def test_sketches_do_not_meet_in_one_task(spark):
     pair = pair_of(spark, [(float(i),) for i in range(50)], [(float(i),) for i in range(50)], "v double")
     assert order_stats.bin_bounds(pair, ["v"], 4)["v"] == sorted(set(order_stats.bin_bounds(pair, ["v"], 4)["v"]))
