@@ -6,7 +6,8 @@ after level; a value that fills a bin alone ends it. A bin is a function of the
 Equal values are folded to (value, count), which is what keeps a value held by a third of all rows from becoming one large task;
 ranks are then a running sum of counts inside the bin plus the count of all lower bins.
 
-Percentiles count the bins of the first level and then fold, store and cut only the bins that hold a wanted rank.
+No level reads the input. The ranking of all values folds them first, once, to a stored copy, and cuts that; percentiles count
+the bins of the first level and then fold, store and cut only the bins that hold a wanted rank.
 """
 
 from __future__ import annotations
@@ -142,15 +143,12 @@ def _ranked(runs: DataFrame) -> DataFrame:
 
 
 def _binned(pair: Pair, columns: list[str], rows: int, rows_per_bin: int, fan: int = 0) -> list[tuple[list[str], DataFrame]]:
-    """(columns, long rows with their bins) of each value type. ``fan`` is for tests."""
-    n, fan = -(-rows // rows_per_bin), fan or FAN
-    bounds, largest = _first_look(pair, columns, min(fan, n))
-    pair = _exact_in_doubles(pair, columns, largest)
+    """(columns, runs of all values with their bins) of each value type. ``fan`` is for tests."""
+    pair = _exact_in_doubles(pair, columns, _first_look(pair, columns, 1)[1])
     out = []
     for group in _by_type(pair, columns):
-        long = _long(pair, group, bounds)
-        # Up to one level the sketch's error bounds a bin by about twice its share; below that bins are counted.
-        out.append((group, _split_large(long, rows_per_bin, min(fan, SUB_FAN)) if n > fan else long))
+        runs = _runs(_long(pair, group, {}))
+        out.append((group, _split_large(materialise(runs, "runs"), rows_per_bin, fan or FAN) if rows > rows_per_bin else runs))
     return out
 
 
@@ -299,9 +297,8 @@ def rank_differences(
         return spark.createDataFrame([], ", ".join(fields))
     rows = count_rows(pair) if rows is None else rows
     parts = []
-    for group, long in _binned(pair, columns, rows, rows_per_bin, fan):
-        runs = _runs(long)
-        # Two rows per column and bin at most; the runs are shuffled once for both.
+    for group, runs in _binned(pair, columns, rows, rows_per_bin, fan):
+        # Two rows per column and bin at most.
         ranked = _ranked(runs).join(_bin_starts(runs, "sum(n)").select(*BIN, "bin_start"), BIN)
         spots = {}
         for tag, side in (("source", True), ("target", False)) if percentiles else ():

@@ -228,6 +228,10 @@ def test_bins_of_any_depth_give_the_same(spark, fan, rows_per_bin):
     assert all(x["hi"] < y["lo"] for x, y in zip(ends, ends[1:])) and len(ends) > 4
 
 
+def read_by(df) -> list[str]:
+    return sorted({f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in df.inputFiles()})
+
+
 def test_percentiles_cut_no_bin_that_holds_no_wanted_rank(spark, tmp_path):
     rng = random.Random(5)
     spark.createDataFrame([(rng.gauss(0, 1), rng.randint(0, 400)) for _ in range(4000)], "v double, w int").write.parquet(f"{tmp_path}/in")
@@ -241,6 +245,21 @@ def test_percentiles_cut_no_bin_that_holds_no_wanted_rank(spark, tmp_path):
     assert got == {(*k, p): pytest.approx(x, rel=1e-12) for k, xs in want.items() for p, x in zip(("p25", "p50"), xs)}
 
 
+def test_levels_of_a_ranking_read_the_folded_values(spark, tmp_path):
+    """However deep the bins, the input is read for the fold alone, and the lookups do not grow the plan with their depth."""
+    spark.createDataFrame([(float(i % 500), 2**60 + i) for i in range(3000)], "v double, w bigint").repartition(3).write.parquet(f"{tmp_path}/in")
+    rows = spark.read.parquet(f"{tmp_path}/in")
+    pair = align(rows, rows.withColumn("v", F.col("v") + F.expr("IF(w % 7 = 0, 0.25D, 0D)")))
+    found = order_stats.rank_differences(pair, ["v", "w"], rows_per_bin=20, fan=8)
+    assert read_by(found) == ["bin-bounds", "runs"]
+    runs = [f for f in found.inputFiles() if "/runs-" in f]
+    folded = 500 + rows.selectExpr("v + IF(w % 7 = 0, 0.25D, 0D) AS v").distinct().count() + 2 * 3000
+    assert spark.read.parquet(*runs).count() == folded
+    size = lambda fan: len(order_stats.rank_differences(pair, ["w"], rows_per_bin=20, fan=fan)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(64) < 4 * size(8)
+    assert {r["column"]: (r["source_count"], r["max_absolute_diff"]) for r in found.collect()} == {"v": (3000, 0.25), "w": (3000, 0.0)}
+
+
 def test_sketches_do_not_meet_in_one_task(spark):
     pair = pair_of(spark, [(float(i),) for i in range(50)], [(float(i),) for i in range(50)], "v double")
     assert order_stats.bin_bounds(pair, ["v"], 4)["v"] == sorted(set(order_stats.bin_bounds(pair, ["v"], 4)["v"]))
